@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm.common import read_table
+from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
+from rankloom.llm.token_file import encode_corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +20,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as patched frame-of-reference shards and read back."""
+    return encode_corpus(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), 2)
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates over all documents."""
