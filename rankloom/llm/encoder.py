@@ -1,9 +1,10 @@
 """Exact tokenizer encoding at several times the library's speed, by memoising space-delimited pieces.
 
-Both tokenizers' pre-tokenizers always break at a space that a non-space character follows, and no
-pre-token looks across such a break: a text's ids are the concatenated ids of its pieces. A piece keeps
-the space before it where the tokenizer does. Each distinct piece is encoded once by the tokenizers
-library and kept in a bounded dictionary; natural text repeats most of its pieces.
+Both tokenizers' pre-tokenizers always break at a space that a non-space character follows, and at a line
+feed between two of them, and no pre-token looks across such a break: a text's ids are the concatenated
+ids of its pieces. A piece keeps the space before it where the tokenizer does. Each distinct piece is
+encoded once by the tokenizers library and kept in a bounded dictionary; natural text repeats most of its
+pieces. Texts with other runs of white space are split only where that is safe.
 """
 
 from __future__ import annotations
@@ -13,18 +14,57 @@ import re
 from array import array
 
 #: The characters with Unicode's White_Space property.
-WHITE = "\t-\r \x85\xa0  -     　"
-_ODD = re.compile(f" (?=[{WHITE}]|$)")
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = re.compile(f"[{WHITE}](?=[{WHITE}]|$)")
 _BREAK = re.compile(f" (?=[^{WHITE}])")
+#: A word of Latin letters and the ASCII punctuation after it: one pre-token each.
+_WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([-!\"#$%&()*+,./:;<=>?@\\[\\]^_`{|}~]*)")
 #: Pieces kept in a dictionary before it starts anew, and the longest piece that is kept.
 KEPT_PIECES, KEPT_CHARS = 700_000, 48
-#: Characters of text handled at a time.
-RUN_CHARS = 1 << 20
 
 
-def pieces(text: str) -> list[str]:
-    """Pieces of a text; a space stood before each but the first."""
-    return _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's rule: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+class Pieces(dict):
+    """Piece -> its ids as bytes; encodes what it doesn't know yet."""
+
+    def __init__(self, owner: Encoder, before: str):
+        super().__init__()
+        self.owner, self.before = owner, before
+
+    def __missing__(self, piece: str) -> bytes:
+        owner, word = self.owner, _WORD.fullmatch(piece)
+        if word is None:
+            ids = owner.plain(self.before + piece) if piece else b""
+        elif word[2]:
+            ids = self[word[1]] + owner.tails[word[2]]
+        else:
+            ids = owner.word(self.before + piece)
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= owner.kept:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class Tails(Pieces):
+    """Punctuation right after a word."""
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.owner.plain(piece)
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= 10_000:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -37,38 +77,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept = kept
-        self.after_space: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        self.after_space.update(zip(new, [array("I", e.ids).tobytes() for e in encoded]))
-
-    def _plain(self, text: str) -> bytes:
+        self.model = self.tokenizer.model
+        self.folds = self.tokenizer.normalizer is not None  # lower case; white space is dropped
+        self.line_feed = self.plain("\n")
+        self.tails = Tails(self, "")
+        self.after_space = Pieces(self, " ")
+        self.bare = self.after_space if self.folds else Pieces(self, "")
+
+    def plain(self, text: str) -> bytes:
+        """The library's ids of any text."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, text: str) -> bytes:
+        """Ids of one Latin word with or without a space before it: it is a single pre-token, so the library's model takes it."""
+        if self.folds:
+            text = text.strip().lower()
+        raw = ("" if self.folds else text[: text[0] == " "]) + text.lstrip()
+        return array("I", [t.id for t in self.model.tokenize(raw.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null counts as the empty text."""
-        out: list[bytes] = []
-        run: list[list[str]] = []
-        size = 0
-        for text in texts:
-            run.append(pieces(text) if text else [])
-            size += len(text or "")
-            if size >= RUN_CHARS:
-                out += self._run(run)
-                run, size = [], 0
-        return out + self._run(run)
-
-    def _run(self, run: list[list[str]]) -> list[bytes]:
-        if len(self.after_space) > self.kept:
-            self.after_space.clear()
-        known = self.after_space
-        new = {p for parts in run for p in set(parts[1:]).difference(known)}
-        self._learn(list(new))
-        out = [b"".join([self._plain(parts[0]) if parts[0] else b"", *map(known.__getitem__, parts[1:])]) if parts else b"" for parts in run]
-        for p in [p for p in new if len(p) > KEPT_CHARS]:
-            del known[p]
-        return out
+        return [self.encode_one(t) if t else b"" for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
+        known, bare = self.after_space.__getitem__, self.bare.__getitem__
+        if _ODD.search(text):
+            first, *rest = _BREAK.split(text)
+            return b"".join([self.plain(first), *map(known, rest)])
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(b"".join([bare(first), *map(known, rest)]))
+        return self.line_feed.join(lines)
 
 
 _encoders: dict[str, Encoder] = {}
