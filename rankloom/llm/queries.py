@@ -11,6 +11,7 @@ from rankloom.llm.common import read_table
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
 from rankloom.llm.packing import pack_documents
+from rankloom.llm.rp_forest import near_vectors
 from rankloom.llm.simhash import simhash_groups
 from rankloom.llm.token_file import encode_corpus
 
@@ -53,3 +54,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate groups of all documents."""
     return simhash_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all embeddings at cosine 0.9 or more."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
