@@ -14,6 +14,7 @@ from rankloom.llm.packing import pack_documents
 from rankloom.llm.rp_forest import near_vectors
 from rankloom.llm.simhash import simhash_groups
 from rankloom.llm.token_file import encode_corpus
+from rankloom.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and representatives of all embeddings at cosine 0.9 or more."""
     return near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in seekable Zstandard bundles and read back."""
+    return archive_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import pfor
-from rankloom.llm.common import materialize, work_dir
+from rankloom.llm.common import materialize, open_fs, work_dir
 from rankloom.llm.encoder import encoder
 
 MAGIC = b"PFORIDS1"
@@ -32,13 +32,6 @@ _MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
 _READ = "id long, start long, n_tokens long, ids_crc32 long"
 
 
-def open_fs(uri: str):
-    """pyarrow's file system for a folder, and the folder's path in it."""
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class ShardWriter:
     """Streams documents into one shard; holds one block of ids and 16 bytes a document."""
 
@@ -143,7 +136,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
                 part = batch.slice(i, RUN_DOCS)
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(f"{root}/{name}")
+                    sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     writer = ShardWriter(sink)
                 for doc_id, ids in zip(part.column("id").to_pylist(), encoder(tokenizer_file).encode(part.column("text").to_pylist())):
                     writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
