@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import read_table
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
+from rankloom.llm.langid import fit, fold, identify
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.rp_forest import near_vectors
 from rankloom.llm.simhash import simhash_groups
@@ -67,3 +68,11 @@ def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records in seekable Zstandard bundles and read back."""
     return archive_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from two thirds of them."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit(docs, F.coalesce(fold("doc_id", 3) != 1, F.lit(False)))
+    return identify(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
