@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm import toxicity
 from rankloom.llm.common import read_table
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
@@ -76,3 +77,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = fit(docs, F.coalesce(fold("doc_id", 3) != 1, F.lit(False)))
     return identify(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from four fifths of the labels."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"), fold("id", 5) != 0)
+    return toxicity.score_toxicity(docs, lexicon).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
