@@ -12,9 +12,11 @@ from rankloom.llm.common import read_table
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
 from rankloom.llm.langid import fit, fold, identify
+from rankloom.llm.mixing import mix
 from rankloom.llm.packing import pack_documents
 from rankloom.llm.rp_forest import near_vectors
 from rankloom.llm.simhash import simhash_groups
+from rankloom.llm.token_counts import apply_edits, redactions, token_trees
 from rankloom.llm.token_file import encode_corpus
 from rankloom.llm.warc import archive_pages
 
@@ -85,3 +87,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"), fold("id", 5) != 0)
     return toxicity.score_toxicity(docs, lexicon).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of all documents in a mix of their sources, weighted by size to the power 0.7."""
+    mixed = mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "slot", "release", "deadline", "at")])
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after redaction, from trees of which only the edited regions are encoded again."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    trees = token_trees(redactions(read_table(spark, sf_dir, "documents", "doc_id", "text")), path, edits_col="edits")
+    return apply_edits(trees, path).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "encoded_chars", F.size("leaf_starts").alias("n_leaves"))
