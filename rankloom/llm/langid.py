@@ -290,6 +290,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is rejected; all columns stay as they are and no row is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value) if shared.value is not None else None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = part.column(text_col).to_pylist()
+                good = [not r for _, _, r in scorer.judge(texts)] if scorer is not None else [False] * len(texts)
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -184,8 +184,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     )
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each group of near-equal documents; all columns stay as they are."""
+def drop_near_copies(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each group of near-equal documents; all columns stay as they are. Rows that share an id stay or go together."""
     groups = simhash_groups(docs, words, id_col, text_col)
     dropped = materialize(groups.where(F.col(id_col) != F.col("component_id")).select(id_col), "near-dropped")
     return without(docs, dropped, id_col)
