@@ -123,18 +123,27 @@ REG.rel("in_slope_pct", "SELECT ticker, round(slope40, 6) AS slope40 FROM tail_s
 REG.rel("in_annualized_vol", "SELECT ticker, round(vol252, 6) AS vol252 FROM tail_stats", TAIL)
 REG.rel("in_max_drawdown", "SELECT ticker, round(max_drawdown252, 6) AS max_drawdown252 FROM tail_stats", TAIL)
 
-#: Supertrend: a fold over each ticker's bars whose bands ratchet (the upper down while the trend is up, the lower up while it is down).
-_SUPER = """
-    SELECT ticker, explode(bars_out) AS o FROM (
-      SELECT ticker, aggregate(
-        array_sort(collect_list(struct(date, close, (high + low) / 2 + 3 * atr10 AS u, (high + low) / 2 - 3 * atr10 AS l))),
-        named_struct('dir', 1e0, 'pu', cast(NULL AS double), 'pl', cast(NULL AS double), 'out', cast(array() AS array<struct<date: date, dir: double>>)),
-        (s, b) -> CASE WHEN b.u IS NULL THEN named_struct('dir', s.dir, 'pu', s.pu, 'pl', s.pl, 'out', concat(s.out, array(named_struct('date', b.date, 'dir', cast(NULL AS double)))))
-          ELSE named_struct(
-            'dir', CASE WHEN b.close > coalesce(s.pu, b.u) THEN 1e0 WHEN b.close < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END,
-            'pu', CASE WHEN s.pu IS NOT NULL AND s.dir > 0 THEN least(b.u, s.pu) ELSE b.u END,
-            'pl', CASE WHEN s.pl IS NOT NULL AND s.dir < 0 THEN greatest(b.l, s.pl) ELSE b.l END,
-            'out', concat(s.out, array(named_struct('date', b.date, 'dir', CASE WHEN b.close > coalesce(s.pu, b.u) THEN 1e0 WHEN b.close < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END)))) END,
-        s -> s.out) AS bars_out
-      FROM indicators GROUP BY ticker) x"""
-SUPERTREND = Rel("supertrend", f"SELECT ticker, o.date AS date, o.dir AS supertrend FROM ({_SUPER}) y", (INDICATORS,))
+#: Supertrend of the last bar: a fold over a ticker's bars whose bands ratchet (the upper down while the trend is up, the lower up while it is down).
+SUPERTREND = Rel(
+    "supertrend",
+    lambda q: f"""
+    SELECT ticker, {_super(q)}.dir AS supertrend FROM (
+      SELECT ticker, {q.collect(q.record(dir="1e0", pu="cast(NULL AS double)", pl="cast(NULL AS double)", c="close", u="(high + low) / 2 + 3 * atr10", l="(high + low) / 2 - 3 * atr10"), "date")} AS bars_in
+      FROM indicators WHERE atr10 IS NOT NULL GROUP BY ticker) x""",
+    (INDICATORS,),
+)
+
+
+def _super(q) -> str:
+    """Bands compare with those of the bar before; before the first bar with bands the direction is up."""
+    null = "cast(NULL AS double)"
+    step = q.record(
+        dir="CASE WHEN b.c > coalesce(s.pu, b.u) THEN 1e0 WHEN b.c < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END",
+        pu="CASE WHEN s.pu IS NOT NULL AND s.dir > 0 THEN least(b.u, s.pu) ELSE b.u END",
+        pl="CASE WHEN s.pl IS NOT NULL AND s.dir < 0 THEN greatest(b.l, s.pl) ELSE b.l END",
+        c="b.c", u="b.u", l="b.l",
+    )
+    return f"({q.fold('bars_in', q.record(dir='1e0', pu=null, pl=null, c=null, u=null, l=null), step)})"
+
+
+REG.rel("in_supertrend", "SELECT ticker, supertrend FROM supertrend", SUPERTREND)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from rankloom.operators import indicators
+from rankloom.operators import factors, indicators, scoring, signals
 
-_MODULES = (indicators,)
+_MODULES = (indicators, signals, factors, scoring)
 
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:
-    for _name, _rel in _m.REG.rels.items():
-        QUERIES[_name] = _rel.from_dir
-        ORACLES[_name] = _rel.sql()
-    QUERIES |= _m.REG.functions
+    QUERIES |= _m.REG.queries()
+    ORACLES |= {n: r.sql() for n, r in _m.REG.rels.items()}

@@ -7,6 +7,7 @@ which results are held. ``Dialect`` has the few spellings in which the two diffe
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -37,6 +38,24 @@ class Spark:
     def days(a: str, b: str) -> str:
         return f"datediff({a}, {b})"
 
+    @staticmethod
+    def stack(names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        """One row per tuple: a wide row becomes long ones."""
+        return f"stack({len(rows)}, {', '.join(', '.join(r) for r in rows)}) AS ({', '.join(names)})"
+
+    @staticmethod
+    def values(names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        return f"(SELECT * FROM VALUES {', '.join('(' + ', '.join(r) + ')' for r in rows)} AS t({', '.join(names)}))"
+
+    @staticmethod
+    def record(**fields: str) -> str:
+        return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})"
+
+    @staticmethod
+    def fold(items: str, start: str, step: str) -> str:
+        """Left fold; ``step`` is an expression over the state s and the item b, which are records of one type."""
+        return f"aggregate({items}, {start}, (s, b) -> {step})"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -61,6 +80,22 @@ class Duck(Spark):
     def days(a: str, b: str) -> str:
         return f"datediff('day', {b}, {a})"
 
+    @staticmethod
+    def stack(names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        return "unnest([" + ", ".join("{" + ", ".join(f"'{n}': {v}" for n, v in zip(names, r)) + "}" for r in rows) + "], recursive := true)"
+
+    @staticmethod
+    def values(names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
+        return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(r) + ')' for r in rows)}) AS t({', '.join(names)}))"
+
+    @staticmethod
+    def record(**fields: str) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    @staticmethod
+    def fold(items: str, start: str, step: str) -> str:
+        return f"list_reduce({items}, lambda s, b: {step}, {start})"
+
 
 @dataclass(frozen=True, eq=False)
 class Rel:
@@ -123,6 +158,8 @@ def _escaped(text: str) -> str:
 class Registry:
     """Registered relations, and functions for what one statement can't hold."""
 
+    #: Relations that are computed once a session and folder and checkpointed.
+    cuts: tuple[Rel, ...] = ()
     rels: dict[str, Rel] = field(default_factory=dict)
     functions: dict[str, Callable[[SparkSession, str], DataFrame]] = field(default_factory=dict)
 
@@ -131,6 +168,32 @@ class Registry:
         self.rels[name] = r = Rel(name, body, inputs)
         return r
 
+    def queries(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+        return {n: self._query(r) for n, r in self.rels.items()} | self.functions
+
+    def _query(self, rel: Rel) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            names = {r.name for r in rel.chain(set())}
+            frames = {c.name: kept(c, spark, sf_dir) for c in self.cuts if c.name in names}
+            need = rel.tables(set(frames)) - set(frames)
+            return rel.on(spark, **frames, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in need})
+
+        return run
+
     def function(self, f: Callable[[SparkSession, str], DataFrame]):
         self.functions[f.__name__] = f
         return f
+
+
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(rel: Rel, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation over a folder, checkpointed for the session's further queries: they plan over its rows, not over its long plan."""
+    key = (spark.sparkContext.applicationId, sf_dir, rel.name)
+    if key not in _kept:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
+        _kept[key] = rel.from_dir(spark, sf_dir).checkpoint()
+    return _kept[key]

@@ -80,7 +80,7 @@ FIGURES = {
 
 FUNDAMENTALS = Rel(
     "fundamentals",
-    "SELECT *, market_cap * fcf_share AS free_cashflow, market_cap * ocf_share AS operating_cashflow, market_cap * debt_share AS total_debt, "
+    "SELECT *, (k * 37) % 90 AS days_to_earnings, market_cap * fcf_share AS free_cashflow, market_cap * ocf_share AS operating_cashflow, market_cap * debt_share AS total_debt, "
     "greatest(cash, 0e0) * 1000 AS total_cash FROM (SELECT ticker, market_cap, cash, k, "
     + ", ".join(f"{_made(i, lo, hi)} AS {n}" for i, (n, (lo, hi)) in enumerate(FIGURES.items()))
     + " FROM securities) x",
