@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.operators import factors, indicators, scoring, signals
+from rankloom.operators import factors, indicators, scoring, signals, targets, universe
 
-_MODULES = (indicators, signals, factors, scoring)
+_MODULES = (indicators, signals, factors, scoring, targets, universe)
 
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:

@@ -38,6 +38,29 @@ class Spark:
     def days(a: str, b: str) -> str:
         return f"datediff({a}, {b})"
 
+    @staticmethod
+    def explode(x: str) -> str:
+        return f"explode({x})"
+
+    @staticmethod
+    def numbers(a: str, b: str) -> str:
+        """The whole numbers from a to b (at most)."""
+        return f"sequence({a}, {b})"
+
+    @staticmethod
+    def matches(x: str, pattern: str) -> str:
+        return f"{x} RLIKE '{pattern}'"
+
+    @staticmethod
+    def replace_all(x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, '{pattern}', '{by}')"
+
+    @staticmethod
+    def merge_levels(x: str, tolerance: float) -> str:
+        """Sorted levels, each merged into the one before it (as their mean) if it lies within the tolerance."""
+        last = "element_at(s, -1)"
+        return f"aggregate(array_sort(collect_list({x})), cast(array() AS array<double>), (s, b) -> CASE WHEN size(s) > 0 AND abs(b - {last}) / greatest({last}, 1e-9) <= {tolerance} THEN concat(slice(s, 1, size(s) - 1), array(({last} + b) / 2)) ELSE concat(s, array(b)) END)"
+
     @staticmethod
     def stack(names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
         """One row per tuple: a wide row becomes long ones."""
@@ -80,6 +103,26 @@ class Duck(Spark):
     def days(a: str, b: str) -> str:
         return f"datediff('day', {b}, {a})"
 
+    @staticmethod
+    def explode(x: str) -> str:
+        return f"unnest({x})"
+
+    @staticmethod
+    def numbers(a: str, b: str) -> str:
+        return f"range({a}, {b} + 1)"
+
+    @staticmethod
+    def matches(x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    @staticmethod
+    def replace_all(x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
+    @staticmethod
+    def merge_levels(x: str, tolerance: float) -> str:
+        return f"list_reduce(list_transform(list_sort(list({x})), lambda x: [x]), lambda s, b: CASE WHEN len(s) > 0 AND abs(b[1] - s[-1]) / greatest(s[-1], 1e-9) <= {tolerance} THEN list_append(s[1:len(s) - 1], (s[-1] + b[1]) / 2) ELSE list_concat(s, b) END, CAST([] AS DOUBLE[]))"
+
     @staticmethod
     def stack(names: tuple[str, ...], rows: list[tuple[str, ...]]) -> str:
         return "unnest([" + ", ".join("{" + ", ".join(f"'{n}': {v}" for n, v in zip(names, r)) + "}" for r in rows) + "], recursive := true)"
@@ -135,14 +178,25 @@ class Rel:
             raise ValueError(f"{self.name} also needs {sorted(missing)}")
         if not steps:
             return frames[self.name]
-        inputs = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in sorted(need))
-        text = ", ".join(f"{r.name} AS ({_escaped(r.text(Spark))})" for r in steps)
-        return spark.sql(f"WITH {inputs}, {text} SELECT * FROM {self.name}", **{n: frames[n] for n in need})
+        inputs = [f"{n} AS (SELECT * FROM {{{n}}})" for n in sorted(need)]
+        text = [f"{r.name} AS ({_escaped(r.text(Spark)) if need else r.text(Spark)})" for r in steps]
+        return spark.sql(f"WITH {', '.join(inputs + text)} SELECT * FROM {self.name}", **{n: frames[n] for n in need})
 
     def from_dir(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The relation over the tables of a folder."""
         return self.on(spark, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in self.tables()})
 
+    def over(self, spark: SparkSession, sf_dir: str, cuts: tuple[Rel, ...] = ()) -> DataFrame:
+        """The relation over the tables of a folder; of the relations in ``cuts`` the rows that are kept are used. Later cuts may build on earlier ones."""
+        names = {r.name for r in self.chain(set())} - {self.name}
+        frames: dict[str, DataFrame] = {}
+        for i in reversed(range(len(cuts))):
+            reached = {r.name for r in self.chain(set(frames))} | self.tables(set(frames))
+            if cuts[i].name in names & reached:
+                frames[cuts[i].name] = kept(cuts[i], spark, sf_dir, cuts[:i])
+        need = self.tables(set(frames))
+        return self.on(spark, **{n: frames[n] if n in frames else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in need})
+
     def sql(self) -> str:
         """The relation as one DuckDB statement."""
         steps = ",\n".join(f"{r.name} AS ({r.text(Duck)})" for r in self.chain(set()))
@@ -173,10 +227,7 @@ class Registry:
 
     def _query(self, rel: Rel) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            names = {r.name for r in rel.chain(set())}
-            frames = {c.name: kept(c, spark, sf_dir) for c in self.cuts if c.name in names}
-            need = rel.tables(set(frames)) - set(frames)
-            return rel.on(spark, **frames, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in need})
+            return rel.over(spark, sf_dir, self.cuts)
 
         return run
 
@@ -188,12 +239,12 @@ class Registry:
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def kept(rel: Rel, spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept(rel: Rel, spark: SparkSession, sf_dir: str, cuts: tuple[Rel, ...] = ()) -> DataFrame:
     """A relation over a folder, checkpointed for the session's further queries: they plan over its rows, not over its long plan."""
     key = (spark.sparkContext.applicationId, sf_dir, rel.name)
     if key not in _kept:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
-        _kept[key] = rel.from_dir(spark, sf_dir).checkpoint()
+        _kept[key] = rel.over(spark, sf_dir, cuts).checkpoint()
     return _kept[key]
