@@ -138,8 +138,8 @@ def _mean(*x: str) -> str:
 
 #: Factor id -> value over ``factor_inputs``.
 FORMULAS = {
-    "price_momentum_12_1": "CASE WHEN n >= 260 THEN c21 / c251 - 1 END",
-    "relative_strength": "CASE WHEN n_joined >= 70 THEN " + wavg(*((w, f"s0 / s{k} - b0 / b{k}") for k, w in ((63, 2), (126, 1), (189, 1), (252, 1)))) + " END",
+    "price_momentum_12_1": "CASE WHEN n >= 260 THEN c21 / nullif(c251, 0) - 1 END",
+    "relative_strength": "CASE WHEN n_joined >= 70 THEN " + wavg(*((w, f"s0 / nullif(s{k}, 0) - b0 / nullif(b{k}, 0)") for k, w in ((63, 2), (126, 1), (189, 1), (252, 1)))) + " END",
     "trend_structure": f"CASE WHEN n >= 150 THEN 12.5e0 * ({_points(f'price > sma150 AND price > {_MA200}', f'sma150 > {_MA200}', 'slope_sma200 > 0', f'sma50 > sma150 AND sma50 > {_MA200}', 'price > sma50', 'lo252 > 0 AND price >= lo252 * 1.30e0', 'hi252 > 0 AND price >= hi252 * 0.75e0', 'slope_sma50 > 0')}) END",
     "breakout_setup": "CASE WHEN n >= 130 THEN " + wavg((1.5, "CASE WHEN n_width > 40 THEN 1 - 2 * width_pct END"), (1.2, clamp(-1, 1, "(0.22e0 - (hi30 - lo30) / nullif(mean30, 0)) / 0.14e0")), (1.3, clamp(-1, 1, "(price / nullif(hi63, 0) - 1 + 0.04e0) / 0.04e0")), (1.0, clamp(-1, 1, "CASE WHEN n_atr > 90 AND atr_long > 0 THEN (1 - atr_short / atr_long) / 0.25e0 END"))) + " END",
     "size_opportunity": f"CASE WHEN market_cap > 0 THEN greatest(-1.5e0, least(1e0, 1 - power((log10(market_cap) - 9.18e0) / 0.95e0, 2) - CASE WHEN market_cap < 1.5e8 THEN 0.6e0 ELSE 0e0 END)) END",
@@ -147,8 +147,8 @@ FORMULAS = {
     "rule_of_40": clamp(-1.5, 1.5, f"(100 * (revenue_growth + {_MARGIN}) - 40) / 30e0"),
     "undiscovered": wavg((1.0, "CASE WHEN analysts <= 0 THEN -0.7e0 END"), (1.2, "CASE WHEN analysts > 0 THEN CASE WHEN analysts <= 12 THEN 1 - abs(analysts - 7) / 9e0 ELSE greatest(-1e0, 0.55e0 - (analysts - 12) / 22e0) END END"), (1.0, "CASE WHEN held_institutions < 0.05 THEN -0.5e0 END"), (1.3, "CASE WHEN held_institutions >= 0.05 THEN 1 - abs(least(held_institutions, 1e0) - 0.45e0) / 0.45e0 END"), (0.7, clamp(-0.5, 1, "held_insiders / 0.15e0"))),
     "cash_runway": f"CASE WHEN {_FLOW} > 0 THEN CASE WHEN total_debt > 0 THEN least(1.5e0, 0.7e0 + 0.5e0 * least(2e0, total_cash / total_debt)) ELSE 1e0 END WHEN {_FLOW} <= 0 THEN CASE WHEN total_cash IS NULL OR total_cash <= 0 THEN -1.2e0 ELSE {clamp(-1.5, 0.8, f'(total_cash / nullif(abs({_FLOW}), 0) - 1.5e0) / 1.5e0')} END END",
-    "stage2_breakout": "CASE WHEN n >= 200 THEN CASE WHEN NOT coalesce(price > sma150, FALSE) THEN -1e0 ELSE " + wavg((1.0, "CASE WHEN slope_sma150 > 0 THEN 1e0 ELSE -0.2e0 END"), (1.4, "CASE WHEN days_above < 15 THEN 0.15e0 WHEN days_above <= 160 THEN 1 - abs(days_above - 70) / 130e0 ELSE greatest(-1e0, 0.45e0 - (days_above - 160) / 220e0) END"), (1.2, clamp(-1, 1, "CASE WHEN days_above < n - 60 AND pre_n >= 60 THEN (0.62e0 - (pre_max - pre_min) / pre_avg) / 0.27e0 END")), (0.9, clamp(-1, 1, "CASE WHEN lo252 > 0 AND hi252 > lo252 THEN (1.30e0 - (price / lo252 - 1)) / 0.9e0 END"))) + " END END",
-    "chart_position": "CASE WHEN n >= 130 AND hi252 > lo252 THEN " + wavg((1.5, clamp(-1.2, 1, "1 - abs((price - lo252) / (hi252 - lo252) - 0.77e0) / 0.30e0")), (0.8, clamp(-1, 1, "CASE WHEN all_hi > 0 THEN (0.30e0 - abs(all_hi / price - 1 - 0.12e0)) / 0.25e0 END"))) + " END",
+    "stage2_breakout": "CASE WHEN n >= 200 THEN CASE WHEN NOT coalesce(price > sma150, FALSE) THEN -1e0 ELSE " + wavg((1.0, "CASE WHEN slope_sma150 > 0 THEN 1e0 ELSE -0.2e0 END"), (1.4, "CASE WHEN days_above < 15 THEN 0.15e0 WHEN days_above <= 160 THEN 1 - abs(days_above - 70) / 130e0 ELSE greatest(-1e0, 0.45e0 - (days_above - 160) / 220e0) END"), (1.2, clamp(-1, 1, "CASE WHEN days_above < n - 60 AND pre_n >= 60 THEN (0.62e0 - (pre_max - pre_min) / nullif(pre_avg, 0)) / 0.27e0 END")), (0.9, clamp(-1, 1, "CASE WHEN lo252 > 0 AND hi252 > lo252 THEN (1.30e0 - (price / lo252 - 1)) / 0.9e0 END"))) + " END END",
+    "chart_position": "CASE WHEN n >= 130 AND hi252 > lo252 THEN " + wavg((1.5, clamp(-1.2, 1, "1 - abs((price - lo252) / (hi252 - lo252) - 0.77e0) / 0.30e0")), (0.8, clamp(-1, 1, "CASE WHEN all_hi > 0 THEN (0.30e0 - abs(all_hi / nullif(price, 0) - 1 - 0.12e0)) / 0.25e0 END"))) + " END",
     "analyst_upside": wavg((1.5, clamp(-1, 1.5, "(target_mean_ratio - 1) / 0.25e0")), (1.0, clamp(-1, 1, "((target_high_ratio - target_mean_ratio) - (target_mean_ratio - target_low_ratio)) / nullif(target_high_ratio - target_low_ratio, 0) / 0.4e0"))),
     "momentum_persistence": "CASE WHEN n >= 130 THEN " + wavg((1.6, clamp(-1, 1, "trend_r2 / 0.6e0")), (0.8, clamp(-1, 1, "CASE WHEN n_ret > 60 THEN (win_rate - 0.5e0) / 0.06e0 END")), (0.7, floor_at(-1, "CASE WHEN n_ret > 60 THEN 1 - jump_rate / 0.06e0 END")), (0.9, clamp(-1, 1, "CASE WHEN n_rm > 60 THEN (high_rate - 0.06e0) / 0.12e0 END"))) + " END",
     "volume_accumulation": "CASE WHEN n >= 60 THEN slope_obv + 8 * (vol20 / nullif(vol60, 0) - 1) END",
@@ -178,7 +178,7 @@ PENALTIES = {
     "negative_fcf_high_debt": "free_cashflow < 0 AND debt_to_equity > 150",
     "distribution_pattern": "slope_close > 0.05 AND slope_obv < -0.05",
 }
-_DERIVED = [f"CASE WHEN n > {k} THEN price / c{k} - 1 END AS return_{m}" for k, m in ((21, "1m"), (63, "3m"), (126, "6m"), (252, "12m"))]
+_DERIVED = [f"CASE WHEN n > {k} THEN price / nullif(c{k}, 0) - 1 END AS return_{m}" for k, m in ((21, "1m"), (63, "3m"), (126, "6m"), (252, "12m"))]
 ALL = inputs("factor_inputs", *FORMULAS.values(), *PENALTIES.values(), *_IDENTITY, *_DERIVED, _DV)
 FACTORS = Rel(
     "factors",

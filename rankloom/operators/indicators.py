@@ -28,7 +28,7 @@ BASE = layers(
     {"i": position("close"), "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "tp": "(high + low + close) / 3e0", "rd": "row_number() OVER (PARTITION BY ticker ORDER BY date DESC)", "n_bars": f"count(*) {whole()}"},
     {"tr": "greatest(high - low, abs(high - pc), abs(low - pc))", "up": "CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0e0) END", "down": "CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0e0) END",
      "plus_dm": "CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0e0 END", "minus_dm": "CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0e0 END",
-     "bp": "close - least(low, pc)", "ret": "close / pc - 1", "ptp": lag("tp"), "i1": "CASE WHEN pc IS NOT NULL THEN i - 1 END"},
+     "bp": "close - least(low, pc)", "ret": "close / nullif(pc, 0) - 1", "ptp": lag("tp"), "i1": "CASE WHEN pc IS NOT NULL THEN i - 1 END"},
 )
 
 #: The moving averages that the signals and factors use.
@@ -49,7 +49,7 @@ INDICATORS = layers(
     {"rsi14": f"CASE WHEN max(avg_down) {whole()} IS NOT NULL THEN coalesce(100 - 100 / (1 + avg_up / nullif(avg_down, 0)), 50e0) END",
      "i_macd": position("macd_line"), "plus_di": "100 * plus_s / nullif(atr14, 0)", "minus_di": "100 * minus_s / nullif(atr14, 0)",
      "raw_k14": "100 * (close - ll14) / nullif(hh14 - ll14, 0)", "raw_k9": "100 * (close - ll9) / nullif(hh9 - ll9, 0)", "williams": "-100 * (hh14 - close) / nullif(hh14 - ll14, 0)",
-     "tp_dev": "abs(tp - tp_mean)", "roc12": f"100 * (close / {lag('close', 12)} - 1)", "ultimate": "100 * (4 * uo7 + 2 * uo14 + uo28) / 7",
+     "tp_dev": "abs(tp - tp_mean)", "roc12": f"100 * (close / nullif({lag('close', 12)}, 0) - 1)", "ultimate": "100 * (4 * uo7 + 2 * uo14 + uo28) / 7",
      "bb_upper": "sma20 + 2 * sd20", "bb_lower": "sma20 - 2 * sd20", "donchian": "(close - ll20) / nullif(hh20 - ll20, 0)",
      "mfi_up": roll("sum", "flow_up", 14, 7), "mfi_down": roll("sum", "flow_down", 14, 7),
      "mid9": "(hh9 + ll9) / 2", "mid26": "(hh26 + ll26) / 2", "mid52": "(hh52 + ll52) / 2"},
@@ -108,12 +108,12 @@ TAIL = Rel(
     "tail_stats",
     """
     SELECT ticker,
-           CASE WHEN count(CASE WHEN rd <= 120 THEN close END) >= 40 AND var_pop(CASE WHEN rd <= 120 THEN ln(close) END) > 0
-                THEN regr_r2(CASE WHEN rd <= 120 THEN ln(close) END, i) * CASE WHEN regr_slope(CASE WHEN rd <= 120 THEN ln(close) END, i) > 0 THEN 1 ELSE -1 END END AS trend_r2,
+           CASE WHEN count(CASE WHEN rd <= 120 THEN close END) >= 40 AND var_pop(CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END) > 0
+                THEN regr_r2(CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END, i) * CASE WHEN regr_slope(CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END, i) > 0 THEN 1 ELSE -1 END END AS trend_r2,
            CASE WHEN count(CASE WHEN rd <= 40 THEN close END) >= 20 THEN 100 * regr_slope(CASE WHEN rd <= 40 THEN close END, i) / nullif(abs(avg(CASE WHEN rd <= 40 THEN close END)), 0) END AS slope40,
            CASE WHEN count(CASE WHEN rd <= 252 THEN ret END) > 20 THEN stddev_samp(CASE WHEN rd <= 252 THEN ret END) * sqrt(252e0) END AS vol252,
            CASE WHEN count(CASE WHEN rd <= 252 THEN close END) >= 20 THEN min(drawdown) END AS max_drawdown252
-    FROM (SELECT *, CASE WHEN rd <= 252 THEN close / max(CASE WHEN rd <= 252 THEN close END) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS drawdown
+    FROM (SELECT *, CASE WHEN rd <= 252 THEN close / nullif(max(CASE WHEN rd <= 252 THEN close END) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - 1 END AS drawdown
           FROM indicator_base) x
     GROUP BY ticker""",
     (BASE,),

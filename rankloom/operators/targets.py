@@ -99,7 +99,7 @@ RULES = {
     "MACD_CROSS": (2, "macd_now < 0 AND macd_before > 0"),
     "EARNINGS": (2, "days_to_earnings BETWEEN 0 AND 7"),
     "TARGETS_REVERSED": (2, "long_target < short_target"),
-    "STOP_NEAR": (3, "price > active_stop AND 100 * (price / active_stop - 1) < 4"),
+    "STOP_NEAR": (3, "price > active_stop AND 100 * (price / nullif(active_stop, 0) - 1) < 4"),
 }
 HITS = Rel("rule_hits", lambda q: "SELECT ticker, rule, severity FROM (SELECT ticker, " + q.stack(("rule", "severity", "hit"), [(f"'{c}'", str(s), f"coalesce({x}, FALSE)") for c, (s, x) in RULES.items()]) + " FROM watched) x WHERE hit", (WATCHED,))
 _MAX, _SUM = "coalesce(max(h.severity), 0)", "coalesce(sum(h.severity), 0)"
@@ -123,8 +123,8 @@ REG.rel("tg_sell_rules", "SELECT ticker, rule, severity FROM rule_hits", HITS)
 REG.rel("tg_risk", "SELECT ticker, n_rules, worst, severity, risk_index, risk FROM risk", RISK)
 REG.rel(
     "tg_analysis",
-    """SELECT ticker, round(100 * (price / entry_price - 1), 5) AS pnl_pct, CASE WHEN entry_price > active_stop THEN round((short_target - price) / (entry_price - active_stop), 5) END AS risk_reward,
-              round(100 * (active_stop / entry_price - 1), 5) AS stop_pnl_pct, round(price / c1 - 1, 6) AS change_1, round(price / c5 - 1, 6) AS change_5, round(price / c21 - 1, 6) AS change_21, round(score_now, 4) AS score_now FROM watched""",
+    """SELECT ticker, round(100 * (price / nullif(entry_price, 0) - 1), 5) AS pnl_pct, CASE WHEN entry_price > active_stop THEN round((short_target - price) / (entry_price - active_stop), 5) END AS risk_reward,
+              round(100 * (active_stop / nullif(entry_price, 0) - 1), 5) AS stop_pnl_pct, round(price / nullif(c1, 0) - 1, 6) AS change_1, round(price / nullif(c5, 0) - 1, 6) AS change_5, round(price / nullif(c21, 0) - 1, 6) AS change_21, round(score_now, 4) AS score_now FROM watched""",
     WATCHED,
 )
 REG.rel(

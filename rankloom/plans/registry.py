@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.operators import factors, indicators, scoring, signals, targets, universe
+from rankloom.operators import factors, indicators, research, scoring, signals, targets, universe
 
-_MODULES = (indicators, signals, factors, scoring, targets, universe)
+_MODULES = (indicators, signals, factors, scoring, targets, universe, research)
 
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:
