@@ -165,6 +165,16 @@ def link_fingerprints(classes: DataFrame) -> DataFrame:
     return edges.union(points.join(hubs, "point").where("rep <> hub").select("rep", "hub").distinct())
 
 
+def _salt():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+
+
+def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, salt, low) per salted cell and (fp, rep) per distinct fingerprint, each with its smallest id."""
+    cells = materialize(prints.groupBy("fp", _salt().alias("salt")).agg(F.min("doc_id").alias("low")), "fingerprint-cells")
+    return cells, materialize(cells.groupBy("fp").agg(F.min("low").alias("rep")), "fingerprint-classes")
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most two bits).
 
@@ -172,20 +182,125 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     null ids have a null component unless a copy or near copy has an id, and link nothing of their own. An
     empty table gives an empty result; other columns are not read.
     """
-    salted = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
     prints = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    cells = materialize(prints.groupBy("fp", salted).agg(F.min("doc_id").alias("low")), "fingerprint-cells")
-    classes = materialize(cells.groupBy("fp").agg(F.min("low").alias("rep")), "fingerprint-classes")
+    cells, classes = _classes(prints)
     component = connected_components(link_fingerprints(classes.where("rep is not null")))
     placed = classes.join(component, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     by_cell = cells.select("fp", "salt").join(placed, "fp")
-    return prints.withColumn("salt", salted).join(by_cell, ["fp", "salt"]).select(
+    return prints.withColumn("salt", _salt()).join(by_cell, ["fp", "salt"]).select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each group of near-equal documents; all columns stay as they are. Rows that share an id stay or go together."""
-    groups = simhash_groups(docs, words, id_col, text_col)
-    dropped = materialize(groups.where(F.col(id_col) != F.col("component_id")).select(id_col), "near-dropped")
+#: Cuts of a text into parts: a part ends at a shingle whose hash is divisible by the first number, for texts of so many shingles (from, below).
+#: The ranges overlap, so that copies of similar length share a kind of parts.
+LEVELS = ((32, 96, 1 << 62), (8, 24, 160), (2, 1, 40))
+#: Parts of a text by which it meets others (those of least hash), values of its sketch, and others of a bucket it is held against.
+PARTS, SKETCH, NEIGHBOURS = 24, 96, 8
+
+
+def parts_and_sketch(text: str | None, words: int = 5) -> tuple[list[int], bytes]:
+    """SimHash fingerprints of a text's parts, and the least 32-bit hashes of its shingles in order."""
+    from xxhash import xxh64_digest
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return [], b""
+    shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) > words else [b" ".join(w)]
+    digests = np.frombuffer(b"".join([xxh64_digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8)
+    h = digests.view(">u8").reshape(-1).astype(np.uint64)
+    found = []
+    for every, low, high in LEVELS:
+        if low <= len(h) < high:
+            begins = np.append(0, np.flatnonzero(h % np.uint64(every) == 0) + 1)
+            begins = begins[begins < len(h)]
+            for i in range(0, len(begins), 1024):  # bounded memory for very long texts
+                own = begins[i : i + 1024]
+                end = begins[i + 1024] if i + 1024 < len(begins) else len(h)
+                bits = np.unpackbits(digests[own[0] : end], axis=1)
+                sums = np.add.reduceat(bits, own - own[0], axis=0, dtype=np.int32)
+                sizes = np.diff(np.append(own, end))
+                prints = np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+                found.append(prints ^ np.uint64(every))
+    prints = np.unique(np.concatenate(found))
+    with np.errstate(over="ignore"):
+        order = np.argsort((prints * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7), kind="stable")
+    return prints[order[:PARTS]].view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingles from their sketches: exact below SKETCH shingles, else from the least SKETCH of both."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y, assume_unique=True)).mean()) if len(both) else 1.0
+
+
+def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                parts, sketches = zip(*[parts_and_sketch(t.as_py(), words) for t in part.column("text")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "parts", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, parts array<long>, sketch binary")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (part, least sketch value, id) to pairs: each row with the NEIGHBOURS before it in its part."""
+    part, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        held = len(part)
+        part, ids = np.concatenate([part, batch.column("part").to_numpy()]), np.concatenate([ids, batch.column("doc_id").to_numpy()])
+        left, right = [], []
+        for lag in range(1, NEIGHBOURS + 1):
+            later = np.arange(max(held, lag), len(part))
+            later = later[part[later] == part[later - lag]]
+            left.append(ids[later - lag])
+            right.append(ids[later])
+        a, b = np.concatenate(left), np.concatenate(right)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        keep = np.unique(np.stack([low, high])[:, low < high], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["a", "b"])
+        part, ids = part[-NEIGHBOURS:], ids[-NEIGHBOURS:]
+
+
+def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified pairs (a, b) of documents that share a part's fingerprint and whose shingles are similar.
+
+    In a part that many documents share each is held against its neighbours in the order of their least
+    shingle hash, in which copies stand together; families join through them.
+    """
+    table = materialize(_sketches(docs, words, id_col, text_col), "sketches")
+    first = F.substring("sketch", 1, 4)
+    met = table.select(F.explode("parts").alias("part"), first.alias("first"), "doc_id").repartition("part").sortWithinPartitions("part", "first", "doc_id").select("part", "doc_id")
+    pairs = materialize(met.mapInArrow(_meet, "a long, b long").distinct(), "part-pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    own = table.select("doc_id", "sketch").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    both = pairs.join(own.toDF("a", "sketch_a"), "a").join(own.toDF("b", "sketch_b"), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similarity(x, y) >= least for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest id of each group of near copies; all columns stay as they are.
+
+    Documents are linked if their whole fingerprints (three-word shingles) differ in at most two bits, or if
+    they share a part and their ``words``-word shingles have a Jaccard similarity of ``least`` or more. Rows
+    that share an id stay or go together; rows with a null id stay.
+    """
+    prints = materialize(fingerprints(docs, 3, id_col, text_col).where("doc_id is not null"), "fingerprints")
+    cells, classes = _classes(prints)
+    inner = prints.withColumn("salt", _salt()).join(cells, ["fp", "salt"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    outer = cells.join(classes, "fp").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    edges = link_fingerprints(classes).union(inner.union(outer).where("a <> b")).union(similar_pairs(docs, least, words, id_col, text_col))
+    dropped = materialize(connected_components(edges).where("node <> component").select(F.col("node").alias(id_col)), "near-dropped")
     return without(docs, dropped, id_col)

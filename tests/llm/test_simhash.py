@@ -6,7 +6,7 @@ import numpy as np
 from xxhash import xxh64_intdigest
 
 from rankloom.llm.components import Forest, connected_components
-from rankloom.llm.simhash import codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, simhash_groups
+from rankloom.llm.simhash import codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, parts_and_sketch, similarity, simhash_groups
 
 
 def brute_print(text):
@@ -86,3 +86,36 @@ def test_documents(spark):
     kept = drop_near_copies(df.where("doc_id is not null"))
     assert kept.columns == df.columns and {10, 12, 15}.issubset({r.doc_id for r in kept.collect()})
     assert fingerprint("A b c") == fingerprint("a\n B  C ")
+
+
+def test_near_copies_are_dropped_and_others_stay(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(120))  # stands in many documents that are no copies
+    rows, copies = [], set()
+    for k in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice((12, 40, 200, 900)))]
+        rows.append((10 * k, " ".join(words) + ("\n" + passage if k % 3 == 0 and len(words) > 300 else "")))
+        for c in range(1, 4 if k % 4 == 0 else 1):
+            edited = rows[-1 if c == 1 else -c][1].split(" ")
+            for _ in range(max(1, len(edited) // 90) if len(edited) > 30 else 0):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            rows.append((10 * k + c, " ".join(edited)))
+            copies.add(10 * k + c)
+
+    def jaccard(x, y):
+        a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    text = dict(rows)
+    due = {i for i in copies if jaccard(text[i], text[i - i % 10]) >= 0.85}
+    kept = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(due) > 40 and len(due & kept) <= 0.03 * len(due)
+    assert {i for i in text if i % 10 == 0} <= kept
+
+
+def test_sketches():
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(5, 60))
+    (_, x), (_, y) = parts_and_sketch(a), parts_and_sketch(b)
+    assert similarity(x, y) == 51 / 56 and similarity(x, x) == 1
+    assert parts_and_sketch(None) == ([], b"") and len(parts_and_sketch("one")[0]) == 1
