@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.research import EMBARGO, FEATURES, FOLDS, HORIZON, PANEL
+from rankloom.operators.research import EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, SNAPSHOTS
 from rankloom.plans.rel import Registry, kept
 
 REG = Registry()
@@ -54,6 +54,15 @@ def fit_ridge(panel: DataFrame, features: tuple[str, ...] = COLUMNS, alpha: floa
     return Ridge(tuple(features), tuple(mean), tuple(sd), tuple(float(x) for x in w))
 
 
+def learn_weights(panel: DataFrame, fallback: DataFrame, least: int = 50) -> dict[str, float]:
+    """Weights from a ridge's positive coefficients, normalised to 100; those of ``fallback`` (feature, weight) for fewer rows or none positive."""
+    m = fit_ridge(panel) if panel.limit(least).count() == least else None
+    positive = {f.removeprefix("x_"): max(0.0, w) for f, w in zip(m.features, m.weights)} if m else {}
+    if not any(positive.values()):
+        return {r["feature"]: r["weight"] for r in fallback.collect()}
+    return {f: 100 * w / sum(positive.values()) for f, w in positive.items()}
+
+
 def daily_metrics(predicted: DataFrame, day: str = "snapshot", label: str = "y", key: str = "ticker", least: int = 10) -> DataFrame:
     """Per day with at least ``least`` rows: ordinal-rank IC and the label's spread between top and bottom decile of ``prediction``."""
     by = Window.partitionBy(day)
@@ -163,6 +172,13 @@ def md_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(zip(m.features, m.mean, m.sd, m.weights)) if m else [], "feature string, mean double, sd double, weight double")
 
 
+@REG.function
+def ml_ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factor weights learnt by ridge, or by information coefficients where that gives none."""
+    weights = learn_weights(_panel(spark, sf_dir), LEARNED.over(spark, sf_dir, (SNAPSHOTS,)))
+    return spark.createDataFrame(list(weights.items()), "feature string, weight double")
+
+
 @REG.function
 def md_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per fold: IC, ICIR, hit rate and decile spread of ridges fitted before it."""

@@ -6,7 +6,9 @@ equality join: trading days are numbered, and each bar spans the numbers up to t
 
 from __future__ import annotations
 
+from rankloom.operators.factors import FACTORS, FORMULAS, PENALTIES
 from rankloom.operators.indicators import INDICATORS
+from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS
 
@@ -106,3 +108,18 @@ REG.rel("dl_last_seen", "SELECT ticker, max(snapshot) AS last_snapshot, count(*)
 REG.rel("dl_deltas", "SELECT ticker, rank, seen, is_new, round(score_change, 6) AS score_change, cast(round(rank_change, 4) AS double) AS rank_change FROM deltas", DELTAS)
 REG.rel("dl_noise", lambda q: f"SELECT count(score_change) AS n, round({q.quantile('abs(score_change)', '0.5e0')}, 6) AS median_change, round({q.quantile('abs(score_change)', '0.9e0')}, 6) AS p90_change FROM deltas HAVING count(score_change) >= 20", DELTAS)
 REG.rel("ml_constant_features", "SELECT " + ", ".join(f"count(DISTINCT {f}) AS n_{f}" for f in FEATURES) + " FROM snapshots", SNAPSHOTS)
+
+#: The feature store's wide row: raw value, presence and score of every factor, penalties as 0 or 1.
+_W = scorer(DEFAULT)["weighted"]
+_IDS = [f.id for f in DEFAULT.factors if f.id in FORMULAS]
+FEATURE_MATRIX = Rel(
+    "feature_matrix",
+    "SELECT w.ticker, " + ", ".join(f"max(CASE WHEN w.factor_id = '{f}' THEN w.raw END) AS raw_{f}, max(CASE WHEN w.factor_id = '{f}' THEN w.score END) AS score_{f}, max(CASE WHEN w.factor_id = '{f}' AND w.raw IS NOT NULL THEN 1 ELSE 0 END) AS has_{f}" for f in _IDS)
+    + ", " + ", ".join(f"max(CASE WHEN p.penalty_{x} THEN 1 ELSE 0 END) AS penalty_{x}" for x in PENALTIES)
+    + " FROM weighted w JOIN factors p ON p.ticker = w.ticker GROUP BY w.ticker",
+    (_W, FACTORS),
+)
+REG.cuts = (SNAPSHOTS, PANEL, FACTORS)
+REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 4) AS raw_{f}, round(score_{f}, 4) AS score_{f}, has_{f}" for f in _IDS[:12]) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
+REG.rel("src_previous_snapshot", "SELECT ticker, snapshot, round(score, 6) AS score FROM (SELECT *, max(CASE WHEN snapshot < 100 THEN snapshot END) OVER () AS wanted FROM snapshots) x WHERE snapshot = wanted", SNAPSHOTS)
+REG.rel("rp_sparkline", "SELECT ticker, rd, round(close, 8) AS close FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rd FROM bars) x WHERE rd <= 60", BARS)

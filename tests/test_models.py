@@ -85,3 +85,11 @@ def test_live_predictions(spark):
     assert predict_live(newest.drop(COLUMNS[0]), m) is None
     assert mean_ic(daily_metrics(newest.withColumn("prediction", m.predict()))) > 0.15
     assert models.GATE["folds"] == 3
+
+
+def test_learned_weights_and_fallback(spark):
+    p = panel(spark, 0.5, 7, days=10, n=30)
+    fallback = spark.createDataFrame([("rsi14", 100.0)], "feature string, weight double")
+    w = models.learn_weights(p, fallback)
+    assert sum(w.values()) == pytest.approx(100) and max(w, key=w.get) == "rsi14" and w["pct_b"] == 0
+    assert models.learn_weights(p.limit(20), fallback) == {"rsi14": 100.0}
