@@ -111,14 +111,14 @@ class Encoder:
         return self.line_feed.join(lines)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
     """This Python worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def tokenizer_path(name: str) -> str:

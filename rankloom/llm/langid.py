@@ -8,6 +8,7 @@ cross-entropy lies beyond what calibration texts of that language show is reject
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ ROWS_PER_LANGUAGE = 1500
 #: Every CALIBRATE-th row of the sample calibrates and isn't learnt from.
 CALIBRATE = 5
 #: Words kept with their scores, and the longest that is kept.
-KEPT_WORDS, KEPT_CHARS = 400_000, 40
+KEPT_WORDS, KEPT_CHARS = 120_000, 40
 #: Characters by which a text's cross-entropy counts as certain; room beyond the calibration texts.
 SURE, ROOM = 200, 1.5
 UNKNOWN = "und"
@@ -303,6 +304,8 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
                 texts = part.column(text_col).to_pylist()
                 good = [not r for _, _, r in scorer.judge(texts)] if scorer is not None else [False] * len(texts)
                 yield part.filter(pa.array(good, pa.bool_()))
+        del scorer
+        gc.collect()  # the worker lives on in other stages
 
     return docs.mapInArrow(run, schema)
 

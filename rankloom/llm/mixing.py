@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import sized
 
 #: Characters of a block; most sources; rows of a source that are put in order by one task (on average).
-BLOCK, MOST_SOURCES, BUCKET_ROWS = 1 << 16, 512, 4096
+BLOCK, MOST_SOURCES, BUCKET_ROWS = 1 << 16, 512, 1024
 
 
 def shares(weights: np.ndarray, period: int) -> np.ndarray:

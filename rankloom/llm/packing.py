@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.encoder import encoder
+from rankloom.llm.encoder import KEPT_PIECES, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Waiting examples from which the next one is chosen.
@@ -116,7 +116,7 @@ class Packer:
                     offset, size = 0, 1 << (fill.bit_length() - 1) if fill else 1
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, limits: Limits = Limits(), quiet: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, limits: Limits = Limits(), quiet: Column | None = None, id_col: str = "doc_id", text_col: str = "text", kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """Pieces of all documents in sequences: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset, loss_tokens.
 
@@ -124,6 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, limits: Li
     leading tokens that bear no loss (a prompt); by default the first one, which nothing predicts. Every
     token lies in exactly one piece. Rows that repeat an id are packed one by one; an empty table gives no
     pieces; other columns are not read. A sequence id is the task's number times 2**32 plus a count.
+    ``kept_pieces`` bounds the encoder's dictionary in each Python worker.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.lit(1) if quiet is None else quiet).cast("long").alias("quiet"))
     end = int(end_id).to_bytes(4, "little")
@@ -153,7 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int, limits: Li
             for i in range(0, batch.num_rows, RUN_DOCS):
                 part = batch.slice(i, RUN_DOCS)
                 texts = part.column("text").to_pylist()
-                for doc_id, ids, silent in zip(part.column("id").to_pylist(), encoder(tokenizer_file).encode(texts), part.column("quiet").to_pylist()):
+                for doc_id, ids, silent in zip(part.column("id").to_pylist(), encoder(tokenizer_file, kept_pieces).encode(texts), part.column("quiet").to_pylist()):
                     ids += end
                     held[place] = [doc_id, ids, len(ids) // 4]
                     packer.add(place, len(ids) // 4, silent or 0)

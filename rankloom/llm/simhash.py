@@ -240,8 +240,8 @@ def similarity(a: bytes, b: bytes) -> float:
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
                 parts, sketches = zip(*[parts_and_sketch(t.as_py(), words) for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "parts", "sketch"])
 
@@ -279,7 +279,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
     met = table.select(F.explode("parts").alias("part"), first.alias("first"), "doc_id").repartition("part").sortWithinPartitions("part", "first", "doc_id").select("part", "doc_id")
     pairs = materialize(met.mapInArrow(_meet, "a long, b long").distinct(), "part-pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = table.select("doc_id", "sketch").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = table.select("doc_id", "sketch").join(wanted, "doc_id", "left_semi")
     both = pairs.join(own.toDF("a", "sketch_a"), "a").join(own.toDF("b", "sketch_b"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
             good = [similarity(x, y) >= least for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    return materialize(both.mapInArrow(verify, "a long, b long"), "similar-pairs")  # so no task runs two Python workers
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
