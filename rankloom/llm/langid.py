@@ -24,8 +24,8 @@ ORDER = 5
 ROWS_PER_LANGUAGE = 1500
 #: Every CALIBRATE-th row of the sample calibrates and isn't learnt from.
 CALIBRATE = 5
-#: Words kept with their scores, and the longest that is kept.
-KEPT_WORDS, KEPT_CHARS = 120_000, 40
+#: Words kept with their scores (fewer where a worker also serves other stages), and the longest that is kept.
+KEPT_WORDS, KEPT_SHARED, KEPT_CHARS = 400_000, 120_000, 40
 #: Characters by which a text's cross-entropy counts as certain; room beyond the calibration texts.
 SURE, ROOM = 200, 1.5
 UNKNOWN = "und"
@@ -157,13 +157,13 @@ def _discounted(words: list[str], weight: np.ndarray) -> list[tuple[tuple[np.nda
 class Scorer:
     """Cross-entropies of texts; keeps the scores of words it has seen."""
 
-    def __init__(self, model: Model):
-        self.model, self.rows, self.known = model, {}, np.zeros((1024, len(model.languages)), np.float32)
+    def __init__(self, model: Model, kept: int = KEPT_WORDS):
+        self.model, self.kept, self.rows, self.known = model, kept, {}, np.zeros((1024, len(model.languages)), np.float32)
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per predicted character by language, and the characters predicted (0: no letter)."""
         counted = [Counter(words_of(t)) for t in texts]
-        if len(self.rows) > KEPT_WORDS:
+        if len(self.rows) > self.kept:
             self.rows = {}
         new = list({w for c in counted for w in c if w not in self.rows})
         for i in range(0, len(new), 4096):
@@ -297,7 +297,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value is not None else None
+        scorer = Scorer(shared.value, KEPT_SHARED) if shared.value is not None else None
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
