@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, without
+from rankloom.llm.common import materialize, sized, without
 from rankloom.llm.components import Forest, connected_components, forest_batch
 
 #: Fixed value: generator polynomial of the (23, 12) Golay code.
@@ -192,40 +192,30 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     )
 
 
-#: Cuts of a text into parts: a part ends at a shingle whose hash is divisible by the first number, for texts of so many shingles (from, below).
-#: The ranges overlap, so that copies of similar length share a kind of parts.
-LEVELS = ((32, 96, 1 << 62), (8, 24, 160), (2, 1, 40))
-#: Parts of a text by which it meets others (those of least hash), values of its sketch, and others of a bucket it is held against.
-PARTS, SKETCH, NEIGHBOURS = 24, 96, 8
+#: Least shingle hashes by which a text meets others: texts of a similarity of 0.8 share none of them in 0.2 ** KEYS of
+#: cases, and never if they have under 5 * KEYS shingles. Values of a text's sketch.
+KEYS, SKETCH = 12, 96
+#: Others of a bucket a text is held against at first (all of them in a bucket of one more), and members of a block in larger ones.
+NEIGHBOURS, BLOCK = 15, 256
+#: Sketches this far below the limit still have their whole shingle sets compared (five standard errors).
+MARGIN = 0.2
 
 
-def parts_and_sketch(text: str | None, words: int = 5) -> tuple[list[int], bytes]:
-    """SimHash fingerprints of a text's parts, and the least 32-bit hashes of its shingles in order."""
+def _digests(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles."""
     from xxhash import xxh64_digest
 
     w = (text or "").encode().lower().split()
     if not w:
-        return [], b""
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) > words else [b" ".join(w)]
-    digests = np.frombuffer(b"".join([xxh64_digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8)
-    h = digests.view(">u8").reshape(-1).astype(np.uint64)
-    found = []
-    for every, low, high in LEVELS:
-        if low <= len(h) < high:
-            begins = np.append(0, np.flatnonzero(h % np.uint64(every) == 0) + 1)
-            begins = begins[begins < len(h)]
-            for i in range(0, len(begins), 1024):  # bounded memory for very long texts
-                own = begins[i : i + 1024]
-                end = begins[i + 1024] if i + 1024 < len(begins) else len(h)
-                bits = np.unpackbits(digests[own[0] : end], axis=1)
-                sums = np.add.reduceat(bits, own - own[0], axis=0, dtype=np.int32)
-                sizes = np.diff(np.append(own, end))
-                prints = np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64)
-                found.append(prints ^ np.uint64(every))
-    prints = np.unique(np.concatenate(found))
-    with np.errstate(over="ignore"):
-        order = np.argsort((prints * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7), kind="stable")
-    return prints[order[:PARTS]].view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+    return np.frombuffer(b"".join([xxh64_digest(s, 42) for s in shingles]), ">u8").astype(np.uint64)
+
+
+def parts_and_sketch(text: str | None, words: int = 5) -> tuple[list[int], bytes]:
+    """A text's least shingle hashes, and the least 32-bit hashes of its shingles in order."""
+    h = np.unique(_digests(text, words))
+    return h[:KEYS].view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -245,62 +235,176 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
                 parts, sketches = zip(*[parts_and_sketch(t.as_py(), words) for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "parts", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, parts array<long>, sketch binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, parts array<long>, sketch binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, least sketch value, id) to pairs: each row with the NEIGHBOURS before it in its part."""
+    """Rows sorted by (part, least sketch values, id) to pairs (a, b) of each row with the NEIGHBOURS before it in its part, and (part) of larger parts."""
     part, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+    reach = NEIGHBOURS + 1
     for batch in batches:
         held = len(part)
         part, ids = np.concatenate([part, batch.column("part").to_numpy()]), np.concatenate([ids, batch.column("doc_id").to_numpy()])
         left, right = [], []
-        for lag in range(1, NEIGHBOURS + 1):
+        for lag in range(1, reach + 1):
             later = np.arange(max(held, lag), len(part))
             later = later[part[later] == part[later - lag]]
-            left.append(ids[later - lag])
-            right.append(ids[later])
+            if lag == reach:
+                large = np.unique(part[later])
+            else:
+                left.append(ids[later - lag])
+                right.append(ids[later])
         a, b = np.concatenate(left), np.concatenate(right)
         low, high = np.minimum(a, b), np.maximum(a, b)
         keep = np.unique(np.stack([low, high])[:, low < high], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["a", "b"])
-        part, ids = part[-NEIGHBOURS:], ids[-NEIGHBOURS:]
-
-
-def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified pairs (a, b) of documents that share a part's fingerprint and whose shingles are similar.
-
-    In a part that many documents share each is held against its neighbours in the order of their least
-    shingle hash, in which copies stand together; families join through them.
+        yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1]), pa.nulls(keep.shape[1], pa.int64())], names=["a", "b", "part"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int64()), pa.array(large)], names=["a", "b", "part"])
+        part, ids = part[-reach:], ids[-reach:]
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    lengths = np.array([len(x) for x in left + right])
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    _, value, often = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    common = often > 1
+    value, of = (np.cumsum(common) - 1)[value][keep := common[value]], of[keep]
+    order = np.argsort(value, kind="stable")
+    value, of, n = value[order], of[order], int(common.sum())
+    for i in range(0, n, 4096):  # bounded memory, whatever the length of the sets
+        own = slice(*np.searchsorted(value, (i, i + 4096)))
+        has = np.zeros((len(lengths), min(4096, n - i)), np.float32)
+        has[of[own], value[own] - i] = 1
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def _sides(table: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows of the two blocks of a group (the same ones where a block meets itself), and the sets of all rows."""
+    block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+    return np.flatnonzero(block == i), np.flatnonzero(block == j), [np.frombuffer(x, kind) for x in table.column(column).to_pylist()]
+
+
+def _promising(least: float):
+    """Groups of sketches to their rows that have a partner of another component which may be similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, sets = _sides(table, "sketch", "<u4")
+        if not len(left) or not len(right):
+            return table.slice(0, 0).drop_columns(["sketch"])
+        size, component = np.array([len(x) for x in sets]), table.column("component").to_numpy()
+        shared = _shared([sets[k] for k in left], [sets[k] for k in right])
+        # Complete sketches are compared by size; of two, the smaller one bounds what is shared.
+        near = (shared >= (least - MARGIN) * np.minimum(size[left][:, None], size[right])) & (component[left][:, None] != component[right])
+        active = np.zeros(len(sets), bool)
+        active[left[near.any(1)]] = active[right[near.any(0)]] = True
+        return table.filter(pa.array(active)).drop_columns(["sketch"])
+
+    return run
+
+
+def _linked(least: float, words: int):
+    """Groups of texts to a forest of the pairs whose whole shingle sets are similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        forest, ids = Forest(), table.column("doc_id").to_numpy()
+        if len(left) and len(right):
+            sets = [np.unique(_digests(t.as_py(), words)) for t in table.column("text")]
+            size = np.array([len(x) for x in sets])
+            shared = _shared([sets[k] for k in left], [sets[k] for k in right])
+            a, b = np.nonzero(shared / (size[left][:, None] + size[right] - shared) >= least)
+            forest.add_pairs(ids[left[a]], ids[right[b]])
+        a, b = forest.edges()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _large_parts(docs: DataFrame, table: DataFrame, large: DataFrame, edges: DataFrame, least: float, words: int) -> DataFrame | None:
+    """Links of the parts that more than NEIGHBOURS + 1 documents share: all members of different components, in pairs of blocks."""
+    n_large = large.count()
+    if not n_large:
+        return None
+    members = table.select(F.explode("parts").alias("part"), "doc_id").join(sized(large, n_large, 64), "part").distinct()
+    component = connected_components(edges)
+    members = materialize(members.join(component, F.col("doc_id") == F.col("node"), "left").select("part", "doc_id", F.coalesce("component", "doc_id").alias("component")), "large-parts")
+    sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    sizes = materialize(sizes.select("part", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "large-part-sizes")
+    placed = members.join(sized(sizes, sizes.count(), 64), "part").withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.col("blocks")))
+    with_sketch = placed.join(table.select("doc_id", "sketch"), "doc_id")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = with_sketch.select("part", "doc_id", "component", "block", "sketch", other).select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sketch")
+    group = ["part", "i", "j"]
+    active = materialize(dealt.groupBy(*group).applyInArrow(_promising(least), "part long, i long, j long, block long, doc_id long, component long"), "large-part-active")
+    texts = docs.join(sized(wanted := materialize(active.select("doc_id").distinct(), "large-part-ids"), wanted.count(), 64), "doc_id", "left_semi")
+    links = active.drop("component").join(texts, "doc_id").groupBy(*group).applyInArrow(_linked(least, words), "a long, b long")
+    return materialize(links.where("a <> b").distinct(), "large-part-links")
+
+
+def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of documents whose union links all that share one of their least shingle hashes and are similar.
+
+    Sketches only rule pairs out; the others are verified on the whole shingle sets. Where up to NEIGHBOURS + 1
+    documents share a hash all pairs are compared. In a larger bucket each is first held against its neighbours
+    in sketch order; then all members that these pairs and the ``known`` links leave apart are compared in pairs
+    of blocks, which hand on only links.
     """
     table = materialize(_sketches(docs, words, id_col, text_col), "sketches")
-    first = F.substring("sketch", 1, 4)
+    first = F.substring("sketch", 1, 16)
     met = table.select(F.explode("parts").alias("part"), first.alias("first"), "doc_id").repartition("part").sortWithinPartitions("part", "first", "doc_id").select("part", "doc_id")
-    pairs = materialize(met.mapInArrow(_meet, "a long, b long").distinct(), "part-pairs")
+    found = materialize(met.mapInArrow(_meet, "a long, b long, part long").distinct(), "part-pairs")
+    pairs = found.where("a is not null").select("a", "b")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     own = table.select("doc_id", "sketch").join(wanted, "doc_id", "left_semi")
     both = pairs.join(own.toDF("a", "sketch_a"), "a").join(own.toDF("b", "sketch_b"), "b")
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            whole = np.array([max(len(p), len(q)) < 4 * SKETCH for p, q in zip(x, y)], bool)
+            good = np.array([similarity(p, q) for p, q in zip(x, y)]) >= np.where(whole, least, least - MARGIN)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(whole)], names=["a", "b", "sure"]).filter(pa.array(good))
+
+    sifted = materialize(both.mapInArrow(sift, "a long, b long, sure boolean"), "sifted-pairs")  # so no task runs two Python workers
+    open_ = sifted.where("not sure").select("a", "b").distinct()
+    ids = materialize(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct(), "open-ids")
+    texts = _texts(docs, id_col, text_col)
+    held = texts.join(sized(ids, ids.count(), 64), "doc_id", "left_semi")
+    compared = open_.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similarity(x, y) >= least for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
+            good = []
+            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                p, q = np.unique(_digests(x.as_py(), words)), np.unique(_digests(y.as_py(), words))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(shared / (len(p) + len(q) - shared) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(verify, "a long, b long"), "similar-pairs")  # so no task runs two Python workers
+    links = sifted.where("sure").select("a", "b").union(materialize(compared.mapInArrow(verify, "a long, b long"), "similar-pairs"))
+    more = _large_parts(texts, table, found.where("a is null").select("part").distinct(), links if known is None else links.union(known), least, words)
+    return links if more is None else links.union(more)
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each group of near copies; all columns stay as they are.
 
     Documents are linked if their whole fingerprints (three-word shingles) differ in at most two bits, or if
-    they share a part and their ``words``-word shingles have a Jaccard similarity of ``least`` or more. Rows
-    that share an id stay or go together; rows with a null id stay.
+    they share one of their least shingle hashes and their ``words``-word shingles have a Jaccard similarity of
+    ``least`` or more. Rows that share an id stay or go together; rows with a null id stay.
     """
     prints = materialize(fingerprints(docs, 3, id_col, text_col).where("doc_id is not null"), "fingerprints")
     cells, classes = _classes(prints)
     inner = prints.withColumn("salt", _salt()).join(cells, ["fp", "salt"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     outer = cells.join(classes, "fp").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    edges = link_fingerprints(classes).union(inner.union(outer).where("a <> b")).union(similar_pairs(docs, least, words, id_col, text_col))
+    known = materialize(link_fingerprints(classes).union(inner.union(outer).where("a <> b")), "fingerprint-links")
+    edges = known.union(similar_pairs(docs, least, words, id_col, text_col, known))
     dropped = materialize(connected_components(edges).where("node <> component").select(F.col("node").alias(id_col)), "near-dropped")
     return without(docs, dropped, id_col)

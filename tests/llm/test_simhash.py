@@ -119,3 +119,29 @@ def test_sketches():
     (_, x), (_, y) = parts_and_sketch(a), parts_and_sketch(b)
     assert similarity(x, y) == 51 / 56 and similarity(x, x) == 1
     assert parts_and_sketch(None) == ([], b"") and len(parts_and_sketch("one")[0]) == 1
+
+
+def star(rng, n_words, n, edits):
+    """An original and variants that are edited independently, each at 0.8 or more to it."""
+    original = [f"w{rng.randrange(10**6)}" for _ in range(n_words)]
+    out = [" ".join(original)]
+    for _ in range(n):
+        words = original[:]
+        for at in rng.sample(range(5, n_words - 5), edits):
+            words[at] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def exact(x, y, words=5):
+    a, b = ({tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_large_star_families_are_joined_whole(spark):
+    rng = random.Random(17)
+    families = [star(rng, 120, 700, 2), star(rng, 300, 500, 6)]
+    texts = [t for f in families for t in f]
+    assert all(exact(f[0], t) >= 0.8 for f in families for t in f)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == {0, len(families[0])}
