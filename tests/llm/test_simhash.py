@@ -6,7 +6,7 @@ import numpy as np
 from xxhash import xxh64_intdigest
 
 from rankloom.llm.components import Forest, connected_components
-from rankloom.llm.simhash import codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, parts_and_sketch, similarity, simhash_groups
+from rankloom.llm.simhash import codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, parts_and_sketch, similar_pairs, similarity, simhash_groups
 
 
 def brute_print(text):
@@ -145,3 +145,17 @@ def test_large_star_families_are_joined_whole(spark):
     assert all(exact(f[0], t) >= 0.8 for f in families for t in f)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == {0, len(families[0])}
+
+
+def test_pairs_are_verified_on_whole_texts(spark):
+    rng, rows = random.Random(19), []
+    for k in range(200):  # pairs of 600 words close to the limit, on both sides of it
+        original = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        edited = original[:]
+        for at in range(5, 5 + 5 * (11 + k % 5), 5):
+            edited[at] = f"w{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(original)), (2 * k + 1, " ".join(edited))]
+    text = dict(rows)
+    due = {(i, i + 1) for i in range(0, 400, 2) if exact(text[i], text[i + 1]) >= 0.8}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert 20 < len(due) < 180 and got == due
