@@ -3,8 +3,8 @@
 Each source's documents, in a hashed order, are cut into blocks of equal size. Block k (from 0) of a source
 with weight a/m is released at slot floor(k*m/a) and due at slot ceil((k+1)*m/a); every slot takes the released
 block that is due first. On one sequence with weights that sum to one this meets every deadline, so at any
-slot each source's share deviates from its weight by less than one block. The schedule repeats after m
-slots; only one period is simulated, and the slot of any block follows from it by arithmetic. When a
+slot each source's share deviates from its weight by less than one block. The weights are the target weights
+themselves, as exact fractions, and all blocks are dealt one by one (on the driver, 24 bytes a block). When a
 source runs out, the others go on with their weights in proportion: no document is dropped.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -42,86 +43,81 @@ def shares(weights: np.ndarray, period: int) -> np.ndarray:
     return out
 
 
-def one_period(a: np.ndarray) -> list[np.ndarray]:
-    """The slots of one period that each source gets: earliest deadline first among released blocks; of equal ones the heavier source."""
-    m = int(a.sum())
+def deal(a: list[int], left: list[int], whole: bool = False) -> list[list[int]]:
+    """The slots that each source gets until the first has placed what it has left (or all have): earliest deadline first among released blocks; of equal ones the heavier source."""
+    m = sum(a)
     waiting: dict[int, list[int]] = {}
     slots: list[list[int]] = [[] for _ in a]
     ready: list[tuple[int, int, int]] = []
-
-    def submit(i: int) -> None:
-        k = len(slots[i])
-        if k < a[i]:
-            waiting.setdefault(k * m // int(a[i]), []).append(i)
-
-    for i in range(len(a)):
-        submit(i)
-    for t in range(m):
+    waiting[0] = [i for i in range(len(a)) if left[i] > 0]
+    more, t = len(waiting[0]), 0
+    while more:
         for i in waiting.pop(t, ()):
-            heapq.heappush(ready, (-((len(slots[i]) + 1) * m // -int(a[i])), -int(a[i]), i))
+            heapq.heappush(ready, (-((len(slots[i]) + 1) * m // -a[i]), -a[i], i))
         due, _, i = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
         slots[i].append(t)
         k = len(slots[i])
-        if k < a[i]:
-            release = k * m // int(a[i])
-            waiting.setdefault(max(release, t + 1), []).append(i)
-    return [np.array(s, np.int64) for s in slots]
-
+        t += 1
+        if k < left[i]:
+            waiting.setdefault(max(k * m // a[i], t), []).append(i)
+        else:
+            more = more - 1 if whole else 0
+    return slots
 
-@dataclass
-class Phase:
-    """From ``slot`` on the sources in ``active`` repeat their slots of a period; ``first`` has their next blocks."""
 
-    slot: int
-    active: np.ndarray
-    a: np.ndarray
-    first: np.ndarray
-    slots: list[np.ndarray]
+def one_period(a: np.ndarray) -> list[np.ndarray]:
+    """The slots of one period of sum(a) slots that each source gets."""
+    return [np.array(s, np.int64) for s in deal(a.tolist(), a.tolist(), True)]
 
 
 @dataclass
 class Schedule:
-    phases: list[Phase]
+    """slot, release and due of all blocks, source after source; ``begins`` has each source's first."""
+
+    slot: np.ndarray
+    release: np.ndarray
+    due: np.ndarray
+    begins: np.ndarray
     blocks: np.ndarray
 
     def place(self, source: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(slot, release, deadline) of a source's blocks; a block is due before its deadline slot."""
-        slot, release, due = (np.full(len(block), -1, np.int64) for _ in range(3))
-        for p in self.phases:
-            where = np.flatnonzero(p.active == source)
-            if len(where):
-                j = int(where[0])
-                a, m = int(p.a[j]), int(p.a.sum())
-                own = block >= p.first[j]
-                k = block[own] - p.first[j]
-                slot[own] = p.slot + k // a * m + p.slots[j][k % a]
-                release[own], due[own] = p.slot + k * m // a, p.slot - ((k + 1) * m // -a)
-        return slot, release, due
+        at = self.begins[source] + block
+        return self.slot[at], self.release[at], self.due[at]
+
+
+def whole_numbers(weights: np.ndarray) -> list[int]:
+    """Integers in exactly the proportions of the weights."""
+    exact = [Fraction(w) for w in weights.tolist()]
+    scale = max((x.denominator for x in exact), default=1)  # powers of two
+    return [int(x * scale) for x in exact]
 
 
 def schedule(blocks: np.ndarray, weights: np.ndarray) -> Schedule:
-    """Phases until every source's blocks are placed. Sources of weight zero start when the others have run out."""
-    left, phases, slot = blocks.astype(np.int64).copy(), [], 0
-    done = np.zeros_like(left)
-    while (left > 0).any():
-        active = np.flatnonzero((left > 0) & (weights > 0))
-        w = weights[active]
-        if not len(active):
-            active = np.flatnonzero(left > 0)
-            w = left[active].astype(float)
-        a = shares(w, max(256, 8 * len(active)))
-        m, slots = int(a.sum()), one_period(a)
-        last = np.array([(left[i] - 1) // a[j] * m + slots[j][(left[i] - 1) % a[j]] for j, i in enumerate(active)])
-        end = int(last.min())  # here the first of them runs out
-        phases.append(Phase(slot, active, a, done[active].copy(), slots))
-        for j, i in enumerate(active):
-            n = end // m * int(a[j]) + int(np.searchsorted(slots[j], end % m, "right"))
-            done[i] += n
+    """Places every source's blocks. Sources of weight zero start when the others have run out."""
+    left, target, begin = blocks.astype(np.int64).tolist(), whole_numbers(weights), 0
+    begins = np.cumsum(blocks) - blocks if len(blocks) else np.zeros(0, np.int64)
+    at = begins.tolist()
+    slot, release, due = (np.zeros(int(sum(left)), np.int64) for _ in range(3))
+    while any(left):
+        active = [i for i, n in enumerate(left) if n and target[i]]
+        if not active:
+            active = [i for i, n in enumerate(left) if n]
+            target = left[:]
+        a = [target[i] for i in active]
+        m, got = sum(a), deal(a, [left[i] for i in active])
+        for i, w, own in zip(active, a, got):
+            n = len(own)
+            here = slice(at[i], at[i] + n)
+            slot[here] = np.array(own, np.int64) + begin
+            release[here] = [begin + k * m // w for k in range(n)]
+            due[here] = [begin - (k * m // -w) for k in range(1, n + 1)]
+            at[i] += n
             left[i] -= n
-        slot += end + 1
-    return Schedule(phases, blocks)
+        begin += sum(map(len, got))
+    return Schedule(slot, release, due, begins, blocks)
 
 
 OUT = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_at")

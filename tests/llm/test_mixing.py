@@ -68,3 +68,15 @@ def test_order_and_empty(spark):
     at = [slot[r.doc_id, r.source] for r in ordered.where("doc_id <> 5").collect()]
     assert at == sorted(at)
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_given_weights_are_followed_at_every_slot():
+    for weights in ([1 / 3] + [2 / 57] * 19, [0.9999, 0.0001], [5.0, 0.3, 1e-7]):
+        w = np.array(weights)
+        blocks = np.maximum(1, np.floor(w / w.sum() * 30_000)).astype(np.int64) + 1
+        plan = schedule(blocks, w)
+        slots = [plan.place(i, np.arange(n))[0] for i, n in enumerate(blocks)]
+        end = min(int(s[-1]) for s in slots)  # from here on a source has run out
+        for s, share in zip(slots, w / w.sum()):
+            got = np.searchsorted(s, np.arange(end), "right")
+            assert (abs(got - share * np.arange(1, end + 1)) < 1 + 1e-6).all()
