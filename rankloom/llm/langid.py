@@ -159,16 +159,17 @@ class Scorer:
 
     def __init__(self, model: Model, kept: int = KEPT_WORDS):
         self.model, self.kept, self.rows, self.known = model, kept, {}, np.zeros((1024, len(model.languages)), np.float32)
+        self.used = 0  # rows of the table
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per predicted character by language, and the characters predicted (0: no letter)."""
         counted = [Counter(words_of(t)) for t in texts]
-        if len(self.rows) > self.kept:
-            self.rows = {}
+        if self.used > self.kept:
+            self.rows, self.used = {}, 0
         new = list({w for c in counted for w in c if w not in self.rows})
         for i in range(0, len(new), 4096):
             lot = new[i : i + 4096]
-            base = len(self.rows)
+            base, self.used = self.used, self.used + len(lot)
             if base + len(lot) > len(self.known):
                 self.known = np.concatenate([self.known, np.zeros((max(len(self.known), len(lot)), self.known.shape[1]), np.float32)])
             self.known[base : base + len(lot)] = self.model.score(lot)
@@ -179,10 +180,9 @@ class Scorer:
                 often = np.fromiter(c.values(), np.float64, len(c))
                 bits[k] = -(often @ self.known[[self.rows[w] for w in c]])
                 n[k] = often @ np.fromiter((len(w) + 1 for w in c), np.float64, len(c))
-        long = [w for w in new if len(w) > KEPT_CHARS]
-        if long:  # their rows stay unused until the table starts anew
-            for w in long:
-                self.rows[w + "\x00"] = self.rows.pop(w)
+        for w in new:
+            if len(w) > KEPT_CHARS:  # its row stays unused until the table starts anew
+                del self.rows[w]
         return bits / np.maximum(n, 1)[:, None], n
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:

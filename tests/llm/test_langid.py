@@ -98,3 +98,13 @@ def test_nothing_to_learn_from(spark):
     assert {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
     assert identify(docs.limit(0), None).count() == 0
     assert fit(docs.where("doc_id = 5"), F.lit(True)).languages == ["en"]
+
+
+def test_long_words_leave_the_scores_of_others():
+    m = train({"en": Counter(EN), "de": Counter(DE)})
+    kept, long = langid.Scorer(m), ["a" * 50, "b" * 60, "katze" * 10]
+    for k in range(30):
+        texts = [" ".join(long), " ".join(EN[: k % 15]) + f" {'xyzuvw'[k % 6] * (k % 9 + 1)}", " ".join(DE[k % 7 :])]
+        got, fresh = kept.cross_entropy(texts)[0], langid.Scorer(m).cross_entropy(texts)[0]
+        assert got == pytest.approx(fresh, rel=1e-6)
+    assert not any(len(w) > langid.KEPT_CHARS for w in kept.rows)
