@@ -26,8 +26,8 @@ ROWS_PER_LANGUAGE = 1500
 CALIBRATE = 5
 #: Words kept with their scores (fewer where a worker also serves other stages), and the longest that is kept.
 KEPT_WORDS, KEPT_SHARED, KEPT_CHARS = 400_000, 120_000, 40
-#: Characters by which a text's cross-entropy counts as certain; room beyond the calibration texts.
-SURE, ROOM = 200, 1.5
+#: Characters by which a text's cross-entropy counts as certain; the calibration texts' quantile by which texts are rejected, and room beyond it.
+SURE, QUANTILE, ROOM = 200, 0.95, 4.0
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -203,26 +203,38 @@ def strangeness(m: Model, entropy: np.ndarray, n: np.ndarray, language: np.ndarr
     return (entropy[np.arange(len(n)), language] - m.mean[language]) / (m.spread[language] * np.sqrt(1 + SURE / np.maximum(n, 1)))
 
 
+def _middle(x: np.ndarray) -> tuple[float, float]:
+    """Median, and the spread of a normal distribution with the same median deviation (at least 0.1)."""
+    middle = float(np.median(x))
+    return middle, max(1.4826 * float(np.median(abs(x - middle))), 0.1)
+
+
 def calibrate(model: Model, texts: list[str], languages: list[str]) -> None:
-    """Sets the rejection limit so that no calibration text is near it, and the sharpness of the scores by likelihood."""
+    """Sets the rejection limit by what nearly all calibration texts show, and the sharpness of the scores by likelihood.
+
+    Texts that score best in another language than their label's are left out, and medians and a quantile
+    stand for the others, so wrong labels and junk among them don't widen the limit.
+    """
     index = {x: i for i, x in enumerate(model.languages)}
     keep = [k for k, x in enumerate(languages) if x in index]
     entropy, n = Scorer(model).cross_entropy([texts[k] for k in keep])
     truth = np.array([index[languages[k]] for k in keep], np.int64)
     good = n > 0
     entropy, n, truth = entropy[good], n[good], truth[good]
+    if len(n) and (agreed := entropy.argmin(1) == truth).any():
+        entropy, n, truth = entropy[agreed], n[agreed], truth[agreed]
     if not len(n):
         return
     own = entropy[np.arange(len(n)), truth]
     steady = n >= SURE / 2
     use = steady if steady.any() else np.ones(len(n), bool)
-    overall = own[use].mean(), max(own[use].std(), 0.05)
+    overall = _middle(own[use])
     mean, spread = np.full(len(index), overall[0]), np.full(len(index), overall[1])
     for j in range(len(index)):
         if (mine := use & (truth == j)).sum() >= 5:
-            mean[j], spread[j] = own[mine].mean(), max(own[mine].std(), 0.05)
+            mean[j], spread[j] = _middle(own[mine])
     model.mean, model.spread = mean, spread
-    model.limit = max(8.0, ROOM * float(strangeness(model, entropy, n, truth).max()))
+    model.limit = max(12.0, ROOM * float(np.quantile(strangeness(model, entropy, n, truth), QUANTILE)))
     gap = entropy - own[:, None]
     model.sharpness = min((float(np.log2(np.exp2(np.minimum(-s * gap, 500)).sum(1)).mean()), s) for s in (1, 2, 4, 8, 16, 32))[1]
 

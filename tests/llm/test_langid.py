@@ -108,3 +108,17 @@ def test_long_words_leave_the_scores_of_others():
         got, fresh = kept.cross_entropy(texts)[0], langid.Scorer(m).cross_entropy(texts)[0]
         assert got == pytest.approx(fresh, rel=1e-6)
     assert not any(len(w) > langid.KEPT_CHARS for w in kept.rows)
+
+
+def test_junk_is_rejected_with_noisy_labels(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(1500):
+        text = " ".join(rng.choice(EN if i % 2 else DE) for _ in range(60))
+        rows.append((i, text, ("en" if i % 2 else "de") if i % 20 else "en"))  # half of each 20th has a wrong label
+    for i in range(2000, 2040):  # junk with a label, also among the calibration rows
+        rows.append((i, " ".join("".join(rng.choice("qxzjkvwy") for _ in range(rng.randrange(3, 9))) for _ in range(60)), "en" if i % 2 else "de"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.rejected for r in identify(docs, fit(docs, F.lit(True))).collect()}
+    assert [sum(got[i] for i in got if i >= 2000), sum(got[i] for i in got if i < 2000)] == [40, 0]
