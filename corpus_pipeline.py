@@ -39,8 +39,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences of at most 4096 tokens, in the mix's order within each task."""
-    pieces = pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 2, kept_pieces=150_000)  # the workers also served the stages before
+    """Pieces of the documents in training sequences of at most 4096 tokens.
+
+    A scan of the mix's files follows their sizes, so the mix is dealt again: task after task takes the
+    documents of later slots, and sequence ids ascend with them up to the examples a packer chooses from.
+    """
+    pieces = pack_documents(in_mixed_order(docs), tokenizer_path("word_bpe_49k.json"), 2, kept_pieces=150_000)  # the workers also served the stages before
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -76,3 +76,25 @@ def test_run_against_plain_python(spark, tmp_path):
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sequences_follow_the_mix_over_files_of_unequal_size(spark, tmp_path):
+    from rankloom.llm.mixing import mix
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(50, 800))), "en", f"s{min(i % 8, 3)}", 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cuts = (0, 10, 40, 700, 720, 1200)
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        docs.where(f"doc_id >= {low} and doc_id < {high}").coalesce(1).write.parquet(f"{tmp_path}/mixed/part={k}")
+    mixed = spark.read.parquet(*[f"{tmp_path}/mixed/part={k}" for k in range(5)])
+    place = {r.doc_id: (r.mix_slot, r.mix_at) for r in mix(mixed).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = defaultdict(list)
+        for r in corpus_pipeline.pack(spark, mixed, str(tmp_path)).collect():
+            tasks[r.sequence_id >> 32].append(place[r.doc_id])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = [tasks[t] for t in sorted(tasks)]
+    assert len(own) > 1 and all(max(x) < min(y) for x, y in zip(own, own[1:]))
