@@ -1,8 +1,8 @@
 """Connected components of a distributed edge list by alternating large-star and small-star rounds.
 
 Each round is a minimum per node (combined on the map side) and a join back, so no neighbourhood is ever
-gathered; tables between rounds are written to the shared folder. Edges are first contracted to a forest
-inside each task.
+gathered. Both go by salted cells of a node's edges: a hub with a third of all edges is dealt over SALTS keys.
+Tables between rounds are written to the shared folder. Edges are first contracted to a forest inside each task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import materialize
 
+#: Cells over which the edges of one node are dealt.
+SALTS = 128
+
 
 class Forest:
     """Union-find over arbitrary integers; the root of a set is its smallest member."""
@@ -66,16 +69,26 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, m) of all edges and (a, m) of all nodes a, m the least b of its edges; a node's edges are joined cell by cell."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    cells = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    least = cells.groupBy("a").agg(F.min("low").alias("m"))
+    return salted.join(cells.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m"), least
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b (long, no nulls). Returns node, component (its smallest node) for every node of an edge that has a smaller one."""
-    links = materialize(edges.where("a <> b").mapInArrow(_contract, "a long, b long"), "links")
+    """``edges``: a, b (long). Returns node, component (its smallest node) for every node of an edge that has a smaller one.
+
+    Edges with a null end, loops and repeated edges link nothing more; an empty table gives an empty result.
+    """
+    links = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "links")
     stamp = _stamp(links)
     while stamp[0]:
-        both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        both, _ = _with_least(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))))
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        known, least = _with_least(large)
+        small = known.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         links = materialize(small, "links")
         before, stamp = stamp, _stamp(links)
         if stamp == before:

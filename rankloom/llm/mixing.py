@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import sized
+from rankloom.llm.common import materialize, sized
 
-#: Characters of a block; most sources; rows of a source that are put in order by one task (on average).
-BLOCK, MOST_SOURCES, BUCKET_ROWS = 1 << 16, 512, 1024
+#: Least characters of a block, and the number of blocks (apart from one a lane) beyond which it grows.
+BLOCK, MOST_BLOCKS = 1 << 16, 1 << 20
+#: Sources with a lane of their own, lanes of the others, rows of a source that are put in order by one task (on average).
+LANES, GROUPS, BUCKET_ROWS = 2048, 256, 1024
 
 
 def shares(weights: np.ndarray, period: int) -> np.ndarray:
@@ -123,8 +125,36 @@ def schedule(blocks: np.ndarray, weights: np.ndarray) -> Schedule:
 OUT = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_at")
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = 0.7, block: int = BLOCK, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with mix_source (number), mix_block, mix_slot, mix_release, mix_deadline and mix_at (order within the block).
+def _lanes(totals: DataFrame, lanes: int, groups: int) -> DataFrame:
+    """``totals`` with the lane of each source: its own for the heaviest, a hashed one for the others (of their own kind without weight)."""
+    top = [r["mix_source"] for r in totals.orderBy(F.desc("weight"), F.col("s")).limit(lanes).select("mix_source").collect()]
+    own = totals.sparkSession.createDataFrame(list(zip(top, range(len(top)))), "mix_source long, own long")
+    shared = lanes + F.pmod(F.xxhash64("s"), F.lit(groups)) + F.when(F.col("weight") > 0, 0).otherwise(groups)
+    return totals.join(F.broadcast(own), "mix_source", "left").withColumn("lane", F.coalesce("own", shared)).drop("own")
+
+
+def _inside(block: int):
+    """Sources of a lane to their blocks' places in it: how many characters of the lane stand before each block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i: (table["s"][i].as_py() is None, str(table["s"][i].as_py())))))
+        number, size, weight = (table[c].to_numpy() for c in ("mix_source", "size", "weight"))
+        blocks = -(size // -block)
+        slot = schedule(blocks, weight).slot if len(blocks) > 1 else np.arange(blocks.sum())
+        of = np.repeat(np.arange(len(blocks)), blocks)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        order = np.argsort(slot)
+        long = np.minimum(block, size[of] - block * k)[order]
+        begin = np.empty(len(of), np.int64)
+        begin[order] = np.cumsum(long) - long
+        lane = np.full(len(of), table["lane"][0].as_py(), np.int64)
+        return pa.table({"lane": lane, "mix_source": number[of], "mix_block": k, "begin": begin})
+
+    return run
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = 0.7, block: int | None = None, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", lanes: int = LANES, groups: int = GROUPS) -> DataFrame:
+    """``docs`` with mix_source (number), mix_block, mix_slot, mix_release, mix_deadline and mix_at (order within the slot).
 
     Read in the order (mix_slot, mix_at) the documents follow the target weights. ``weights`` gives them by
     source; without it they are the sources' sizes to the power ``alpha``. A source that ``weights`` lacks, or
@@ -134,47 +164,59 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alph
     with one of these names give way to the new ones.
     """
     docs = docs.drop(*OUT, *[c for c in docs.columns if c.startswith("__mix_")])
-    spark, order = docs.sparkSession, "__mix_hash"
+    spark, order, kind = docs.sparkSession, "__mix_hash", docs.schema[source_col].dataType.simpleString()
     amount = F.greatest(F.coalesce(size if size is not None else F.length(text_col), F.lit(0)), F.lit(1)).cast("long")
     rows = docs.withColumn("__mix_size", amount)
-    totals = rows.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("__mix_size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources: group them before mixing")
-    totals = sorted(totals, key=lambda r: (r["s"] is None, str(r["s"])))
-    sizes = np.array([r["size"] for r in totals], np.int64)
-    target = sizes.astype(float) ** alpha if weights is None else np.array([max(0.0, float(weights.get(r["s"], 0))) for r in totals])
+    sums = rows.groupBy(F.col(source_col).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("__mix_size").alias("size"))
+    if weights is None:
+        sums = sums.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(float(alpha))))
+    else:
+        targets = spark.createDataFrame([(x, max(0.0, float(w))) for x, w in weights.items()], f"t {kind}, weight double")
+        sums = sums.join(targets, F.col("s").eqNullSafe(F.col("t")), "left").drop("t").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    cells_of = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long")
+    totals = materialize(sums.select("s", "size", "weight", cells_of.alias("cells"), F.monotonically_increasing_id().alias("mix_source")), "mix-sources")
+    n_sources, whole, n_cells = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("cells"), F.lit(0))).first()
+    block = block or max(BLOCK, -(whole // -MOST_BLOCKS))
+    laned = _lanes(totals, lanes, groups)
+    per_lane = sorted(tuple(r) for r in laned.groupBy("lane").agg(F.sum("size"), F.sum("weight")).collect())
+    number, sizes, target = (np.array([r[k] for r in per_lane], t) for k, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
     plan = schedule(-(sizes // -block), target)
-    ends = np.cumsum(plan.blocks) if len(totals) else np.zeros(0, np.int64)
+    ends = np.cumsum(plan.blocks) if len(number) else np.zeros(0, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("id").to_numpy()
-            source = np.searchsorted(ends, at, "right")
-            number = at - (ends - plan.blocks)[source]
-            out = np.zeros((3, len(at)), np.int64)
-            for s in np.unique(source).tolist():
-                own = source == s
-                out[:, own] = plan.place(s, number[own])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (source.astype(np.int64), number, *out)], names=["mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"])
-
-    n_blocks = int(plan.blocks.sum())
-    blocks = spark.range(n_blocks).mapInArrow(place, "mix_source long, mix_block long, mix_slot long, mix_release long, mix_deadline long")
-    kinds = spark.createDataFrame([(r["s"], i, max(1, -(r["n"] // -BUCKET_ROWS))) for i, r in enumerate(totals)], f"__mix_s {docs.schema[source_col].dataType.simpleString()}, mix_source long, __mix_n long")
-    keyed = rows.join(F.broadcast(kinds), F.col(source_col).eqNullSafe(F.col("__mix_s"))).withColumn(order, F.xxhash64(F.col(id_col), F.lit("mix")))
+            lane = np.searchsorted(ends, at, "right")
+            out = (number[lane], at - (ends - plan.blocks)[lane], plan.slot[at], plan.release[at], plan.due[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["lane", "lane_block", "mix_slot", "mix_release", "mix_deadline"])
+
+    n_slots = int(plan.blocks.sum())
+    slots = spark.range(n_slots).mapInArrow(place, "lane long, lane_block long, mix_slot long, mix_release long, mix_deadline long")
+    inside = laned.select("lane", "s", "mix_source", "size", "weight").groupBy("lane").applyInArrow(_inside(block), "lane long, mix_source long, mix_block long, begin long")
+    inside = inside.select("lane", "mix_source", "mix_block", F.floor(F.col("begin") / block).alias("lane_block"), (F.col("begin") % block).alias("__mix_from"))
+    blocks = materialize(inside.join(sized(slots, n_slots, 64), ["lane", "lane_block"]).drop("lane", "lane_block"), "mix-blocks")
+
+    numbers = totals.select(F.col("s").alias("__mix_s"), "mix_source", F.col("cells").alias("__mix_n"))
+    keyed = rows.join(sized(numbers, n_sources, 128), F.col(source_col).eqNullSafe(F.col("__mix_s"))).withColumn(order, F.xxhash64(F.col(id_col), F.lit("mix")))
     # Even cells of the hashed order: their sums are few, and within a cell one task sorts about BUCKET_ROWS rows.
     keyed = keyed.withColumn("__mix_cell", F.floor((F.shiftrightunsigned(order, 33) / float(1 << 31)) * F.col("__mix_n")))
-    sums = keyed.groupBy("mix_source", "__mix_cell").agg(F.sum("__mix_size").alias("__mix_sum"))
-    before = Window.partitionBy("mix_source").orderBy("__mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("mix_source", "__mix_cell", F.coalesce(F.sum("__mix_sum").over(before), F.lit(0)).alias("__mix_base"))
-    n_cells = sum(max(1, -(r["n"] // -BUCKET_ROWS)) for r in totals)
-    within = Window.partitionBy("mix_source", "__mix_cell").orderBy(order, id_col)
-    begin = F.col("__mix_base") + F.sum("__mix_size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__mix_size")
-    ranked = keyed.join(sized(bases, n_cells, 64), ["mix_source", "__mix_cell"]).withColumn("__mix_begin", begin)
-    ranked = ranked.withColumns({"mix_block": F.floor(F.col("__mix_begin") / block), "mix_at": F.col("__mix_begin") % block})
-    out = ranked.join(sized(blocks, n_blocks, 64), ["mix_source", "mix_block"])
+    ranked = keyed.join(sized(_bases(keyed), n_cells, 64), ["mix_source", "__mix_cell"])
+    within = Window.partitionBy("mix_source", "__mix_cell").orderBy(order, id_col, "__mix_size")
+    ranked = ranked.withColumn("__mix_begin", F.col("__mix_base") + F.sum("__mix_size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__mix_size"))
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("__mix_begin") / block))
+    out = ranked.join(sized(blocks, n_slots + n_sources, 64), ["mix_source", "mix_block"]).withColumn("mix_at", F.col("__mix_from") + F.col("__mix_begin") % block)
     return out.select(*docs.columns, *OUT)
 
 
+def _bases(keyed: DataFrame) -> DataFrame:
+    """(mix_source, __mix_cell, __mix_base): characters of a source before each of its cells; sums of cells, then of runs of BUCKET_ROWS cells."""
+    cells = keyed.groupBy("mix_source", "__mix_cell").agg(F.sum("__mix_size").alias("own")).withColumn("run", F.floor(F.col("__mix_cell") / BUCKET_ROWS))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    inner = cells.withColumn("inner", F.coalesce(F.sum("own").over(before("mix_source", "run", "__mix_cell")), F.lit(0)))
+    runs = cells.groupBy("mix_source", "run").agg(F.sum("own").alias("own")).select("mix_source", "run", F.coalesce(F.sum("own").over(before("mix_source", "run")), F.lit(0)).alias("outer"))
+    return inner.join(runs, ["mix_source", "run"]).select("mix_source", "__mix_cell", (F.col("inner") + F.col("outer")).alias("__mix_base"))
+
+
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in the mix's order: files and rows follow (slot, place in the block); columns stay as they are."""
     aside = {c: f"__aside_{c}" for c in docs.columns if c.startswith(("mix_", "__mix_"))}

@@ -7,6 +7,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from rankloom.llm.mixing import in_mixed_order, mix, one_period, schedule, shares
 
 
@@ -80,3 +82,85 @@ def test_given_weights_are_followed_at_every_slot():
         for s, share in zip(slots, w / w.sum()):
             got = np.searchsorted(s, np.arange(end), "right")
             assert (abs(got - share * np.arange(1, end + 1)) < 1 + 1e-6).all()
+
+
+def test_two_thousand_sources_with_weights_down_to_a_hundred_thousandth():
+    rng = np.random.default_rng(4)
+    w = np.concatenate([[0.3, 0.2], np.full(500, 1e-5), rng.uniform(1e-5, 4e-4, 1498)])
+    blocks = np.maximum(2, np.floor(w / w.sum() * 60_000)).astype(np.int64) + 1
+    plan = schedule(blocks, w)
+    slots = [plan.place(i, np.arange(n))[0] for i, n in enumerate(blocks)]
+    end = min(int(s[-1]) for s in slots)
+    assert end > 2000
+    for s, share in zip(slots, w / w.sum()):
+        got = np.searchsorted(s, np.arange(end), "right")
+        assert (abs(got - share * np.arange(1, end + 1)) < 1 + 1e-6).all()
+
+
+def naive(blocks, weights):
+    """Owners of the slots: release, deadline and earliest deadline first by definition, one slot after the other."""
+    left, done, begin, owners, target = list(blocks), [0] * len(blocks), 0, [], [Fraction(w) for w in weights]
+    base = done[:]
+    while any(left):
+        active = [i for i, n in enumerate(left) if n and target[i]]
+        if not active:
+            active = [i for i, n in enumerate(left) if n]
+            target = [Fraction(n) for n in left]
+        whole = sum(target[i] for i in active)
+        share = {i: target[i] / whole for i in active}
+        out = False
+        while not out:
+            t = len(owners) - begin
+            ready = []
+            for i in active:
+                k = done[i] - base[i]
+                if (k / share[i]).__floor__() <= t:
+                    ready.append(((Fraction(k + 1) / share[i]).__ceil__(), -share[i], i))
+            i = min(ready)[2]
+            owners.append(i)
+            done[i] += 1
+            left[i] -= 1
+            out = not left[i]
+        begin, base = len(owners), done[:]
+    return owners
+
+
+def test_documents_stand_where_the_definition_puts_them(spark):
+    docs, rows = documents(spark)
+    for weights, block in (({"s0": 0.5, "s1": 0.3, "s3": 0.01, None: 0.2}, 300), (None, 1000)):
+        got = mix(docs, weights, block=block).withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).collect()
+        own = defaultdict(list)
+        for r in got:
+            own[r.source].append(((r.h >> 33) & (1 << 31) - 1, r.h, r.doc_id, max(1, len(r.text or "")), r.mix_slot, r.mix_at))
+        size = {s: sum(d[3] for d in x) for s, x in own.items()}
+        w = {s: weights.get(s, 0.0) if weights else size[s] ** 0.7 for s in own}
+        order = sorted(own, key=lambda s: (-w[s], s is not None, s or ""))
+        owners = naive([-(size[s] // -block) for s in order], [w[s] for s in order])
+        for i, s in enumerate(order):
+            slots, begin = [t for t, o in enumerate(owners) if o == i], 0
+            cells = max(1, -(len(own[s]) // -1024))
+            for d in sorted(own[s], key=lambda d: (d[0] / (1 << 31) * cells // 1, d[1:4])):
+                assert d[4:] == (slots[begin // block], begin % block), (s, d)
+                begin += d[3]
+
+
+def test_sources_beyond_the_lanes_share_them(spark):
+    rows = [(i, "x" * (1 + i % 90), f"h{i % 97}" if i % 3 else "hot") for i in range(6000)] + [(9000 + i, "y" * 10, f"late{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    weights = {"hot": 0.4} | {f"h{i}": 0.6 / 97 for i in range(97)}
+    got = mix(docs, weights, block=200, lanes=8, groups=5).orderBy("mix_slot", "mix_at").collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    assert len({(r.mix_slot, r.mix_at) for r in got}) == len(rows) and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    assert all(r.source.startswith("late") for r in got[-20:])
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t)
+    total, seen, at = sum(weights.values()), Counter(), 0
+    for r in got:  # until a source has run out: within two blocks of its share, but for the slot itself and a document that each of the 18 lanes may hold beyond its block
+        n = len(r.text)
+        seen[r.source] += n
+        at += n
+        if seen[r.source] == size[r.source]:
+            break
+        assert abs(seen[r.source] - weights[r.source] / total * at) < 2 * 200 + 200 + 18 * 90
+    assert at > 20_000
