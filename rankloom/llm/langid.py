@@ -20,14 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 5
-#: Bound of the labelled sample: so many training rows of each language on average, picked by a hash of their ids.
-ROWS_PER_LANGUAGE = 1500
+#: Bounds of the labelled sample: so many training rows of each language on average, picked by a hash of their ids, and
+#: the languages that are learnt (those with the most rows).
+ROWS_PER_LANGUAGE, LANGUAGES = 1500, 200
 #: Every CALIBRATE-th row of the sample calibrates and isn't learnt from.
 CALIBRATE = 5
 #: Words kept with their scores (fewer where a worker also serves other stages), and the longest that is kept.
 KEPT_WORDS, KEPT_SHARED, KEPT_CHARS = 400_000, 120_000, 40
-#: Characters by which a text's cross-entropy counts as certain; the calibration texts' quantile by which texts are rejected, and room beyond it.
-SURE, QUANTILE, ROOM = 200, 0.95, 4.0
+#: Characters by which a text's cross-entropy counts as certain.
+SURE = 200
+#: Share of genuine texts that may be rejected. The calibration texts beyond QUANTILE tell how fast strangeness thins out
+#: (a power law, fitted by their median together with PRIOR_TEXTS texts of the slope PRIOR), which carries their quantile on to RATE.
+RATE, QUANTILE, PRIOR, PRIOR_TEXTS = 1e-4, 0.95, 0.3, 20
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -209,11 +213,21 @@ def _middle(x: np.ndarray) -> tuple[float, float]:
     return middle, max(1.4826 * float(np.median(abs(x - middle))), 0.1)
 
 
+def rejection_limit(odd: np.ndarray) -> float:
+    """The strangeness that a share RATE of texts like these exceeds."""
+    x = 1 + np.maximum(odd, 0)
+    at = float(np.quantile(x, QUANTILE))
+    beyond = np.log(x[x > at] / at)
+    own = float(np.median(beyond)) / np.log(2) if len(beyond) else 0.0
+    slope = (own * len(beyond) + PRIOR * PRIOR_TEXTS) / (len(beyond) + PRIOR_TEXTS)
+    return at * ((1 - QUANTILE) / RATE) ** float(slope) - 1
+
+
 def calibrate(model: Model, texts: list[str], languages: list[str]) -> None:
-    """Sets the rejection limit by what nearly all calibration texts show, and the sharpness of the scores by likelihood.
+    """Sets the rejection limit so that a share RATE of texts like the calibration texts is rejected, and the sharpness of the scores by likelihood.
 
-    Texts that score best in another language than their label's are left out, and medians and a quantile
-    stand for the others, so wrong labels and junk among them don't widen the limit.
+    Texts that score best in another language than their label's are left out, and medians and a tail's
+    slope stand for the others, so single wrong labels or junk among them hardly widen the limit.
     """
     index = {x: i for i, x in enumerate(model.languages)}
     keep = [k for k, x in enumerate(languages) if x in index]
@@ -234,7 +248,7 @@ def calibrate(model: Model, texts: list[str], languages: list[str]) -> None:
         if (mine := use & (truth == j)).sum() >= 5:
             mean[j], spread[j] = _middle(own[mine])
     model.mean, model.spread = mean, spread
-    model.limit = max(12.0, ROOM * float(np.quantile(strangeness(model, entropy, n, truth), QUANTILE)))
+    model.limit = rejection_limit(strangeness(model, entropy, n, truth))
     gap = entropy - own[:, None]
     model.sharpness = min((float(np.log2(np.exp2(np.minimum(-s * gap, 500)).sum(1)).mean()), s) for s in (1, 2, 4, 8, 16, 32))[1]
 
@@ -243,7 +257,7 @@ def fit(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str =
     """A model from a bounded sample of the rows where ``trains`` holds and text and label aren't null; None if there is none."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), trains.alias("trains")).where("trains and text is not null and label is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
     if not counts:
         return None
     # A row's share of 2**20 hash values; a language with few rows gives all of them.

@@ -78,7 +78,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learnt from two thirds of them."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = fit(docs, F.coalesce(fold("doc_id", 3) != 1, F.lit(False)))
-    return identify(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query
@@ -101,7 +101,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after redaction, from trees of which only the edited regions are encoded again."""
     path = tokenizer_path("byte_bpe_50k.json")
     trees = token_trees(redactions(read_table(spark, sf_dir, "documents", "doc_id", "text")), path, edits_col="edits")
-    return apply_edits(trees, path).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "encoded_chars", F.size("leaf_starts").alias("n_leaves"))
+    return apply_edits(trees, path).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "encoded_chars", F.size("leaf_chars").alias("n_leaves"))
 
 
 ORACLES["op2_vector_dedup"] = """
