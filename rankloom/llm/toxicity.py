@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import materialize, sized
 
-#: Bound of the labelled sample, picked by a hash of the ids; most entries and exceptions.
-SAMPLE_ROWS, MOST_ENTRIES = 24_000, 2000
+#: Bound of the labelled sample, picked by a hash of the ids. Entries and exceptions are bounded by its evidence alone.
+SAMPLE_ROWS = 24_000
 #: Fewest toxic texts with an entry; evidence (nats) that it isn't chance; log odds; share of toxic texts among a stem's.
 LEAST_TEXTS, EVIDENCE, LOG_ODDS, STEM_SHARE = 3, 13.8, 1.5, 0.95
 STEMS = (4, 5, 6)
@@ -97,14 +97,23 @@ class Matcher:
         if self.automaton is None:
             return []
         found: dict[int, tuple[int, int, float]] = {}
-        spared: list[tuple[int, int]] = []
+        spared: dict[int, int] = {}  # begin -> last character of the longest exception there
         for last, (n, weight, exception) in self.automaton.iter(text):
             begin = last - n + 1
             if exception:
-                spared.append((begin, last))
+                spared[begin] = last
             elif begin not in found or found[begin][2] < weight:
                 found[begin] = (begin, last, weight)
-        return [m for m in found.values() if not any(a <= m[0] and m[1] <= b for a, b in spared)]
+        if not spared:
+            return list(found.values())
+        out, reach, spans = [], -1, iter(sorted(spared.items()))
+        span = next(spans, None)
+        for begin in sorted(found):  # one pass: the farthest end of the exceptions that begin at or before a match
+            while span is not None and span[0] <= begin:
+                reach, span = max(reach, span[1]), next(spans, None)
+            if found[begin][1] > reach:
+                out.append(found[begin])
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Logarithms of the matches' weight, and of the weight per thousand words."""
@@ -135,14 +144,13 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[s
     stem = np.array([not k.endswith(" ") for k in keys])
     sure = evidence(a, b, toxic / (toxic + clean))
     good = (a >= LEAST_TEXTS) & (odds >= LOG_ODDS) & (sure >= EVIDENCE) & (~stem | (a >= STEM_SHARE * (a + b)))
-    best = sorted(np.flatnonzero(good).tolist(), key=lambda i: (-sure[i], keys[i]))
-    return {keys[i]: round(float(min(odds[i], 8.0)), 6) for i in best[:MOST_ENTRIES]}
+    return {keys[i]: round(float(min(odds[i], 8.0)), 6) for i in np.flatnonzero(good).tolist()}
 
 
 def entries_of(text: str | None) -> set[str]:
     """Words and stems that a text holds, as the lexicon writes them."""
     words = set(folded(text).split())
-    return {f" {w} " for w in words if len(w) <= 40} | {f" {w[:n]}" for w in words for n in STEMS if len(w) >= n}
+    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) >= n}
 
 
 def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -255,7 +263,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
                     before, after = f.rfind(" ", 0, begin) if begin else -1, f.find(" ", end + 1)
                     own |= {f[before : end + 1]} if before >= 0 else set()
                     own |= {f[begin : after + 1]} if after >= 0 else set()
-                seen.update((p, y) for p in own if len(p) <= 82)
+                seen.update((p, y) for p in own)
         if seen:
             p, y = zip(*seen)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(y, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["phrase", "y", "n"])
@@ -263,7 +271,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
     counted = sample.select("y", "text").mapInArrow(contexts, "phrase string, y int, n long").groupBy("phrase").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean")
     )
-    mostly = counted.where(f"clean >= {LEAST_TEXTS} and 4 * toxic <= clean").orderBy(F.desc("clean"), "phrase").limit(MOST_ENTRIES)
+    mostly = counted.where(f"clean >= {LEAST_TEXTS} and 4 * toxic <= clean")
     return frozenset(r["phrase"] for r in mostly.collect())
 
 

@@ -93,3 +93,16 @@ def test_no_contrast_to_learn_from(spark, toxic):
     labels = labels.where("false") if toxic is None else labels.where(f"toxic = {toxic}")
     lexicon = fit(docs, labels, F.lit(True))
     assert not lexicon.weights and score_toxicity(docs, lexicon).where("score between 0 and 1").count() == 904
+
+
+def test_matches_and_exceptions_on_a_very_long_text_take_one_pass():
+    import time
+
+    m = Matcher(Lexicon({" vile ": 2.0, " vil": 1.0}, frozenset({" not vile ", " so vile ", " vile so "})))
+    text = " " + " ".join(["vile", "not vile", "so vile so", "vilest", "word"] * 40_000) + " "
+    begin = time.perf_counter()
+    got = m.matches(text)
+    assert time.perf_counter() - begin < 20
+    spans = [(a.start(), a.start() + len(p) - 1) for p in m.lexicon.exceptions for a in __import__("re").finditer(f"(?={p})", text[:4000])]
+    want = {a.start() for a in __import__("re").finditer("(?= vil)", text[:3900]) if not any(x <= a.start() and a.start() + (5 if text[a.start() :].startswith(" vile ") else 3) <= y for x, y in spans)}
+    assert {a for a, _, _ in got if a < 3890} == {a for a in want if a < 3890}
