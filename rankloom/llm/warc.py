@@ -163,29 +163,27 @@ def describe(head: dict[str, str], block: bytes) -> tuple[int | None, int, str,
 
 
 def revisits(pages: DataFrame, min_bytes: int, id_col: str, html_col: str) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload another page with a larger id holds; combined like exact dedup."""
+    """(page_id, key, refers_to) of the rows whose payload another page with a larger id holds, key its digest; combined like exact dedup."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(payload, 256).alias("key"), F.length(payload).alias("n"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("salt"))
     rows = rows.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
     cells = rows.groupBy("key", "n", "salt").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("rows"))
     owners = cells.groupBy("key", "n").agg(F.max("top").alias("refers_to"), F.sum("rows").alias("rows")).where("rows > 1")
     known = cells.select("key", "n", "salt").join(owners.select("key", "n", "refers_to"), ["key", "n"])
-    return rows.join(known, ["key", "n", "salt"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return rows.join(known, ["key", "n", "salt"]).where("page_id <> refers_to").select("page_id", "key", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record per page into bundles in ``folder``; returns the index (one row per record, n_bytes set on a bundle's last).
+    """Write a record per page into bundles in ``folder``; returns the index (one row per record, n_bytes set on a bundle's last), which is kept beside them as Parquet in ``folder``/index.
 
     Null html is an empty payload, a null url an empty target. Of equal payloads of at least ``min_bytes``
     the page with the largest id is a response and the others revisit it; rows that repeat that id are
-    responses too. Rows with a null id are responses. An empty table writes nothing. Other columns are not read.
+    responses too, and share their record id with those of the same id and payload (the index lists each). Rows with a null id are responses. An empty table writes nothing. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    if _repeats(pages, id_col):
-        rows = _by_payload(rows, min_bytes)
-    else:  # an id tells its row, so the payloads needn't move
-        again = materialize(revisits(pages, min_bytes, id_col, html_col), "revisits")
-        rows = rows.join(sized(again, again.count(), 64), "page_id", "left")
+    # A row is told by its id and, as ids may repeat, its payload's digest; the payloads don't move where the revisits fit a broadcast.
+    again = materialize(revisits(pages, min_bytes, id_col, html_col), "revisits")
+    rows = rows.withColumn("key", F.sha2(F.col("html").cast("binary"), 256)).join(sized(again, again.count(), 160), ["page_id", "key"], "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
@@ -215,21 +213,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             held[-1] = (*held[-1][:-1], n)
             yield rows_of(held)
 
-    return materialize(rows.mapInArrow(write, INDEX), "warc-index")
-
-
-def _repeats(pages: DataFrame, id_col: str) -> bool:
-    """Whether some page id has several rows."""
-    return not pages.groupBy(id_col).count().where("count > 1").isEmpty()
-
-
-def _by_payload(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """Tables that repeat page ids: each row is told by its payload, not by its id."""
-    payload = F.col("html").cast("binary")
-    keyed = rows.withColumns({"key": F.sha2(payload, 256), "n": F.length(payload)})
-    top = keyed.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("key", "n").agg(F.max("page_id").alias("top"))
-    joined = keyed.join(top, ["key", "n"], "left")
-    return joined.select("page_id", "url", "html", F.when((F.col("n") >= min_bytes) & (F.col("page_id") != F.col("top")), F.col("top")).alias("refers_to"))
+    rows.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
