@@ -124,7 +124,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str,
     Null and empty texts give the end id alone; null ids come first; documents that repeat an id follow one
     another. An empty table gives an empty manifest. Other columns are not read.
     """
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Null and much repeated ids are spread over several shards by a hash of their text; shards ascend by (id, hash).
+    ordered = ordered.withColumn("place", F.xxhash64("text")).repartitionByRange("id", "place").sortWithinPartitions("id", "place").drop("place")
     end = int(end_id).to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
