@@ -1,15 +1,16 @@
 """Edit-aware token counts.
 
 A document is cut, at spaces where every pre-token ends, into leaves of about LEAF characters; a tree of
-sums stands above the leaves' token counts. An edit re-encodes the leaves it touches, and the one before if
+lengths and token counts stands above them. An edit re-encodes the leaves it touches, and the one before if
 it reaches within two characters of a cut (a cut is known by its space and the character after it), and
-updates the sums above them. The rest of the text is never encoded again.
+updates the nodes above them. The rest of the text is never encoded, copied or counted again.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,60 +35,118 @@ def cuts(text: str, begin: int, end: int) -> list[int]:
     return out
 
 
+def leaf_sizes(text: str, own: Encoder) -> list[tuple[int, int]]:
+    """(characters, tokens) of a text's leaves."""
+    starts = cuts(text, 0, len(text))
+    parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+    return [(len(p), len(own.encode_one(p)) // 4 if p else 0) for p in parts]
+
+
 class TokenTree:
-    """A text's leaves (where they start) and levels of sums; ``levels[0]`` are the leaves' token counts."""
+    """A text's leaves and the sums above them.
+
+    A leaf is its text with its token count; leaves stand in runs of at most 2 * FAN, and runs in runs. Every
+    node holds how many characters and tokens lie below it and nothing about what stands before it, so an edit
+    changes the leaves it touches and the nodes above them: the cost is the path, not the text.
+    """
 
-    def __init__(self, text: str, own: Encoder, starts: list[int] | None = None, levels: list[list[int]] | None = None):
-        self.text, self.own, self.encoded = text, own, 0
-        self.starts = cuts(text, 0, len(text)) if starts is None else list(starts)
-        self.levels = [list(x) for x in levels] if levels is not None else self._above(self._count(text, self.starts, len(text)))
+    def __init__(self, text: str, own: Encoder, leaves: list[tuple[int, int]] | None = None):
+        """``leaves``: (characters, tokens) of each leaf, if they are known."""
+        self.own, self.encoded = own, 0
+        self.root = _grown(self._leaves(text) if leaves is None else self._nodes(text, leaves))
 
-    def _count(self, text: str, starts: list[int], end: int) -> list[int]:
-        self.encoded += end - starts[0]
-        return [len(self.own.encode_one(text[a:b])) // 4 if b > a else 0 for a, b in zip(starts, [*starts[1:], end])]
+    def _leaves(self, text: str) -> list[Node]:
+        self.encoded += len(text)
+        return self._nodes(text, leaf_sizes(text, self.own))
 
     @staticmethod
-    def _above(leaves: list[int]) -> list[list[int]]:
-        levels = [leaves]
-        while len(levels[-1]) > 1:
-            below = levels[-1]
-            levels.append([sum(below[i : i + FAN]) for i in range(0, len(below), FAN)])
-        return levels
+    def _nodes(text: str, sizes: list[tuple[int, int]]) -> list[Node]:
+        out, at = [], 0
+        for n, tokens in sizes:
+            out.append(Node(n, tokens, text=text[at : at + n]))
+            at += n
+        return out
 
     @property
     def total(self) -> int:
-        return self.levels[-1][0]
+        return self.root.tokens
+
+    @property
+    def text(self) -> str:
+        return "".join(x.text for x in self.root.leaves())
+
+    def leaves(self) -> list[tuple[int, int]]:
+        return [(x.chars, x.tokens) for x in self.root.leaves()]
 
     def edit(self, start: int, end: int, replacement: str) -> None:
-        """text[start:end] becomes ``replacement``."""
-        first = 0
-        low, high = 0, len(self.starts)
-        while low < high:  # the last leaf that starts at least two characters before the edit
-            middle = (low + high) // 2
-            if self.starts[middle] + 2 <= start:
-                low, first = middle + 1, middle
+        """text[start:end] becomes ``replacement``: the leaves from the last that begins two characters before the edit to its end are made anew."""
+        first, begin = self.root.leaf_at(max(start - 2, 0))
+        held, reached = [first.text], begin + first.chars
+        while reached < end:
+            x, at = self.root.leaf_at(reached)
+            held.append(x.text)
+            reached = at + x.chars
+        old = "".join(held)
+        new = old[: start - begin] + replacement + old[end - begin :]
+        self.root = _grown(self.root.replaced(begin, reached, self._leaves(new) if new else []) if self.root.chars else self._leaves(new))
+
+
+@dataclass
+class Node:
+    """A leaf (with its text) or a run of nodes below it."""
+
+    chars: int
+    tokens: int
+    below: list[Node] | None = None
+    text: str = ""
+
+    def leaves(self) -> Iterator[Node]:
+        if self.below is None:
+            yield self
+        else:
+            for x in self.below:
+                yield from x.leaves()
+
+    def leaf_at(self, at: int) -> tuple[Node, int]:
+        """The leaf that holds a character (the last one at the text's end), and where it begins."""
+        node, begin = self, 0
+        while node.below is not None:
+            for i, x in enumerate(node.below):
+                if at < begin + x.chars or i == len(node.below) - 1:
+                    node = x
+                    break
+                begin += x.chars
+        return node, begin
+
+    def replaced(self, begin: int, end: int, fresh: list[Node]) -> list[Node]:
+        """What stands in this node's place when the leaves of characters begin to end give way to ``fresh``; untouched nodes stay as they are."""
+        if self.below is None:
+            return fresh
+        out, at = [], 0
+        for x in self.below:
+            if at + x.chars <= begin or at >= end:
+                out.append(x)
             else:
-                high = middle
-        after = first + 1
-        while after < len(self.starts) and self.starts[after] < end:
-            after += 1
-        shift = len(replacement) - (end - start)
-        self.text = self.text[:start] + replacement + self.text[end:]
-        stop = (self.starts[after] if after < len(self.starts) else len(self.text) - shift) + shift
-        fresh = cuts(self.text, self.starts[first], stop)
-        counts = self._count(self.text, fresh, stop)
-        self.starts[first:] = fresh + [s + shift for s in self.starts[after:]]
-        leaves = self.levels[0]
-        same = len(fresh) == after - first
-        leaves[first:after] = counts
-        if not same:  # leaves came or went: the sums above are made anew, nothing is encoded for that
-            self.levels = self._above(leaves)
-            return
-        low, high = first, after
-        for below, level in zip(self.levels, self.levels[1:]):
-            low, high = low // FAN, -(high // -FAN)
-            for i in range(low, high):
-                level[i] = sum(below[FAN * i : FAN * (i + 1)])
+                out += x.replaced(max(begin - at, 0), min(end - at, x.chars), fresh)
+                fresh = []  # only the first of them makes room
+            at += x.chars
+        return _runs(out)
+
+
+def _runs(nodes: list[Node]) -> list[Node]:
+    """Nodes in runs of at most 2 * FAN, each under a node of its own."""
+    if not nodes:
+        return []
+    n = -(len(nodes) // -(2 * FAN))
+    size = -(len(nodes) // -n)
+    return [Node(sum(x.chars for x in run), sum(x.tokens for x in run), run) for run in (nodes[i : i + size] for i in range(0, len(nodes), size))]
+
+
+def _grown(nodes: list[Node]) -> Node:
+    """One node above all."""
+    while len(nodes) != 1:
+        nodes = _runs(nodes) or [Node(0, 0)]
+    return nodes[0]
 
 
 def in_order(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
@@ -102,12 +161,12 @@ def in_order(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
     return out
 
 
-TREE = "leaf_starts array<int>, leaf_sums array<array<int>>, n_tokens long"
-_LEVELS = pa.list_(pa.list_(pa.int32()))
+TREE = "leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
+_INTS = pa.list_(pa.int32())
 
 
 def token_trees(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """Per row: id, text, edits (if given), leaf_starts, leaf_sums, n_tokens. Null texts count as empty; rows that repeat are kept."""
+    """Per row: id, text, edits (if given), leaf_chars, leaf_tokens, n_tokens. Null texts count as empty; rows that repeat are kept."""
     edits = F.col(edits_col).cast(f"array<{EDIT}>") if edits_col else F.lit(None).cast(f"array<{EDIT}>")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
 
@@ -116,9 +175,9 @@ def token_trees(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", te
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                trees = [TokenTree(t, own) for t in part.column("text").to_pylist()]
-                more = [pa.array([t.starts for t in trees], pa.list_(pa.int32())), pa.array([t.levels for t in trees], _LEVELS), pa.array([t.total for t in trees], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=["id", "text", "edits", "leaf_starts", "leaf_sums", "n_tokens"])
+                sizes = [list(zip(*leaf_sizes(t, own))) for t in part.column("text").to_pylist()]
+                more = [*[pa.array([x[k] for x in sizes], _INTS) for k in (0, 1)], pa.array([sum(x[1]) for x in sizes], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=["id", "text", "edits", "leaf_chars", "leaf_tokens", "n_tokens"])
 
     return rows.mapInArrow(build, f"id long, text string, edits array<{EDIT}>, {TREE}")
 
@@ -137,12 +196,15 @@ def apply_edits(trees: DataFrame, tokenizer_file: str) -> DataFrame:
                 part, out = batch.slice(i, 256), []
                 for r in part.to_pylist():
                     todo = in_order(r["edits"], len(r["text"]))
-                    tree = TokenTree(r["text"], own, r["leaf_starts"], r["leaf_sums"])
+                    if not todo:
+                        out.append((r["id"], r["text"], r["leaf_chars"], r["leaf_tokens"], r["n_tokens"], r["n_tokens"], 0, 0))
+                        continue
+                    tree = TokenTree(r["text"], own, list(zip(r["leaf_chars"], r["leaf_tokens"])))
                     for a, b, replacement in reversed(todo):
                         tree.edit(a, b, replacement)
-                    out.append((r["id"], tree.text, tree.starts, tree.levels, tree.total, r["n_tokens"], len(todo), tree.encoded))
-                kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), _LEVELS, pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "text", "leaf_starts", "leaf_sums", "n_tokens", "n_tokens_before", "n_edits", "encoded_chars"])
+                    out.append((r["id"], tree.text, *map(list, zip(*tree.leaves())), tree.total, r["n_tokens"], len(todo), tree.encoded))
+                kinds = (pa.int64(), pa.string(), _INTS, _INTS, pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "n_tokens_before", "n_edits", "encoded_chars"])
 
     return trees.mapInArrow(edit, f"id long, text string, {TREE}, n_tokens_before long, n_edits long, encoded_chars long")
 

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rankloom.llm.encoder import encoder, tokenizer_path
-from rankloom.llm.token_counts import TokenTree, apply_edits, in_order, redactions, token_trees
+from rankloom.llm.token_counts import FAN, TokenTree, apply_edits, in_order, redactions, token_trees
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 TEXT = st.text(alphabet=" \n\tab'sé1. ", max_size=60)
@@ -14,6 +14,17 @@ def full(e, text):
     return len(e.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def check(node):
+    """Sums of every node, and no run wider than it may be."""
+    if node.below is None:
+        assert node.chars == len(node.text)
+        return
+    assert 0 < len(node.below) <= 2 * FAN
+    assert (node.chars, node.tokens) == (sum(x.chars for x in node.below), sum(x.tokens for x in node.below))
+    for x in node.below:
+        check(x)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXT, max_size=40), st.lists(st.tuples(st.integers(0, 2000), st.integers(0, 60), TEXT), max_size=6))
 def test_edits_equal_encoding_anew(parts, edits):
@@ -28,7 +39,8 @@ def test_edits_equal_encoding_anew(parts, edits):
             want = tree.text[:a] + new + tree.text[b:]
             tree.edit(a, b, new)
             assert tree.text == want and tree.total == full(e, want)
-            assert tree.levels == TokenTree._above(tree.levels[0])
+            check(tree.root)
+            assert sum(n for n, _ in tree.leaves()) == len(want)
 
 
 def test_only_touched_regions_are_encoded():
@@ -39,6 +51,22 @@ def test_only_touched_regions_are_encoded():
     assert tree.encoded < 1000 and tree.total == full(e, tree.text)
 
 
+def test_many_edits_of_a_long_text_cost_their_paths():
+    import time
+
+    e = encoder(tokenizer_path(FILES[0]))
+    text = "some plain words and 123456789 numbers " * 60_000
+    tree = TokenTree(text, e)
+    tree.encoded = 0
+    at = [i for i in range(len(text) - 20, 0, -400)]
+    begin = time.perf_counter()
+    for i in at:
+        tree.edit(i, i + 9, "[removed]")
+    assert time.perf_counter() - begin < 30 and tree.encoded < 1200 * len(at)
+    check(tree.root)
+    assert tree.total == full(e, tree.text)
+
+
 def test_order_of_edits():
     edits = [{"start": 5, "end": 9, "text": "b"}, None, {"start": 0, "end": 6, "text": "a"}, {"start": 90, "end": 99, "text": None}, {"start": None, "end": 1, "text": "x"}]
     assert in_order(edits, 10) == [(0, 6, "a"), (10, 10, "")]
