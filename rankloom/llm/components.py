@@ -69,12 +69,12 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, m) of all edges and (a, m) of all nodes a, m the least b of its edges; a node's edges are joined cell by cell."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
-    least = cells.groupBy("a").agg(F.min("low").alias("m"))
-    return salted.join(cells.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m"), least
+def with_least(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with m, the least ``value`` of their key's rows, and (key, m) of all keys; a key's rows are joined cell by cell."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    cells = salted.groupBy(key, "salt").agg(F.min(value).alias("low"))
+    least = cells.groupBy(key).agg(F.min("low").alias("m"))
+    return salted.join(cells.select(key, "salt").join(least, key), [key, "salt"]).drop("salt"), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -85,9 +85,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "links")
     stamp = _stamp(links)
     while stamp[0]:
-        both, _ = _with_least(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))))
+        both, _ = with_least(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "a", "b")
         large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        known, least = _with_least(large)
+        known, least = with_least(large, "a", "b")
         small = known.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         links = materialize(small, "links")
         before, stamp = stamp, _stamp(links)

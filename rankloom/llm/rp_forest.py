@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import materialize, sized
-from rankloom.llm.components import Forest, connected_components
+from rankloom.llm.components import Forest, connected_components, with_least
 
 #: Vectors of the fitting sample; aimed leaf size; largest leaf that one task compares.
 SAMPLE, LEAF, CAP = 8192, 1024, 4096
@@ -166,7 +166,7 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         leaf, x, y = (batch.column(c)[0].as_py() for c in ("leaf", "x", "y"))
         shared = batch.column("leaves")
         sizes = np.diff(shared.offsets.to_numpy())
-        other = np.full((len(rep), int(sizes.max())), np.iinfo(np.int64).max)
+        other = np.full((len(rep), max(1, int(sizes.max()))), np.iinfo(np.int64).max)  # leaves before this one
         other[np.arange(other.shape[1]) < sizes[:, None]] = shared.flatten().to_numpy()
         links, forest = np.zeros(len(rep), np.int64), Forest()
         for _, rows, matrix in _by_dim(batch):
@@ -214,14 +214,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link
     with nothing. Vectors of different lengths don't link. Equal vectors form a class that is compared once
-    and counts with its size. An empty table gives an empty result; other columns are not read.
+    and counts with its size. Rows that repeat an id are vectors of their own, whatever they hold: each counts
+    and is linked by itself. An empty table gives an empty result; other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0) & F.col("id").isNotNull()
     salted = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     good = rows.where(sound)
     cells = good.groupBy("embedding", salted).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(cells.groupBy("embedding").agg(F.min("low").alias("rep"), F.sum("n").alias("weight")), "vector-classes")
+    # rep numbers the classes: an id doesn't, as rows of different vectors may share it.
+    classes = materialize(cells.groupBy("embedding").agg(F.min("low").alias("low"), F.sum("n").alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     trees = trees or n_trees(n, leaf)
     placed = materialize(_place(classes, n, leaf, trees), "forest-leaves")
@@ -241,13 +244,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     dealt = classes.join(leaves, "rep").withColumn("leaf", F.explode("leaves")).join(materialize(blocks, "forest-blocks"), "leaf", "left")
     dealt = dealt.withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("n_blocks")))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    dealt = dealt.select("leaf", F.least("blk", "k").alias("x"), F.greatest("blk", "k").alias("y"), "blk", "rep", "weight", "embedding", "leaves")
+    dealt = dealt.select("leaf", F.least("blk", "k").alias("x"), F.greatest("blk", "k").alias("y"), "blk", "rep", "weight", "embedding", F.filter("leaves", lambda x: x < F.col("leaf")).alias("leaves"))
     dealt = dealt.repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y")
     found = materialize(dealt.mapInArrow(lambda batches: _compare(batches, least), "a long, b long, links long"), "vector-links")
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.where("b is not null").select("a", "b"))
-    joined = classes.join(links, "rep", "left").join(component, F.col("rep") == F.col("node"), "left")
-    per_class = joined.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    members = classes.select("rep", "low").join(component, F.col("rep") == F.col("node"), "left").select("rep", "low", F.coalesce("component", "rep").alias("component"))
+    placed, _ = with_least(members, "component", "low")
+    joined = classes.join(links, "rep", "left").join(placed.select("rep", "m"), "rep")
+    per_class = joined.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("m").alias("component_id"))
     per_cell = cells.select("embedding", "salt").join(per_class, "embedding")
     linked = good.withColumn("salt", salted).join(per_cell, ["embedding", "salt"]).select("id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -56,3 +56,17 @@ def test_large_leaves_are_split_on_and_dense_ones_compared_in_blocks(spark):
     assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
     dense = max(n for n, _ in want.values())
     assert max(n for n, _ in got.values()) == dense
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 0, 4, True)]
+
+
+def test_recall_on_all_rows_of_a_table(spark):
+    rows = [(r.vec_id, list(r.embedding) if r.embedding is not None else None) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    want, got = brute(rows), {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), leaf=64).collect()}
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
