@@ -20,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark, "_rankloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark._rankloom_dir = root
     return root.rstrip("/")
