@@ -66,16 +66,50 @@ def position(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN count({x}) {over()} - 1 END"
 
 
-def ewm(x: str, i: str, alpha: float, least: int) -> str:
-    """Exponentially weighted mean e_0 = x_0, e_i = (1 - alpha) e_(i-1) + alpha x_i, in closed form.
+#: Rows of a block of the weighted means below: powers of up to 1 - 1/3 stay finite within one.
+BLOCK = 1024
 
-    ``i`` is position(x); nulls stand before the first value only. The powers stay finite for histories of
-    up to 709 / -ln(1 - alpha) rows (1,748 for alpha = 1/3, 9,567 for 1/14); for longer ones use
-    ``operators.longhistory.ewm_long``.
+
+def _blocks_back(alpha: float) -> int:
+    """Earlier blocks that still count in double precision."""
+    return max(1, math.ceil(41.5 / (BLOCK * -math.log(1 - alpha))))
+
+
+def ewm_inner(x: str, first: str, alpha: float) -> str:
+    """The share of a row's own block in its exponentially weighted mean e_0 = x_0, e_i = (1 - alpha) e_(i-1) + alpha x_i.
+
+    ``first`` tells the first value; nulls stand before it only. Rows have ``blk`` and ``pos``, the number of
+    their block of BLOCK rows and their place in it.
     """
     r = math.log(1 - alpha)
-    terms = f"sum(CASE WHEN {i} = 0 THEN {x} ELSE {d(alpha)} * {x} * exp({i} * {d(-r)}) END) {over()}"
-    return f"CASE WHEN {i} + 1 >= {least} THEN exp({i} * {d(r)}) * ({terms}) END"
+    return f"exp(pos * {d(r)}) * sum(CASE WHEN {first} THEN 1e0 ELSE {d(alpha)} END * {x} * exp(pos * {d(-r)})) OVER (PARTITION BY {KEY}, blk ORDER BY {ORDER})"
+
+
+def carried(inner: str, alpha: float) -> str:
+    """What the blocks before a row's have left at the end of the last of them, from the column of their inner shares."""
+    m, left = _blocks_back(alpha), BLOCK * math.log(1 - alpha)
+    ends = [f"coalesce(max_by(coalesce({inner}, 0e0), CASE WHEN pos = {BLOCK - 1} AND blk % {m} = {k} THEN blk END) OVER (PARTITION BY {KEY} ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0)" for k in range(m)]
+    if m == 1:
+        return ends[0]
+    terms = lambda c: " + ".join(f"{d(math.exp(left * (k - 1)))} * {ends[(c - k) % m]}" for k in range(1, m + 1))
+    return f"CASE blk % {m} " + " ".join(f"WHEN {c} THEN {terms(c)}" for c in range(m)) + " END"
+
+
+def ewm_whole(x: str, inner: str, alpha: float, least: int) -> str:
+    """The weighted mean from the inner share and what was carried; null before ``least`` values. Any length of history is exact to double precision."""
+    return f"CASE WHEN count({x}) {over()} >= {least} THEN coalesce({inner}, 0e0) + exp((pos + 1) * {d(math.log(1 - alpha))}) * {carried(inner, alpha)} END"
+
+
+def gap_since(x: str) -> str:
+    """Rows since the value before this row's; null before the first."""
+    return f"rn - max(CASE WHEN {x} IS NOT NULL THEN rn END) OVER (PARTITION BY {KEY} ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def gap_steps(x: str, gap: str, alpha: float) -> tuple[str, str]:
+    """(logarithm of what is kept of the mean before, weight of this value) where gaps let the mean's weight decay: it is kept in a row without a value."""
+    r = math.log(1 - alpha)
+    whole_ = f"(exp({gap} * {d(r)}) + {d(alpha)})"
+    return f"CASE WHEN {x} IS NULL OR {gap} IS NULL THEN 0e0 ELSE {gap} * {d(r)} - ln({whole_}) END", f"CASE WHEN {gap} IS NULL THEN 1e0 ELSE {d(alpha)} / {whole_} END"
 
 
 def span(n: int) -> float:

@@ -6,11 +6,12 @@ semantics are unusual they are kept: RSI is 50 without losses, MACD and ADX foll
 
 from __future__ import annotations
 
-from rankloom.functions.expr import d, ewm, lag, mean, over, position, r6, ratio, roll, span, whole
+from rankloom.functions.expr import BLOCK, carried, ewm_inner, ewm_whole, gap_since, gap_steps, lag, mean, over, r6, roll, span, whole
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS
 
-REG = Registry()
+#: Bars are dealt by ticker and summed up once; each query's windows are over them.
+REG = Registry((BARS,))
 
 
 def layers(name: str, source: Rel, *steps: dict[str, str]) -> Rel:
@@ -24,43 +25,64 @@ def layers(name: str, source: Rel, *steps: dict[str, str]) -> Rel:
 
 BASE = layers(
     "indicator_base",
-    BARS,
-    {"i": position("close"), "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "tp": "(high + low + close) / 3e0", "rd": "row_number() OVER (PARTITION BY ticker ORDER BY date DESC)", "n_bars": f"count(*) {whole()}"},
+    Rel("closed_bars", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS rn FROM bars WHERE close IS NOT NULL", (BARS,)),
+    {"i": "rn", "blk": f"cast(floor(rn / {BLOCK}e0) AS bigint)", "pos": f"rn % {BLOCK}", "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "tp": "(high + low + close) / 3e0",
+     "rd": "row_number() OVER (PARTITION BY ticker ORDER BY date DESC)", "n_bars": f"count(*) {whole()}"},
     {"tr": "greatest(high - low, abs(high - pc), abs(low - pc))", "up": "CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0e0) END", "down": "CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0e0) END",
      "plus_dm": "CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0e0 END", "minus_dm": "CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0e0 END",
-     "bp": "close - least(low, pc)", "ret": "close / nullif(pc, 0) - 1", "ptp": lag("tp"), "i1": "CASE WHEN pc IS NOT NULL THEN i - 1 END"},
+     "bp": "close - least(low, pc)", "ret": "close / nullif(pc, 0) - 1", "ptp": lag("tp")},
 )
 
 #: The moving averages that the signals and factors use.
 MA = (5, 10, 20, 50, 100, 150, 200)
 EMA = (5, 10, 12, 20, 26, 50, 100, 200)
 
-AVERAGES = layers("averages", BASE, {f"sma{n}": mean("close", n) for n in MA} | {f"ema{n}": ewm("close", "i", span(n), max(2, n // 2)) for n in EMA})
+#: Name -> (series, its first value, alpha, least values) of the weighted means over bars.
+_MEANS = {f"ema{n}": ("close", "i = 0", span(n), max(2, n // 2)) for n in EMA}
+_WILDER = {"avg_up": ("up", "i = 1", 1 / 14, 14), "avg_down": ("down", "i = 1", 1 / 14, 14), "atr14": ("tr", "i = 0", 1 / 14, 14), "atr10": ("tr", "i = 0", 1 / 10, 10),
+           "plus_s": ("plus_dm", "i = 0", 1 / 14, 14), "minus_s": ("minus_dm", "i = 0", 1 / 14, 14)}
+
+
+def _inner(means: dict) -> dict[str, str]:
+    return {f"in_{k}": ewm_inner(x, first, alpha) for k, (x, first, alpha, _) in means.items()}
+
+
+def _whole(means: dict) -> dict[str, str]:
+    return {k: ewm_whole(x, f"in_{k}", alpha, least) for k, (x, _, alpha, least) in means.items()}
+
+
+AVERAGES = layers("averages", BASE, _inner(_MEANS), {f"sma{n}": mean("close", n) for n in MA} | _whole(_MEANS))
+_KEPT, _WEIGHT = gap_steps("dx", "dx_gap", 1 / 14)
+_SIGNAL = {"macd_signal": ("macd_line", "i_macd = 0", span(9), 9)}
 
 INDICATORS = layers(
     "indicators",
-    AVERAGES,
-    {"avg_up": ewm("up", "i1", 1 / 14, 14), "avg_down": ewm("down", "i1", 1 / 14, 14), "atr14": ewm("tr", "i", 1 / 14, 14), "atr10": ewm("tr", "i", 1 / 10, 10),
-     "plus_s": ewm("plus_dm", "i", 1 / 14, 14), "minus_s": ewm("minus_dm", "i", 1 / 14, 14), "macd_line": "ema12 - ema26",
+    BASE,
+    _inner(_MEANS | _WILDER),
+    {**{f"sma{n}": mean("close", n) for n in MA}, **_whole(_MEANS | _WILDER),
      "tp_mean": roll("avg", "tp", 20, 10), "sd20": roll("stddev_pop", "close", 20, 10), "obv": f"sum(coalesce(sign(close - pc) * volume, 0e0)) {over()}",
      **{f"hh{n}": roll("max", "high", n, n // 2) for n in (9, 14, 20, 26, 52)}, **{f"ll{n}": roll("min", "low", n, n // 2) for n in (9, 14, 20, 26, 52)},
      "flow_up": "CASE WHEN tp > ptp THEN tp * volume ELSE 0e0 END", "flow_down": "CASE WHEN tp < ptp THEN tp * volume ELSE 0e0 END",
+     "drawdown": f"CASE WHEN rd <= 252 THEN close / nullif(max(CASE WHEN rd <= 252 THEN close END) {over()}, 0) - 1 END",
      **{f"uo{n}": f"({roll('sum', 'bp', n, n // 2)}) / nullif({roll('sum', 'tr', n, n // 2)}, 0)" for n in (7, 14, 28)}},
-    {"rsi14": f"CASE WHEN max(avg_down) {whole()} IS NOT NULL THEN coalesce(100 - 100 / (1 + avg_up / nullif(avg_down, 0)), 50e0) END",
-     "i_macd": position("macd_line"), "plus_di": "100 * plus_s / nullif(atr14, 0)", "minus_di": "100 * minus_s / nullif(atr14, 0)",
+    {"macd_line": "ema12 - ema26", "rsi14": f"CASE WHEN max(avg_down) {whole()} IS NOT NULL THEN coalesce(100 - 100 / (1 + avg_up / nullif(avg_down, 0)), 50e0) END",
+     "plus_di": "100 * plus_s / nullif(atr14, 0)", "minus_di": "100 * minus_s / nullif(atr14, 0)",
      "raw_k14": "100 * (close - ll14) / nullif(hh14 - ll14, 0)", "raw_k9": "100 * (close - ll9) / nullif(hh9 - ll9, 0)", "williams": "-100 * (hh14 - close) / nullif(hh14 - ll14, 0)",
      "tp_dev": "abs(tp - tp_mean)", "roc12": f"100 * (close / nullif({lag('close', 12)}, 0) - 1)", "ultimate": "100 * (4 * uo7 + 2 * uo14 + uo28) / 7",
      "bb_upper": "sma20 + 2 * sd20", "bb_lower": "sma20 - 2 * sd20", "donchian": "(close - ll20) / nullif(hh20 - ll20, 0)",
      "mfi_up": roll("sum", "flow_up", 14, 7), "mfi_down": roll("sum", "flow_down", 14, 7),
      "mid9": "(hh9 + ll9) / 2", "mid26": "(hh26 + ll26) / 2", "mid52": "(hh52 + ll52) / 2"},
-    {"macd_signal": ewm("macd_line", "i_macd", span(9), 9), "dx": "100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0)", "stoch_k": roll("avg", "raw_k14", 3, 1),
+    {"i_macd": f"CASE WHEN macd_line IS NOT NULL THEN count(macd_line) {over()} - 1 END", "dx": "100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0)", "stoch_k": roll("avg", "raw_k14", 3, 1),
      "rsi_low": roll("min", "rsi14", 14, 7), "rsi_high": roll("max", "rsi14", 14, 7), "tp_md": roll("avg", "tp_dev", 20, 10),
      "pct_b": "(close - bb_lower) / nullif(bb_upper - bb_lower, 0)", "bb_width": "nullif(bb_upper - bb_lower, 0) / nullif(sma20, 0)",
      "mfi": "100 - 100 / (1 + mfi_up / nullif(mfi_down, 0))", "span_a": lag("(mid9 + mid26) / 2", 26), "span_b": lag("mid52", 26)},
-    {"stoch_d": roll("avg", "stoch_k", 3, 1), "i_dx": position("dx"), "macd_hist": "macd_line - macd_signal",
+    {"stoch_d": roll("avg", "stoch_k", 3, 1), "dx_gap": gap_since("dx"),
      "stoch_rsi": "CASE WHEN rsi_high > rsi_low THEN greatest(0e0, least(100e0, 100 * (rsi14 - rsi_low) / (rsi_high - rsi_low))) END", "cci": "(tp - tp_mean) / (0.015e0 * nullif(tp_md, 0))",
      "ichimoku": "CASE WHEN coalesce(span_a, span_b) IS NULL THEN NULL WHEN close > greatest(span_a, span_b) THEN 1e0 WHEN close < least(span_a, span_b) THEN -1e0 ELSE 0e0 END"},
-    {"adx": ewm("dx", "i_dx", 1 / 14, 14)},
+    {"dx_kept": f"sum({_KEPT}) OVER (PARTITION BY ticker, blk ORDER BY date)", "dx_weight": _WEIGHT, **_inner(_SIGNAL)},
+    {"in_adx": "exp(dx_kept) * sum(dx_weight * dx * exp(-dx_kept)) OVER (PARTITION BY ticker, blk ORDER BY date)"},
+    {**_whole(_SIGNAL), "adx": f"CASE WHEN count(dx) {over()} >= 14 THEN coalesce(in_adx, 0e0) + exp(dx_kept) * {carried('in_adx', 1 / 14)} END"},
+    {"macd_hist": "macd_line - macd_signal"},
 )
 
 
@@ -95,55 +117,10 @@ AROON = Rel(
     "aroon",
     lambda q: f"""
     SELECT *, 100 * (25 - (i - hi_at)) / 25e0 AS aroon_up, 100 * (25 - (i - lo_at)) / 25e0 AS aroon_down
-    FROM (SELECT ticker, date, i, rd,
+    FROM (SELECT *,
                  CASE WHEN count(high) {over(25)} = 25 THEN min_by(i, CASE WHEN high IS NOT NULL THEN {q.row("-high", "i")} END) {over(25)} END AS hi_at,
                  CASE WHEN count(low) {over(25)} = 25 THEN min_by(i, CASE WHEN low IS NOT NULL THEN {q.row("low", "i")} END) {over(25)} END AS lo_at
-          FROM indicator_base) x""",
-    (BASE,),
-)
-show("in_aroon", AROON, "aroon_up", "aroon_down")
-
-#: Statistics of a series' tail, one row per ticker.
-TAIL = Rel(
-    "tail_stats",
-    """
-    SELECT ticker,
-           CASE WHEN count(CASE WHEN rd <= 120 THEN close END) >= 40 AND var_pop(CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END) > 0
-                THEN regr_r2(CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END, i) * CASE WHEN regr_slope(CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END, i) > 0 THEN 1 ELSE -1 END END AS trend_r2,
-           CASE WHEN count(CASE WHEN rd <= 40 THEN close END) >= 20 THEN 100 * regr_slope(CASE WHEN rd <= 40 THEN close END, i) / nullif(abs(avg(CASE WHEN rd <= 40 THEN close END)), 0) END AS slope40,
-           CASE WHEN count(CASE WHEN rd <= 252 THEN ret END) > 20 THEN stddev_samp(CASE WHEN rd <= 252 THEN ret END) * sqrt(252e0) END AS vol252,
-           CASE WHEN count(CASE WHEN rd <= 252 THEN close END) >= 20 THEN min(drawdown) END AS max_drawdown252
-    FROM (SELECT *, CASE WHEN rd <= 252 THEN close / nullif(max(CASE WHEN rd <= 252 THEN close END) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - 1 END AS drawdown
-          FROM indicator_base) x
-    GROUP BY ticker""",
-    (BASE,),
-)
-REG.rel("in_trend_r_squared", "SELECT ticker, round(trend_r2, 6) AS trend_r2 FROM tail_stats", TAIL)
-REG.rel("in_slope_pct", "SELECT ticker, round(slope40, 6) AS slope40 FROM tail_stats", TAIL)
-REG.rel("in_annualized_vol", "SELECT ticker, round(vol252, 6) AS vol252 FROM tail_stats", TAIL)
-REG.rel("in_max_drawdown", "SELECT ticker, round(max_drawdown252, 6) AS max_drawdown252 FROM tail_stats", TAIL)
-
-#: Supertrend of the last bar: a fold over a ticker's bars whose bands ratchet (the upper down while the trend is up, the lower up while it is down).
-SUPERTREND = Rel(
-    "supertrend",
-    lambda q: f"""
-    SELECT ticker, {_super(q)}.dir AS supertrend FROM (
-      SELECT ticker, {q.collect(q.record(dir="1e0", pu="cast(NULL AS double)", pl="cast(NULL AS double)", c="close", u="(high + low) / 2 + 3 * atr10", l="(high + low) / 2 - 3 * atr10"), "date")} AS bars_in
-      FROM indicators WHERE atr10 IS NOT NULL GROUP BY ticker) x""",
+          FROM indicators) x""",
     (INDICATORS,),
 )
-
-
-def _super(q) -> str:
-    """Bands compare with those of the bar before; before the first bar with bands the direction is up."""
-    null = "cast(NULL AS double)"
-    step = q.record(
-        dir="CASE WHEN b.c > coalesce(s.pu, b.u) THEN 1e0 WHEN b.c < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END",
-        pu="CASE WHEN s.pu IS NOT NULL AND s.dir > 0 THEN least(b.u, s.pu) ELSE b.u END",
-        pl="CASE WHEN s.pl IS NOT NULL AND s.dir < 0 THEN greatest(b.l, s.pl) ELSE b.l END",
-        c="b.c", u="b.u", l="b.l",
-    )
-    return f"({q.fold('bars_in', q.record(dir='1e0', pu=null, pl=null, c=null, u=null, l=null), step)})"
-
-
-REG.rel("in_supertrend", "SELECT ticker, supertrend FROM supertrend", SUPERTREND)
+show("in_aroon", AROON, "aroon_up", "aroon_down")

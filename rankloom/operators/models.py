@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.research import EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, SNAPSHOTS
+from rankloom.operators.research import CUTS, EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, SNAPSHOTS
 from rankloom.plans.rel import Registry, kept
 
 REG = Registry()
@@ -162,7 +162,7 @@ def predict_live(ranks: DataFrame, model: Ridge) -> DataFrame | None:
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(PANEL, spark, sf_dir)
+    return kept(PANEL, spark, sf_dir, CUTS)
 
 
 @REG.function
@@ -175,7 +175,7 @@ def md_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.function
 def ml_ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factor weights learnt by ridge, or by information coefficients where that gives none."""
-    weights = learn_weights(_panel(spark, sf_dir), LEARNED.over(spark, sf_dir, (SNAPSHOTS,)))
+    weights = learn_weights(_panel(spark, sf_dir), LEARNED.over(spark, sf_dir, CUTS))
     return spark.createDataFrame(list(weights.items()), "feature string, weight double")
 
 
@@ -226,7 +226,7 @@ def sc_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rankloom.operators.factors import FACTOR_VALUES, FACTORS, PENALTY_FLAGS
     from rankloom.operators.scoring import score
 
-    factors = kept(FACTORS, spark, sf_dir)
+    factors = kept(FACTORS, spark, sf_dir, CUTS)
     values, flags = FACTOR_VALUES.on(spark, factors=factors), PENALTY_FLAGS.on(spark, factors=factors)
     live = md_predict_live(spark, sf_dir).select("ticker", "model_score")
     model = factors.select("ticker", "sector").join(live, "ticker", "left").select("ticker", "sector", F.lit("model_score").alias("factor_id"), F.col("model_score").alias("raw"))

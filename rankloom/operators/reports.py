@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.operators.factors import FACTORS
 from rankloom.operators.scoring import DEFAULT, scorer
-from rankloom.operators.targets import RISK, WATCHED
-from rankloom.operators.factors import FEATURES
+from rankloom.operators.targets import CUTS, RISK, WATCHED
 from rankloom.plans.rel import Rel, Registry, kept
 
 _R = scorer(DEFAULT)
 _RANKING, _CONTRIBUTIONS, _CATEGORIES = _R["ranking"], _R["contributions"], _R["category_scores"]
-REG = Registry((FACTORS, FEATURES, WATCHED))
+REG = Registry(CUTS)
 
 REG.rel("rp_top", "SELECT ticker, rank, round(total_score, 5) AS total_score, pinned FROM ranking WHERE rank <= 15 OR pinned", _RANKING)
 REG.rel("rp_percentile", "SELECT ticker, rank, round(100e0 * rank / count(*) OVER (), 6) AS rank_percentile FROM ranking", _RANKING)
@@ -55,13 +54,13 @@ def export_json(spark: SparkSession, ranking: DataFrame, contributions: DataFram
 @REG.function
 def snk_llm_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON documents of the twenty best."""
-    cut = {"factors": kept(FACTORS, spark, sf_dir)}
+    cut = {"factors": kept(FACTORS, spark, sf_dir, CUTS)}
     return export_json(spark, _RANKING.on(spark, **cut), _CONTRIBUTIONS.on(spark, **cut))
 
 
 @REG.function
 def snk_dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's payload: one JSON text of the ranked rows and their categories (top lists only, so one row stays small)."""
-    cut = {"factors": kept(FACTORS, spark, sf_dir)}
+    cut = {"factors": kept(FACTORS, spark, sf_dir, CUTS)}
     rows = _RANKING.on(spark, **cut).where("rank <= 100")
     return spark.sql("SELECT to_json(struct(count(*) AS totalScored, array_sort(collect_list(struct(rank, ticker, sector, round(total_score, 2) AS score))) AS rows)) AS payload FROM {r}", r=rows)

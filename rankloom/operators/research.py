@@ -6,7 +6,7 @@ equality join: trading days are numbered, and each bar spans the numbers up to t
 
 from __future__ import annotations
 
-from rankloom.operators.factors import FACTORS, FORMULAS, PENALTIES
+from rankloom.operators.factors import CUTS, FACTORS, FORMULAS, PENALTIES
 from rankloom.operators.indicators import INDICATORS
 from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.plans.rel import Rel, Registry
@@ -93,7 +93,7 @@ DELTAS = Rel(
     (RANKED,),
 )
 
-REG.cuts = (SNAPSHOTS, PANEL)
+CUTS = REG.cuts = (*CUTS, SNAPSHOTS, PANEL)
 REG.rel("ml_snapshots", "SELECT ticker, snapshot, bar_date, " + ", ".join(f"round({f}, 5) AS {f}" for f in FEATURES) + " FROM snapshots", SNAPSHOTS)
 REG.rel("ml_labels", "SELECT ticker, snapshot, round(forward, 6) AS forward, round(excess, 6) AS excess FROM labelled", LABELLED)
 REG.rel("ml_ic_days", "SELECT feature, snapshot, n, round(ic, 6) AS ic FROM ic_days", IC_DAYS)
@@ -119,7 +119,6 @@ FEATURE_MATRIX = Rel(
     + " FROM weighted w JOIN factors p ON p.ticker = w.ticker GROUP BY w.ticker",
     (_W, FACTORS),
 )
-REG.cuts = (SNAPSHOTS, PANEL, FACTORS)
 REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 4) AS raw_{f}, round(score_{f}, 4) AS score_{f}, has_{f}" for f in _IDS[:12]) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
 REG.rel("src_previous_snapshot", "SELECT ticker, snapshot, round(score, 6) AS score FROM (SELECT *, max(CASE WHEN snapshot < 100 THEN snapshot END) OVER () AS wanted FROM snapshots) x WHERE snapshot = wanted", SNAPSHOTS)
 REG.rel("rp_sparkline", "SELECT ticker, rd, round(close, 8) AS close FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rd FROM bars) x WHERE rd <= 60", BARS)

@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from rankloom.functions.expr import bands, d
-from rankloom.operators.factors import FACTOR_VALUES, FACTORS, PENALTY_FLAGS
+from rankloom.operators.factors import CUTS, FACTOR_VALUES, PENALTY_FLAGS
 from rankloom.plans.rel import Rel, Registry
 
-REG = Registry((FACTORS,))
+REG = Registry(CUTS)
 
 
 @dataclass(frozen=True)

@@ -2,29 +2,10 @@
 
 from __future__ import annotations
 
-from rankloom.operators.indicators import AROON, INDICATORS, SUPERTREND, TAIL
+from rankloom.operators.profile import CUTS, LAST, SUPERTREND, TAIL
 from rankloom.plans.rel import Rel, Registry
 
-REG = Registry()
-
-
-def latest(x: str) -> str:
-    """The last value that isn't null."""
-    return f"max_by({x}, CASE WHEN {x} IS NOT NULL THEN date END)"
-
-
-_COLUMNS = ("close", "rsi14", "raw_k9", "stoch_rsi", "macd_line", "macd_signal", "adx", "plus_di", "minus_di", "williams", "cci", "roc12", "ultimate", "pct_b", "bb_width", "mfi", "donchian", "ichimoku", "atr14", "atr10",
-            *(f"{k}{n}" for n in (5, 10, 20, 50, 100, 200) for k in ("sma", "ema")), "sma150")
-
-#: Last values and recent volumes of each ticker.
-LAST = Rel(
-    "last_values",
-    "SELECT ticker, max(date) AS last_date, count(close) AS n, avg(CASE WHEN rd <= 20 THEN volume END) AS vol20, avg(CASE WHEN rd <= 60 THEN volume END) AS vol60, "
-    + ", ".join(f"{latest(c)} AS {c}" for c in _COLUMNS)
-    + " FROM indicators GROUP BY ticker",
-    (INDICATORS,),
-)
-_LAST_AROON = Rel("last_aroon", f"SELECT ticker, {latest('aroon_up')} AS aroon_up, {latest('aroon_down')} AS aroon_down FROM aroon GROUP BY ticker", (AROON,))
+REG = Registry(CUTS)
 
 
 def _sign(up: str, down: str) -> str:
@@ -61,8 +42,8 @@ VOTED = Rel(
     "votes",
     "SELECT l.ticker, last_date, n, "
     + ", ".join(f"{v} AS vote_{k}" for k, v in VOTES.items())
-    + " FROM last_values l LEFT JOIN last_aroon a ON a.ticker = l.ticker LEFT JOIN supertrend s ON s.ticker = l.ticker LEFT JOIN tail_stats t ON t.ticker = l.ticker WHERE n >= 30",
-    (LAST, _LAST_AROON, SUPERTREND, TAIL),
+    + " FROM last_values l LEFT JOIN supertrend s ON s.ticker = l.ticker LEFT JOIN tail_stats t ON t.ticker = l.ticker WHERE n >= 30",
+    (LAST, SUPERTREND, TAIL),
 )
 
 

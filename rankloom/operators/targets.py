@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rankloom.operators.factors import FACTORS, FEATURES
+from rankloom.operators.factors import CUTS
+from rankloom.operators.profile import FEATURES
 from rankloom.operators.indicators import BASE
 from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.plans.rel import Rel, Registry
@@ -113,7 +114,7 @@ RISK = Rel(
     (WATCHED, HITS),
 )
 
-REG.cuts = (FACTORS, FEATURES, WATCHED)
+CUTS = REG.cuts = (*CUTS, WATCHED)
 REG.rel("tg_swings", "SELECT ticker, date, is_high, is_low FROM swings WHERE inner_bar AND (is_high OR is_low)", SWINGS)
 REG.rel("tg_levels", "SELECT ticker, round(level, 5) AS level FROM levels", LEVELS)
 REG.rel("tg_short", "SELECT ticker, round(next_resistance, 4) AS next_resistance, round(short_target, 5) AS short_target FROM short_targets", SHORT)

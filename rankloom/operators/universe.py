@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from rankloom.operators.factors import FACTORS
+from rankloom.operators.factors import CUTS, FACTORS
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS, MENTIONS, SECURITIES
 
-REG = Registry((FACTORS,))
+REG = Registry(CUTS)
 
 #: Lowest and highest market capitalisation of each preset.
 PRESETS = {"micro": (5e7, 3e8), "smallcap": (3e8, 2e9), "midcap": (2e9, 1e10), "emerging": (2e8, 1e10), "largecap": (1e10, 2e11), "us": (5e7, 1e15)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.operators import factors, indicators, models, reports, research, scoring, signals, targets, universe
+from rankloom.operators import factors, indicators, models, profile, reports, research, scoring, signals, targets, universe
 
-_MODULES = (indicators, signals, factors, scoring, targets, universe, research, models, reports)
+_MODULES = (indicators, profile, signals, factors, scoring, targets, universe, research, models, reports)
 
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:

@@ -7,7 +7,9 @@ which results are held. ``Dialect`` has the few spellings in which the two diffe
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -31,8 +33,8 @@ class Spark:
         return f"percentile({x}, {p})"
 
     @staticmethod
-    def collect(x: str, order: str) -> str:
-        return f"transform(array_sort(collect_list(struct({order} AS o, {x} AS v))), s -> s.v)"
+    def collect(x: str, order: str, where: str = "TRUE") -> str:
+        return f"transform(array_sort(collect_list(struct({order} AS o, {x} AS v)) FILTER (WHERE {where})), s -> s.v)"
 
     @staticmethod
     def days(a: str, b: str) -> str:
@@ -96,8 +98,8 @@ class Duck(Spark):
         return f"quantile_cont({x}, {p})"
 
     @staticmethod
-    def collect(x: str, order: str) -> str:
-        return f"list({x} ORDER BY {order})"
+    def collect(x: str, order: str, where: str = "TRUE") -> str:
+        return f"list({x} ORDER BY {order}) FILTER (WHERE {where})"
 
     @staticmethod
     def days(a: str, b: str) -> str:
@@ -212,7 +214,7 @@ def _escaped(text: str) -> str:
 class Registry:
     """Registered relations, and functions for what one statement can't hold."""
 
-    #: Relations that are computed once a session and folder and checkpointed.
+    #: Relations that are computed once a session and folder and written; later ones may build on earlier ones.
     cuts: tuple[Rel, ...] = ()
     rels: dict[str, Rel] = field(default_factory=dict)
     functions: dict[str, Callable[[SparkSession, str], DataFrame]] = field(default_factory=dict)
@@ -236,15 +238,44 @@ class Registry:
         return f
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = getattr(spark, "_rankloom_kept", None) or "file://" + tempfile.mkdtemp(prefix="rankloom-")
+        spark._rankloom_kept = root
+    return root.rstrip("/")
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: a table that was written anew has another stamp."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(target)))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def kept(rel: Rel, spark: SparkSession, sf_dir: str, cuts: tuple[Rel, ...] = ()) -> DataFrame:
-    """A relation over a folder, checkpointed for the session's further queries: they plan over its rows, not over its long plan."""
-    key = (spark.sparkContext.applicationId, sf_dir, rel.name)
+    """A relation over a folder, written to the shared folder for the session's further queries: they plan over its rows, not over its long plan.
+
+    It is computed again when one of the tables it reads has changed; the rows are removed when the driver ends.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, rel.name, tuple((t, _stamp(spark, f"{sf_dir}/{t}.parquet")) for t in sorted(rel.tables())))
     if key not in _kept:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
-        _kept[key] = rel.over(spark, sf_dir, cuts).checkpoint()
+        path = f"{shared_dir(spark)}/{rel.name}-{uuid.uuid4().hex[:12]}"
+        rows = rel.over(spark, sf_dir, cuts[: cuts.index(rel)] if rel in cuts else cuts)
+        rows.write.parquet(path)
+        atexit.register(_remove, spark, path)
+        _kept[key] = spark.read.schema(rows.schema).parquet(path)
     return _kept[key]

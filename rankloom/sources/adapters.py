@@ -42,24 +42,28 @@ BARS = Rel(
 #: Benchmark: mean close of a day.
 BENCH = Rel("bench", "SELECT date, avg(close) AS bench_close FROM bars GROUP BY date", (BARS,))
 
-#: Revenue of each security and calendar quarter, latest first.
-INCOME = Rel(
-    "income",
+#: Sums of each security and calendar quarter: revenue, items, discounts, taxes and volume.
+QUARTERLY = Rel(
+    "quarterly",
     """
-    SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY y DESC, q DESC) AS quarter_rank, value
-    FROM (SELECT ticker, year(date) AS y, quarter(date) AS q, sum(l_extendedprice * (1 - l_discount)) AS value FROM ticks GROUP BY 1, 2, 3) x""",
+    SELECT ticker, year(date) AS y, quarter(date) AS q, sum(l_extendedprice * (1 - l_discount)) AS value, count(*) AS items, sum(l_discount) AS discounts, sum(l_tax) AS taxes, sum(l_quantity) AS volume
+    FROM ticks GROUP BY 1, 2, 3""",
     (TICKS,),
 )
 
+#: Revenue of each security and calendar quarter, latest first.
+INCOME = Rel("income", "SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY y DESC, q DESC) AS quarter_rank, 4 * y + q AS quarter, value FROM quarterly", (QUARTERLY,))
+
 SECURITIES = Rel(
     "securities",
     f"""
     SELECT {ticker("s_suppkey")} AS ticker, s_name AS name, r_name AS sector, n_name AS industry, s_suppkey AS k, s_acctbal AS cash,
-           m.market_cap, m.margin, m.total_volume
+           m.market_cap, m.margin, m.total_volume, m.total_revenue
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-    LEFT JOIN (SELECT ticker, sum(l_extendedprice * (1 - l_discount)) AS market_cap, 1 - avg(l_discount) - avg(l_tax) AS margin,
-                      sum(l_quantity) AS total_volume FROM ticks GROUP BY ticker) m ON m.ticker = {ticker("s_suppkey")}""",
-    (SUPPLIER, NATION, REGION, TICKS),
+    LEFT JOIN (SELECT ticker, sum(value) AS market_cap, 1 - sum(discounts) / sum(items) - sum(taxes) / sum(items) AS margin, sum(volume) AS total_volume,
+                      sum(CASE WHEN latest <= 4 THEN value END) AS total_revenue
+               FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY y DESC, q DESC) AS latest FROM quarterly) x GROUP BY ticker) m ON m.ticker = {ticker("s_suppkey")}""",
+    (SUPPLIER, NATION, REGION, QUARTERLY),
 )
 
 
@@ -81,7 +85,7 @@ FIGURES = {
 FUNDAMENTALS = Rel(
     "fundamentals",
     "SELECT *, (k * 37) % 90 AS days_to_earnings, market_cap * fcf_share AS free_cashflow, market_cap * ocf_share AS operating_cashflow, market_cap * debt_share AS total_debt, "
-    "greatest(cash, 0e0) * 1000 AS total_cash FROM (SELECT ticker, market_cap, cash, k, "
+    "total_revenue * profit_margin AS net_income, CASE WHEN k % 13 <> 0 THEN greatest(cash, 0e0) * 1000 END AS total_cash FROM (SELECT ticker, market_cap, total_revenue, cash, k, "
     + ", ".join(f"{_made(i, lo, hi)} AS {n}" for i, (n, (lo, hi)) in enumerate(FIGURES.items()))
     + " FROM securities) x",
     (SECURITIES,),
@@ -101,11 +105,18 @@ RATINGS = Rel(
 ESTIMATES = Rel(
     "estimates",
     "SELECT ticker, period, "
-    + ", ".join(f"CASE WHEN (k + j + {i}) % 9 <> 0 THEN {d(lo)} + {d(hi - lo)} * ((k * 7919 + j * 31 + {i} * 104729) % 1000) / 1000e0 END AS {n}" for i, (n, lo, hi) in enumerate((("eps_now", 0.5, 5), ("eps_30d", 0.5, 5), ("eps_90d", 0.5, 5), ("up_30d", 0, 8), ("down_30d", 0, 8), ("surprise", -0.4, 0.4))))
+    + ", ".join(f"CASE WHEN (k + j + {i}) % 9 <> 0 THEN {d(lo)} + {d(hi - lo)} * ((k * 7919 + j * 31 + {i} * 104729) % 1000) / 1000e0 END AS {n}" for i, (n, lo, hi) in enumerate((("eps_now", 0.5, 5), ("eps_30d", 0.5, 5), ("eps_90d", 0.5, 5), ("up_30d", 0, 8), ("down_30d", 0, 8))))
     + " FROM securities CROSS JOIN (SELECT '0q' AS period, 0 AS j UNION ALL SELECT '+1q', 1 UNION ALL SELECT '0y', 2 UNION ALL SELECT '+1y', 3) p",
     (SECURITIES,),
 )
 
+#: Earnings surprise of each security and quarter (a number that grows with time), deterministic, null for every ninth.
+EARNINGS = Rel(
+    "earnings_history",
+    "SELECT i.ticker, i.quarter, CASE WHEN (s.k + i.quarter) % 9 <> 0 THEN -0.4e0 + 0.8e0 * ((s.k * 7919 + i.quarter * 31) % 1000) / 1000e0 END AS surprise FROM income i JOIN securities s ON s.ticker = i.ticker",
+    (INCOME, SECURITIES),
+)
+
 #: Mentions of each security and day of the event stream, the day before's, rank of the day and mean sentiment.
 MENTIONS = Rel(
     "mentions",
