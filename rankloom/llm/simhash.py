@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, sized, without
+from rankloom.llm.common import BROADCAST_BYTES, materialize, sized, without
 from rankloom.llm.components import Forest, connected_components, forest_batch
 
 #: Fixed value: generator polynomial of the (23, 12) Golay code.
@@ -192,13 +192,18 @@ def simhash_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text
     )
 
 
-#: Least shingle hashes by which a text meets others: texts of a similarity of 0.8 share none of them in 0.2 ** KEYS of
-#: cases, and never if they have under 5 * KEYS shingles. Values of a text's sketch.
-KEYS, SKETCH = 12, 96
-#: Others of a bucket a text is held against at first (all of them in a bucket of one more), and members of a block in larger ones.
-NEIGHBOURS, BLOCK = 15, 256
+#: Least shingle hashes by which a text meets others, and values of a text's sketch.
+KEYS, SKETCH = 32, 96
+#: Texts that share a hash up to which all pairs of them are compared; a hash that more texts hold is common.
+COMMON = 16
 #: Sketches this far below the limit still have their whole shingle sets compared (five standard errors).
 MARGIN = 0.2
+#: A text of which more than DENSE of the hashes are common is also compared with those that share one of its DENSE_KEYS
+#: least common ones. Other texts need no common hash: at a similarity of 0.8 their other hashes are at least 0.56
+#: similar, and all of 13 or more differ in about 0.44 ** 13 of cases.
+DENSE, DENSE_KEYS = 0.6, 10
+#: Texts of a block; bits of an odd sketch; how near the limit its estimate leaves a pair open (four standard errors).
+BLOCK, ODD_BITS, ODD_MARGIN = 8192, 2048, 0.06
 
 
 def _digests(text: str | None, words: int) -> np.ndarray:
@@ -243,124 +248,221 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, least sketch values, id) to pairs (a, b) of each row with the NEIGHBOURS before it in its part, and (part) of larger parts."""
-    part, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-    reach = NEIGHBOURS + 1
+    """Rows sorted by part to pairs (a, b, null, null) of the texts of a part of up to COMMON, and rows (text, null, part, number of the text's parts) of larger ones."""
+    held = [np.empty(0, np.int64)] * 3  # the unfinished part, at most COMMON rows of it
+    spilled = None  # a large part that goes on
+
+    def pairs(part, ids) -> pa.RecordBatch:
+        low, high = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lag in range(1, COMMON):
+            same = np.flatnonzero(part[lag:] == part[:-lag])
+            if not len(same):
+                break
+            x, y = ids[same], ids[same + lag]
+            low.append(np.minimum(x, y)[x != y])
+            high.append(np.maximum(x, y)[x != y])
+        both = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
+        n = both.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["a", "b", "part", "of"])
+
     for batch in batches:
-        held = len(part)
-        part, ids = np.concatenate([part, batch.column("part").to_numpy()]), np.concatenate([ids, batch.column("doc_id").to_numpy()])
-        left, right = [], []
-        for lag in range(1, reach + 1):
-            later = np.arange(max(held, lag), len(part))
-            later = later[part[later] == part[later - lag]]
-            if lag == reach:
-                large = np.unique(part[later])
-            else:
-                left.append(ids[later - lag])
-                right.append(ids[later])
-        a, b = np.concatenate(left), np.concatenate(right)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        keep = np.unique(np.stack([low, high])[:, low < high], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1]), pa.nulls(keep.shape[1], pa.int64())], names=["a", "b", "part"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(large), pa.int64()), pa.nulls(len(large), pa.int64()), pa.array(large)], names=["a", "b", "part"])
-        part, ids = part[-reach:], ids[-reach:]
-
-
-def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets on the left with all on the right."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    lengths = np.array([len(x) for x in left + right])
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    _, value, often = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
-    common = often > 1
-    value, of = (np.cumsum(common) - 1)[value][keep := common[value]], of[keep]
-    order = np.argsort(value, kind="stable")
-    value, of, n = value[order], of[order], int(common.sum())
-    for i in range(0, n, 4096):  # bounded memory, whatever the length of the sets
-        own = slice(*np.searchsorted(value, (i, i + 4096)))
-        has = np.zeros((len(lengths), min(4096, n - i)), np.float32)
-        has[of[own], value[own] - i] = 1
-        out += has[: len(left)] @ has[len(left) :].T
-    return out
-
-
-def _sides(table: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Rows of the two blocks of a group (the same ones where a block meets itself), and the sets of all rows."""
-    block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
-    return np.flatnonzero(block == i), np.flatnonzero(block == j), [np.frombuffer(x, kind) for x in table.column(column).to_pylist()]
-
-
-def _promising(least: float):
-    """Groups of sketches to their rows that have a partner of another component which may be similar."""
+        part, ids, of = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("part", "doc_id", "of")))
+        if not len(part):
+            continue
+        begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        sizes = np.diff(np.append(begins, len(part)))
+        large = (sizes > COMMON) | (part[begins] == spilled) if spilled is not None else sizes > COMMON
+        rows = np.repeat(large, sizes)
+        n = int(rows.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.nulls(n, pa.int64()), pa.array(part[rows]), pa.array(of[rows])], names=["a", "b", "part", "of"])
+        spilled = int(part[-1]) if large[-1] else None
+        open_rows = np.zeros(len(part), bool)
+        if not large[-1]:
+            open_rows[begins[-1] :] = True
+        done = ~rows & ~open_rows
+        yield pairs(part[done], ids[done])
+        held = [x[open_rows] for x in (part, ids, of)]
+    yield pairs(*held[:2])
+
+
+def odd_sketches(hashes: np.ndarray) -> tuple[int, list[int], list[bytes]]:
+    """(level, sizes, sketches) of a set of hashes at its level and the next: bits that tell whether an odd number of the members fall on each place.
+
+    Of two sets, the bits that differ estimate how many members only one of them has. A level keeps a 2 ** level-th
+    of the hashes, so that about ODD_BITS of them are left; sets whose levels are two apart are far from similar.
+    """
+    level = max(0, (len(hashes) // ODD_BITS).bit_length())
+    sizes, out = [], []
+    for at in (level, level + 1):
+        own = hashes[(hashes >> np.uint64(11)) & np.uint64((1 << at) - 1) == 0]
+        sizes.append(len(own))
+        odd = np.bincount((own & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return level, sizes, out
+
+
+def _odd_rows(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part, rows = batch.slice(i, 128), []
+                for t in part.column("text"):
+                    h = np.unique(_digests(t.as_py(), words))
+                    level, (n0, n1), (b0, b1) = odd_sketches(h)
+                    rows.append((len(h), level, n0, n1, b0, b1))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1"])
+
+    return texts.mapInArrow(run, "doc_id long, n long, level long, n0 long, n1 long, odd0 binary, odd1 binary")
+
+
+class _Block:
+    """Odd sketches of a group's rows, and which of them are known to be of one component."""
+
+    def __init__(self, table: pa.Table):
+        self.ids, self.n, self.level = (table.column(c).to_numpy() for c in ("doc_id", "n", "level"))
+        self.sizes = [table.column(c).to_numpy() for c in ("n0", "n1")]
+        self.odd = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(len(self.ids), ODD_BITS // 64) for c in ("odd0", "odd1")]
+        self.label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.degree = np.zeros(len(self.ids), np.int64)
+
+    def estimates(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Similarity of a row with others, from what they don't share at the higher of their levels."""
+        out = np.zeros(len(others))
+        for step in (-1, 0, 1):
+            k = np.flatnonzero(self.level[others] == self.level[i] + step)
+            if len(k):
+                own, theirs = int(step > 0), int(step < 0)
+                differ = np.bitwise_count(self.odd[own][i] ^ self.odd[theirs][others[k]]).sum(1, dtype=np.int64)
+                apart = -ODD_BITS / 2 * np.log1p(-np.minimum(2 * differ / ODD_BITS, 0.999))
+                both = self.sizes[own][i] + self.sizes[theirs][others[k]]
+                out[k] = (both - apart) / np.maximum(both + apart, 1e-9)
+        return out
+
+    def compare(self, left: np.ndarray, right: np.ndarray, least: float) -> None:
+        """Links between rows of the two sides, by ascending size so that few sizes are tried."""
+        left, right = (x[np.argsort(self.n[x], kind="stable")] for x in (left, right))
+        floor, n = least - ODD_MARGIN, self.n[right]
+        for i in left.tolist():
+            a, b = np.searchsorted(n, [floor * self.n[i], self.n[i] / floor + 1])
+            others = right[a:b]
+            others = others[self.label[others] != self.label[i]]
+            if not len(others):
+                continue
+            near = self.estimates(i, others)
+            sure = others[near >= least + ODD_MARGIN]
+            if len(sure):
+                _, first = np.unique(self.label[sure], return_index=True)
+                self.degree[i] += len(sure)
+                self.degree[sure] += 1
+                self.links.append((np.full(len(first), i), sure[first]))
+                self.label[np.isin(self.label, self.label[sure])] = self.label[i]
+            open_ = others[(near >= floor) & (near < least + ODD_MARGIN)]
+            if len(open_):
+                self.open.append((np.full(len(open_), i), open_))
+
+    def rows(self, part: int) -> pa.Table:
+        """(part, a, b, sure) links, sure or open, of different components so far; (part, hub, null, null) for the row with the most links."""
+        ends = lambda x, k: np.concatenate([p[k] for p in x]) if x else np.empty(0, np.int64)
+        a, b = (ends(self.links, k) for k in (0, 1))
+        x, y = (ends(self.open, k) for k in (0, 1))
+        apart = self.label[x] != self.label[y]
+        x, y = x[apart], y[apart]
+        hub = [int(self.ids[np.argmax(self.degree)])] if len(self.ids) else []
+        left, right = (np.concatenate([self.ids[p], self.ids[q]]) for p, q in ((a, x), (b, y)))
+        columns = {"a": pa.array([*left.tolist(), *hub], pa.int64()), "b": pa.array([*right.tolist(), *[None] * len(hub)], pa.int64()),
+                   "sure": pa.array([True] * len(a) + [False] * len(x) + [None] * len(hub), pa.bool_()), "degree": pa.array([None] * (len(a) + len(x)) + [int(self.degree.max())] * len(hub), pa.int64())}
+        return pa.table({"part": pa.array([part] * len(columns["a"]), pa.int64()), **columns})
+
+
+_LINKS = "part long, a long, b long, sure boolean, degree long"
+
+
+def _inner_links(least: float):
+    """A block's texts compared with one another."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right, sets = _sides(table, "sketch", "<u4")
-        if not len(left) or not len(right):
-            return table.slice(0, 0).drop_columns(["sketch"])
-        size, component = np.array([len(x) for x in sets]), table.column("component").to_numpy()
-        shared = _shared([sets[k] for k in left], [sets[k] for k in right])
-        # Complete sketches are compared by size; of two, the smaller one bounds what is shared.
-        near = (shared >= (least - MARGIN) * np.minimum(size[left][:, None], size[right])) & (component[left][:, None] != component[right])
-        active = np.zeros(len(sets), bool)
-        active[left[near.any(1)]] = active[right[near.any(0)]] = True
-        return table.filter(pa.array(active)).drop_columns(["sketch"])
+        own = _Block(table)
+        every = np.arange(len(own.ids))
+        own.compare(every, every, least)
+        return own.rows(table.column("part")[0].as_py())
 
     return run
 
 
-def _linked(least: float, words: int):
-    """Groups of texts to a forest of the pairs whose whole shingle sets are similar."""
+def _outer_links(least: float):
+    """A block's texts outside the part's largest component compared with a block of all."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        forest, ids = Forest(), table.column("doc_id").to_numpy()
-        if len(left) and len(right):
-            sets = [np.unique(_digests(t.as_py(), words)) for t in table.column("text")]
-            size = np.array([len(x) for x in sets])
-            shared = _shared([sets[k] for k in left], [sets[k] for k in right])
-            a, b = np.nonzero(shared / (size[left][:, None] + size[right] - shared) >= least)
-            forest.add_pairs(ids[left[a]], ids[right[b]])
-        a, b = forest.edges()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        own, role = _Block(table), table.column("role").to_numpy()
+        own.compare(np.flatnonzero(role == 0), np.flatnonzero(role == 1), least)
+        return own.rows(table.column("part")[0].as_py())
 
     return run
 
 
-def _large_parts(docs: DataFrame, table: DataFrame, large: DataFrame, edges: DataFrame, least: float, words: int) -> DataFrame | None:
-    """Links of the parts that more than NEIGHBOURS + 1 documents share: all members of different components, in pairs of blocks."""
-    n_large = large.count()
-    if not n_large:
-        return None
-    members = table.select(F.explode("parts").alias("part"), "doc_id").join(sized(large, n_large, 64), "part").distinct()
-    component = connected_components(edges)
-    members = materialize(members.join(component, F.col("doc_id") == F.col("node"), "left").select("part", "doc_id", F.coalesce("component", "doc_id").alias("component")), "large-parts")
-    sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    sizes = materialize(sizes.select("part", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "large-part-sizes")
-    placed = members.join(sized(sizes, sizes.count(), 64), "part").withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.col("blocks")))
-    with_sketch = placed.join(table.select("doc_id", "sketch"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = with_sketch.select("part", "doc_id", "component", "block", "sketch", other).select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sketch")
-    group = ["part", "i", "j"]
-    active = materialize(dealt.groupBy(*group).applyInArrow(_promising(least), "part long, i long, j long, block long, doc_id long, component long"), "large-part-active")
-    texts = docs.join(sized(wanted := materialize(active.select("doc_id").distinct(), "large-part-ids"), wanted.count(), 64), "doc_id", "left_semi")
-    links = active.drop("component").join(texts, "doc_id").groupBy(*group).applyInArrow(_linked(least, words), "a long, b long")
-    return materialize(links.where("a <> b").distinct(), "large-part-links")
-
-
-def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least: float, words: int, block: int) -> DataFrame:
+    """Links (a, b, sure) between texts that consist of common shingles mostly.
+
+    The texts of a common hash are compared block by block; where a hash has several blocks, all are then held
+    against its best-linked text, and those that are still outside its largest component against all others.
+    """
+    own = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("common"), F.max("of").alias("of"), F.slice(F.sort_array(F.collect_set("part")), 1, DENSE_KEYS).alias("parts"))
+    dense = materialize(own.where(F.col("common") > DENSE * F.col("of")).select("doc_id", "parts"), "dense-texts")
+    n_dense = dense.count()
+    odd = materialize(_odd_rows(texts.join(sized(dense.select("doc_id"), n_dense, 64), "doc_id", "left_semi"), words), "odd-sketches")
+    placed = materialize(dense.select("doc_id", F.explode("parts").alias("part")), "dense-parts")
+    sizes = materialize(placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("part", F.ceil(F.col("size") / block).cast("long").alias("blocks")), "dense-sizes")
+    n_parts, most = sizes.agg(F.count(F.lit(1)), F.max("blocks")).first()
+    blocked = placed.join(sized(sizes, n_parts, 64), "part").withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.col("blocks")))
+    whole = blocked.join(sized(odd, n_dense, 700), "doc_id")
+    found = materialize(whole.withColumn("component", F.col("doc_id")).groupBy("part", "block").applyInArrow(_inner_links(least), _LINKS), "dense-links")
+    out = found.where("b is not null").select("a", "b", "sure")
+    if (most or 0) <= 1:
+        return out
+    wide = whole.where("blocks > 1")
+    hubs = found.groupBy("part").agg(F.max_by("a", "degree").alias("hub"))
+    hub_rows = hubs.join(odd.toDF("hub", *[f"hub_{c}" for c in odd.columns[1:]]), "hub")
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "level", "n0", "n1", "odd0", "odd1"]
+        for batch in batches:
+            left, right = (pa.table([batch.column(c) for c in columns], names=names) for columns in (names, ["hub", *[f"hub_{c}" for c in names[1:]]]))
+            both = pa.concat_tables([left, right]).append_column("component", pa.array(np.arange(2 * batch.num_rows)))
+            own, k = _Block(both), batch.num_rows
+            near = np.array([own.estimates(i, np.array([k + i]))[0] for i in range(k)]) if k else np.empty(0)
+            keep = (near >= least - ODD_MARGIN) & (own.ids[:k] != own.ids[k:])
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[:k][keep]), pa.array(own.ids[k:][keep]), pa.array(near[keep] >= least + ODD_MARGIN)], names=["a", "b", "sure"])
+
+    joined = wide.join(F.broadcast(hub_rows) if n_parts * 1200 <= BROADCAST_BYTES else hub_rows, "part")
+    out = out.union(materialize(joined.select("doc_id", *odd.columns[1:], "hub", *[f"hub_{c}" for c in odd.columns[1:]]).mapInArrow(against, "a long, b long, sure boolean"), "hub-links"))
+    component = connected_components(links.union(out.where("sure").select("a", "b")))
+    marked = materialize(wide.join(component, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node"), "dense-marked")
+    main = marked.groupBy("part", "component").agg(F.count(F.lit(1)).alias("n_in")).groupBy("part").agg(F.max_by("component", F.struct("n_in", "component")).alias("main"))
+    marked = marked.join(sized(main, n_parts, 64), "part").withColumn("role", F.when(F.col("component") == F.col("main"), 1).otherwise(0).cast("long"))
+    outside = marked.where("role = 0").groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("few"))
+    marked = marked.join(sized(outside, n_parts, 64), "part")  # parts that are of one component go
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["part", "few_block", "block", "role", "component", *odd.columns]
+    few = marked.where("role = 0").withColumn("few_block", F.pmod(F.xxhash64("part", "doc_id"), F.col("few"))).withColumn("block", every("blocks")).select(columns)
+    many = marked.withColumn("role", F.lit(1).cast("long")).withColumn("few_block", every("few")).select(columns)
+    more = few.union(many).groupBy("part", "few_block", "block").applyInArrow(_outer_links(least), _LINKS)
+    return out.union(materialize(more.where("b is not null and a <> b").select("a", "b", "sure"), "outer-links"))
+
+
+def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of documents whose union links all that share one of their least shingle hashes and are similar.
 
-    Sketches only rule pairs out; the others are verified on the whole shingle sets. Where up to NEIGHBOURS + 1
-    documents share a hash all pairs are compared. In a larger bucket each is first held against its neighbours
-    in sketch order; then all members that these pairs and the ``known`` links leave apart are compared in pairs
-    of blocks, which hand on only links.
+    Where up to COMMON documents share a hash all pairs are compared; documents that consist of common shingles
+    mostly are compared in blocks. Sketches only rule pairs out, or decide on pairs far from the limit in the
+    blocks; all others are verified on the whole shingle sets. No bucket is cut.
     """
     table = materialize(_sketches(docs, words, id_col, text_col), "sketches")
-    first = F.substring("sketch", 1, 16)
-    met = table.select(F.explode("parts").alias("part"), first.alias("first"), "doc_id").repartition("part").sortWithinPartitions("part", "first", "doc_id").select("part", "doc_id")
-    found = materialize(met.mapInArrow(_meet, "a long, b long, part long").distinct(), "part-pairs")
-    pairs = found.where("a is not null").select("a", "b")
+    met = table.select(F.explode("parts").alias("part"), "doc_id", F.size("parts").cast("long").alias("of")).repartition("part").sortWithinPartitions("part")
+    found = materialize(met.mapInArrow(_meet, "a long, b long, part long, of long"), "part-pairs")
+    pairs = found.where("part is null").select("a", "b").distinct()
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     own = table.select("doc_id", "sketch").join(wanted, "doc_id", "left_semi")
     both = pairs.join(own.toDF("a", "sketch_a"), "a").join(own.toDF("b", "sketch_b"), "b")
@@ -370,12 +472,14 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
             x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
             whole = np.array([max(len(p), len(q)) < 4 * SKETCH for p, q in zip(x, y)], bool)
             good = np.array([similarity(p, q) for p, q in zip(x, y)]) >= np.where(whole, least, least - MARGIN)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(whole)], names=["a", "b", "sure"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(whole)], names=["a", "b", "sure"]).filter(pa.array(good, pa.bool_()))
 
     sifted = materialize(both.mapInArrow(sift, "a long, b long, sure boolean"), "sifted-pairs")  # so no task runs two Python workers
-    open_ = sifted.where("not sure").select("a", "b").distinct()
-    ids = materialize(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct(), "open-ids")
     texts = _texts(docs, id_col, text_col)
+    members = found.where("part is not null").select(F.col("a").alias("doc_id"), "part", "of")
+    dense = _dense_links(texts, members, sifted.where("sure").select("a", "b"), least, words, block)
+    open_ = sifted.union(dense).where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ids = materialize(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct(), "open-ids")
     held = texts.join(sized(ids, ids.count(), 64), "doc_id", "left_semi")
     compared = open_.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
 
@@ -388,9 +492,8 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
                 good.append(shared / (len(p) + len(q) - shared) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = sifted.where("sure").select("a", "b").union(materialize(compared.mapInArrow(verify, "a long, b long"), "similar-pairs"))
-    more = _large_parts(texts, table, found.where("a is null").select("part").distinct(), links if known is None else links.union(known), least, words)
-    return links if more is None else links.union(more)
+    verified = materialize(compared.mapInArrow(verify, "a long, b long"), "similar-pairs")
+    return sifted.union(dense).where("sure").select("a", "b").union(verified)
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,6 +508,6 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col
     inner = prints.withColumn("salt", _salt()).join(cells, ["fp", "salt"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
     outer = cells.join(classes, "fp").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     known = materialize(link_fingerprints(classes).union(inner.union(outer).where("a <> b")), "fingerprint-links")
-    edges = known.union(similar_pairs(docs, least, words, id_col, text_col, known))
+    edges = known.union(similar_pairs(docs, least, words, id_col, text_col))
     dropped = materialize(connected_components(edges).where("node <> component").select(F.col("node").alias(id_col)), "near-dropped")
     return without(docs, dropped, id_col)

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 from rankloom.llm.components import Forest, connected_components
-from rankloom.llm.simhash import codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, parts_and_sketch, similar_pairs, similarity, simhash_groups
+from rankloom.llm.simhash import ODD_MARGIN, _Block, codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, odd_sketches, parts_and_sketch, similar_pairs, similarity, simhash_groups
 
 
 def brute_print(text):
@@ -145,6 +146,45 @@ def test_large_star_families_are_joined_whole(spark):
     assert all(exact(f[0], t) >= 0.8 for f in families for t in f)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == {0, len(families[0])}
+    links = similar_pairs(docs, block=150)  # several blocks: hubs, and what is outside the largest component
+    assert len({r.node for r in connected_components(links).collect()}) == len(texts) - 2
+
+
+def test_documents_that_share_a_passage_are_no_copies_but_their_copies_are(spark):
+    rng = random.Random(23)
+    passage = " ".join(f"p{i}" for i in range(150))
+    rows, copies = [], set()
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((10, 60, 250)))]
+        rows.append((10 * k, passage + " " + " ".join(words)))
+        if k % 5 == 0:
+            words[rng.randrange(len(words))] = "edited"
+            rows.append((10 * k + 1, passage + " " + " ".join(words)))
+    text = dict(rows)
+    want = Forest()
+    for i, x in rows:  # brute force
+        for j, y in rows:
+            if i < j and exact(x, y) >= 0.8:
+                want.union(i, j)
+    for block in (8192, 100):
+        got = Forest()
+        for r in similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block).collect():
+            got.union(r.a, r.b)
+            assert exact(text[r.a], text[r.b]) >= 0.8
+        assert {i: got.find(i) for i in text} == {i: want.find(i) for i in text}
+    assert copies <= set(text)
+
+
+def test_odd_sketches_estimate_similarity():
+    rng = np.random.default_rng(8)
+    for n in (30, 800, 3000, 20_000):
+        for shared in (0.5, 0.75, 0.89, 0.97):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(shared * n)], rng.integers(0, 1 << 63, n - int(shared * n)).astype(np.uint64)]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            rows = [(len(x), (o := odd_sketches(x))[0], *o[1], *o[2]) for x in (a, b)]
+            table = pa.table([[0, 1], *map(list, zip(*rows)), [0, 1]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "component"])
+            assert abs(_Block(table).estimates(0, np.array([1]))[0] - true) < ODD_MARGIN
 
 
 def test_pairs_are_verified_on_whole_texts(spark):
