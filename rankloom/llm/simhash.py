@@ -201,9 +201,9 @@ MARGIN = 0.2
 #: A text of which more than DENSE of the hashes are common is also compared with those that share one of its DENSE_KEYS
 #: least common ones. Other texts need no common hash: at a similarity of 0.8 their other hashes are at least 0.56
 #: similar, and all of 13 or more differ in about 0.44 ** 13 of cases.
-DENSE, DENSE_KEYS = 0.6, 10
-#: Texts of a block; bits of an odd sketch; how near the limit its estimate leaves a pair open (four standard errors).
-BLOCK, ODD_BITS, ODD_MARGIN = 8192, 2048, 0.06
+DENSE, DENSE_KEYS = 0.6, 8
+#: Texts of a block; bits of an odd sketch; standard errors around the limit within which its estimate leaves a pair open.
+BLOCK, ODD_BITS, ERRORS = 8192, 2048, 4.5
 
 
 def _digests(text: str | None, words: int) -> np.ndarray:
@@ -328,9 +328,9 @@ class _Block:
         self.open: list[tuple[np.ndarray, np.ndarray]] = []
         self.degree = np.zeros(len(self.ids), np.int64)
 
-    def estimates(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Similarity of a row with others, from what they don't share at the higher of their levels."""
-        out = np.zeros(len(others))
+    def estimates(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Similarity of a row with others, from what they don't share at the higher of their levels, and its standard error."""
+        out, error = np.zeros(len(others)), np.zeros(len(others))
         for step in (-1, 0, 1):
             k = np.flatnonzero(self.level[others] == self.level[i] + step)
             if len(k):
@@ -338,28 +338,33 @@ class _Block:
                 differ = np.bitwise_count(self.odd[own][i] ^ self.odd[theirs][others[k]]).sum(1, dtype=np.int64)
                 apart = -ODD_BITS / 2 * np.log1p(-np.minimum(2 * differ / ODD_BITS, 0.999))
                 both = self.sizes[own][i] + self.sizes[theirs][others[k]]
-                out[k] = (both - apart) / np.maximum(both + apart, 1e-9)
-        return out
+                all_ = np.maximum(both + apart, 1e-9)
+                out[k] = (both - apart) / all_
+                variance = (2 * both / all_**2) ** 2 * (2 * apart**2 / ODD_BITS + 0.25) * np.exp(np.minimum(4 * apart / ODD_BITS, 50))
+                if self.level[i] + max(step, 0) > 0:  # a share of the hashes stands for all
+                    variance += np.clip(out[k] * (1 - out[k]), 0, 1) * 2 / all_
+                error[k] = np.sqrt(variance)
+        return out, error
 
     def compare(self, left: np.ndarray, right: np.ndarray, least: float) -> None:
         """Links between rows of the two sides, by ascending size so that few sizes are tried."""
         left, right = (x[np.argsort(self.n[x], kind="stable")] for x in (left, right))
-        floor, n = least - ODD_MARGIN, self.n[right]
+        n = self.n[right]
         for i in left.tolist():
-            a, b = np.searchsorted(n, [floor * self.n[i], self.n[i] / floor + 1])
+            a, b = np.searchsorted(n, [least * self.n[i] - 1e-6, self.n[i] / least + 1e-6])
             others = right[a:b]
             others = others[self.label[others] != self.label[i]]
             if not len(others):
                 continue
-            near = self.estimates(i, others)
-            sure = others[near >= least + ODD_MARGIN]
+            near, error = self.estimates(i, others)
+            sure = others[near - ERRORS * error >= least]
             if len(sure):
                 _, first = np.unique(self.label[sure], return_index=True)
                 self.degree[i] += len(sure)
                 self.degree[sure] += 1
                 self.links.append((np.full(len(first), i), sure[first]))
                 self.label[np.isin(self.label, self.label[sure])] = self.label[i]
-            open_ = others[(near >= floor) & (near < least + ODD_MARGIN)]
+            open_ = others[abs(near - least) < ERRORS * error]
             if len(open_):
                 self.open.append((np.full(len(open_), i), open_))
 
@@ -432,9 +437,9 @@ def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least:
             left, right = (pa.table([batch.column(c) for c in columns], names=names) for columns in (names, ["hub", *[f"hub_{c}" for c in names[1:]]]))
             both = pa.concat_tables([left, right]).append_column("component", pa.array(np.arange(2 * batch.num_rows)))
             own, k = _Block(both), batch.num_rows
-            near = np.array([own.estimates(i, np.array([k + i]))[0] for i in range(k)]) if k else np.empty(0)
-            keep = (near >= least - ODD_MARGIN) & (own.ids[:k] != own.ids[k:])
-            yield pa.RecordBatch.from_arrays([pa.array(own.ids[:k][keep]), pa.array(own.ids[k:][keep]), pa.array(near[keep] >= least + ODD_MARGIN)], names=["a", "b", "sure"])
+            near, error = np.array([np.concatenate(own.estimates(i, np.array([k + i]))) for i in range(k)]).reshape(k, 2).T
+            keep = (near + ERRORS * error >= least) & (own.ids[:k] != own.ids[k:])
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[:k][keep]), pa.array(own.ids[k:][keep]), pa.array((near - ERRORS * error >= least)[keep])], names=["a", "b", "sure"])
 
     joined = wide.join(F.broadcast(hub_rows) if n_parts * 1200 <= BROADCAST_BYTES else hub_rows, "part")
     out = out.union(materialize(joined.select("doc_id", *odd.columns[1:], "hub", *[f"hub_{c}" for c in odd.columns[1:]]).mapInArrow(against, "a long, b long, sure boolean"), "hub-links"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from xxhash import xxh64_intdigest
 
 from rankloom.llm.components import Forest, connected_components
-from rankloom.llm.simhash import ODD_MARGIN, _Block, codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, odd_sketches, parts_and_sketch, similar_pairs, similarity, simhash_groups
+from rankloom.llm.simhash import ERRORS, _Block, codeword_indices, drop_near_copies, fingerprint, keys, link_fingerprints, odd_sketches, parts_and_sketch, similar_pairs, similarity, simhash_groups
 
 
 def brute_print(text):
@@ -153,18 +153,18 @@ def test_large_star_families_are_joined_whole(spark):
 def test_documents_that_share_a_passage_are_no_copies_but_their_copies_are(spark):
     rng = random.Random(23)
     passage = " ".join(f"p{i}" for i in range(150))
-    rows, copies = [], set()
-    for k in range(400):
+    rows = []
+    for k in range(240):
         words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((10, 60, 250)))]
         rows.append((10 * k, passage + " " + " ".join(words)))
         if k % 5 == 0:
             words[rng.randrange(len(words))] = "edited"
             rows.append((10 * k + 1, passage + " " + " ".join(words)))
-    text = dict(rows)
-    want = Forest()
-    for i, x in rows:  # brute force
-        for j, y in rows:
-            if i < j and exact(x, y) >= 0.8:
+    text, want = dict(rows), Forest()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    for i in text:  # brute force
+        for j in text:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 want.union(i, j)
     for block in (8192, 100):
         got = Forest()
@@ -172,7 +172,6 @@ def test_documents_that_share_a_passage_are_no_copies_but_their_copies_are(spark
             got.union(r.a, r.b)
             assert exact(text[r.a], text[r.b]) >= 0.8
         assert {i: got.find(i) for i in text} == {i: want.find(i) for i in text}
-    assert copies <= set(text)
 
 
 def test_odd_sketches_estimate_similarity():
@@ -184,7 +183,11 @@ def test_odd_sketches_estimate_similarity():
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             rows = [(len(x), (o := odd_sketches(x))[0], *o[1], *o[2]) for x in (a, b)]
             table = pa.table([[0, 1], *map(list, zip(*rows)), [0, 1]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "component"])
-            assert abs(_Block(table).estimates(0, np.array([1]))[0] - true) < ODD_MARGIN
+            near, error = _Block(table).estimates(0, np.array([1]))
+            if true >= 0.7:
+                assert abs(near[0] - true) < ERRORS * error[0] < 0.09
+            else:
+                assert near[0] - ERRORS * error[0] < 0.8
 
 
 def test_pairs_are_verified_on_whole_texts(spark):
