@@ -14,11 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.research import CUTS, EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, SNAPSHOTS
+from rankloom.operators.research import CUTS, EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, PANEL_DAYS
 from rankloom.plans.rel import Registry, kept
 
 REG = Registry()
 COLUMNS = tuple(f"x_{f}" for f in FEATURES)
+#: Fixed value: rows of a day from which it is learnt.
+LEAST_DAY = 8
 #: Fixed values of the promotion gate: folds, mean IC, ICIR, share of positive folds, lead over the baseline.
 GATE = {"folds": 3, "ic": 0.02, "icir": 0.30, "positive": 0.6, "lead": 0.005}
 
@@ -36,8 +38,10 @@ class Ridge:
         return sum(((F.col(f) - m) / s * w for f, m, s, w in zip(self.features, self.mean, self.sd, self.weights)), F.lit(0.0))
 
 
-def fit_ridge(panel: DataFrame, features: tuple[str, ...] = COLUMNS, alpha: float = 10.0, day: str = "snapshot", label: str = "y") -> Ridge | None:
-    """None for an empty panel. Labels are z-scored within a day, features over all rows; two passes, each one aggregate row."""
+def fit_ridge(panel: DataFrame, features: tuple[str, ...] = COLUMNS, alpha: float = 10.0, day: str = "snapshot", label: str = "y", by_day: bool = True) -> Ridge | None:
+    """None for an empty panel. Features are standardised over all rows; labels are z-scored within a day of LEAST_DAY rows or more (others teach nothing), or with ``by_day`` off taken as they are (the features' means being zero, an intercept changes no weight). Two passes, each one aggregate row."""
+    if by_day:
+        panel = panel.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(day))).where(f"__n >= {LEAST_DAY}").drop("__n")
     stats = panel.agg(F.count(F.lit(1)).alias("n"), *[a(f).alias(f"{k}{i}") for i, f in enumerate(features) for k, a in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not stats["n"]:
         return None
@@ -45,7 +49,7 @@ def fit_ridge(panel: DataFrame, features: tuple[str, ...] = COLUMNS, alpha: floa
     sd = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
     own = Window.partitionBy(day)
     spread = F.stddev_pop(label).over(own)
-    y = F.when(spread > 0, (F.col(label) - F.avg(label).over(own)) / spread).otherwise(0.0)
+    y = F.when(spread > 0, (F.col(label) - F.avg(label).over(own)) / spread).otherwise(0.0) if by_day else F.col(label)
     z = panel.select(*[((F.col(f) - m) / s).alias(f"z{i}") for i, (f, m, s) in enumerate(zip(features, mean, sd))], y.alias("zy"))
     k = len(features)
     sums = z.agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(F.col(f"z{i}") * F.col("zy")).alias(f"b{i}") for i in range(k)]).first()
@@ -56,7 +60,7 @@ def fit_ridge(panel: DataFrame, features: tuple[str, ...] = COLUMNS, alpha: floa
 
 def learn_weights(panel: DataFrame, fallback: DataFrame, least: int = 50) -> dict[str, float]:
     """Weights from a ridge's positive coefficients, normalised to 100; those of ``fallback`` (feature, weight) for fewer rows or none positive."""
-    m = fit_ridge(panel) if panel.limit(least).count() == least else None
+    m = fit_ridge(panel, by_day=False) if panel.limit(least).count() == least else None
     positive = {f.removeprefix("x_"): max(0.0, w) for f, w in zip(m.features, m.weights)} if m else {}
     if not any(positive.values()):
         return {r["feature"]: r["weight"] for r in fallback.collect()}
@@ -101,7 +105,7 @@ def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge") -> Da
     features = COLUMNS
     if model == "sequence":
         panel, features = with_window(panel)
-    numbered = panel.withColumn("t", F.dense_rank().over(Window.orderBy("snapshot")) - 1)
+    numbered = panel.join(F.broadcast(PANEL_DAYS.on(panel.sparkSession, panel=panel).select("snapshot", "t")), "snapshot")  # a row per snapshot
     out = None
     for f in folds.orderBy("fold").collect():
         train, test = numbered.where(F.col("t") < f["train_to"]), numbered.where((F.col("t") >= f["test_from"]) & (F.col("t") < f["test_to"]))
@@ -116,29 +120,33 @@ def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge") -> Da
     return out if out is not None else daily_metrics(numbered.limit(0).withColumn("prediction", F.lit(0.0))).withColumn("fold", F.lit(0))
 
 
+#: Weight of a fully trusted model, and the ICIR at which trust is full.
+FULL_WEIGHT, FULL_ICIR = 12.0, 1.0
+
+
 def suggested_weight(ic: float | None, icir: float | None) -> float:
-    """Weight of a model's score: none up to an IC of 0.02, then by ICIR up to 12."""
-    if ic is None or icir is None or ic <= GATE["ic"]:
-        return 0.0
-    return round(min(12.0, max(0.0, 12.0 * max(0.0, (icir - 0.30) / 0.7))), 1)
+    """Weight of a model's score: grows with the share of the way from the gate's ICIR to FULL_ICIR; none at or below the gate's IC."""
+    trusted = ic is not None and icir is not None and ic > GATE["ic"]
+    way = (icir - GATE["icir"]) / (FULL_ICIR - GATE["icir"]) if trusted else 0.0
+    return round(FULL_WEIGHT * float(np.clip(way, 0, 1)), 1)
+
+
+#: What a candidate must reach: name -> (its value, the bound), given its result and the champion's.
+DEMANDS = {
+    "folds": lambda r, champion: (r["folds"], GATE["folds"]),
+    "mean IC": lambda r, champion: (r["ic_mean"], GATE["ic"]),
+    "ICIR": lambda r, champion: (r["icir"], GATE["icir"]),
+    "positive folds": lambda r, champion: (r["positive_folds"], GATE["positive"] * max(1, r["folds"])),
+    "lead over the champion": lambda r, champion: (r["ic_mean"] - champion.get("ic_mean", 0.0), GATE["lead"]) if champion else (0.0, 0.0),
+}
 
 
 def promotion_check(result: dict, baseline: dict | None = None) -> tuple[bool, list[str]]:
-    """Whether a model may become champion, and what speaks against it."""
-    against = []
-    if not result.get("ok"):
-        against.append("evaluation failed")
-    if (result.get("folds") or 0) < GATE["folds"]:
-        against.append("too few folds")
-    if (result.get("ic_mean") or 0) < GATE["ic"]:
-        against.append("mean IC too low")
-    if (result.get("icir") or 0) < GATE["icir"]:
-        against.append("ICIR too low")
-    if (result.get("positive_folds") or 0) < GATE["positive"] * max(1, result.get("folds") or 0):
-        against.append("too few positive folds")
-    if baseline and (result.get("ic_mean") or 0) < (baseline.get("ic_mean") or 0) + GATE["lead"]:
-        against.append("no lead over the baseline")
-    return not against, against
+    """Whether a model may become champion, and the demands that it misses."""
+    known = {k: result.get(k) or 0 for k in ("folds", "ic_mean", "icir", "positive_folds")}
+    values = {name: demand(known, baseline) for name, demand in DEMANDS.items()}
+    missed = [name for name, (value, bound) in values.items() if value < bound]
+    return (not missed and bool(result.get("ok")), missed if result.get("ok") else ["evaluation", *missed])
 
 
 def promote(registry: str | None, name: str, result: dict) -> str:

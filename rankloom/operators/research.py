@@ -19,7 +19,7 @@ FEATURES = ("rsi14", "pct_b", "adx", "donchian", "roc12", "mom21", "mom63", "vol
 TRADING_DAYS = Rel("trading_days", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS g FROM (SELECT DISTINCT date FROM bars) x", (BARS,))
 _MARKED = Rel(
     "marked_bars",
-    f"""SELECT i.ticker, i.date, i.close, t.g, lead(t.g) OVER (PARTITION BY i.ticker ORDER BY i.date) AS g_next, max(t.g) OVER () AS g_last,
+    f"""SELECT i.ticker, i.date, i.close, t.g, lead(t.g) OVER (PARTITION BY i.ticker ORDER BY i.date) AS g_next, (SELECT max(g) FROM trading_days) AS g_last,
                lead(i.close, {HORIZON}) OVER (PARTITION BY i.ticker ORDER BY i.date) / nullif(i.close, 0) - 1 AS forward,
                i.rsi14, i.pct_b, i.adx, i.donchian, i.roc12, i.close / nullif(lag(i.close, 21) OVER (PARTITION BY i.ticker ORDER BY i.date), 0) - 1 AS mom21,
                i.close / nullif(lag(i.close, 63) OVER (PARTITION BY i.ticker ORDER BY i.date), 0) - 1 AS mom63, i.volume / nullif(avg(i.volume) OVER (PARTITION BY i.ticker ORDER BY i.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS vol_ratio
@@ -54,40 +54,56 @@ LEARNED = Rel(
     "SELECT feature, 100 * w / nullif(sum(w) OVER (), 0) AS weight FROM (SELECT feature, greatest(ic_mean, 0e0) * (greatest(0e0, least(2e0, abs(coalesce(icir, 0e0)))) / 2 + 0.5e0) AS w FROM ic) x",
     (IC,),
 )
-#: Rows of snapshots with at least 30 labelled securities; features ranked to -1..1 within the snapshot (ties by ticker), missing ones at the snapshot's median place.
+_FULL = Rel("panel_rows", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY snapshot) AS n FROM labelled WHERE excess IS NOT NULL) x WHERE n >= 30", (LABELLED,))
+
+
+def filled(feature: str) -> str:
+    """What a missing feature becomes: the middle score, no flag or penalty, else the column's median."""
+    if feature.startswith("score_"):
+        return "50e0"
+    return "0e0" if feature.startswith(("has_", "penalty_")) else f"(SELECT {feature} FROM panel_medians)"
+
+
+_MEDIANS = Rel("panel_medians", lambda q: "SELECT " + ", ".join(f"{q.middle(f)} AS {f}" for f in FEATURES) + " FROM panel_rows", (_FULL,))
+#: Rows of snapshots with at least 30 labelled securities; missing features filled, then ranked to -1..1 within the snapshot (ties by ticker).
 PANEL = Rel(
     "panel",
     "SELECT ticker, snapshot, excess AS y, "
     + ", ".join(f"CASE WHEN n < 2 THEN 0e0 ELSE 2e0 * (row_number() OVER (PARTITION BY snapshot ORDER BY {f}, ticker) - 1) / greatest(1, n - 1) - 1 END AS x_{f}" for f in FEATURES)
-    + " FROM (SELECT ticker, snapshot, excess, n, "
-    + ", ".join(f"coalesce({f}, median({f}) OVER (PARTITION BY snapshot)) AS {f}" for f in FEATURES)
-    + " FROM (SELECT *, count(*) OVER (PARTITION BY snapshot) AS n FROM labelled WHERE excess IS NOT NULL) x WHERE n >= 30) y",
-    (LABELLED,),
+    + " FROM (SELECT ticker, snapshot, excess, n, " + ", ".join(f"coalesce({f}, {filled(f)}) AS {f}" for f in FEATURES) + " FROM panel_rows) y",
+    (_FULL, _MEDIANS),
 )
+#: The panel's snapshots, numbered in order, with their rows.
+PANEL_DAYS = Rel("panel_days", "SELECT snapshot, n, row_number() OVER (ORDER BY snapshot) - 1 AS t FROM (SELECT snapshot, count(*) AS n FROM panel GROUP BY snapshot) x", (PANEL,))
 #: Walk-forward folds over the panel's snapshots in order: consecutive test blocks; training ends a horizon and an embargo before its block.
 _H = 1 + (EMBARGO + STEP - 1) // STEP  # snapshots that horizon and embargo span
+LEAST_TRAIN, LEAST_TEST = 100, 20  # rows of a fold's parts
 FOLDS = Rel(
     "folds",
     lambda q: f"""
-    SELECT fold, test_from, CASE WHEN fold = {SPLITS - 1} THEN n ELSE test_from + size END AS test_to, test_from - {_H} AS train_to
-    FROM (SELECT f.fold, n, size, n - ({SPLITS} - f.fold) * size AS test_from
-          FROM (SELECT count(DISTINCT snapshot) AS n, greatest(1, cast(floor((count(DISTINCT snapshot) - 20) / {SPLITS + 1}e0) AS bigint)) AS size FROM panel) c
-          CROSS JOIN (SELECT {q.explode(q.numbers("0", str(SPLITS - 1)))} AS fold) f WHERE n >= 20 + {SPLITS} + {_H}) x
-    WHERE test_from - {_H} >= 20""",
-    (PANEL,),
+    SELECT fold, test_from, test_to, train_to
+    FROM (SELECT fold, test_from, CASE WHEN fold = {SPLITS - 1} THEN n ELSE test_from + size END AS test_to, test_from - {_H} AS train_to
+          FROM (SELECT f.fold, n, size, n - ({SPLITS} - f.fold) * size AS test_from
+                FROM (SELECT count(*) AS n, greatest(1, cast(floor((count(*) - 20) / {SPLITS + 1}e0) AS bigint)) AS size FROM panel_days) c
+                CROSS JOIN (SELECT {q.explode(q.numbers("0", str(SPLITS - 1)))} AS fold) f WHERE n >= 20 + {SPLITS} + {_H}) x
+          WHERE test_from - {_H} >= 20) y
+    JOIN panel_days d ON d.t < y.test_to
+    GROUP BY fold, test_from, test_to, train_to
+    HAVING sum(CASE WHEN d.t < train_to THEN d.n ELSE 0 END) >= {LEAST_TRAIN} AND sum(CASE WHEN d.t >= test_from THEN d.n ELSE 0 END) >= {LEAST_TEST}""",
+    (PANEL_DAYS,),
 )
-_ORDERED = Rel("panel_ordered", "SELECT *, dense_rank() OVER (ORDER BY snapshot) - 1 AS t FROM panel", (PANEL,))
+_ORDERED = Rel("panel_ordered", "SELECT p.*, d.t FROM panel p JOIN panel_days d ON d.snapshot = p.snapshot", (PANEL, PANEL_DAYS))
 READY = Rel(
     "readiness",
     f"SELECT count(*) AS snapshots, (max(g) - min(g)) AS span, count(*) >= 30 AND max(g) - min(g) >= {HORIZON + 20} AS can_train, count(*) >= 60 AND max(g) - min(g) >= 120 AS can_validate, round(100e0 * least(1e0, count(*) / 60e0), 4) AS progress FROM (SELECT snapshot, snapshot * {STEP} AS g FROM snapshots GROUP BY snapshot) x",
     (SNAPSHOTS,),
 )
 #: Ranks of each snapshot by score, and each security's row of the snapshot before the latest that it was in.
-RANKED = Rel("snapshot_ranks", "SELECT ticker, snapshot, score, row_number() OVER (PARTITION BY snapshot ORDER BY score DESC NULLS LAST, ticker) AS rank, count(*) OVER (PARTITION BY snapshot) AS n, max(snapshot) OVER () AS latest FROM snapshots", (SNAPSHOTS,))
+RANKED = Rel("snapshot_ranks", "SELECT ticker, snapshot, score, row_number() OVER (PARTITION BY snapshot ORDER BY score DESC NULLS LAST, ticker) AS rank, count(*) OVER (PARTITION BY snapshot) AS n, (SELECT max(snapshot) FROM snapshots) AS latest FROM snapshots", (SNAPSHOTS,))
 DELTAS = Rel(
     "deltas",
-    """
-    SELECT c.ticker, c.rank, c.score, p.snapshot AS seen, p.ticker IS NULL AS is_new, c.score - p.score AS score_change, p.rank / cast(p.n AS double) * c.n - c.rank AS rank_change
+    lambda q: f"""
+    SELECT c.ticker, c.rank, c.score, p.snapshot AS seen, p.ticker IS NULL AS is_new, c.score - p.score AS score_change, p.rank AS prev_rank, {q.half_even("p.rank / cast(p.n AS double) * c.n - c.rank")} AS rank_change
     FROM (SELECT * FROM snapshot_ranks WHERE snapshot = latest) c
     LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY snapshot DESC) AS r FROM snapshot_ranks WHERE snapshot < latest) x WHERE r = 1) p ON p.ticker = c.ticker""",
     (RANKED,),
@@ -103,9 +119,19 @@ REG.rel("ml_panel", "SELECT ticker, snapshot, round(y, 6) AS y, " + ", ".join(f"
 REG.rel("ml_folds", "SELECT fold, test_from, test_to, train_to FROM folds", FOLDS)
 REG.rel("ml_fold_rows", "SELECT f.fold, CASE WHEN p.t < f.train_to THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM panel_ordered p CROSS JOIN folds f WHERE p.t < f.train_to OR (p.t >= f.test_from AND p.t < f.test_to) GROUP BY 1, 2", _ORDERED, FOLDS)
 REG.rel("ml_readiness", "SELECT * FROM readiness", READY)
-REG.rel("ml_sequences", lambda q: "SELECT ticker, snapshot, " + ", ".join(f"CASE WHEN k >= 4 THEN round(x_rsi14_{j}, 6) END AS x_rsi14_{j}" for j in range(4)) + " FROM (SELECT ticker, snapshot, row_number() OVER (PARTITION BY ticker ORDER BY snapshot) AS k, " + ", ".join(f"lag(x_rsi14, {j}) OVER (PARTITION BY ticker ORDER BY snapshot) AS x_rsi14_{j}" for j in range(4)) + " FROM panel) x WHERE k >= 4", PANEL)
-REG.rel("dl_last_seen", "SELECT ticker, max(snapshot) AS last_snapshot, count(*) AS n_snapshots FROM snapshot_ranks WHERE snapshot < latest GROUP BY ticker", RANKED)
-REG.rel("dl_deltas", "SELECT ticker, rank, seen, is_new, round(score_change, 6) AS score_change, cast(round(rank_change, 4) AS double) AS rank_change FROM deltas", DELTAS)
+
+
+def sequences(window: int = 10, least: int | None = None) -> Rel:
+    """Each panel row with its ticker's last ``window`` rows of all features (x_f_0 the row itself), padded with the first one; rows with fewer than ``least`` (a whole window) before and including them go."""
+    by = "OVER (PARTITION BY ticker ORDER BY snapshot)"
+    steps = [f"CASE WHEN k > {j} THEN lag(x_{f}, {j}) {by} ELSE first_value(x_{f}) {by} END AS x_{f}_{j}" for f in FEATURES for j in range(window)]
+    return Rel("sequences", f"SELECT * FROM (SELECT ticker, snapshot, y, k, {', '.join(steps)} FROM (SELECT *, row_number() {by} AS k FROM panel) x) z WHERE k >= {window if least is None else least}", (PANEL,))
+
+
+REG.rel("ml_sequences", "SELECT ticker, snapshot, round(y, 6) AS y, " + ", ".join(f"round(x_{f}_{j}, 6) AS x_{f}_{j}" for f in FEATURES for j in range(5)) + " FROM sequences", sequences(5, 2))
+REG.rel("dl_last_seen", "SELECT ticker, max(snapshot) AS last_snapshot, count(*) AS n_snapshots, max_by(rank, snapshot) AS rank, max_by(n, snapshot) AS n, round(max_by(rank / cast(n AS double), snapshot), 6) AS percentile FROM snapshot_ranks WHERE snapshot < latest GROUP BY ticker", RANKED)
+REG.rel("dl_counts", "SELECT sum(CASE WHEN rank_change > 0 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN rank_change < 0 THEN 1 ELSE 0 END) AS down, sum(CASE WHEN rank_change = 0 THEN 1 ELSE 0 END) AS same, sum(CASE WHEN is_new THEN 1 ELSE 0 END) AS new, count(*) AS n FROM deltas", DELTAS)
+REG.rel("dl_deltas", "SELECT ticker, rank, prev_rank, seen, is_new, round(score_change, 6) AS score_change, rank_change FROM deltas", DELTAS)
 REG.rel("dl_noise", lambda q: f"SELECT count(score_change) AS n, round({q.quantile('abs(score_change)', '0.5e0')}, 6) AS median_change, round({q.quantile('abs(score_change)', '0.9e0')}, 6) AS p90_change FROM deltas HAVING count(score_change) >= 20", DELTAS)
 REG.rel("ml_constant_features", "SELECT " + ", ".join(f"count(DISTINCT {f}) AS n_{f}" for f in FEATURES) + " FROM snapshots", SNAPSHOTS)
 
@@ -119,6 +145,6 @@ FEATURE_MATRIX = Rel(
     + " FROM weighted w JOIN factors p ON p.ticker = w.ticker GROUP BY w.ticker",
     (_W, FACTORS),
 )
-REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 4) AS raw_{f}, round(score_{f}, 4) AS score_{f}, has_{f}" for f in _IDS[:12]) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
-REG.rel("src_previous_snapshot", "SELECT ticker, snapshot, round(score, 6) AS score FROM (SELECT *, max(CASE WHEN snapshot < 100 THEN snapshot END) OVER () AS wanted FROM snapshots) x WHERE snapshot = wanted", SNAPSHOTS)
+REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 4) AS raw_{f}, round(score_{f}, 4) AS score_{f}, has_{f}" for f in _IDS) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
+REG.rel("src_previous_snapshot", "SELECT ticker, snapshot, round(score, 6) AS score FROM snapshots WHERE snapshot = (SELECT max(snapshot) FROM snapshots WHERE snapshot < (SELECT max(snapshot) FROM snapshots))", SNAPSHOTS)
 REG.rel("rp_sparkline", "SELECT ticker, rd, round(close, 8) AS close FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rd FROM bars) x WHERE rd <= 60", BARS)

@@ -1,8 +1,9 @@
 """Scoring: normalise factors across the universe, weight, redistribute, shrink, penalise and rank.
 
 ``scorer`` builds the relations for a configuration. They read ``factor_values`` (ticker, sector, factor_id,
-raw) and ``penalty_flags`` (ticker, penalty_id): windows by factor, then by ticker, so two shuffles whatever
-the number of factors. Configuration rows are literals that Spark broadcasts.
+raw) and ``penalty_flags`` (ticker, penalty_id). The universe is every ticker among the values; a row that is
+absent counts like one whose raw is null. Coverage and weights are one small relation of a row per factor,
+broadcast to a window by factor and an aggregate by ticker, whatever the number of factors.
 """
 
 from __future__ import annotations
@@ -83,16 +84,36 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
     label_of = "CASE " + " ".join(f"WHEN f.factor_id = '{f.id}' THEN {bands('raw', [(b, _text(t)) for b, _, t in f.bands], _text(f.bands[-1][2]))}" for f in banded) + " ELSE cast(NULL AS varchar(64)) END"
     if not banded:
         score_of, label_of = "cast(NULL AS double)", "cast(NULL AS varchar(64))"
+    config = Rel("factor_config", lambda q: f"SELECT * FROM {q.values(names, rows)} f")
+    universe = Rel("universe_count", f"SELECT count(DISTINCT ticker) AS n_universe FROM {values.name}", (values,))
+    #: Configured factors with the share of the universe that has a value.
+    stats = Rel(
+        "factor_stats",
+        f"""SELECT f.*, v.n_values, v.n_values / cast((SELECT n_universe FROM universe_count) AS double) AS coverage
+        FROM factor_config f JOIN (SELECT factor_id, count(raw) AS n_values FROM {values.name} GROUP BY factor_id) v ON v.factor_id = f.factor_id""",
+        (config, universe, values),
+    )
+    #: Factors that are covered well enough, their weights scaled to their cluster's budget and then to 100; none where they sum to zero.
+    active = Rel(
+        "active_factors",
+        f"""
+        SELECT *, 100 * scaled / total AS w
+        FROM (SELECT *, sum(scaled) OVER () AS total
+              FROM (SELECT *, CASE WHEN cluster IS NOT NULL AND n_cluster >= 2 AND in_cluster > 0 AND budget > 0 THEN weight * budget / in_cluster ELSE weight END AS scaled
+                    FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n_cluster, sum(weight) OVER (PARTITION BY cluster) AS in_cluster
+                          FROM factor_stats WHERE coverage >= {d(cfg.min_coverage)}) x) y) z
+        WHERE total > 0""",
+        (stats,),
+    )
     ranked = Rel(
         "ranked",
-        lambda q: f"""
-        SELECT v.ticker, v.sector, f.factor_id, f.category, f.norm, f.lower_better, f.weight, f.cluster, f.budget, v.raw, v.coverage,
-               CASE WHEN v.raw IS NULL THEN NULL WHEN v.n_values = 1 THEN 50e0 ELSE 100 * (v.low_rank + (v.n_equal - 1) / 2e0) / v.n_values END AS percentile,
+        f"""
+        SELECT v.ticker, v.sector, f.factor_id, f.category, f.norm, f.lower_better, f.weight, f.cluster, f.budget, v.raw, f.coverage,
+               CASE WHEN v.raw IS NULL THEN NULL WHEN f.n_values = 1 THEN 50e0 ELSE 100 * (v.low_rank + (v.n_equal - 1) / 2e0) / f.n_values END AS percentile,
                {score_of} AS band_score, {label_of} AS band_label
-        FROM (SELECT *, count(raw) OVER (PARTITION BY factor_id) AS n_values, count(raw) OVER (PARTITION BY factor_id) / cast(count(*) OVER (PARTITION BY factor_id) AS double) AS coverage,
-                     rank() OVER (PARTITION BY factor_id ORDER BY raw NULLS LAST) AS low_rank, count(*) OVER (PARTITION BY factor_id, raw) AS n_equal FROM {values.name}) v
-        JOIN {q.values(names, rows)} f ON f.factor_id = v.factor_id""",
-        (values,),
+        FROM (SELECT ticker, sector, factor_id, raw, rank() OVER (PARTITION BY factor_id ORDER BY raw NULLS LAST) AS low_rank, count(*) OVER (PARTITION BY factor_id, raw) AS n_equal FROM {values.name}) v
+        JOIN factor_stats f ON f.factor_id = v.factor_id""",
+        (values, stats),
     )
     neutral = f"norm = 'rank' AND category <> 'preference' AND {str(cfg.neutralize).upper()}"
     normalised = Rel(
@@ -105,23 +126,17 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
                     FROM ranked WHERE coverage >= {d(cfg.min_coverage)}) x) y""",
         (ranked,),
     )
-    weighted = Rel(
-        "weighted",
-        """
-        SELECT *, 100 * scaled / sum(scaled) OVER (PARTITION BY ticker) AS w
-        FROM (SELECT *, CASE WHEN cluster IS NOT NULL AND n_cluster >= 2 AND in_cluster > 0 AND budget > 0 THEN weight * budget / in_cluster ELSE weight END AS scaled
-              FROM (SELECT *, count(*) OVER (PARTITION BY ticker, cluster) AS n_cluster, sum(weight) OVER (PARTITION BY ticker, cluster) AS in_cluster FROM normalised) x) y""",
-        (normalised,),
-    )
+    weighted = Rel("weighted", "SELECT x.*, a.w FROM normalised x JOIN active_factors a ON a.factor_id = x.factor_id", (normalised, active))
     raw_base = "sum(CASE WHEN score IS NOT NULL THEN score * w END) / nullif(sum(CASE WHEN score IS NOT NULL THEN w END), 0)"
     coverage = "least(1e0, coalesce(sum(CASE WHEN score IS NOT NULL THEN w END), 0e0) / 100)"
     base = Rel(
         "base",
         f"SELECT ticker, max(sector) AS sector, {raw_base} AS base_raw, {coverage} AS coverage, "
         + (f"50 + ({raw_base} - 50) * power({coverage}, {d(cfg.shrink_power)})" if cfg.shrink_power > 0 else raw_base)
-        + " AS base FROM weighted GROUP BY ticker",
-        (weighted,),
+        + f" AS base FROM (SELECT ticker, sector, score, w FROM weighted UNION ALL SELECT ticker, sector, cast(NULL AS double), cast(NULL AS double) FROM {values.name} WHERE (SELECT count(*) FROM active_factors) > 0) x GROUP BY ticker",
+        (values, weighted, active),
     )
+    spread = Rel("base_spread", "SELECT CASE WHEN coalesce(stddev_pop(base), 0e0) < 1e-6 THEN 1e0 ELSE stddev_pop(base) END AS sigma FROM base", (base,))
     penalty_rows = [(_text(p), "cast(NULL AS double)" if s is None else d(s), d(pt)) for p, (s, pt) in cfg.penalties.items()] or [("'-'", "0e0", "0e0")]
     pins = ", ".join(_text(t) for t in cfg.pinned) or "'-'"
     scores = Rel(
@@ -129,15 +144,15 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
         lambda q: f"""
         SELECT *, greatest(0e0, least(100e0, base + penalty)) AS total_score, coverage < {d(cfg.min_confidence)} AS low_confidence
         FROM (SELECT b.*, b.ticker IN ({pins}) AS pinned, coalesce(h.n_penalties, 0) AS n_penalties, greatest({d(-abs(cfg.penalty_cap))}, coalesce(h.sigmas, 0e0) + coalesce(h.points, 0e0) / b.sigma) * b.sigma AS penalty
-              FROM (SELECT *, CASE WHEN coalesce(stddev_pop(base) OVER (), 0e0) < 1e-6 THEN 1e0 ELSE stddev_pop(base) OVER () END AS sigma FROM base) b
+              FROM (SELECT *, (SELECT sigma FROM base_spread) AS sigma FROM base) b
               LEFT JOIN (SELECT g.ticker, count(*) AS n_penalties, sum(coalesce(p.sigma, 0e0)) AS sigmas, sum(CASE WHEN p.sigma IS NULL THEN p.points ELSE 0e0 END) AS points
                          FROM {flags.name} g JOIN {q.values(("penalty_id", "sigma", "points"), penalty_rows)} p ON p.penalty_id = g.penalty_id GROUP BY g.ticker) h ON h.ticker = b.ticker) x""",
-        (base, flags),
+        (base, spread, flags),
     )
     ranking = Rel("ranking", f"SELECT *, row_number() OVER (ORDER BY total_score DESC NULLS LAST, ticker) AS rank FROM scores WHERE coverage >= {d(cfg.min_include)} OR pinned", (scores,))
     contributions = Rel("contributions", "SELECT ticker, factor_id, category, score, w, score * w / 100 AS contribution, band_label FROM weighted", (weighted,))
-    category_scores = Rel("category_scores", "SELECT ticker, category, sum(score * w) / sum(w) AS category_score FROM weighted WHERE score IS NOT NULL GROUP BY ticker, category", (weighted,))
-    return {r.name: r for r in (ranked, normalised, weighted, base, scores, ranking, contributions, category_scores)}
+    category_scores = Rel("category_scores", "SELECT ticker, category, sum(score * w) / nullif(sum(w), 0) AS category_score FROM weighted WHERE score IS NOT NULL GROUP BY ticker, category", (weighted,))
+    return {r.name: r for r in (stats, active, ranked, normalised, weighted, base, scores, ranking, contributions, category_scores)}
 
 
 def score(values: DataFrame, flags: DataFrame, cfg: Config = DEFAULT, want: str = "ranking") -> DataFrame:
@@ -147,10 +162,11 @@ def score(values: DataFrame, flags: DataFrame, cfg: Config = DEFAULT, want: str
 
 _R = scorer(DEFAULT)
 REG.rel("sc_percentile", "SELECT ticker, factor_id, round(coverage, 6) AS coverage, round(percentile, 6) AS percentile FROM ranked", _R["ranked"])
-REG.rel("sc_coverage", "SELECT factor_id, round(max(coverage), 6) AS coverage, max(coverage) < 0.15 AS auto_disabled FROM ranked GROUP BY factor_id", _R["ranked"])
+REG.rel("sc_coverage", "SELECT factor_id, round(coverage, 6) AS coverage, coverage < 0.15 AS auto_disabled FROM factor_stats", _R["factor_stats"])
 REG.rel("sc_bands", "SELECT ticker, factor_id, band_score, band_label FROM ranked WHERE band_label IS NOT NULL", _R["ranked"])
 REG.rel("sc_normalised", "SELECT ticker, factor_id, round(directed, 6) AS directed, round(score, 5) AS score FROM normalised", _R["normalised"])
-REG.rel("sc_weights", "SELECT DISTINCT factor_id, cluster, round(weight, 6) AS weight, round(w, 6) AS w FROM weighted", _R["weighted"])
+REG.rel("sc_weights", "SELECT factor_id, category, cluster, round(weight, 6) AS weight, round(w, 6) AS w, round(coverage, 4) AS coverage FROM active_factors", _R["active_factors"])
+REG.rel("sc_clusters", "SELECT cluster, count(*) AS members, round(max(in_cluster), 2) AS weight_before, round(max(budget), 2) AS weight_after, round(max(budget) / max(in_cluster), 3) AS scale FROM active_factors WHERE cluster IS NOT NULL AND n_cluster >= 2 AND in_cluster > 0 AND budget > 0 GROUP BY cluster", _R["active_factors"])
 REG.rel("sc_base", "SELECT ticker, round(base_raw, 5) AS base_raw, round(coverage, 6) AS coverage, round(base, 5) AS base FROM base", _R["base"])
 REG.rel("sc_penalties", "SELECT ticker, n_penalties, round(sigma, 5) AS sigma, round(penalty, 5) AS penalty FROM scores", _R["scores"])
 REG.rel("sc_ranking", "SELECT ticker, sector, round(base, 5) AS base, round(penalty, 5) AS penalty, round(total_score, 5) AS total_score, round(coverage, 6) AS coverage, low_confidence, rank FROM ranking", _R["ranking"])
@@ -158,3 +174,9 @@ REG.rel("sc_excluded", "SELECT ticker, round(coverage, 6) AS coverage FROM score
 REG.rel("sc_contributions", "SELECT ticker, factor_id, round(contribution, 5) AS contribution FROM contributions", _R["contributions"])
 REG.rel("sc_categories", "SELECT ticker, category, round(category_score, 5) AS category_score FROM category_scores", _R["category_scores"])
 REG.rel("sc_diagnostics", "SELECT count(*) AS universe_size, round(avg(coverage), 6) AS mean_coverage, round(max(sigma), 5) AS penalty_sigma, sum(CASE WHEN coverage < 0.55 THEN 1 ELSE 0 END) AS n_excluded, sum(CASE WHEN low_confidence THEN 1 ELSE 0 END) AS n_low_confidence, sum(n_penalties) AS n_penalties FROM scores", _R["scores"])
+
+#: The same values with two thirds of the rows left out by a rule, as a sparse source would have them; the result equals that of null rows.
+_SPARSE = Rel("sparse_values", "SELECT ticker, sector, factor_id, raw FROM factor_values WHERE (length(factor_id) + cast(substr(ticker, 2) AS int)) % 3 = 0 OR factor_id LIKE '%m%'", (FACTOR_VALUES,))
+_S = scorer(DEFAULT, _SPARSE)
+REG.rel("sc_sparse_ranking", "SELECT ticker, round(base, 5) AS base, round(penalty, 5) AS penalty, round(total_score, 5) AS total_score, round(coverage, 6) AS coverage, rank FROM ranking", _S["ranking"])
+REG.rel("sc_sparse_excluded", "SELECT ticker, round(coverage, 6) AS coverage FROM scores WHERE coverage < 0.55 AND NOT pinned", _S["scores"])

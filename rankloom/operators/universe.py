@@ -45,7 +45,8 @@ ROTATION = Rel("rotation", "SELECT *, row_number() OVER (ORDER BY CASE WHEN pinn
 REG.rel("un_rotation", "SELECT ticker, pinned, last_scan, place FROM rotation WHERE place <= greatest(n_pinned, 30)", ROTATION)
 REG.rel("un_coverage", "SELECT count(*) AS universe, sum(CASE WHEN last_scan IS NULL THEN 1 ELSE 0 END) AS never_scanned, count(last_scan) AS ever_scanned, round(100e0 * count(last_scan) / greatest(1, count(*)), 4) AS coverage_pct FROM scan_log", SCANS)
 REG.rel("un_scan_days", "SELECT last_scan, n FROM (SELECT last_scan, count(*) AS n, row_number() OVER (ORDER BY last_scan DESC) AS r FROM scan_log WHERE last_scan IS NOT NULL GROUP BY last_scan) x WHERE r <= 7", SCANS)
-_DAYS = Rel("days", "SELECT ticker, date, dense_rank() OVER (ORDER BY date DESC) AS day_back FROM bars", (BARS,))
+#: The last two trading days, and which tickers had a bar on them.
+_DAYS = Rel("days", "SELECT b.ticker, b.date, x.day_back FROM bars b JOIN (SELECT date, row_number() OVER (ORDER BY date DESC) AS day_back FROM (SELECT DISTINCT date FROM bars) u) x ON x.date = b.date WHERE x.day_back <= 2", (BARS,))
 REG.rel("un_disappeared", "SELECT ticker FROM days WHERE day_back = 2 EXCEPT SELECT ticker FROM days WHERE day_back = 1", _DAYS)
 REG.rel("src_cache_valid", "SELECT ticker, count(*) AS n_bars FROM bars GROUP BY ticker HAVING count(*) >= 30", BARS)
 REG.rel("src_backfill", "SELECT b.ticker, max(b.date) AS last_bar FROM bars b WHERE NOT EXISTS (SELECT 1 FROM scan_log s WHERE s.ticker = b.ticker AND s.last_scan >= 20240105) GROUP BY b.ticker", BARS, SCANS)
@@ -60,7 +61,7 @@ REASONS = Rel(
 )
 REG.rel("flt_reasons", "SELECT ticker, reason FROM reasons", REASONS)
 REG.rel("flt_histogram", "SELECT reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY reason", REASONS)
-REG.rel("flt_usable_bars", "SELECT ticker, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n_all, max(date) OVER (PARTITION BY ticker) AS last FROM bars WHERE close IS NOT NULL) x WHERE NOT (date = last AND last >= date '2001-10-25' AND n_all > 30) GROUP BY ticker HAVING count(*) >= 30", BARS)
+REG.rel("flt_usable_bars", "SELECT ticker, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n_all, max(date) OVER (PARTITION BY ticker) AS last FROM bars WHERE close IS NOT NULL) x WHERE NOT (date = last AND last >= (SELECT max(date) FROM bars) AND n_all > 30) GROUP BY ticker HAVING count(*) >= 30", BARS)
 REG.rel("prj_fold_text", lambda q: "SELECT raw, trim(" + q.replace_all("translate(lower(raw), 'ıçğöşüâå', 'icgosuaa')", " +", " ") + f") AS folded FROM {q.values(('raw',), [("'  Güçlü   Alış'",), ("'ÇOK Şey'",), ("'plain'",), ("''",)])} x")
 REG.rel("jn_mentions_sentiment", "SELECT coalesce(m.ticker, s.ticker) AS ticker, m.mentions, round(s.score, 6) AS score FROM (SELECT ticker, sum(mentions) AS mentions FROM mentions WHERE rank <= 40 GROUP BY ticker) m FULL OUTER JOIN (SELECT ticker, avg(sentiment_score) AS score FROM mentions WHERE rank > 30 GROUP BY ticker) s ON s.ticker = m.ticker", MENTIONS)
 REG.rel("jn_pinned", "SELECT f.ticker, s.ticker IS NOT NULL AS pinned FROM (SELECT ticker FROM factors) f LEFT JOIN (SELECT ticker FROM scan_log WHERE pinned) s ON s.ticker = f.ticker", FACTORS, SCANS)
