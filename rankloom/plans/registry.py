@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.operators import factors, indicators, models, profile, reports, research, scoring, signals, targets, universe
+from rankloom.operators import factor_oracles, factors, indicators, models, profile, reports, research, scoring, signals, targets, universe
 
 _MODULES = (indicators, profile, signals, factors, scoring, targets, universe, research, models, reports)
 
@@ -10,3 +10,4 @@ QUERIES, ORACLES = {}, {}
 for _m in _MODULES:
     QUERIES |= _m.REG.queries()
     ORACLES |= {n: r.sql() for n, r in _m.REG.rels.items()}
+ORACLES |= {f"fa_{n}": s for n, s in factor_oracles.SQL.items()}
