@@ -28,9 +28,9 @@ def roll(agg: str, x: str, n: int, least: int) -> str:
     return f"CASE WHEN count({x}) {over(n)} >= {least} THEN {agg}({x}) {over(n)} END"
 
 
-def mean(x: str, n: int) -> str:
-    """Simple moving average; half the window is enough."""
-    return roll("avg", x, n, max(2, n // 2))
+def mean(total: str, n: int) -> str:
+    """Simple moving average of a series without gaps, from its running total; half the window is enough."""
+    return f"CASE WHEN rn + 1 >= {max(2, n // 2)} THEN ({total} - coalesce(lag({total}, {n}) OVER (PARTITION BY {KEY} ORDER BY {ORDER}), 0e0)) / least(rn + 1, {n}) END"
 
 
 def lag(x: str, k: int = 1) -> str:

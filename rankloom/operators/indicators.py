@@ -26,7 +26,7 @@ def layers(name: str, source: Rel, *steps: dict[str, str]) -> Rel:
 BASE = layers(
     "indicator_base",
     Rel("closed_bars", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS rn FROM bars WHERE close IS NOT NULL", (BARS,)),
-    {"i": "rn", "blk": f"cast(floor(rn / {BLOCK}e0) AS bigint)", "pos": f"rn % {BLOCK}", "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "tp": "(high + low + close) / 3e0",
+    {"i": "rn", "total": f"sum(close) {over()}", "blk": f"cast(floor(rn / {BLOCK}e0) AS bigint)", "pos": f"rn % {BLOCK}", "pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "tp": "(high + low + close) / 3e0",
      "rd": "row_number() OVER (PARTITION BY ticker ORDER BY date DESC)", "n_bars": f"count(*) {whole()}"},
     {"tr": "greatest(high - low, abs(high - pc), abs(low - pc))", "up": "CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0e0) END", "down": "CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0e0) END",
      "plus_dm": "CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0e0 END", "minus_dm": "CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0e0 END",
@@ -51,7 +51,7 @@ def _whole(means: dict) -> dict[str, str]:
     return {k: ewm_whole(x, f"in_{k}", alpha, least) for k, (x, _, alpha, least) in means.items()}
 
 
-AVERAGES = layers("averages", BASE, _inner(_MEANS), {f"sma{n}": mean("close", n) for n in MA} | _whole(_MEANS))
+AVERAGES = layers("averages", BASE, _inner(_MEANS), {f"sma{n}": mean("total", n) for n in MA} | _whole(_MEANS))
 _KEPT, _WEIGHT = gap_steps("dx", "dx_gap", 1 / 14)
 _SIGNAL = {"macd_signal": ("macd_line", "i_macd = 0", span(9), 9)}
 
@@ -59,9 +59,9 @@ INDICATORS = layers(
     "indicators",
     BASE,
     _inner(_MEANS | _WILDER),
-    {**{f"sma{n}": mean("close", n) for n in MA}, **_whole(_MEANS | _WILDER),
+    {**{f"sma{n}": mean("total", n) for n in MA}, **_whole(_MEANS | _WILDER),
      "tp_mean": roll("avg", "tp", 20, 10), "sd20": roll("stddev_pop", "close", 20, 10), "obv": f"sum(coalesce(sign(close - pc) * volume, 0e0)) {over()}",
-     **{f"hh{n}": roll("max", "high", n, n // 2) for n in (9, 14, 20, 26, 52)}, **{f"ll{n}": roll("min", "low", n, n // 2) for n in (9, 14, 20, 26, 52)},
+     **{f"hh{n}": roll("max", "high", n, n // 2) for n in (9, 14, 20, 26)}, **{f"ll{n}": roll("min", "low", n, n // 2) for n in (9, 14, 20, 26)}, "top26": f"max(high) {over(26)}", "bottom26": f"min(low) {over(26)}", "seen_high": f"count(high) {over(52)}", "seen_low": f"count(low) {over(52)}",
      "flow_up": "CASE WHEN tp > ptp THEN tp * volume ELSE 0e0 END", "flow_down": "CASE WHEN tp < ptp THEN tp * volume ELSE 0e0 END",
      "drawdown": f"CASE WHEN rd <= 252 THEN close / nullif(max(CASE WHEN rd <= 252 THEN close END) {over()}, 0) - 1 END",
      **{f"uo{n}": f"({roll('sum', 'bp', n, n // 2)}) / nullif({roll('sum', 'tr', n, n // 2)}, 0)" for n in (7, 14, 28)}},
@@ -71,7 +71,7 @@ INDICATORS = layers(
      "tp_dev": "abs(tp - tp_mean)", "roc12": f"100 * (close / nullif({lag('close', 12)}, 0) - 1)", "ultimate": "100 * (4 * uo7 + 2 * uo14 + uo28) / 7",
      "bb_upper": "sma20 + 2 * sd20", "bb_lower": "sma20 - 2 * sd20", "donchian": "(close - ll20) / nullif(hh20 - ll20, 0)",
      "mfi_up": roll("sum", "flow_up", 14, 7), "mfi_down": roll("sum", "flow_down", 14, 7),
-     "mid9": "(hh9 + ll9) / 2", "mid26": "(hh26 + ll26) / 2", "mid52": "(hh52 + ll52) / 2"},
+     "mid9": "(hh9 + ll9) / 2", "mid26": "(hh26 + ll26) / 2", "mid52": f"CASE WHEN seen_high >= 26 AND seen_low >= 26 THEN (greatest(top26, {lag('top26', 26)}) + least(bottom26, {lag('bottom26', 26)})) / 2 END"},
     {"i_macd": f"CASE WHEN macd_line IS NOT NULL THEN count(macd_line) {over()} - 1 END", "dx": "100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0)", "stoch_k": roll("avg", "raw_k14", 3, 1),
      "rsi_low": roll("min", "rsi14", 14, 7), "rsi_high": roll("max", "rsi14", 14, 7), "tp_md": roll("avg", "tp_dev", 20, 10),
      "pct_b": "(close - bb_lower) / nullif(bb_upper - bb_lower, 0)", "bb_width": "nullif(bb_upper - bb_lower, 0) / nullif(sma20, 0)",

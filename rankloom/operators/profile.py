@@ -7,7 +7,7 @@ and every window and aggregate above them is evaluated once.
 from __future__ import annotations
 
 from rankloom.functions.expr import roll, whole
-from rankloom.operators.indicators import AROON, layers
+from rankloom.operators.indicators import INDICATORS, layers
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS, QUARTERLY
 
@@ -36,7 +36,7 @@ def latest(x: str) -> str:
 
 ROWS = layers(
     "feature_rows",
-    AROON,
+    INDICATORS,
     {"wr": "CASE WHEN bb_width IS NOT NULL THEN sum(CASE WHEN bb_width IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date DESC) END",
      "rm60": roll("max", "close", 60, 30), "below_i": f"max(CASE WHEN close <= sma150 THEN i END) {whole()}", "rel_n": f"count(sma150) {whole()}"},
     {"cur_width": f"max(CASE WHEN wr = 1 THEN bb_width END) {whole()}", "days_above": "CASE WHEN below_i IS NOT NULL THEN n_bars - 1 - below_i ELSE rel_n END"},
@@ -63,7 +63,7 @@ FEATURE_COLUMNS = {
 }
 #: Columns of which the signals read the last value.
 LAST_COLUMNS = ("close", "rsi14", "raw_k9", "stoch_rsi", "macd_line", "macd_signal", "adx", "plus_di", "minus_di", "williams", "cci", "roc12", "ultimate", "pct_b", "bb_width", "mfi", "donchian", "ichimoku", "atr14", "atr10",
-                "aroon_up", "aroon_down", *(f"{k}{n}" for n in (5, 10, 20, 50, 100, 200) for k in ("sma", "ema")), "sma150")
+                *(f"{k}{n}" for n in (5, 10, 20, 50, 100, 200) for k in ("sma", "ema")), "sma150")
 _LOG = "CASE WHEN rd <= 120 THEN ln(CASE WHEN close > 0 THEN close END) END"
 #: Columns of ``tail_stats``.
 TAIL_COLUMNS = {
@@ -81,14 +81,20 @@ def _bands(q) -> str:
     return q.collect(bar, "date", "atr10 IS NOT NULL")
 
 
+def _aroon(q, x: str, key: str) -> str:
+    """The last bar's share of 25 bars since the extreme of them, the oldest of equal ones."""
+    extreme = f"min_by(i, CASE WHEN rd <= 25 AND {x} IS NOT NULL THEN {q.row(key, 'i')} END)"
+    return f"CASE WHEN count(CASE WHEN rd <= 25 THEN {x} END) = 25 THEN 100 * (25 - (max(i) - {extreme})) / 25e0 END"
+
+
 PROFILE = Rel(
     "profile",
     lambda q: "SELECT ticker, " + ", ".join(f"{x} AS {c}" for c, x in FEATURE_COLUMNS.items()) + ", " + ", ".join(f"{latest(c)} AS last_{c}" for c in LAST_COLUMNS)
-    + ", " + ", ".join(f"{x} AS {c}" for c, x in TAIL_COLUMNS.items()) + f", {_bands(q)} AS bands FROM feature_rows GROUP BY ticker",
+    + ", " + ", ".join(f"{x} AS {c}" for c, x in TAIL_COLUMNS.items()) + f", {_aroon(q, 'high', '-high')} AS last_aroon_up, {_aroon(q, 'low', 'low')} AS last_aroon_down, {_bands(q)} AS bands FROM feature_rows GROUP BY ticker",
     (ROWS,),
 )
 FEATURES = Rel("features", f"SELECT ticker, {', '.join(FEATURE_COLUMNS)} FROM profile", (PROFILE,))
-LAST = Rel("last_values", f"SELECT ticker, last_date, n, vol20, vol60, {', '.join(f'last_{c} AS {c}' for c in LAST_COLUMNS)} FROM profile", (PROFILE,))
+LAST = Rel("last_values", f"SELECT ticker, last_date, n, vol20, vol60, {', '.join(f'last_{c} AS {c}' for c in (*LAST_COLUMNS, 'aroon_up', 'aroon_down'))} FROM profile", (PROFILE,))
 TAIL = Rel("tail_stats", f"SELECT ticker, {', '.join(TAIL_COLUMNS)} FROM profile", (PROFILE,))
 #: Supertrend of the last bar: a fold over a ticker's bars whose bands ratchet (the upper down while the trend is up, the lower up while it is down).
 SUPERTREND = Rel("supertrend", lambda q: f"SELECT ticker, {_super(q)}.dir AS supertrend FROM profile WHERE atr10_now IS NOT NULL", (PROFILE,))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.operators.factors import FACTORS
+from rankloom.operators.factors import FACTORS, FORMULAS, PENALTY_FLAGS
 from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.operators.targets import CUTS, RISK, WATCHED
 from rankloom.plans.rel import Rel, Registry, kept
+from rankloom.sources.adapters import SECURITIES
 
 _R = scorer(DEFAULT)
 _RANKING, _CONTRIBUTIONS, _CATEGORIES = _R["ranking"], _R["contributions"], _R["category_scores"]
@@ -40,27 +41,87 @@ TOPICS = {"momentum": "price_momentum_12_1", "trend": "trend_structure", "value"
 REG.rel("as_topics", lambda q: f"SELECT x.question, t.factor_id FROM {q.values(('question',), [("'which have strong momentum'",), ("'cash rich names'",), ("'best growth and value'",)])} x JOIN {q.values(('word', 'factor_id'), [(f"'{w}'", f"'{f}'") for w, f in TOPICS.items()])} t ON x.question LIKE concat('%', t.word, '%')")
 
 
-def export_json(spark: SparkSession, ranking: DataFrame, contributions: DataFrame, top: int = 20) -> DataFrame:
-    """One JSON document per ranked security: strengths (score from 70 on, five by contribution) and weaknesses (30 or less, five lowest)."""
+#: One wide row per ranked security: identity, scores, returns, and each factor's score and raw value.
+FLAT = Rel(
+    "flat_ranking",
+    "SELECT r.rank, r.ticker, f.name, r.sector, f.price, f.market_cap, r.total_score, r.base, r.penalty, r.coverage, f.return_1m, f.return_3m, f.return_6m, f.return_12m, "
+    + ", ".join(f"w.score__{f.id}, f.{f.id} AS raw__{f.id}" for f in DEFAULT.factors if f.id in FORMULAS)
+    + " FROM ranking r JOIN factors f ON f.ticker = r.ticker JOIN (SELECT ticker, " + ", ".join(f"max(CASE WHEN factor_id = '{f.id}' THEN score END) AS score__{f.id}" for f in DEFAULT.factors if f.id in FORMULAS)
+    + " FROM weighted GROUP BY ticker) w ON w.ticker = r.ticker",
+    (_RANKING, _R["weighted"], FACTORS),
+)
+REG.rel("snk_flat_ranking", "SELECT rank, ticker, name, sector, round(price, 8) AS price, round(total_score, 5) AS total_score, round(return_3m, 6) AS return_3m, " + ", ".join(f"round(score__{f.id}, 5) AS score__{f.id}, round(raw__{f.id}, 6) AS raw__{f.id}" for f in DEFAULT.factors if f.id in FORMULAS) + " FROM flat_ranking", FLAT)
+_SCORED = Rel("scored_factors", "SELECT a.factor_id, a.category, a.w, a.coverage, c.ticker, c.score, row_number() OVER (PARTITION BY a.factor_id ORDER BY round(c.score, 9) DESC, c.ticker) AS place FROM active_factors a JOIN contributions c ON c.factor_id = a.factor_id WHERE c.score IS NOT NULL", (_R["active_factors"], _CONTRIBUTIONS))
+REG.rel("as_explain_factor", "SELECT factor_id, category, round(w, 4) AS weight, round(coverage, 4) AS coverage, ticker, round(score, 5) AS score, place FROM scored_factors WHERE place <= 3", _SCORED)
+
+
+def find(pattern: str) -> Rel:
+    """Ranked securities whose ticker or name holds a text, whatever its case; exact tickers first."""
+    text = pattern.upper().replace("'", "''")
+    return Rel("found", f"SELECT r.ticker, f.name, r.rank, upper(r.ticker) = '{text}' AS exact FROM ranking r JOIN factors f ON f.ticker = r.ticker WHERE upper(r.ticker) LIKE '%{text}%' OR upper(f.name) LIKE '%{text}%'", (_RANKING, FACTORS))
+
+
+def by_price(low: float | None = None, high: float | None = None, top: int = 12) -> Rel:
+    """The best-ranked securities with a price above and below two bounds."""
+    tests = [f"f.price > {low}"] * (low is not None) + [f"f.price < {high}"] * (high is not None)
+    return Rel("by_price", f"SELECT * FROM (SELECT r.ticker, r.rank, f.price, row_number() OVER (ORDER BY r.rank) AS place FROM ranking r JOIN factors f ON f.ticker = r.ticker{' WHERE ' * bool(tests)}{' AND '.join(tests)}) x WHERE place <= {top}", (_RANKING, FACTORS))
+
+
+REG.rel("as_find", "SELECT ticker, name, rank, exact FROM found", find("00001"))
+REG.rel("as_price_above", "SELECT ticker, rank, round(price, 8) AS price FROM by_price", by_price(low=1400))
+REG.rel("as_overall_top", "SELECT ticker, rank, round(price, 8) AS price FROM by_price", by_price(top=10))
+REG.rel("as_scan_summary", "SELECT count(*) AS ranked, (SELECT count(*) FROM securities) AS universe, round(avg(total_score), 5) AS mean_score, round(avg(coverage), 6) AS mean_coverage, sum(CASE WHEN low_confidence THEN 1 ELSE 0 END) AS n_low, sum(CASE WHEN penalty < 0 THEN 1 ELSE 0 END) AS n_penalised FROM ranking", _RANKING, SECURITIES)
+REG.rel("rp_search", "SELECT r.ticker, f.name, r.sector, r.rank FROM ranking r JOIN factors f ON f.ticker = r.ticker WHERE r.sector = 'ASIA' AND (r.ticker LIKE '%1%' OR upper(f.name) LIKE '%1%')", _RANKING, FACTORS)
+
+
+def export_json(spark: SparkSession, ranking: DataFrame, contributions: DataFrame, categories: DataFrame, factors: DataFrame, flags: DataFrame, top: int = 30) -> DataFrame:
+    """One JSON document per ranked security: identity, scores, trailing returns, category scores, strengths (score from 70 on, five of the largest contribution), weaknesses (30 or less, five of the smallest contribution) and penalties."""
     return spark.sql(
-        """SELECT r.rank, to_json(struct(r.ticker, r.sector, round(r.total_score, 2) AS score, round(r.coverage, 3) AS coverage,
-             slice(transform(array_sort(filter(c.f, x -> x.score >= 70), (a, b) -> cast(sign(b.contribution - a.contribution) AS int)), x -> x.factor_id), 1, 5) AS strengths,
-             slice(transform(array_sort(filter(c.f, x -> x.score <= 30), (a, b) -> cast(sign(a.score - b.score) AS int)), x -> x.factor_id), 1, 5) AS weaknesses)) AS document
-           FROM {ranking} r JOIN (SELECT ticker, collect_list(struct(factor_id, score, contribution)) AS f FROM {contributions} WHERE score IS NOT NULL GROUP BY ticker) c ON c.ticker = r.ticker WHERE r.rank <= {top}""",
-        ranking=ranking, contributions=contributions, top=top,
+        """SELECT r.rank, to_json(struct(r.rank, r.ticker, f.name, r.sector, round(f.price, 4) AS price, round(r.total_score, 2) AS total_score, round(r.coverage, 3) AS coverage, r.low_confidence,
+             g.category_scores, named_struct('1m', round(f.return_1m, 4), '3m', round(f.return_3m, 4), '6m', round(f.return_6m, 4), '12m', round(f.return_12m, 4)) AS trailing_returns,
+             slice(array_sort(filter(c.f, x -> x.score >= 70), (a, b) -> cast(sign(b.contribution - a.contribution) AS int)), 1, 5) AS strengths,
+             slice(array_sort(filter(c.f, x -> x.score <= 30), (a, b) -> cast(sign(a.contribution - b.contribution) AS int)), 1, 5) AS weaknesses, coalesce(p.penalties, array()) AS penalties)) AS document
+           FROM {ranking} r JOIN {factors} f ON f.ticker = r.ticker
+           JOIN (SELECT ticker, array_sort(collect_list(struct(factor_id AS factor, round(score, 2) AS score, round(w, 2) AS weight, round(contribution, 3) AS contribution))) AS f FROM {contributions} WHERE score IS NOT NULL GROUP BY ticker) c ON c.ticker = r.ticker
+           LEFT JOIN (SELECT ticker, map_from_entries(array_sort(collect_list(struct(category, round(category_score, 1))))) AS category_scores FROM {categories} GROUP BY ticker) g ON g.ticker = r.ticker
+           LEFT JOIN (SELECT ticker, array_sort(collect_list(penalty_id)) AS penalties FROM {flags} GROUP BY ticker) p ON p.ticker = r.ticker
+           WHERE r.rank <= {top}""",
+        ranking=ranking, contributions=contributions, categories=categories, factors=factors, flags=flags, top=top,
+    )
+
+
+def methodology_json(spark: SparkSession, active: DataFrame, stats: DataFrame, universe: DataFrame, least: float = DEFAULT.min_coverage) -> DataFrame:
+    """One JSON document on how scores come about: active factors with weights and coverage, disabled ones, size of the universe."""
+    return spark.sql(
+        """SELECT to_json(struct('Weighted cross-sectional factors, each normalised to 0-100; the weight of missing factors goes to the others and the score shrinks to 50 with coverage.' AS description, array(0, 100) AS score_range,
+             (SELECT array_sort(collect_list(struct(factor_id AS id, category, round(w, 2) AS weight, round(coverage, 4) AS coverage))) FROM {active}) AS factors,
+             (SELECT array_sort(collect_list(struct(factor_id AS id, round(coverage, 4) AS coverage))) FROM {stats} WHERE coverage < {least}) AS auto_disabled_factors,
+             (SELECT n_universe FROM {universe}) AS universe_size)) AS document""",
+        active=active, stats=stats, universe=universe, least=least,
     )
 
 
 @REG.function
 def snk_llm_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON documents of the twenty best."""
+    """JSON documents of the thirty best."""
+    factors = kept(FACTORS, spark, sf_dir, CUTS)
+    cut = {"factors": factors}
+    return export_json(spark, _RANKING.on(spark, **cut), _CONTRIBUTIONS.on(spark, **cut), _CATEGORIES.on(spark, **cut), factors, PENALTY_FLAGS.on(spark, **cut))
+
+
+@REG.function
+def snk_methodology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export's head."""
     cut = {"factors": kept(FACTORS, spark, sf_dir, CUTS)}
-    return export_json(spark, _RANKING.on(spark, **cut), _CONTRIBUTIONS.on(spark, **cut))
+    return methodology_json(spark, *(_R[n].on(spark, **cut) for n in ("active_factors", "factor_stats", "universe_count")))
 
 
 @REG.function
 def snk_dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dashboard's payload: one JSON text of the ranked rows and their categories (top lists only, so one row stays small)."""
-    cut = {"factors": kept(FACTORS, spark, sf_dir, CUTS)}
-    rows = _RANKING.on(spark, **cut).where("rank <= 100")
-    return spark.sql("SELECT to_json(struct(count(*) AS totalScored, array_sort(collect_list(struct(rank, ticker, sector, round(total_score, 2) AS score))) AS rows)) AS payload FROM {r}", r=rows)
+    """The dashboard's payload: one JSON text with the number of all scored securities and the hundred best (a top list, so one row stays small)."""
+    rows = _RANKING.on(spark, factors=kept(FACTORS, spark, sf_dir, CUTS))
+    return spark.sql(
+        """SELECT to_json(struct((SELECT count(*) FROM {r}) AS totalScored, (SELECT round(max(total_score), 2) FROM {r}) AS best, (SELECT sum(CASE WHEN low_confidence THEN 1 ELSE 0 END) FROM {r}) AS lowConfidence,
+             array_sort(collect_list(struct(rank, ticker, sector, round(total_score, 2) AS score))) AS rows)) AS payload FROM {r} WHERE rank <= 100""",
+        r=rows,
+    )

@@ -145,6 +145,6 @@ FEATURE_MATRIX = Rel(
     + " FROM weighted w JOIN factors p ON p.ticker = w.ticker GROUP BY w.ticker",
     (_W, FACTORS),
 )
-REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 4) AS raw_{f}, round(score_{f}, 4) AS score_{f}, has_{f}" for f in _IDS) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
+REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 6) AS raw_{f}, round(score_{f}, 5) AS score_{f}, has_{f}" for f in _IDS) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
 REG.rel("src_previous_snapshot", "SELECT ticker, snapshot, round(score, 6) AS score FROM snapshots WHERE snapshot = (SELECT max(snapshot) FROM snapshots WHERE snapshot < (SELECT max(snapshot) FROM snapshots))", SNAPSHOTS)
 REG.rel("rp_sparkline", "SELECT ticker, rd, round(close, 8) AS close FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rd FROM bars) x WHERE rd <= 60", BARS)

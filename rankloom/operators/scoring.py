@@ -93,18 +93,16 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
         FROM factor_config f JOIN (SELECT factor_id, count(raw) AS n_values FROM {values.name} GROUP BY factor_id) v ON v.factor_id = f.factor_id""",
         (config, universe, values),
     )
-    #: Factors that are covered well enough, their weights scaled to their cluster's budget and then to 100; none where they sum to zero.
-    active = Rel(
-        "active_factors",
+    #: Factors that are covered well enough, with their weights scaled to their cluster's budget.
+    scaled = Rel(
+        "factor_scaled",
         f"""
-        SELECT *, 100 * scaled / total AS w
-        FROM (SELECT *, sum(scaled) OVER () AS total
-              FROM (SELECT *, CASE WHEN cluster IS NOT NULL AND n_cluster >= 2 AND in_cluster > 0 AND budget > 0 THEN weight * budget / in_cluster ELSE weight END AS scaled
-                    FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n_cluster, sum(weight) OVER (PARTITION BY cluster) AS in_cluster
-                          FROM factor_stats WHERE coverage >= {d(cfg.min_coverage)}) x) y) z
-        WHERE total > 0""",
+        SELECT *, CASE WHEN cluster IS NOT NULL AND n_cluster >= 2 AND in_cluster > 0 AND budget > 0 THEN weight * budget / in_cluster ELSE weight END AS scaled
+        FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n_cluster, sum(weight) OVER (PARTITION BY cluster) AS in_cluster FROM factor_stats WHERE coverage >= {d(cfg.min_coverage)}) x""",
         (stats,),
     )
+    #: Their weights scaled to 100; none where they sum to zero.
+    active = Rel("active_factors", "SELECT *, 100 * scaled / (SELECT sum(scaled) FROM factor_scaled) AS w FROM factor_scaled WHERE (SELECT sum(scaled) FROM factor_scaled) > 0", (scaled,))
     ranked = Rel(
         "ranked",
         f"""
@@ -152,7 +150,7 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
     ranking = Rel("ranking", f"SELECT *, row_number() OVER (ORDER BY total_score DESC NULLS LAST, ticker) AS rank FROM scores WHERE coverage >= {d(cfg.min_include)} OR pinned", (scores,))
     contributions = Rel("contributions", "SELECT ticker, factor_id, category, score, w, score * w / 100 AS contribution, band_label FROM weighted", (weighted,))
     category_scores = Rel("category_scores", "SELECT ticker, category, sum(score * w) / nullif(sum(w), 0) AS category_score FROM weighted WHERE score IS NOT NULL GROUP BY ticker, category", (weighted,))
-    return {r.name: r for r in (stats, active, ranked, normalised, weighted, base, scores, ranking, contributions, category_scores)}
+    return {r.name: r for r in (universe, stats, active, ranked, normalised, weighted, base, scores, ranking, contributions, category_scores)}
 
 
 def score(values: DataFrame, flags: DataFrame, cfg: Config = DEFAULT, want: str = "ranking") -> DataFrame:

@@ -99,7 +99,7 @@ _CELL, _ROW = re.compile(r"<t[dh][^>]*>(.*?)</t[dh]>", re.S | re.I), re.compile(
 
 
 def html_symbols(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Of each page's tables the column that looks most like symbols (20 matches and four fifths of its cells, most matches): page order, symbol."""
+    """Of each page's tables the column that looks most like symbols (20 matches and four fifths of its cells, most matches): hash of the page's text, symbol."""
     import pyarrow as pa
 
     def cells(batches):
@@ -112,8 +112,70 @@ def html_symbols(pages: DataFrame, html: str = "html") -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["page", "t", "c", "cell"])
 
-    found = pages.select(F.monotonically_increasing_id().alias("page"), F.col(html).alias("html")).mapInArrow(cells, "page long, t long, c long, cell string")
+    # A page is told by a hash of its text, so that the cells and what is counted over them name it alike whenever they are computed.
+    found = pages.select(F.xxhash64(html).alias("page"), F.col(html).alias("html")).distinct().mapInArrow(cells, "page long, t long, c long, cell string")
     match = F.col("cell").rlike(r"^[A-Z][A-Z.\-]{0,6}$").cast("int")
     best = found.groupBy("page", "t", "c").agg(F.sum(match).alias("hits"), F.count(F.lit(1)).alias("n")).where("hits >= 20 AND hits >= 0.8 * n")
     first = best.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("hits"), "t", "c"))).where("r = 1").select("page", "t", "c")
     return found.join(first, ["page", "t", "c"]).where(match == 1).select("page", F.regexp_replace("cell", r"\.", "-").alias("symbol"))
+
+
+def read_snapshots(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
+    """All snapshots of a store that is partitioned by date (the latest ``last`` of them); columns that a snapshot lacks are null."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return rows if last is None else retain(rows, last)
+
+
+def last_ranking(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot of a store, in rank order."""
+    return read_snapshots(spark, path, 1).orderBy("rank")
+
+
+def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
+    """Sentiment records (a JSON list of ticker, no_of_comments, sentiment and sentiment_score), symbols in upper case, the record of most comments each."""
+    schema = "ticker string, no_of_comments long, sentiment string, sentiment_score double"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).where("ticker is not null").withColumn("ticker", F.upper("ticker"))
+    best = F.struct(F.coalesce("no_of_comments", F.lit(0)), "sentiment", "sentiment_score")
+    return rows.groupBy("ticker").agg(F.max_by(F.struct("no_of_comments", "sentiment", "sentiment_score"), best).alias("r")).select("ticker", "r.*")
+
+
+def watchlist(positions: DataFrame, universe: DataFrame) -> DataFrame:
+    """The universe with every watched ticker in it: watched ones are pinned and come first."""
+    own = positions.select("ticker").where("ticker is not null").distinct()
+    rest = universe.join(own, "ticker", "left_anti").withColumn("pinned", F.lit(False))
+    return own.withColumn("pinned", F.lit(True)).unionByName(rest, allowMissingColumns=True)
+
+
+def position_history(positions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Each position's bars since it was added, with the gain since entry in percent."""
+    p, b = positions.select("ticker", "added_date", "entry_price"), bars.select("ticker", "date", "close")
+    held = b.join(p, "ticker").where("date >= added_date")
+    return held.withColumn("pnl_pct", 100 * (F.col("close") / F.nullif("entry_price", F.lit(0.0)) - 1))
+
+
+def record_scans(log: DataFrame, scanned: DataFrame, day: str) -> DataFrame:
+    """The scan log (ticker, last_scan) after a day's scan: a full outer merge in which a later day wins."""
+    today = scanned.select(F.upper("ticker").alias("ticker")).where("ticker is not null").distinct().withColumn("day", F.lit(day))
+    joined = log.groupBy("ticker").agg(F.max("last_scan").alias("last_scan")).join(today, "ticker", "full")
+    return joined.select("ticker", F.greatest("last_scan", "day").alias("last_scan"))
+
+
+def should_cache(bars: DataFrame, least: int = 30) -> DataFrame:
+    """Tickers whose answer is worth keeping: ``least`` bars with a close."""
+    return bars.where("close is not null").groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("ticker")
+
+
+def purge(cache: DataFrame, now: str, ttl_seconds: int, fetched: str = "fetched_at", namespace: str | None = None) -> DataFrame:
+    """What stays of a cache: entries within the time to live; with ``namespace`` all of that namespace go as well."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(fetched)
+    kept = cache.where(age <= ttl_seconds)
+    return kept if namespace is None else kept.where(~F.col("namespace").eqNullSafe(F.lit(namespace)))
+
+
+def run_status(ranking: DataFrame, universe: DataFrame, scanned: DataFrame, dropped: DataFrame) -> DataFrame:
+    """One row on a run: ranked, universe, scanned and dropped tickers, and whether anything was ranked."""
+    counts = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in ((ranking, "ranked"), (universe, "universe"), (scanned, "scanned"), (dropped, "dropped"))]
+    out = counts[0]
+    for c in counts[1:]:  # one row each
+        out = out.join(F.broadcast(c))
+    return out.withColumn("ok", F.col("ranked") > 0).withColumn("scanned_pct", F.round(100 * F.col("scanned") / F.greatest(F.lit(1), F.col("universe")), 1))

@@ -119,3 +119,61 @@ def test_empty_universe(spark):
     fv = spark.createDataFrame([], "ticker string, sector string, factor_id string, raw double")
     pf = spark.createDataFrame([], "ticker string, penalty_id string")
     assert score(fv, pf).count() == 0
+
+
+def universe(n=24):
+    values = {f"T{i}": {"a": float(i * 7 % 11), "b": float(i * i % 13), "c": float(i)} for i in range(n)}
+    for i in range(0, n, 5):
+        values[f"T{i}"]["a"] = None
+    for i in range(1, n, 4):
+        values[f"T{i}"]["c"] = None
+    return values
+
+
+@pytest.mark.parametrize("clusters", [(), (("k", 20.0, ("a", "b")),)])
+def test_absent_rows_equal_null_rows(spark, clusters):
+    cfg = Config(AB, {"bad": (-0.5, 0.0)}, clusters, neutralize=False, min_include=0.0)
+    sparse = {t: {f: v for f, v in own.items() if v is not None} for t, own in universe().items()}
+    for want in ("scores", "ranking"):
+        whole, left_out = run(spark, universe(), cfg, [("T3", "bad")], want), run(spark, sparse, cfg, [("T3", "bad")], want)
+        assert whole.keys() == left_out.keys()
+        for t, r in whole.items():
+            assert left_out[t].coverage == pytest.approx(r.coverage) and left_out[t].total_score == pytest.approx(r.total_score)
+    assert min(r.coverage for r in left_out.values()) < 1
+
+
+def test_weights_of_zero(spark):
+    none = Config(tuple(Factor(f.id, f.category, 0.0) for f in AB), neutralize=False, min_include=0.0)
+    assert run(spark, universe(), none) == {} and run(spark, universe(), none, want="scores") == {}
+    part = Config((Factor("a", "momentum", 10), Factor("b", "idle", 0)), neutralize=False, min_include=0.0)
+    assert len(run(spark, universe(), part)) == 24
+    rows = [(t, "Tech", f, v) for t, own in universe().items() for f, v in own.items()]
+    fv = spark.createDataFrame(rows, "ticker string, sector string, factor_id string, raw double")
+    got = score(fv, spark.createDataFrame([], "ticker string, penalty_id string"), part, "category_scores").collect()
+    assert all((r.category_score is None) == (r.category == "idle") for r in got)
+    assert run(spark, {}, part) == {}
+
+
+def test_configuration_files(spark, tmp_path):
+    from rankloom.sources.config import read_config, with_weights
+
+    (tmp_path / "w.yaml").write_text("""
+meta: {auto_disable_coverage_below: 0.2, sector_neutralize: false, penalty_total_cap_sigma: 1.5}
+factors:
+  - {id: a, category: momentum, weight: 60}
+  - {id: r, category: analyst, norm: band, direction: lower_better, bands: [{max: 2, score: 90, label: Buy}, {max: 5.1, score: 10, label: Sell}]}
+penalties: [{id: bad, sigma: -0.3}, {id: worse, points: -4}]
+clusters: [{id: k, budget: 5, members: [a, r]}]
+""")
+    cfg = read_config(spark, str(tmp_path / "w.yaml"))
+    assert cfg.factors == (Factor("a", "momentum", 60.0), Factor("r", "analyst", 1.0, "band", True, ((2.0, 90.0, "Buy"), (5.1, 10.0, "Sell"))))
+    assert (cfg.min_coverage, cfg.neutralize, cfg.penalty_cap, cfg.penalties, cfg.clusters) == (0.2, False, 1.5, {"bad": (-0.3, 0.0), "worse": (None, -4.0)}, (("k", 5.0, ("a", "r")),))
+    joined = with_weights(Config(AB, overrides={"a": 1.0}), {"a": 9.0, "b": 70.0, "zz": 1.0}, disabled=("c",))
+    assert joined.overrides == {"a": 1.0, "b": 70.0} and [f.id for f in joined.factors] == ["a", "b"]
+
+
+def test_ranks_follow_learned_weights(spark):
+    from rankloom.sources.config import with_weights
+
+    values = {f"T{i}": {"a": float(i), "b": float(-i), "c": 0.0} for i in range(10)}
+    assert run(spark, values, with_weights(Config(AB, neutralize=False, min_include=0.0), {"b": 900.0}))["T0"].rank == 1

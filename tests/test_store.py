@@ -66,3 +66,31 @@ def test_streams(spark, tmp_path):
     q = mention_windows(stream).writeStream.format("memory").queryName("mention_windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(mentions) AS n FROM mention_windows").first().n == events.count()
+
+
+def test_scan_log_cache_and_positions(spark):
+    log = spark.createDataFrame([("A", "2024-01-02"), ("B", "2024-01-05"), ("B", "2024-01-01")], "ticker string, last_scan string")
+    scanned = spark.createDataFrame([("a",), ("C",), (None,)], "ticker string")
+    assert {tuple(r) for r in store.record_scans(log, scanned, "2024-01-04").collect()} == {("A", "2024-01-04"), ("B", "2024-01-05"), ("C", "2024-01-04")}
+    bars = spark.createDataFrame([("A", f"2024-01-{d:02d}", float(d)) for d in range(1, 31)] + [("B", "2024-01-01", 1.0), ("B", "2024-01-02", None)], "ticker string, date string, close double")
+    assert [r.ticker for r in store.should_cache(bars).collect()] == ["A"]
+    positions = spark.createDataFrame([("A", "2024-01-28", 14.0), ("Z", "2024-01-01", 0.0)], "ticker string, added_date string, entry_price double")
+    assert [round(r.pnl_pct, 6) for r in store.position_history(positions, bars).orderBy("date").collect()] == [100.0, round(100 * (29 / 14 - 1), 6), round(100 * (30 / 14 - 1), 6)]
+    universe = spark.createDataFrame([("A", 1), ("B", 2)], "ticker string, pos int")
+    assert {(r.ticker, r.pinned) for r in store.watchlist(positions, universe).collect()} == {("A", True), ("Z", True), ("B", False)}
+    cache = spark.createDataFrame([("p", "k1", "2024-01-01 00:00:00"), ("p", "k2", "2024-01-02 00:00:00"), ("q", "k3", "2024-01-02 00:00:00")], "namespace string, key string, fetched_at string").selectExpr("namespace", "key", "timestamp(fetched_at) AS fetched_at")
+    assert {r.key for r in store.purge(cache, "2024-01-02 01:00:00", 7200).collect()} == {"k2", "k3"}
+    assert {r.key for r in store.purge(cache, "2024-01-02 01:00:00", 7200, namespace="p").collect()} == {"k3"}
+
+
+def test_snapshots_and_sentiment(spark, tmp_path):
+    for day, more in (("2024-01-01", ""), ("2024-01-02", ", 5 AS extra")):
+        store.refresh_partitions(spark, spark.sql(f"SELECT 'A' AS ticker, 1 AS rank, '{day}' AS date{more} UNION ALL SELECT 'B', 2, '{day}'{more[:3]}"), f"{tmp_path}/snapshots")
+    rows = store.read_snapshots(spark, f"{tmp_path}/snapshots")
+    assert rows.count() == 4 and rows.where("extra is null").count() == 2
+    assert [r.ticker for r in store.last_ranking(spark, f"{tmp_path}/snapshots").collect()] == ["A", "B"]
+    (tmp_path / "s.json").write_text('[{"ticker": "a", "no_of_comments": 2, "sentiment": "Bullish", "sentiment_score": 0.2}, {"ticker": "A", "no_of_comments": 9, "sentiment": "Bearish", "sentiment_score": -0.1}, {"ticker": null}]')
+    assert [tuple(r) for r in store.read_sentiment(spark, str(tmp_path / "s.json")).collect()] == [("A", 9, "Bearish", -0.1)]
+    one = spark.range(3).toDF("x")
+    status = store.run_status(one, spark.range(10), spark.range(4), spark.range(0)).first()
+    assert (status.ranked, status.universe, status.scanned, status.dropped, status.ok, status.scanned_pct) == (3, 10, 4, 0, True, 40.0)
