@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BROADCAST_BYTES, materialize, sized, without
+from rankloom.llm.common import materialize, sized, without
 from rankloom.llm.components import Forest, connected_components, forest_batch
 
 #: Fixed value: generator polynomial of the (23, 12) Golay code.
@@ -201,9 +201,10 @@ MARGIN = 0.2
 #: A text of which more than DENSE of the hashes are common is also compared with those that share one of its DENSE_KEYS
 #: least common ones. Other texts need no common hash: at a similarity of 0.8 their other hashes are at least 0.56
 #: similar, and all of 13 or more differ in about 0.44 ** 13 of cases.
-DENSE, DENSE_KEYS = 0.6, 8
-#: Texts of a block; bits of an odd sketch; standard errors around the limit within which its estimate leaves a pair open.
-BLOCK, ODD_BITS, ERRORS = 8192, 2048, 4.5
+DENSE, DENSE_KEYS = 0.6, 6
+#: Most texts and bytes of hashes of a block (on average); bits of an odd sketch; standard errors around the limit
+#: within which its estimate leaves a pair to the exact sets.
+BLOCK, BLOCK_BYTES, ODD_BITS, ERRORS = 8192, 48 << 20, 2048, 4.5
 
 
 def _digests(text: str | None, words: int) -> np.ndarray:
@@ -309,11 +310,11 @@ def _odd_rows(texts: DataFrame, words: int) -> DataFrame:
                 for t in part.column("text"):
                     h = np.unique(_digests(t.as_py(), words))
                     level, (n0, n1), (b0, b1) = odd_sketches(h)
-                    rows.append((len(h), level, n0, n1, b0, b1))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1"])
+                    rows.append((len(h), level, n0, n1, b0, b1, h.tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "hashes"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, level long, n0 long, n1 long, odd0 binary, odd1 binary")
+    return texts.mapInArrow(run, "doc_id long, n long, level long, n0 long, n1 long, odd0 binary, odd1 binary, hashes binary")
 
 
 class _Block:
@@ -324,8 +325,8 @@ class _Block:
         self.sizes = [table.column(c).to_numpy() for c in ("n0", "n1")]
         self.odd = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(len(self.ids), ODD_BITS // 64) for c in ("odd0", "odd1")]
         self.label = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.hashes = table.column("hashes").combine_chunks() if isinstance(table.column("hashes"), pa.ChunkedArray) else table.column("hashes")
+        self.links: list[tuple[int, int]] = []
         self.degree = np.zeros(len(self.ids), np.int64)
 
     def estimates(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,6 +347,12 @@ class _Block:
                 error[k] = np.sqrt(variance)
         return out, error
 
+    def exact(self, i: int, j: int) -> float:
+        """Similarity of two rows' whole sets."""
+        x, y = (np.frombuffer(self.hashes[k].as_buffer(), np.uint64) for k in (i, j))
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared / max(1, len(x) + len(y) - shared)
+
     def compare(self, left: np.ndarray, right: np.ndarray, least: float) -> None:
         """Links between rows of the two sides, by ascending size so that few sizes are tried."""
         left, right = (x[np.argsort(self.n[x], kind="stable")] for x in (left, right))
@@ -362,27 +369,25 @@ class _Block:
                 _, first = np.unique(self.label[sure], return_index=True)
                 self.degree[i] += len(sure)
                 self.degree[sure] += 1
-                self.links.append((np.full(len(first), i), sure[first]))
+                self.links += [(i, j) for j in sure[first].tolist()]
                 self.label[np.isin(self.label, self.label[sure])] = self.label[i]
-            open_ = others[abs(near - least) < ERRORS * error]
-            if len(open_):
-                self.open.append((np.full(len(open_), i), open_))
+            open_ = np.flatnonzero(abs(near - least) < ERRORS * error)
+            for j in others[open_[np.argsort(-near[open_], kind="stable")]].tolist():
+                if self.label[i] != self.label[j] and self.exact(i, j) >= least:
+                    self.degree[i] += 1
+                    self.degree[j] += 1
+                    self.links.append((i, j))
+                    self.label[self.label == self.label[j]] = self.label[i]
 
     def rows(self, part: int) -> pa.Table:
-        """(part, a, b, sure) links, sure or open, of different components so far; (part, hub, null, null) for the row with the most links."""
-        ends = lambda x, k: np.concatenate([p[k] for p in x]) if x else np.empty(0, np.int64)
-        a, b = (ends(self.links, k) for k in (0, 1))
-        x, y = (ends(self.open, k) for k in (0, 1))
-        apart = self.label[x] != self.label[y]
-        x, y = x[apart], y[apart]
-        hub = [int(self.ids[np.argmax(self.degree)])] if len(self.ids) else []
-        left, right = (np.concatenate([self.ids[p], self.ids[q]]) for p, q in ((a, x), (b, y)))
-        columns = {"a": pa.array([*left.tolist(), *hub], pa.int64()), "b": pa.array([*right.tolist(), *[None] * len(hub)], pa.int64()),
-                   "sure": pa.array([True] * len(a) + [False] * len(x) + [None] * len(hub), pa.bool_()), "degree": pa.array([None] * (len(a) + len(x)) + [int(self.degree.max())] * len(hub), pa.int64())}
-        return pa.table({"part": pa.array([part] * len(columns["a"]), pa.int64()), **columns})
+        """(part, a, b, null) links that join components, fewer than there are rows, and (part, hub, null, links) for the row with the most."""
+        a, b = np.array(self.links, np.int64).reshape(-1, 2).T
+        hub = int(np.argmax(self.degree))
+        return pa.table({"part": pa.array([part] * (len(a) + 1), pa.int64()), "a": pa.array([*self.ids[a].tolist(), int(self.ids[hub])], pa.int64()),
+                         "b": pa.array([*self.ids[b].tolist(), None], pa.int64()), "degree": pa.array([None] * len(a) + [int(self.degree[hub])], pa.int64())})
 
 
-_LINKS = "part long, a long, b long, sure boolean, degree long"
+_LINKS = "part long, a long, b long, degree long"
 
 
 def _inner_links(least: float):
@@ -409,7 +414,7 @@ def _outer_links(least: float):
 
 
 def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least: float, words: int, block: int) -> DataFrame:
-    """Links (a, b, sure) between texts that consist of common shingles mostly.
+    """Links (a, b) between texts that consist of common shingles mostly.
 
     The texts of a common hash are compared block by block; where a hash has several blocks, all are then held
     against its best-linked text, and those that are still outside its largest component against all others.
@@ -419,12 +424,14 @@ def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least:
     n_dense = dense.count()
     odd = materialize(_odd_rows(texts.join(sized(dense.select("doc_id"), n_dense, 64), "doc_id", "left_semi"), words), "odd-sketches")
     placed = materialize(dense.select("doc_id", F.explode("parts").alias("part")), "dense-parts")
-    sizes = materialize(placed.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("part", F.ceil(F.col("size") / block).cast("long").alias("blocks")), "dense-sizes")
+    counted = placed.join(sized(odd.select("doc_id", "n"), n_dense, 64), "doc_id").groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / block, 8 * F.col("hashes") / BLOCK_BYTES)).cast("long")
+    sizes = materialize(counted.select("part", blocks.alias("blocks")), "dense-sizes")
     n_parts, most = sizes.agg(F.count(F.lit(1)), F.max("blocks")).first()
     blocked = placed.join(sized(sizes, n_parts, 64), "part").withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.col("blocks")))
-    whole = blocked.join(sized(odd, n_dense, 700), "doc_id")
+    whole = blocked.join(odd, "doc_id")
     found = materialize(whole.withColumn("component", F.col("doc_id")).groupBy("part", "block").applyInArrow(_inner_links(least), _LINKS), "dense-links")
-    out = found.where("b is not null").select("a", "b", "sure")
+    out = found.where("b is not null").select("a", "b")
     if (most or 0) <= 1:
         return out
     wide = whole.where("blocks > 1")
@@ -432,18 +439,20 @@ def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least:
     hub_rows = hubs.join(odd.toDF("hub", *[f"hub_{c}" for c in odd.columns[1:]]), "hub")
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "level", "n0", "n1", "odd0", "odd1"]
+        names = ["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "hashes"]
         for batch in batches:
             left, right = (pa.table([batch.column(c) for c in columns], names=names) for columns in (names, ["hub", *[f"hub_{c}" for c in names[1:]]]))
             both = pa.concat_tables([left, right]).append_column("component", pa.array(np.arange(2 * batch.num_rows)))
             own, k = _Block(both), batch.num_rows
-            near, error = np.array([np.concatenate(own.estimates(i, np.array([k + i]))) for i in range(k)]).reshape(k, 2).T
-            keep = (near + ERRORS * error >= least) & (own.ids[:k] != own.ids[k:])
-            yield pa.RecordBatch.from_arrays([pa.array(own.ids[:k][keep]), pa.array(own.ids[k:][keep]), pa.array((near - ERRORS * error >= least)[keep])], names=["a", "b", "sure"])
-
-    joined = wide.join(F.broadcast(hub_rows) if n_parts * 1200 <= BROADCAST_BYTES else hub_rows, "part")
-    out = out.union(materialize(joined.select("doc_id", *odd.columns[1:], "hub", *[f"hub_{c}" for c in odd.columns[1:]]).mapInArrow(against, "a long, b long, sure boolean"), "hub-links"))
-    component = connected_components(links.union(out.where("sure").select("a", "b")))
+            keep = np.zeros(k, bool)
+            for i in np.flatnonzero(own.ids[:k] != own.ids[k:]).tolist():
+                near, error = own.estimates(i, np.array([k + i]))
+                keep[i] = near[0] + ERRORS * error[0] >= least and own.exact(i, k + i) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[:k][keep]), pa.array(own.ids[k:][keep])], names=["a", "b"])
+
+    joined = wide.join(hub_rows, "part")
+    out = out.union(materialize(joined.select("doc_id", *odd.columns[1:], "hub", *[f"hub_{c}" for c in odd.columns[1:]]).mapInArrow(against, "a long, b long"), "hub-links"))
+    component = connected_components(links.union(out))
     marked = materialize(wide.join(component, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node"), "dense-marked")
     main = marked.groupBy("part", "component").agg(F.count(F.lit(1)).alias("n_in")).groupBy("part").agg(F.max_by("component", F.struct("n_in", "component")).alias("main"))
     marked = marked.join(sized(main, n_parts, 64), "part").withColumn("role", F.when(F.col("component") == F.col("main"), 1).otherwise(0).cast("long"))
@@ -454,15 +463,16 @@ def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least:
     few = marked.where("role = 0").withColumn("few_block", F.pmod(F.xxhash64("part", "doc_id"), F.col("few"))).withColumn("block", every("blocks")).select(columns)
     many = marked.withColumn("role", F.lit(1).cast("long")).withColumn("few_block", every("few")).select(columns)
     more = few.union(many).groupBy("part", "few_block", "block").applyInArrow(_outer_links(least), _LINKS)
-    return out.union(materialize(more.where("b is not null and a <> b").select("a", "b", "sure"), "outer-links"))
+    return out.union(materialize(more.where("b is not null and a <> b").select("a", "b"), "outer-links"))
 
 
 def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of documents whose union links all that share one of their least shingle hashes and are similar.
 
     Where up to COMMON documents share a hash all pairs are compared; documents that consist of common shingles
-    mostly are compared in blocks. Sketches only rule pairs out, or decide on pairs far from the limit in the
-    blocks; all others are verified on the whole shingle sets. No bucket is cut.
+    mostly are compared in blocks, which hand on no more links than they have rows. Sketches only rule pairs out,
+    or decide on pairs far from the limit in the blocks; all others are verified on the whole shingle sets. No
+    bucket is cut.
     """
     table = materialize(_sketches(docs, words, id_col, text_col), "sketches")
     met = table.select(F.explode("parts").alias("part"), "doc_id", F.size("parts").cast("long").alias("of")).repartition("part").sortWithinPartitions("part")
@@ -483,7 +493,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
     texts = _texts(docs, id_col, text_col)
     members = found.where("part is not null").select(F.col("a").alias("doc_id"), "part", "of")
     dense = _dense_links(texts, members, sifted.where("sure").select("a", "b"), least, words, block)
-    open_ = sifted.union(dense).where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = sifted.where("not sure").select("a", "b").distinct()
     ids = materialize(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct(), "open-ids")
     held = texts.join(sized(ids, ids.count(), 64), "doc_id", "left_semi")
     compared = open_.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
@@ -498,7 +508,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     verified = materialize(compared.mapInArrow(verify, "a long, b long"), "similar-pairs")
-    return sifted.union(dense).where("sure").select("a", "b").union(verified)
+    return sifted.where("sure").select("a", "b").union(dense).union(verified)
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -181,9 +181,10 @@ def test_odd_sketches_estimate_similarity():
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             b = np.unique(np.concatenate([a[: int(shared * n)], rng.integers(0, 1 << 63, n - int(shared * n)).astype(np.uint64)]))
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            rows = [(len(x), (o := odd_sketches(x))[0], *o[1], *o[2]) for x in (a, b)]
-            table = pa.table([[0, 1], *map(list, zip(*rows)), [0, 1]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "component"])
+            rows = [(len(x), (o := odd_sketches(x))[0], *o[1], *o[2], x.tobytes()) for x in (a, b)]
+            table = pa.table([[0, 1], *map(list, zip(*rows)), [0, 1]], names=["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "hashes", "component"])
             near, error = _Block(table).estimates(0, np.array([1]))
+            assert _Block(table).exact(0, 1) == true
             if true >= 0.7:
                 assert abs(near[0] - true) < ERRORS * error[0] < 0.09
             else:
