@@ -9,18 +9,18 @@ from rankloom.operators.models import COLUMNS, daily_metrics, fit_ridge, predict
 from rankloom.operators.research import EMBARGO, FOLDS, HORIZON, STEP
 
 
-def panel(spark, signal, seed, days=60, n=60, change=False):
-    rng = np.random.default_rng(seed)
-    x = rng.standard_normal((days, n, len(COLUMNS)))
-    if change:
-        for t in range(1, days):
-            x[t] = 0.7 * x[t - 1] + x[t]
-        move = np.concatenate([np.zeros((1, n)), x[1:, :, 0] - x[:-1, :, 0]])
-        y = 1.2 * move + 0.7 * rng.standard_normal((days, n))
-    else:
-        y = signal * (x[..., 0] - x[..., 1]) + rng.standard_normal((days, n))
-    y -= y.mean(1, keepdims=True)
-    rows = [(f"T{i:03d}", t, float(y[t, i]), *map(float, x[t, i])) for t in range(days) for i in range(n)]
+def panel(spark, strength, seed, days=60, n=60, change=False):
+    """Securities with independent features; the label follows 3 parts of the first less 2 of the second, or, with ``change``, what the first gained since the snapshot before."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        shocks = rng.normal(size=(days, len(COLUMNS)))
+        features = np.empty_like(shocks)
+        for t in range(days):
+            features[t] = shocks[t] + (0.6 * features[t - 1] if change and t else 0)
+        gained = np.diff(features[:, 0], prepend=features[0, 0])
+        told = 1.5 * gained if change else strength * (3 * features[:, 0] - 2 * features[:, 1]) / 2
+        label = told + rng.normal(scale=0.8 if change else 1.0, size=days)
+        rows += [(f"T{i:03d}", t, float(label[t]), *map(float, features[t])) for t in range(days)]
     return spark.createDataFrame(rows, "ticker string, snapshot long, y double, " + ", ".join(f"{c} double" for c in COLUMNS))
 
 
