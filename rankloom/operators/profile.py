@@ -90,7 +90,7 @@ def _aroon(q, x: str, key: str) -> str:
 PROFILE = Rel(
     "profile",
     lambda q: "SELECT ticker, " + ", ".join(f"{x} AS {c}" for c, x in FEATURE_COLUMNS.items()) + ", " + ", ".join(f"{latest(c)} AS last_{c}" for c in LAST_COLUMNS)
-    + ", " + ", ".join(f"{x} AS {c}" for c, x in TAIL_COLUMNS.items()) + f", {_aroon(q, 'high', '-high')} AS last_aroon_up, {_aroon(q, 'low', 'low')} AS last_aroon_down, {_bands(q)} AS bands FROM feature_rows GROUP BY ticker",
+    + ", " + ", ".join(f"{x} AS {c}" for c, x in TAIL_COLUMNS.items()) + f", {_aroon(q, 'high', '-high')} AS last_aroon_up, {_aroon(q, 'low', 'low')} AS last_aroon_down, {_bands(q)} AS bands, {q.collect('date', 'date', 'atr10 IS NOT NULL')} AS band_dates FROM feature_rows GROUP BY ticker",
     (ROWS,),
 )
 FEATURES = Rel("features", f"SELECT ticker, {', '.join(FEATURE_COLUMNS)} FROM profile", (PROFILE,))
@@ -98,18 +98,26 @@ LAST = Rel("last_values", f"SELECT ticker, last_date, n, vol20, vol60, {', '.joi
 TAIL = Rel("tail_stats", f"SELECT ticker, {', '.join(TAIL_COLUMNS)} FROM profile", (PROFILE,))
 #: Supertrend of the last bar: a fold over a ticker's bars whose bands ratchet (the upper down while the trend is up, the lower up while it is down).
 SUPERTREND = Rel("supertrend", lambda q: f"SELECT ticker, {_super(q)}.dir AS supertrend FROM profile WHERE atr10_now IS NOT NULL", (PROFILE,))
-
-
-def _super(q) -> str:
-    """Bands compare with those of the bar before; before the first bar with bands the direction is up."""
-    null = "cast(NULL AS double)"
-    step = q.record(
-        dir="CASE WHEN b.c > coalesce(s.pu, b.u) THEN 1e0 WHEN b.c < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END",
-        pu="CASE WHEN s.pu IS NOT NULL AND s.dir > 0 THEN least(b.u, s.pu) ELSE b.u END",
-        pl="CASE WHEN s.pl IS NOT NULL AND s.dir < 0 THEN greatest(b.l, s.pl) ELSE b.l END",
-        c="b.c", u="b.u", l="b.l",
-    )
-    return f"({q.fold('bands', q.record(dir='1e0', pu=null, pl=null, c=null, u=null, l=null), step)})"
+#: Supertrend of every bar that has an average range (those before have no row): the fold keeps each bar's direction.
+SUPERTREND_SERIES = Rel("supertrend_series", lambda q: f"SELECT ticker, {q.side_by_side('band_dates', 'dirs', 'date', 'dir')} FROM (SELECT ticker, band_dates, {_super(q, series=True)}.dirs AS dirs FROM profile WHERE atr10_now IS NOT NULL) x", (PROFILE,))
+
+
+def _super(q, series: bool = False) -> str:
+    """Bands compare with those of the bar before; before the first bar with bands the direction is up. ``series`` also gathers the directions."""
+    null, none = "cast(NULL AS double)", q.no_doubles()
+    turned = "CASE WHEN b.c > coalesce(s.pu, b.u) THEN 1e0 WHEN b.c < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END"
+    step = {
+        "dir": turned,
+        "pu": "CASE WHEN s.pu IS NOT NULL AND s.dir > 0 THEN least(b.u, s.pu) ELSE b.u END",
+        "pl": "CASE WHEN s.pl IS NOT NULL AND s.dir < 0 THEN greatest(b.l, s.pl) ELSE b.l END",
+        "c": "b.c", "u": "b.u", "l": "b.l",
+    }
+    start = {"dir": "1e0", **dict.fromkeys(("pu", "pl", "c", "u", "l"), null)}
+    items = "bands"
+    if series:
+        items = q.each("bands", q.record(**{k: f"b.{k}" for k in start}, dirs=none))
+        step, start = step | {"dirs": f"concat(s.dirs, {q.doubles(turned)})"}, start | {"dirs": none}
+    return f"({q.fold(items, q.record(**start), q.record(**step))})"
 
 
 #: What further queries of a session build on, in the order in which it is computed.
@@ -119,3 +127,4 @@ REG.rel("in_slope_pct", "SELECT ticker, round(slope40, 6) AS slope40 FROM tail_s
 REG.rel("in_annualized_vol", "SELECT ticker, round(vol252, 6) AS vol252 FROM tail_stats", TAIL)
 REG.rel("in_max_drawdown", "SELECT ticker, round(max_drawdown252, 6) AS max_drawdown252 FROM tail_stats", TAIL)
 REG.rel("in_supertrend", "SELECT ticker, supertrend FROM supertrend", SUPERTREND)
+REG.rel("in_supertrend_series", "SELECT ticker, date, dir FROM supertrend_series", SUPERTREND_SERIES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.operators.factors import FACTORS, FORMULAS, PENALTY_FLAGS
+from rankloom.operators.research import DELTAS, IC, SNAPSHOTS, STEP, TRADING_DAYS
+from rankloom.operators.research import CUTS as RESEARCH_CUTS
 from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.operators.targets import CUTS, RISK, WATCHED
 from rankloom.plans.rel import Rel, Registry, kept
@@ -12,7 +14,7 @@ from rankloom.sources.adapters import SECURITIES
 
 _R = scorer(DEFAULT)
 _RANKING, _CONTRIBUTIONS, _CATEGORIES = _R["ranking"], _R["contributions"], _R["category_scores"]
-REG = Registry(CUTS)
+REG = Registry((*CUTS, *(c for c in RESEARCH_CUTS if c not in CUTS)))
 
 REG.rel("rp_top", "SELECT ticker, rank, round(total_score, 5) AS total_score, pinned FROM ranking WHERE rank <= 15 OR pinned", _RANKING)
 REG.rel("rp_percentile", "SELECT ticker, rank, round(100e0 * rank / count(*) OVER (), 6) AS rank_percentile FROM ranking", _RANKING)
@@ -26,9 +28,30 @@ MERGED = Rel(
     (_CONTRIBUTIONS, _RANKING),
 )
 REG.rel("rp_categories", "SELECT ticker, shown, round(points, 5) AS points FROM merged_categories", MERGED)
-REG.rel("rp_tiles", "SELECT round(max(total_score), 5) AS best, count(*) AS n, sum(CASE WHEN pinned THEN 1 ELSE 0 END) AS n_pinned, sum(CASE WHEN low_confidence THEN 1 ELSE 0 END) AS n_low FROM ranking", _RANKING)
-REG.rel("rp_sorted", "SELECT ticker, round(penalty, 5) AS penalty, row_number() OVER (ORDER BY round(penalty, 5) ASC NULLS LAST, ticker) AS place FROM ranking", _RANKING)
-REG.rel("rp_watch_tiles", "SELECT count(*) AS n, round(avg(100 * (w.price / nullif(w.entry_price, 0) - 1)), 5) AS mean_pnl, sum(CASE WHEN r.risk_index >= 3 THEN 1 ELSE 0 END) AS n_risky FROM watched w JOIN risk r ON r.ticker = w.ticker", WATCHED, RISK)
+REG.rel("rp_tiles", "SELECT round(max(r.total_score), 5) AS best, count(*) AS n, sum(CASE WHEN d.is_new THEN 1 ELSE 0 END) AS n_new, sum(CASE WHEN r.pinned THEN 1 ELSE 0 END) AS n_pinned, sum(CASE WHEN r.low_confidence THEN 1 ELSE 0 END) AS n_low, (SELECT count(*) FROM active_factors) AS n_active FROM ranking r LEFT JOIN (SELECT ticker, is_new FROM deltas) d ON d.ticker = r.ticker", _RANKING, DELTAS, _R["active_factors"])
+
+
+def sorted_by(column: str, descending: bool = False, digits: int = 5) -> Rel:
+    """The ranking's rows numbered by any of its columns, in either direction; nulls come last, and the ticker settles ties."""
+    return Rel("sorted_ranking", f"SELECT *, row_number() OVER (ORDER BY round({column}, {digits}) {'DESC' if descending else 'ASC'} NULLS LAST, ticker) AS place FROM ranking", (_RANKING,))
+
+
+REG.rel("rp_sorted", "SELECT ticker, round(penalty, 5) AS penalty, place FROM sorted_ranking", sorted_by("penalty"))
+REG.rel("rp_sorted_coverage", "SELECT ticker, round(coverage, 5) AS coverage, place FROM sorted_ranking", sorted_by("coverage", descending=True))
+#: Tiles of the watch page: positions, mean gain of those with an entry price, and counts by level of risk.
+REG.rel("rp_watch_tiles", "SELECT count(*) AS n, round(avg(CASE WHEN w.entry_price IS NOT NULL THEN 100 * (w.price / nullif(w.entry_price, 0) - 1) END), 5) AS mean_pnl, sum(CASE WHEN r.risk_index >= 3 THEN 1 ELSE 0 END) AS n_risky, " + ", ".join(f"sum(CASE WHEN r.risk = '{x}' THEN 1 ELSE 0 END) AS n_{x.lower()}" for x in ("SELL", "HIGH_RISK", "CAUTION", "WATCH", "SAFE")) + " FROM watched w JOIN risk r ON r.ticker = w.ticker", WATCHED, RISK)
+#: Days and snapshots that a validated ranking needs.
+NEEDED_DAYS, NEEDED_SNAPSHOTS = 120, 60
+#: Whether the weights were ever held against forward returns: the snapshots' number and span in days, whether information coefficients exist, progress in percent.
+VALIDATION = Rel(
+    "validation",
+    lambda q: f"""SELECT snapshots, span_days, ic_measured, ic_measured AND span_days >= {NEEDED_DAYS} AND snapshots >= {NEEDED_SNAPSHOTS} AS validated, {NEEDED_DAYS} AS needed_days, {NEEDED_SNAPSHOTS} AS needed_snapshots,
+               round(100 * least(1e0, span_days / {NEEDED_DAYS}e0, snapshots / {NEEDED_SNAPSHOTS}e0), 1) AS progress_pct
+        FROM (SELECT count(*) AS snapshots, coalesce({q.days("max(t.date)", "min(t.date)")}, 0) AS span_days, (SELECT count(ic_mean) FROM ic) > 0 AS ic_measured
+              FROM (SELECT snapshot FROM snapshots GROUP BY snapshot) s JOIN trading_days t ON t.g = s.snapshot * {STEP}) x""",
+    (SNAPSHOTS, TRADING_DAYS, IC),
+)
+REG.rel("rp_validation", "SELECT * FROM validation", VALIDATION)
 _ORDERED = Rel("ordered_factors", "SELECT ticker, factor_id, score, contribution, row_number() OVER (PARTITION BY ticker ORDER BY round(contribution, 9) DESC, factor_id) AS best, row_number() OVER (PARTITION BY ticker ORDER BY round(score, 9), factor_id) AS worst FROM contributions WHERE score IS NOT NULL", (_CONTRIBUTIONS,))
 REG.rel("as_describe", "SELECT ticker, factor_id, round(score, 5) AS score, best <= 4 AS strongest, worst <= 3 AS weakest FROM ordered_factors WHERE best <= 4 OR worst <= 3", _ORDERED)
 REG.rel("as_factor_top", "SELECT factor_id, ticker, round(score, 5) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY round(score, 9) DESC, ticker) AS place FROM contributions WHERE score IS NOT NULL) x WHERE place <= 5", _CONTRIBUTIONS)

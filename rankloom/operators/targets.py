@@ -78,7 +78,7 @@ _RANKING = scorer(DEFAULT)["ranking"]
 WATCHED = Rel(
     "watched",
     """
-    SELECT p.ticker, p.added_date, p.entry_price, p.quantity, p.score_at_entry, r.total_score AS score_now, f.price, f.n, f.sma20, f.sma50, f.sma150, f.sma200, f.slope_sma200, f.slope_obv, f.slope_close, f.rsi14, f.n_atr, f.atr10_now, f.atr_long,
+    SELECT p.ticker, p.added_date, p.entry_price, p.quantity, p.score_at_entry, r.total_score AS score_now, f.price, f.n, f.last_date, f.hi252, f.lo252, f.sma20, f.sma50, f.sma150, f.sma200, f.slope_sma200, f.slope_obv, f.slope_close, f.rsi14, f.n_atr, f.atr10_now, f.atr_long,
            f.macd_now, f.macd_before, f.c1, f.c5, f.c21, s.active_stop, s.initial_stop, s.chandelier, s.atr14, t.short_target, l.long_target, u.days_to_earnings
     FROM positions p JOIN features f ON f.ticker = p.ticker JOIN short_targets t ON t.ticker = p.ticker LEFT JOIN long_targets l ON l.ticker = p.ticker LEFT JOIN stops s ON s.ticker = p.ticker
     LEFT JOIN fundamentals u ON u.ticker = p.ticker LEFT JOIN ranking r ON r.ticker = p.ticker""",
@@ -122,15 +122,28 @@ REG.rel("tg_long", "SELECT ticker, round(long_target, 5) AS long_target FROM lon
 REG.rel("tg_stops", "SELECT ticker, round(initial_stop, 5) AS initial_stop, round(chandelier, 5) AS chandelier, round(active_stop, 5) AS active_stop FROM stops", STOPS)
 REG.rel("tg_sell_rules", "SELECT ticker, rule, severity FROM rule_hits", HITS)
 REG.rel("tg_risk", "SELECT ticker, n_rules, worst, severity, risk_index, risk FROM risk", RISK)
+_UP = "round(100 * ({} / nullif(w.price, 0) - 1), 5)"
+#: A position's figures: gain, reward to risk, distance of targets and stop, averages of bars that are there, changes.
+ANALYSIS = Rel(
+    "analysis",
+    f"""SELECT w.ticker, w.added_date, w.last_date, w.entry_price, w.quantity, w.price, w.n, w.active_stop, w.short_target, w.long_target, w.score_now, w.rsi14, w.atr14, w.hi252, w.lo252, r.n_rules, r.risk, r.risk_index,
+              100 * (w.price / nullif(w.entry_price, 0) - 1) AS pnl_pct, CASE WHEN w.entry_price > w.active_stop THEN (w.short_target - w.price) / (w.entry_price - w.active_stop) END AS risk_reward,
+              100 * (w.active_stop / nullif(w.entry_price, 0) - 1) AS stop_pnl_pct, {_UP.format("w.short_target")} AS short_upside_pct, {_UP.format("w.long_target")} AS long_upside_pct, 100 * w.atr14 / nullif(w.price, 0) AS atr_pct,
+              {", ".join(f"CASE WHEN w.n >= {k} THEN w.sma{k} END AS ma{k}" for k in (20, 50, 150, 200))}, {", ".join(f"w.price / nullif(w.c{k}, 0) - 1 AS change_{k}" for k in (1, 5, 21))}
+       FROM watched w JOIN risk r ON r.ticker = w.ticker""",
+    (WATCHED, RISK),
+)
 REG.rel(
     "tg_analysis",
-    """SELECT ticker, round(100 * (price / nullif(entry_price, 0) - 1), 5) AS pnl_pct, CASE WHEN entry_price > active_stop THEN round((short_target - price) / (entry_price - active_stop), 5) END AS risk_reward,
-              round(100 * (active_stop / nullif(entry_price, 0) - 1), 5) AS stop_pnl_pct, round(price / nullif(c1, 0) - 1, 6) AS change_1, round(price / nullif(c5, 0) - 1, 6) AS change_5, round(price / nullif(c21, 0) - 1, 6) AS change_21, round(score_now, 4) AS score_now FROM watched""",
-    WATCHED,
+    "SELECT ticker, "
+    + ", ".join(f"round({c}, 5) AS {c}" for c in ("pnl_pct", "risk_reward", "stop_pnl_pct", "rsi14", "ma20", "ma50", "ma150", "ma200", "atr14", "atr_pct", "hi252", "lo252", "change_1", "change_5", "change_21"))
+    + ", round(score_now, 4) AS score_now, n_rules, risk, risk_index FROM analysis",
+    ANALYSIS,
 )
 REG.rel(
     "tg_watch_history",
-    """SELECT w.ticker, w.added_date, round(w.entry_price, 8) AS entry_price, w.quantity, round(w.price, 8) AS price, round(w.short_target, 5) AS short_target, round(w.long_target, 5) AS long_target, round(w.active_stop, 5) AS active_stop, r.risk_index, r.risk,
-              row_number() OVER (ORDER BY r.risk_index DESC, w.ticker) AS position FROM watched w JOIN risk r ON r.ticker = w.ticker""",
-    WATCHED, RISK,
+    """SELECT last_date AS date, ticker, added_date, quantity, round(price, 8) AS price, round(entry_price, 8) AS entry_price, round(pnl_pct, 5) AS pnl_pct, risk AS risk_level, n_rules AS signal_count, round(active_stop, 5) AS active_stop, round(stop_pnl_pct, 5) AS stop_pnl_pct,
+              round(short_target, 5) AS short_target, short_upside_pct, round(long_target, 5) AS long_target, long_upside_pct, round(score_now, 4) AS total_score, round(rsi14, 5) AS rsi14, round(atr_pct, 5) AS atr_pct, risk_index,
+              row_number() OVER (ORDER BY risk_index DESC, ticker) AS position FROM analysis""",
+    ANALYSIS,
 )

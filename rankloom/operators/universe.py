@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from rankloom.operators.factors import CUTS, FACTORS
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS, MENTIONS, SECURITIES
@@ -15,6 +17,19 @@ NON_STOCK = ("T000003", "T000050")
 SYMBOL = "^[A-Z][A-Z.-]{0,6}$"
 
 REG.rel("un_presets", lambda q: f"SELECT s.ticker, p.preset, round(s.market_cap, 3) AS market_cap FROM securities s JOIN {q.values(('preset', 'low', 'high'), [(f"'{n}'", repr(a), repr(b)) for n, (a, b) in PRESETS.items()])} p ON 20 * s.market_cap BETWEEN p.low AND p.high", SECURITIES)
+def cap_band(low: float, high: float, listings: Rel = SECURITIES, unit: float = 1.0) -> Rel:
+    """Symbols of listings (ticker, market_cap in ``unit``) with a capitalisation in the band, dots as dashes, the largest first; what looks like no symbol goes, and a symbol's largest listing stands."""
+    return Rel(
+        "cap_band",
+        lambda q: f"""SELECT symbol, max(cap) AS cap, row_number() OVER (ORDER BY max(cap) DESC, symbol) AS place FROM (SELECT replace(upper(trim(ticker)), '.', '-') AS symbol, {unit!r} * market_cap AS cap FROM {listings.name}) x
+            WHERE cap > 0 AND cap BETWEEN {low!r} AND {high!r} AND {q.matches("symbol", SYMBOL)} GROUP BY symbol""",
+        (listings,),
+    )
+
+
+#: The derived tickers end in digits; as symbols their digits are written as letters.
+_LISTED = Rel("listed", "SELECT translate(ticker, '0123456789', 'ABCDEFGHIJ') AS ticker, market_cap FROM securities", (SECURITIES,))
+REG.rel("flt_cap_band", "SELECT symbol, round(cap, 3) AS cap, place FROM cap_band", cap_band(*PRESETS["smallcap"], _LISTED, 20.0))
 REG.rel(
     "un_symbols",
     lambda q: f"""SELECT DISTINCT replace(symbol, '.', '-') AS symbol FROM (SELECT upper(trim(split_part(split_part(line, '#', 1), ',', 1))) AS symbol
@@ -51,17 +66,44 @@ REG.rel("un_disappeared", "SELECT ticker FROM days WHERE day_back = 2 EXCEPT SEL
 REG.rel("src_cache_valid", "SELECT ticker, count(*) AS n_bars FROM bars GROUP BY ticker HAVING count(*) >= 30", BARS)
 REG.rel("src_backfill", "SELECT b.ticker, max(b.date) AS last_bar FROM bars b WHERE NOT EXISTS (SELECT 1 FROM scan_log s WHERE s.ticker = b.ticker AND s.last_scan >= 20240105) GROUP BY b.ticker", BARS, SCANS)
 
-#: First failing reason of each record; pinned ones pass; a missing capitalisation or volume passes.
-REASONS = Rel(
-    "reasons",
-    """SELECT f.ticker, CASE WHEN s.pinned THEN NULL WHEN coalesce(f.price, 0e0) < 1.0 THEN 'price low' WHEN f.price > 2500 THEN 'price high' WHEN f.market_cap < 2.8e7 THEN 'market cap low' WHEN f.market_cap > 3.2e7 THEN 'market cap high'
-       WHEN f.dollar_volume < 20000 THEN 'dollar volume low' WHEN f.mention_rank IS NULL THEN 'not mentioned' WHEN f.analyst_consensus IS NULL OR f.analyst_consensus > 4.2 THEN 'no analyst buy' END AS reason
-       FROM factors f JOIN scan_log s ON s.ticker = f.ticker""",
-    (FACTORS, SCANS),
-)
+
+
+@dataclass(frozen=True)
+class Screen:
+    """What a record must satisfy; None or 0 switches a test off."""
+
+    min_price: float | None = None
+    max_price: float | None = None
+    min_cap: float | None = None
+    max_cap: float | None = None
+    min_dollar_volume: float | None = None
+    require_mentions: bool = False
+    #: Highest mean rating of analysts that is a buy (1 best); no rating fails.
+    analyst_buy: float | None = None
+
+
+def first_reasons(screen: Screen, records: Rel = FACTORS) -> Rel:
+    """The first test, in the order of ``Screen``, that a record fails (null: none). A record without bars isn't usable; pinned ones pass all others. A missing price counts as 0; a missing capitalisation or volume passes."""
+    tests = (
+        (screen.min_price, "coalesce(f.price, 0e0) < {}", "price low"), (screen.max_price, "f.price > {}", "price high"), (screen.min_cap, "f.market_cap < {}", "market cap low"), (screen.max_cap, "f.market_cap > {}", "market cap high"),
+        (screen.min_dollar_volume, "f.dollar_volume < {}", "dollar volume low"), (screen.require_mentions, "f.mention_rank IS NULL", "not mentioned"), (screen.analyst_buy, "f.analyst_consensus IS NULL OR f.analyst_consensus > {}", "no analyst buy"),
+    )
+    cases = " ".join(f"WHEN {test.format(repr(float(bound)))} THEN '{reason}'" for bound, test, reason in tests if bound)
+    return Rel("reasons", f"SELECT f.ticker, CASE WHEN f.n IS NULL OR f.n = 0 THEN 'not usable' WHEN coalesce(s.pinned, FALSE) THEN NULL {cases} END AS reason FROM {records.name} f LEFT JOIN scan_log s ON s.ticker = f.ticker", (records, SCANS))
+
+
+REASONS = first_reasons(Screen(1.0, 2500.0, 2.8e7, 3.2e7, 20000.0, True, 4.2))
 REG.rel("flt_reasons", "SELECT ticker, reason FROM reasons", REASONS)
 REG.rel("flt_histogram", "SELECT reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY reason", REASONS)
-REG.rel("flt_usable_bars", "SELECT ticker, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n_all, max(date) OVER (PARTITION BY ticker) AS last FROM bars WHERE close IS NOT NULL) x WHERE NOT (date = last AND last >= (SELECT max(date) FROM bars) AND n_all > 30) GROUP BY ticker HAVING count(*) >= 30", BARS)
+
+
+def usable_bars(as_of: str | None = None, least: int = 30) -> Rel:
+    """Tickers and their usable bars, ``least`` or more. A last bar of the day ``as_of`` (by default the last day of all) isn't over yet and goes, if more than ``least`` bars are there."""
+    day = "(SELECT max(date) FROM bars)" if as_of is None else f"cast('{as_of}' AS timestamp)"
+    return Rel("usable_bars", f"SELECT ticker, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n_all, max(date) OVER (PARTITION BY ticker) AS last FROM bars WHERE close IS NOT NULL) x WHERE NOT (date = last AND date >= {day} AND n_all > {least}) GROUP BY ticker HAVING count(*) >= {least}", (BARS,))
+
+
+REG.rel("flt_usable_bars", "SELECT ticker, n FROM usable_bars", usable_bars())
 REG.rel("prj_fold_text", lambda q: "SELECT raw, trim(" + q.replace_all("translate(lower(raw), 'ıçğöşüâå', 'icgosuaa')", " +", " ") + f") AS folded FROM {q.values(('raw',), [("'  Güçlü   Alış'",), ("'ÇOK Şey'",), ("'plain'",), ("''",)])} x")
 REG.rel("jn_mentions_sentiment", "SELECT coalesce(m.ticker, s.ticker) AS ticker, m.mentions, round(s.score, 6) AS score FROM (SELECT ticker, sum(mentions) AS mentions FROM mentions WHERE rank <= 40 GROUP BY ticker) m FULL OUTER JOIN (SELECT ticker, avg(sentiment_score) AS score FROM mentions WHERE rank > 30 GROUP BY ticker) s ON s.ticker = m.ticker", MENTIONS)
 REG.rel("jn_pinned", "SELECT f.ticker, s.ticker IS NOT NULL AS pinned FROM (SELECT ticker FROM factors) f LEFT JOIN (SELECT ticker FROM scan_log WHERE pinned) s ON s.ticker = f.ticker", FACTORS, SCANS)

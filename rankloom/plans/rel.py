@@ -85,6 +85,24 @@ class Spark:
     def record(**fields: str) -> str:
         return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})"
 
+    @staticmethod
+    def doubles(*x: str) -> str:
+        return f"array({', '.join(x)})"
+
+    @staticmethod
+    def no_doubles() -> str:
+        return "cast(array() AS array<double>)"
+
+    @staticmethod
+    def each(items: str, x: str) -> str:
+        """``x``, an expression over the item b, of each item."""
+        return f"transform({items}, b -> {x})"
+
+    @staticmethod
+    def side_by_side(a: str, b: str, as_a: str, as_b: str) -> str:
+        """One row per place of two arrays of one length."""
+        return f"inline(arrays_zip({a}, {b})) AS ({as_a}, {as_b})"
+
     @staticmethod
     def fold(items: str, start: str, step: str) -> str:
         """Left fold; ``step`` is an expression over the state s and the item b, which are records of one type."""
@@ -154,6 +172,22 @@ class Duck(Spark):
     def record(**fields: str) -> str:
         return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
 
+    @staticmethod
+    def doubles(*x: str) -> str:
+        return f"[{', '.join(x)}]"
+
+    @staticmethod
+    def no_doubles() -> str:
+        return "CAST([] AS DOUBLE[])"
+
+    @staticmethod
+    def each(items: str, x: str) -> str:
+        return f"list_transform({items}, lambda b: {x})"
+
+    @staticmethod
+    def side_by_side(a: str, b: str, as_a: str, as_b: str) -> str:
+        return f"unnest({a}) AS {as_a}, unnest({b}) AS {as_b}"
+
     @staticmethod
     def fold(items: str, start: str, step: str) -> str:
         return f"list_reduce({items}, lambda s, b: {step}, {start})"
