@@ -58,9 +58,9 @@ def fit_ridge(panel: DataFrame, features: tuple[str, ...] = COLUMNS, alpha: floa
     return Ridge(tuple(features), tuple(mean), tuple(sd), tuple(float(x) for x in w))
 
 
-def learn_weights(panel: DataFrame, fallback: DataFrame, least: int = 50) -> dict[str, float]:
+def learn_weights(panel: DataFrame, fallback: DataFrame, least: int = 50, features: tuple[str, ...] = COLUMNS) -> dict[str, float]:
     """Weights from a ridge's positive coefficients, normalised to 100; those of ``fallback`` (feature, weight) for fewer rows or none positive."""
-    m = fit_ridge(panel, by_day=False) if panel.limit(least).count() == least else None
+    m = fit_ridge(panel, features, by_day=False) if panel.limit(least).count() == least else None
     positive = {f.removeprefix("x_"): max(0.0, w) for f, w in zip(m.features, m.weights)} if m else {}
     if not any(positive.values()):
         return {r["feature"]: r["weight"] for r in fallback.collect()}
@@ -68,49 +68,48 @@ def learn_weights(panel: DataFrame, fallback: DataFrame, least: int = 50) -> dic
 
 
 def daily_metrics(predicted: DataFrame, day: str = "snapshot", label: str = "y", key: str = "ticker", least: int = 10) -> DataFrame:
-    """Per day with at least ``least`` rows: ordinal-rank IC and the label's spread between top and bottom decile of ``prediction``."""
+    """Per day with at least ``least`` rows: ordinal-rank IC, the label's mean in the top decile of ``prediction``, and its spread to the bottom decile."""
     by = Window.partitionBy(day)
     rows = predicted.withColumns({
         "n": F.count(F.lit(1)).over(by), "rp": F.row_number().over(by.orderBy("prediction", key)), "ry": F.row_number().over(by.orderBy(label, key)),
     }).where(f"n >= {least}").withColumn("k", F.greatest(F.lit(1), F.floor(0.1 * F.col("n"))))
     ic = F.covar_pop("rp", "ry") / F.nullif(F.stddev_pop("rp") * F.stddev_pop("ry"), F.lit(0.0))
     top, bottom = F.avg(F.when(F.col("rp") > F.col("n") - F.col("k"), F.col(label))), F.avg(F.when(F.col("rp") <= F.col("k"), F.col(label)))
-    return rows.groupBy(day).agg(F.count(F.lit(1)).alias("n"), ic.alias("ic"), (top - bottom).alias("decile_spread"))
+    return rows.groupBy(day).agg(F.count(F.lit(1)).alias("n"), ic.alias("ic"), top.alias("decile_return"), (top - bottom).alias("decile_spread"))
 
 
 def summary(days: DataFrame, *by: str) -> DataFrame:
     ratio = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0))
-    return days.groupBy(*by).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), ratio.alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), F.avg("decile_spread").alias("decile_spread"), F.count(F.lit(1)).alias("days"))
+    return days.groupBy(*by).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), ratio.alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), F.avg("decile_return").alias("decile_return"), F.avg("decile_spread").alias("decile_spread"), F.count(F.lit(1)).alias("days"))
 
 
-def with_window(panel: DataFrame, window: int = 4) -> tuple[DataFrame, tuple[str, ...]]:
+def with_window(panel: DataFrame, window: int = 4, features: tuple[str, ...] = COLUMNS) -> tuple[DataFrame, tuple[str, ...]]:
     """Each row with its ticker's previous rows' features beside its own; rows without a full window go."""
     own = Window.partitionBy("ticker").orderBy("snapshot")
-    names = {f"{c}_{j}": F.lag(c, j).over(own) for c in COLUMNS for j in range(1, window)}
+    names = {f"{c}_{j}": F.lag(c, j).over(own) for c in features for j in range(1, window)}
     wide = panel.withColumns(names).where(" AND ".join(f"{n} IS NOT NULL" for n in names))
-    return wide, (*COLUMNS, *names)
+    return wide, (*features, *names)
 
 
-def trees(train: DataFrame, test: DataFrame) -> DataFrame:
+def trees(train: DataFrame, test: DataFrame, features: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Gradient-boosted trees in place of the perceptron; adds ``prediction``."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    put = VectorAssembler(inputCols=list(COLUMNS), outputCol="v")
+    put = VectorAssembler(inputCols=list(features), outputCol="v")
     return GBTRegressor(featuresCol="v", labelCol="y", maxIter=10, maxDepth=3, seed=7).fit(put.transform(train)).transform(put.transform(test)).drop("v")
 
 
-def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge") -> DataFrame:
+def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge", features: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Daily metrics of every fold (at most SPLITS, looped over on the driver; each fold runs distributed)."""
-    features = COLUMNS
     if model == "sequence":
-        panel, features = with_window(panel)
+        panel, features = with_window(panel, features=features)
     numbered = panel.join(F.broadcast(PANEL_DAYS.on(panel.sparkSession, panel=panel).select("snapshot", "t")), "snapshot")  # a row per snapshot
     out = None
     for f in folds.orderBy("fold").collect():
         train, test = numbered.where(F.col("t") < f["train_to"]), numbered.where((F.col("t") >= f["test_from"]) & (F.col("t") < f["test_to"]))
         if model == "trees":
-            predicted = trees(train, test)
+            predicted = trees(train, test, features)
         elif (ridge := fit_ridge(train, features)) is None:
             continue
         else:

@@ -6,6 +6,9 @@ equality join: trading days are numbered, and each bar spans the numbers up to t
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from rankloom.operators.factors import CUTS, FACTORS, FORMULAS, PENALTIES
 from rankloom.operators.indicators import INDICATORS
 from rankloom.operators.scoring import DEFAULT, scorer
@@ -35,26 +38,6 @@ SNAPSHOTS = Rel(
           FROM (SELECT *, cast(ceil(g / {STEP}e0) AS bigint) AS s_from, cast(floor((coalesce(g_next - 1, g_last)) / {STEP}e0) AS bigint) AS s_to FROM marked_bars) x WHERE s_from <= s_to) y""",
     (_MARKED,),
 )
-LABELLED = Rel("labelled", "SELECT *, forward - avg(forward) OVER (PARTITION BY snapshot) AS excess FROM snapshots", (SNAPSHOTS,))
-_LONG = Rel("long_features", lambda q: "SELECT ticker, snapshot, excess, " + q.stack(("feature", "x"), [(f"'{f}'", f"cast({f} AS double)") for f in FEATURES]) + " FROM labelled", (LABELLED,))
-#: Rank correlation (equal values share their mean rank) of each feature with the label, per snapshot.
-IC_DAYS = Rel(
-    "ic_days",
-    """
-    SELECT feature, snapshot, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic FROM (
-      SELECT feature, snapshot, x, rank() OVER (PARTITION BY feature, snapshot ORDER BY x) + (count(*) OVER (PARTITION BY feature, snapshot, x) - 1) / 2e0 AS rx,
-             rank() OVER (PARTITION BY feature, snapshot ORDER BY excess) + (count(*) OVER (PARTITION BY feature, snapshot, excess) - 1) / 2e0 AS ry
-      FROM long_features WHERE x IS NOT NULL AND excess IS NOT NULL) r
-    GROUP BY feature, snapshot HAVING count(*) >= 10 AND count(DISTINCT x) > 2""",
-    (_LONG,),
-)
-IC = Rel("ic", "SELECT feature, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_sd, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, count(ic) AS periods FROM ic_days GROUP BY feature", (IC_DAYS,))
-LEARNED = Rel(
-    "learned_weights",
-    "SELECT feature, 100 * w / nullif(sum(w) OVER (), 0) AS weight FROM (SELECT feature, greatest(ic_mean, 0e0) * (greatest(0e0, least(2e0, abs(coalesce(icir, 0e0)))) / 2 + 0.5e0) AS w FROM ic) x",
-    (IC,),
-)
-_FULL = Rel("panel_rows", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY snapshot) AS n FROM labelled WHERE excess IS NOT NULL) x WHERE n >= 30", (LABELLED,))
 
 
 def filled(feature: str) -> str:
@@ -64,34 +47,102 @@ def filled(feature: str) -> str:
     return "0e0" if feature.startswith(("has_", "penalty_")) else f"(SELECT {feature} FROM panel_medians)"
 
 
-_MEDIANS = Rel("panel_medians", lambda q: "SELECT " + ", ".join(f"{q.middle(f)} AS {f}" for f in FEATURES) + " FROM panel_rows", (_FULL,))
-#: Rows of snapshots with at least 30 labelled securities; missing features filled, then ranked to -1..1 within the snapshot (ties by ticker).
-PANEL = Rel(
-    "panel",
-    "SELECT ticker, snapshot, excess AS y, "
-    + ", ".join(f"CASE WHEN n < 2 THEN 0e0 ELSE 2e0 * (row_number() OVER (PARTITION BY snapshot ORDER BY {f}, ticker) - 1) / greatest(1, n - 1) - 1 END AS x_{f}" for f in FEATURES)
-    + " FROM (SELECT ticker, snapshot, excess, n, " + ", ".join(f"coalesce({f}, {filled(f)}) AS {f}" for f in FEATURES) + " FROM panel_rows) y",
-    (_FULL, _MEDIANS),
-)
+def study(features: tuple[str, ...], snapshots: Rel = SNAPSHOTS) -> dict[str, Rel]:
+    """Relations over any snapshots (ticker, snapshot, forward and the features, factor scores for instance): labelled, ic_days, ic, learned_weights and panel.
+
+    The label is the forward return less the snapshot's mean. An information coefficient is the rank
+    correlation (equal values share their mean rank) of a feature with the label in one snapshot. The panel
+    has the snapshots of at least 30 labelled securities; missing features are filled (``filled``), then
+    ranked to -1..1 within the snapshot (ties by ticker).
+    """
+    labelled = Rel("labelled", f"SELECT *, forward - avg(forward) OVER (PARTITION BY snapshot) AS excess FROM {snapshots.name}", (snapshots,))
+    long = Rel("long_features", lambda q: "SELECT ticker, snapshot, excess, " + q.stack(("feature", "x"), [(f"'{f}'", f"cast({f} AS double)") for f in features]) + " FROM labelled", (labelled,))
+    ic_days = Rel(
+        "ic_days",
+        """
+        SELECT feature, snapshot, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS ic FROM (
+          SELECT feature, snapshot, x, rank() OVER (PARTITION BY feature, snapshot ORDER BY x) + (count(*) OVER (PARTITION BY feature, snapshot, x) - 1) / 2e0 AS rx,
+                 rank() OVER (PARTITION BY feature, snapshot ORDER BY excess) + (count(*) OVER (PARTITION BY feature, snapshot, excess) - 1) / 2e0 AS ry
+          FROM long_features WHERE x IS NOT NULL AND excess IS NOT NULL) r
+        GROUP BY feature, snapshot HAVING count(*) >= 10 AND count(DISTINCT x) > 2""",
+        (long,),
+    )
+    ic = Rel("ic", "SELECT feature, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_sd, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, count(ic) AS periods FROM ic_days GROUP BY feature", (ic_days,))
+    learned = Rel(
+        "learned_weights",
+        "SELECT feature, 100 * w / nullif(sum(w) OVER (), 0) AS weight FROM (SELECT feature, greatest(ic_mean, 0e0) * (greatest(0e0, least(2e0, abs(coalesce(icir, 0e0)))) / 2 + 0.5e0) AS w FROM ic) x",
+        (ic,),
+    )
+    full = Rel("panel_rows", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY snapshot) AS n FROM labelled WHERE excess IS NOT NULL) x WHERE n >= 30", (labelled,))
+    measured = [f for f in features if "panel_medians" in filled(f)]
+    medians = Rel("panel_medians", lambda q: "SELECT " + (", ".join(f"{q.middle(f)} AS {f}" for f in measured) or "count(*) AS n") + " FROM panel_rows", (full,))
+    panel = Rel(
+        "panel",
+        "SELECT ticker, snapshot, excess AS y, "
+        + ", ".join(f"CASE WHEN n < 2 THEN 0e0 ELSE 2e0 * (row_number() OVER (PARTITION BY snapshot ORDER BY {f}, ticker) - 1) / greatest(1, n - 1) - 1 END AS x_{f}" for f in features)
+        + " FROM (SELECT ticker, snapshot, excess, n, " + ", ".join(f"coalesce({f}, {filled(f)}) AS {f}" for f in features) + " FROM panel_rows) y",
+        (full, medians),
+    )
+    return {r.name: r for r in (labelled, ic_days, ic, learned, panel)}
+
+
+_STUDY = study(FEATURES)
+LABELLED, IC_DAYS, IC, LEARNED, PANEL = _STUDY.values()
+
+
+def feature_columns(store: DataFrame) -> tuple[str, ...]:
+    """Numeric columns of a feature store that hold more than one value, in order of name; ids, labels and the scores that the label would feed back into stay out."""
+    apart = {"ticker", "snapshot", "snapshot_date", "sector", "industry", "rank", "total_score", "base_score", "price", "market_cap", "close", "forward", "excess", "bar_date"}
+    numeric = [c for c, t in store.dtypes if c not in apart and t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    if not numeric:
+        return ()
+    varied = store.agg(*[(F.min(c) < F.max(c)).alias(c) for c in numeric]).first()
+    return tuple(sorted(c for c in numeric if varied[c]))
+
+
+def label_store(store: DataFrame, bars: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """A feature store (ticker, snapshot_date, features) with what ``study`` needs: the snapshot's number, and of the ticker's last bar up to that day its date, close and return over the next ``horizon`` bars (null while they haven't passed, or without a bar).
+
+    One shuffle by ticker: bars and stored rows are put in order of time, and each stored row takes the bar before it. Stored columns of the added names are replaced.
+    """
+    own = Window.partitionBy("ticker").orderBy("date")
+    ahead = F.lead("close", horizon).over(own) / F.nullif("close", F.lit(0.0)) - 1
+    bar = F.struct(F.col("date").alias("bar_date"), "close", ahead.alias("forward"))
+    columns = [c for c in store.columns if c not in ("bar_date", "close", "forward", "snapshot")]
+    kept_row = F.struct(*columns)
+    priced = bars.where("close is not null").select("ticker", "date", F.lit(0).alias("kind"), bar.alias("bar"))
+    stored = store.select("ticker", F.col("snapshot_date").cast(bars.schema["date"].dataType).alias("date"), F.lit(1).alias("kind"), kept_row.alias("row"))
+    before = Window.partitionBy("ticker").orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = priced.unionByName(stored, allowMissingColumns=True).withColumn("bar", F.last("bar", ignorenulls=True).over(before)).where("kind = 1")
+    days = store.select("snapshot_date").distinct().withColumn("snapshot", F.row_number().over(Window.orderBy("snapshot_date")) - 1)
+    return found.select("row.*", "bar.*").join(F.broadcast(days), "snapshot_date")  # a row per day
+
+
 #: The panel's snapshots, numbered in order, with their rows.
 PANEL_DAYS = Rel("panel_days", "SELECT snapshot, n, row_number() OVER (ORDER BY snapshot) - 1 AS t FROM (SELECT snapshot, count(*) AS n FROM panel GROUP BY snapshot) x", (PANEL,))
-#: Walk-forward folds over the panel's snapshots in order: consecutive test blocks; training ends a horizon and an embargo before its block.
-_H = 1 + (EMBARGO + STEP - 1) // STEP  # snapshots that horizon and embargo span
 LEAST_TRAIN, LEAST_TEST = 100, 20  # rows of a fold's parts
-FOLDS = Rel(
-    "folds",
-    lambda q: f"""
-    SELECT fold, test_from, test_to, train_to
-    FROM (SELECT fold, test_from, CASE WHEN fold = {SPLITS - 1} THEN n ELSE test_from + size END AS test_to, test_from - {_H} AS train_to
-          FROM (SELECT f.fold, n, size, n - ({SPLITS} - f.fold) * size AS test_from
-                FROM (SELECT count(*) AS n, greatest(1, cast(floor((count(*) - 20) / {SPLITS + 1}e0) AS bigint)) AS size FROM panel_days) c
-                CROSS JOIN (SELECT {q.explode(q.numbers("0", str(SPLITS - 1)))} AS fold) f WHERE n >= 20 + {SPLITS} + {_H}) x
-          WHERE test_from - {_H} >= 20) y
-    JOIN panel_days d ON d.t < y.test_to
-    GROUP BY fold, test_from, test_to, train_to
-    HAVING sum(CASE WHEN d.t < train_to THEN d.n ELSE 0 END) >= {LEAST_TRAIN} AND sum(CASE WHEN d.t >= test_from THEN d.n ELSE 0 END) >= {LEAST_TEST}""",
-    (PANEL_DAYS,),
-)
+
+
+def folds(every: int = STEP, horizon: int = HORIZON, embargo: int = EMBARGO, splits: int = SPLITS, panel_days: Rel = PANEL_DAYS) -> Rel:
+    """Walk-forward folds over the panel's snapshots, which lie ``every`` trading days apart: consecutive test blocks; training ends a horizon and an embargo before its block."""
+    gap = -(-horizon // every) + -(-embargo // every)  # snapshots that horizon and embargo span
+    return Rel(
+        "folds",
+        lambda q: f"""
+        SELECT fold, test_from, test_to, train_to
+        FROM (SELECT fold, test_from, CASE WHEN fold = {splits - 1} THEN n ELSE test_from + size END AS test_to, test_from - {gap} AS train_to
+              FROM (SELECT f.fold, n, size, n - ({splits} - f.fold) * size AS test_from
+                    FROM (SELECT count(*) AS n, greatest(1, cast(floor((count(*) - 20) / {splits + 1}e0) AS bigint)) AS size FROM {panel_days.name}) c
+                    CROSS JOIN (SELECT {q.explode(q.numbers("0", str(splits - 1)))} AS fold) f WHERE n >= 20 + {splits} + {gap}) x
+              WHERE test_from - {gap} >= 20) y
+        JOIN {panel_days.name} d ON d.t < y.test_to
+        GROUP BY fold, test_from, test_to, train_to
+        HAVING sum(CASE WHEN d.t < train_to THEN d.n ELSE 0 END) >= {LEAST_TRAIN} AND sum(CASE WHEN d.t >= test_from THEN d.n ELSE 0 END) >= {LEAST_TEST}""",
+        (panel_days,),
+    )
+
+
+FOLDS = folds()
 _ORDERED = Rel("panel_ordered", "SELECT p.*, d.t FROM panel p JOIN panel_days d ON d.snapshot = p.snapshot", (PANEL, PANEL_DAYS))
 READY = Rel(
     "readiness",

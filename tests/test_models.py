@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import models
 from rankloom.operators.models import COLUMNS, daily_metrics, fit_ridge, predict_live, promote, promotion_check, suggested_weight, walk_forward, with_window
-from rankloom.operators.research import EMBARGO, FOLDS, HORIZON, STEP
+from rankloom.operators.research import EMBARGO, FOLDS, HORIZON, STEP, feature_columns, folds, label_store, study
+from rankloom.plans.rel import Rel
 
 
 def panel(spark, strength, seed, days=60, n=60, change=False):
@@ -93,3 +94,52 @@ def test_learned_weights_and_fallback(spark):
     w = models.learn_weights(p, fallback)
     assert sum(w.values()) == pytest.approx(100) and max(w, key=w.get) == "rsi14" and w["pct_b"] == 0
     assert models.learn_weights(p.limit(20), fallback) == {"rsi14": 100.0}
+
+
+def test_a_feature_store_is_labelled_and_studied(spark):
+    """Stored factor scores lead to labels, coefficients, a panel, folds and a ridge; loops over the definitions say the same."""
+    rng, days, n = np.random.default_rng(11), 60, 34
+    dates = [f"2024-{1 + d // 28:02d}-{1 + d % 28:02d} 00:00:00" for d in range(days)]
+    closes = np.exp(np.cumsum(rng.normal(scale=0.02, size=(n, days)), axis=1))
+    bars = spark.createDataFrame([(f"T{i:02d}", dates[d], float(closes[i, d])) for i in range(n) for d in range(days) if i or d % 3], "ticker string, date string, close double").selectExpr("ticker", "cast(date AS timestamp) AS date", "close")
+    taken = (9, 20, 31, 58)
+    rows = [(f"T{i:02d}", dates[d][:10], None if i == 3 else float(100 * rng.random()), float(i % 2), None if i == 4 else float(rng.random()), 1.0, 7) for d in taken for i in range(n)]
+    rows.append(("UNKNOWN", dates[9][:10], 1.0, 0.0, 1.0, 1.0, 7))
+    store = spark.createDataFrame(rows, "ticker string, snapshot_date string, score_a double, has_a double, raw_a double, flat double, rank int")
+    assert feature_columns(store) == ("has_a", "raw_a", "score_a") and feature_columns(store.select("ticker")) == ()
+    labelled = label_store(store.withColumn("close", F.lit(-1.0)), bars, 5).cache()
+    assert labelled.count() == len(rows)
+    got = {(r.ticker, r.snapshot): r for r in labelled.collect()}
+    for i in range(n):
+        own = [d for d in range(days) if i or d % 3]
+        for s, d in enumerate(taken):
+            at = max(k for k, day in enumerate(own) if day <= d)
+            ahead = closes[i, own[at + 5]] / closes[i, own[at]] - 1 if at + 5 < len(own) else None
+            r = got[f"T{i:02d}", s]
+            assert r.close == closes[i, own[at]] and (r.forward is None if ahead is None else r.forward == pytest.approx(ahead))
+    assert got["UNKNOWN", 0].close is None and got["UNKNOWN", 0].forward is None
+    parts = study(feature_columns(store), Rel("store"))
+    panel = parts["panel"].on(spark, store=labelled).toPandas()
+    assert sorted(panel.snapshot.unique()) == [0, 1, 2] and len(panel) == 3 * n  # no label yet for the last one
+    first = labelled.where("snapshot = 0 AND forward is not null").toPandas()
+    order = sorted(zip(first.score_a.fillna(50.0), first.ticker))
+    place = {t: 2 * k / (n - 1) - 1 for k, (_, t) in enumerate(order)}
+    for r in panel[panel.snapshot == 0].itertuples():
+        assert r.x_score_a == pytest.approx(place[r.ticker])
+    excess = first.forward - first.forward.mean()
+    want = first.score_a.rank().corr(excess[first.score_a.notna()].rank())
+    assert parts["ic_days"].on(spark, store=labelled).where("feature = 'score_a' AND snapshot = 0").first().ic == pytest.approx(want)
+    assert fit_ridge(parts["panel"].on(spark, store=labelled), ("x_raw_a", "x_score_a")).features == ("x_raw_a", "x_score_a")
+    assert fit_ridge(parts["panel"].on(spark, store=labelled.limit(0)), ("x_score_a",)) is None
+
+
+def test_folds_of_daily_snapshots_keep_horizon_and_embargo(spark):
+    p = panel(spark, 0.5, 5, days=140, n=10)
+    found = folds(every=1, horizon=10, embargo=5, splits=3).on(spark, panel=p).collect()
+    assert found and all(f.test_from - f.train_to == 15 for f in found)
+
+
+def test_top_decile_return(spark):
+    rows = [(0, f"T{i:02d}", float(i), float(i * i)) for i in range(20)]
+    r = daily_metrics(spark.createDataFrame(rows, "snapshot long, ticker string, prediction double, y double")).first()
+    assert r.decile_return == (18 * 18 + 19 * 19) / 2 and r.decile_spread == r.decile_return - 0.5
