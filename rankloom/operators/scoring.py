@@ -60,6 +60,8 @@ CATEGORIES = {
     "stage2_breakout": "technical", "rule_of_40": "emergence", "undiscovered": "emergence", "cash_runway": "quality", "model_score": "model", "earnings_surprise": "analyst",
     "analyst_consensus": "analyst", "risk_drawdown": "risk", "liquidity": "risk", "reddit_wsb_attention": "sentiment", "short_squeeze": "sentiment", "nominal_price_fit": "preference",
 }
+#: Tasks over which the sort of one factor's values spreads.
+RANGES = 32
 _RAW = ("trend_structure", "technical_oscillators", "financial_health", "reddit_wsb_attention")
 
 DEFAULT = Config(
@@ -103,13 +105,25 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
     )
     #: Their weights scaled to 100; none where they sum to zero.
     active = Rel("active_factors", "SELECT *, 100 * scaled / (SELECT sum(scaled) FROM factor_scaled) AS w FROM factor_scaled WHERE (SELECT sum(scaled) FROM factor_scaled) > 0", (scaled,))
+    def placed(q) -> str:
+        """Values with their rank within the factor. On Spark they are dealt by factor and range of values (absent ones by ticker), ranked within a range and raised by what lower ranges hold, so that a factor's sort spreads over RANGES tasks."""
+        if q.name != "spark":
+            return f"SELECT ticker, sector, factor_id, raw, rank() OVER (PARTITION BY factor_id ORDER BY raw NULLS LAST) AS low_rank, count(*) OVER (PARTITION BY factor_id, raw) AS n_equal FROM {values.name}"
+        return f"""
+            WITH factor_edges AS (SELECT factor_id, percentile_approx(raw, array({', '.join(d(k / RANGES) for k in range(1, RANGES))}), 1000) AS edges FROM {values.name} WHERE raw IS NOT NULL GROUP BY factor_id),
+            ranged AS (SELECT v.ticker, v.sector, v.factor_id, v.raw, CASE WHEN v.raw IS NULL THEN -1 - pmod(hash(v.ticker), {RANGES}) ELSE size(filter(e.edges, x -> x < v.raw)) END AS part FROM {values.name} v LEFT JOIN factor_edges e ON e.factor_id = v.factor_id),
+            lower_ranges AS (SELECT factor_id, part, sum(n) OVER (PARTITION BY factor_id ORDER BY part) - n AS n_lower FROM (SELECT factor_id, part, count(*) AS n FROM ranged WHERE raw IS NOT NULL GROUP BY factor_id, part) x)
+            SELECT r.ticker, r.sector, r.factor_id, r.raw, r.low_rank + coalesce(p.n_lower, 0) AS low_rank, r.n_equal
+            FROM (SELECT *, rank() OVER (PARTITION BY factor_id, part ORDER BY raw) AS low_rank, count(*) OVER (PARTITION BY factor_id, part, raw) AS n_equal FROM ranged) r
+            LEFT JOIN lower_ranges p ON p.factor_id = r.factor_id AND p.part = r.part"""
+
     ranked = Rel(
         "ranked",
-        f"""
+        lambda q: f"""
         SELECT v.ticker, v.sector, f.factor_id, f.category, f.norm, f.lower_better, f.weight, f.cluster, f.budget, v.raw, f.coverage,
                CASE WHEN v.raw IS NULL THEN NULL WHEN f.n_values = 1 THEN 50e0 ELSE 100 * (v.low_rank + (v.n_equal - 1) / 2e0) / f.n_values END AS percentile,
                {score_of} AS band_score, {label_of} AS band_label
-        FROM (SELECT ticker, sector, factor_id, raw, rank() OVER (PARTITION BY factor_id ORDER BY raw NULLS LAST) AS low_rank, count(*) OVER (PARTITION BY factor_id, raw) AS n_equal FROM {values.name}) v
+        FROM ({placed(q)}) v
         JOIN factor_stats f ON f.factor_id = v.factor_id""",
         (values, stats),
     )
