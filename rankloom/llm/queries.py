@@ -11,6 +11,7 @@ from rankloom.llm import toxicity
 from rankloom.llm.common import read_table
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
+from rankloom.llm.impact_index import rank_documents
 from rankloom.llm.langid import fit, fold, identify
 from rankloom.llm.mixing import mix
 from rankloom.llm.packing import pack_documents
@@ -120,3 +121,24 @@ SELECT page_id, strlen(payload) AS payload_bytes,
        CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
 FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages) p WINDOW w AS (PARTITION BY payload)
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item, from a bit-sliced impact index of all documents."""
+    return rank_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH words AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT d, doc_id, terms, len(terms)::BIGINT AS n FROM words WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+tf AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY d, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, n_docs),
+items AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT q, item_id, unnest(terms) AS term FROM items),
+scores AS (SELECT q, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+           FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (d), whole GROUP BY q, item_id, d, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
