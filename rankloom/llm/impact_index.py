@@ -37,8 +37,8 @@ def terms_of(text: str | None) -> list[bytes]:
 class _Block:
     """Occurrences of the documents that a task has read since the last block was closed."""
 
-    def __init__(self, vocabulary: dict[bytes, int] | None):
-        self.fixed, self.code = vocabulary is not None, {} if vocabulary is None else vocabulary
+    def __init__(self, vocabulary: dict[bytes, int] | None, most: int):
+        self.most, self.fixed, self.code = most, vocabulary is not None, {} if vocabulary is None else vocabulary
         self.ids: list[int | None] = []
         self.lens: list[int] = []
         self.hits: list[np.ndarray] = []
@@ -56,7 +56,7 @@ class _Block:
         self.n_hits += len(own)
 
     def full(self) -> bool:
-        return len(self.ids) >= BLOCK_DOCS or self.n_hits >= BLOCK_HITS
+        return len(self.ids) >= self.most or self.n_hits >= BLOCK_HITS
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """A head with the ids in ascending order (nulls last), then a row a term: places, frequencies, documents' lengths."""
@@ -82,6 +82,7 @@ class _Block:
 
 _POSTINGS = pa.schema([("block", pa.int64()), ("term", pa.string()), ("docs", pa.binary()), ("tf", pa.binary()), ("lens", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_docs", pa.int64()), ("n_terms", pa.int64())])
 
+
 def impacts(weight: int, tf: np.ndarray, lens: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     """A term's share of the scores of documents with ``tf`` occurrences of it among ``lens`` terms; whole numbers, divisions round down."""
     m = 10 + (90 * lens * n_docs) // max(n_terms, 1)
@@ -187,7 +188,7 @@ def _vocabulary(terms: DataFrame | None) -> dict[bytes, int] | None:
     return {r["term"].encode(): i for i, r in enumerate(known.collect())} if size <= BROADCAST_BYTES else None
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> ImpactIndex:
+def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> ImpactIndex:
     """Index all rows of ``docs``. ``terms`` (column ``term``) restricts it to terms that will be asked for; counts cover all.
 
     A null or empty text has no terms and doesn't count as a document; rows that repeat an id are documents of
@@ -197,13 +198,13 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "
     shared = spark.sparkContext.broadcast(_vocabulary(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, _Block(shared.value)
+        number, block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, _Block(shared.value, block_docs)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block.add(doc, text.as_py())
                 if block.full():
                     yield from block.rows(number)
-                    number, block = number + 1, _Block(shared.value)
+                    number, block = number + 1, _Block(shared.value, block_docs)
         if block.ids:
             yield from block.rows(number)
 
@@ -275,8 +276,8 @@ def search(index: ImpactIndex, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked.join(sized(queries.select("q", "id"), n_queries, 32), "q").select("id", "rank", "doc", "score")
 
 
-def rank_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+def rank_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(query_id, rank, id_col, score): the k best documents for each row of ``queries``; the index holds the terms that they ask for."""
     asked = query_terms(queries, query_id, query_text)
-    index = build_index(docs, asked.select(F.explode("terms").alias("term")), id_col, text_col)
+    index = build_index(docs, asked.select(F.explode("terms").alias("term")), id_col, text_col, block_docs)
     return search(index, asked, k).select(F.col("id").alias(query_id), "rank", F.col("doc").alias(id_col), "score")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import toxicity
 from rankloom.llm.common import read_table
+from rankloom.llm.conversation_repair import repair
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import exact_dedup
 from rankloom.llm.impact_index import rank_documents
@@ -142,3 +143,43 @@ scores AS (SELECT q, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * t
 ranked AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of all conversations, after planted damage."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    return repair(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), fault)
+
+
+ORACLES["op13_conversation_repair"] = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i)) AS t),
+src AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hit AS (SELECT k, turn, role, text, xor(4294967295::BIGINT, list_reduce(list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) % 20 AS fault FROM src, crc),
+damaged AS (SELECT k, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit WHERE fault <> 0),
+seq AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS pos, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+seen AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY k, role, text ORDER BY pos) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY pos) AS prev FROM seq),
+marked AS (SELECT *, last = '' AS blank, last <> '' AND again AS duplicate, last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS truncated FROM seen),
+counts AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                  count(*) FILTER (truncated) AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY k),
+inserts(state, here, edits, cost, lines) AS (VALUES
+  (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 2, ['user:']), (1, 3, 'II', 4, ['user:', 'assistant:']),
+  (2, 2, '', 0, []), (2, 3, 'I', 2, ['assistant:']), (2, 2, 'II', 4, ['assistant:', 'user:']), (3, 3, '', 0, []), (3, 2, 'I', 2, ['user:']), (3, 3, 'II', 4, ['user:', 'assistant:'])),
+step(k, pos, state, best) AS (
+  SELECT DISTINCT k, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} FROM src
+  UNION ALL
+  SELECT k, pos, state, min(best) FROM (
+    SELECT s.k, m.pos, CASE e WHEN 'D' THEN i.here WHEN 'R' THEN (CASE i.here WHEN 2 THEN 3 ELSE 2 END) ELSE (CASE m.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END) END AS state,
+           {'cost': s.best.cost + i.cost + (CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END) + (CASE WHEN m.truncated AND e <> 'D' THEN 1 ELSE 0 END), 'audit': s.best.audit || i.edits || e,
+            'lines': s.best.lines || i.lines || (CASE e WHEN 'D' THEN [] WHEN 'R' THEN [(CASE i.here WHEN 2 THEN 'assistant:' ELSE 'user:' END) || m.text] ELSE [m.role || ':' || m.text] END)} AS best
+    FROM step s JOIN marked m ON m.k = s.k AND m.pos = s.pos + 1 JOIN inserts i ON i.state = s.state CROSS JOIN (VALUES ('D'), ('R'), ('K')) v(e)
+    WHERE e = 'D' OR (NOT m.blank AND NOT m.duplicate AND (e = 'R' OR (m.initial = 's' AND i.here = 0) OR (m.initial = 'u' AND i.here <> 2) OR (m.initial = 'a' AND i.here = 2)))
+  ) GROUP BY k, pos, state),
+ended AS (SELECT s.k, min({'cost': s.best.cost + i.cost, 'audit': s.best.audit || i.edits, 'lines': s.best.lines || i.lines}) AS best
+          FROM step s LEFT JOIN counts c USING (k) JOIN inserts i ON i.state = s.state AND i.here IN (0, 3) WHERE s.pos = coalesce(c.n, 0) GROUP BY s.k)
+SELECT s.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+       e.best.cost AS cost, e.best.audit AS audit, sha256(array_to_string(e.best.lines, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM src) s JOIN ended e USING (k) LEFT JOIN counts c USING (k)
+"""

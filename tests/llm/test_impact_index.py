@@ -85,12 +85,11 @@ def corpus(seed, n=400):
 
 @pytest.mark.parametrize("block", [64, 4096])
 def test_ranking_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(impact_index, "BLOCK_DOCS", block)
     monkeypatch.setattr(impact_index, "GROUP_TERMS", 40)
     docs, items = corpus(block)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     asked = spark.createDataFrame(items, "item_id long, text string")
-    got = rank_documents(frame, asked)
+    got = rank_documents(frame, asked, block_docs=block)
     assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "int", "bigint", "bigint"]
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
 
