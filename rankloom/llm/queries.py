@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import toxicity
+from rankloom.llm import quality, toxicity
 from rankloom.llm.common import read_table
 from rankloom.llm.conversation_repair import repair
 from rankloom.llm.encoder import tokenizer_path
@@ -124,6 +124,14 @@ FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages) p WINDOW w AS (P
 """
 
 
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from three quarters of the labels."""
+    stats = quality.document_statistics(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    model = quality.fit(stats, read_table(spark, sf_dir, "labels", "doc_id", "quality"), fold("id", 4) != 2)
+    return quality.score_quality(stats, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "difference")
+
+
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark item, from a bit-sliced impact index of all documents."""
