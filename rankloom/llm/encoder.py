@@ -5,6 +5,9 @@ feed between two of them, and no pre-token looks across such a break: a text's i
 ids of its pieces. A piece keeps the space before it where the tokenizer does. Each distinct piece is
 encoded once by the tokenizers library and kept in a bounded dictionary; natural text repeats most of its
 pieces. Texts with other runs of white space are split only where that is safe.
+
+The file's added tokens (``<|endoftext|>``) in a text get their own ids, as the library has it; what stands between
+them is encoded on its own. A file with added tokens that strip, fold or match whole words only is left to the library.
 """
 
 from __future__ import annotations
@@ -75,7 +78,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.plain_only = any(t.lstrip or t.rstrip or t.single_word or t.normalized or set(t.content) & set(" \n") for t in added.values())
+        self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.kept = kept
         self.model = self.tokenizer.model
         self.folds = self.tokenizer.normalizer is not None  # lower case; white space is dropped
@@ -100,6 +106,16 @@ class Encoder:
         return [self.encode_one(t) if t else b"" for t in texts]
 
     def encode_one(self, text: str) -> bytes:
+        if self.plain_only:
+            return self.plain(text)
+        if any(t in text for t in self.added):
+            between = self._added.split(text)
+            marks = [self.added[t] for t in self._added.findall(text)]
+            return b"".join(x for pair in zip([self._between(t) if t else b"" for t in between], [*marks, b""]) for x in pair)
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """A text without added tokens."""
         known, bare = self.after_space.__getitem__, self.bare.__getitem__
         if _ODD.search(text):
             first, *rest = _BREAK.split(text)

@@ -1,15 +1,18 @@
 """Edit-aware token counts.
 
-A document is cut, at spaces where every pre-token ends, into leaves of about LEAF characters; a tree of
-lengths and token counts stands above them. An edit re-encodes the leaves it touches, and the one before if
-it reaches within two characters of a cut (a cut is known by its space and the character after it), and
-updates the nodes above them. The rest of the text is never encoded, copied or counted again.
+A document is cut, where every pre-token ends, into leaves of about LEAF characters; a tree of lengths and token
+counts stands above them. Cuts stand before white space that a visible character follows, and between a letter and
+a punctuation mark, so texts of lines, and of scripts without spaces, are cut too. Only one run of letters, or of
+digits or marks, is never cut: to the tokenizer it is one pre-token. No cut stands where an added token may be.
+A cut is known by the character before it and the two after it: an edit re-encodes the leaves it touches, with the one
+before or after if it reaches that far, and updates the nodes above them. The rest of the text is never encoded, copied
+or counted again.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,17 +22,31 @@ from pyspark.sql import functions as F
 from rankloom.llm.encoder import WHITE, Encoder, encoder
 
 LEAF, FAN = 256, 8
-_CUT = re.compile(f" (?=[^{WHITE}])")
+#: Letters and marks that every version of Unicode has as such.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0905-\u0939\u0e01-\u0e2e\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u060c\u061b\u061f\u0964\u3001\u3002\u300c\u300d\uff01\uff0c\uff1a\uff1b\uff1f"
+
+
+def cut_pattern(added: Iterable[str]) -> re.Pattern:
+    """Where a text may be cut; never within, right before or one space before an added token."""
+    first = "".join(sorted({t[0] for t in added}))
+    marks = "".join(c for c in _MARKS if not any(c in t for t in added))
+    return re.compile(f"[{WHITE}\n](?=[^{WHITE}\n{re.escape(first)}])|(?<=[{_LETTERS}])(?=[{re.escape(marks)}])")
+
+
+_patterns: dict[tuple[str, ...], re.Pattern] = {}
 
 EDIT = "struct<start: int, end: int, text: string>"
 #: Spans that the redaction of the registered query replaces: e-mail addresses, long hexadecimal secrets, long numbers.
 SECRETS = r"[\w.+-]+@[\w-]+\.[\w.]+|\b[0-9a-f]{16,64}\b|\b\d{9,}\b"
 
 
-def cuts(text: str, begin: int, end: int) -> list[int]:
+def cuts(text: str, begin: int, end: int, added: Iterable[str] = ()) -> list[int]:
     """Where leaves of text[begin:end] start, the first at ``begin``."""
+    key = tuple(added)
+    pattern = _patterns.get(key) or _patterns.setdefault(key, cut_pattern(key))
     out, at = [begin], begin + LEAF
-    while at < end and (found := _CUT.search(text, at, end)):
+    while at < end and (found := pattern.search(text, at, end)):
         out.append(found.start())
         at = found.start() + LEAF
     return out
@@ -37,7 +54,7 @@ def cuts(text: str, begin: int, end: int) -> list[int]:
 
 def leaf_sizes(text: str, own: Encoder) -> list[tuple[int, int]]:
     """(characters, tokens) of a text's leaves."""
-    starts = cuts(text, 0, len(text))
+    starts = [0] if own.plain_only else cuts(text, 0, len(text), own.added)
     parts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
     return [(len(p), len(own.encode_one(p)) // 4 if p else 0) for p in parts]
 
@@ -79,10 +96,10 @@ class TokenTree:
         return [(x.chars, x.tokens) for x in self.root.leaves()]
 
     def edit(self, start: int, end: int, replacement: str) -> None:
-        """text[start:end] becomes ``replacement``: the leaves from the last that begins two characters before the edit to its end are made anew."""
+        """text[start:end] becomes ``replacement``: the leaves from the last that begins two characters before the edit to the one that holds the character after it are made anew."""
         first, begin = self.root.leaf_at(max(start - 2, 0))
         held, reached = [first.text], begin + first.chars
-        while reached < end:
+        while reached <= end and reached < self.root.chars:
             x, at = self.root.leaf_at(reached)
             held.append(x.text)
             reached = at + x.chars

@@ -7,7 +7,28 @@ from rankloom.llm.encoder import encoder, tokenizer_path
 from rankloom.llm.token_counts import FAN, TokenTree, apply_edits, in_order, redactions, token_trees
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
-TEXT = st.text(alphabet=" \n\tab'sé1. ", max_size=60)
+TEXT = st.one_of(st.text(alphabet=" \n\tab'sé1. ,，日本", max_size=60), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "ab", ".", "'s"]), max_size=12).map("".join))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXT, max_size=12), st.lists(st.tuples(st.integers(0, 80), st.integers(0, 9), TEXT), max_size=6))
+def test_edits_of_small_leaves_equal_encoding_anew(parts, edits):
+    from rankloom.llm import token_counts
+
+    before, token_counts.LEAF = token_counts.LEAF, 1
+    try:
+        for f in FILES:
+            e = encoder(tokenizer_path(f))
+            tree = TokenTree("".join(parts), e)
+            assert tree.total == full(e, tree.text)
+            for start, size, new in edits:
+                a = min(start, len(tree.text))
+                b = min(a + size, len(tree.text))
+                want = tree.text[:a] + new + tree.text[b:]
+                tree.edit(a, b, new)
+                assert tree.text == want and tree.total == full(e, want)
+    finally:
+        token_counts.LEAF = before
 
 
 def full(e, text):
@@ -51,6 +72,28 @@ def test_only_touched_regions_are_encoded():
     assert tree.encoded < 1000 and tree.total == full(e, tree.text)
 
 
+def test_texts_without_spaces_are_cut_too():
+    e = encoder(tokenizer_path(FILES[0]))
+    for text in ("日本語の文章は、空白なしで続く。" * 2500, "one\n" * 10_000, "a,b;c(d)" * 5000, "x=1\n\ty=2\n" * 4000):
+        tree = TokenTree(text, e)
+        assert tree.total == full(e, text) and len(tree.leaves()) > len(text) / 300
+        tree.encoded = 0
+        tree.edit(20_000, 20_003, "本x")
+        assert tree.encoded < 1000 and tree.total == full(e, tree.text)
+
+
+def test_an_edit_makes_and_breaks_added_tokens_across_cuts(monkeypatch):
+    from rankloom.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "LEAF", 2)
+    e = encoder(tokenizer_path(FILES[0]))
+    tree = TokenTree("ab cd  <|endoftext|> ef.gh <|endof text|>\nxy", e)
+    for a, b, new in ((7, 8, ""), (7, 7, "<"), (35, 36, ""), (4, 5, "<|endoftext|>"), (3, 5, "  "), (0, 1, "<|"), (2, 30, "endoftext|>")):
+        want = tree.text[:a] + new + tree.text[b:]
+        tree.edit(a, b, new)
+        assert tree.text == want and tree.total == full(e, want)
+
+
 def test_many_edits_of_a_long_text_cost_their_paths():
     import time
 

@@ -27,6 +27,22 @@ def test_encoder_equals_library(text):
         assert e.encode([text, None]) == [direct(e.tokenizer, text), b""]
 
 
+SPECIAL = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|ENDOFTEXT|>", "word", "Words.", " ", "  ", "\n", "\n\n", "\t", "'s", "é", "1", "<", "|>"]), max_size=14).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(SPECIAL)
+def test_added_tokens_in_a_text_equal_the_library(text):
+    from tokenizers import Tokenizer
+
+    for f in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = tokenizer_path(f)
+        assert encoder(path).encode([text]) == [direct(_library.setdefault(path, Tokenizer.from_file(path)), text)]
+
+
+_library: dict = {}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2**32 - 1), st.integers(0, 300)), min_size=1, max_size=400))
 def test_block_round_trip(values):
