@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a hashed order, are cut into blocks of equal size. Block k (from 0) of a source
-with weight a/m is released at slot floor(k*m/a) and due at slot ceil((k+1)*m/a); every slot takes the released
-block that is due first. On one sequence with weights that sum to one this meets every deadline, so at any
-slot each source's share deviates from its weight by less than one block. The weights are the target weights
-themselves, as exact fractions, and all blocks are dealt one by one (on the driver, 24 bytes a block). When a
-source runs out, the others go on with their weights in proportion: no document is dropped.
+Each source's documents, in a hashed order, are cut into blocks of equal size. The ideal is a fluid: at any moment the
+sources that still have something share the sequence in proportion to their weights, so when v is what a unit of weight
+has got, T(v) = sum of min(blocks, weight * v) slots have passed. Block k (from 0) of a source of weight w is released at
+slot floor(T(k / w)) and due at slot ceil(T((k + 1) / w)); every slot takes the released block that is due first. The
+fluid itself meets these windows, so earliest deadline first on one sequence does, and each source's blocks deviate
+from the fluid by less than one at every slot, from the first to the last, also after sources have run out. Weights
+are the target weights themselves, as exact fractions, and all blocks are dealt one by one (on the driver, 24 bytes a
+block). No document is dropped.
 """
 
 from __future__ import annotations
@@ -45,33 +47,50 @@ def shares(weights: np.ndarray, period: int) -> np.ndarray:
     return out
 
 
-def deal(a: list[int], left: list[int], whole: bool = False) -> list[list[int]]:
-    """The slots that each source gets until the first has placed what it has left (or all have): earliest deadline first among released blocks; of equal ones the heavier source."""
-    m = sum(a)
-    waiting: dict[int, list[int]] = {}
+def windows(a: list[int], blocks: list[int]) -> tuple[list[list[int]], list[list[int]]]:
+    """(release, due) of every block of each source, from integer weights: T between two ends of sources is done + rest * v, in whole numbers."""
+    by_end = sorted(range(len(a)), key=lambda i: Fraction(blocks[i], a[i]))
+    done, rest = [0], [sum(a)]
+    for i in by_end:
+        done.append(done[-1] + blocks[i])
+        rest.append(rest[-1] - a[i])
+    release, due = [], []
+    for w, n in zip(a, blocks):
+        phase, floors, ceilings = 0, [], []
+        for k in range(n + 1):
+            while phase < len(by_end) and blocks[by_end[phase]] * w < k * a[by_end[phase]]:
+                phase += 1
+            floors.append(done[phase] + k * rest[phase] // w)
+            ceilings.append(done[phase] - (k * rest[phase] // -w))
+        release.append(floors[:-1])
+        due.append(ceilings[1:])
+    return release, due
+
+
+def deal(a: list[int], release: list[list[int]], due: list[list[int]]) -> list[list[int]]:
+    """The slot of every block: earliest deadline first among released blocks; of equal ones the heavier source."""
     slots: list[list[int]] = [[] for _ in a]
+    waiting: dict[int, list[int]] = {}
+    for i, r in enumerate(release):
+        if r:
+            waiting.setdefault(r[0], []).append(i)
     ready: list[tuple[int, int, int]] = []
-    waiting[0] = [i for i in range(len(a)) if left[i] > 0]
-    more, t = len(waiting[0]), 0
-    while more:
+    for t in range(sum(map(len, release))):
         for i in waiting.pop(t, ()):
-            heapq.heappush(ready, (-((len(slots[i]) + 1) * m // -a[i]), -a[i], i))
-        due, _, i = heapq.heappop(ready)
-        if due <= t:
+            heapq.heappush(ready, (due[i][len(slots[i])], -a[i], i))
+        end, _, i = heapq.heappop(ready)
+        if end <= t:
             raise AssertionError("a deadline was missed")
         slots[i].append(t)
         k = len(slots[i])
-        t += 1
-        if k < left[i]:
-            waiting.setdefault(max(k * m // a[i], t), []).append(i)
-        else:
-            more = more - 1 if whole else 0
+        if k < len(release[i]):
+            waiting.setdefault(max(release[i][k], t + 1), []).append(i)
     return slots
 
 
 def one_period(a: np.ndarray) -> list[np.ndarray]:
     """The slots of one period of sum(a) slots that each source gets."""
-    return [np.array(s, np.int64) for s in deal(a.tolist(), a.tolist(), True)]
+    return [np.array(s, np.int64) for s in deal(a.tolist(), *windows(a.tolist(), a.tolist()))]
 
 
 @dataclass
@@ -98,27 +117,19 @@ def whole_numbers(weights: np.ndarray) -> list[int]:
 
 
 def schedule(blocks: np.ndarray, weights: np.ndarray) -> Schedule:
-    """Places every source's blocks. Sources of weight zero start when the others have run out."""
-    left, target, begin = blocks.astype(np.int64).tolist(), whole_numbers(weights), 0
+    """Places every source's blocks. Sources of weight zero start when the others have run out, then in proportion to their sizes."""
+    sizes, target, begin = blocks.astype(np.int64).tolist(), whole_numbers(weights), 0
     begins = np.cumsum(blocks) - blocks if len(blocks) else np.zeros(0, np.int64)
-    at = begins.tolist()
-    slot, release, due = (np.zeros(int(sum(left)), np.int64) for _ in range(3))
-    while any(left):
-        active = [i for i, n in enumerate(left) if n and target[i]]
-        if not active:
-            active = [i for i, n in enumerate(left) if n]
-            target = left[:]
-        a = [target[i] for i in active]
-        m, got = sum(a), deal(a, [left[i] for i in active])
-        for i, w, own in zip(active, a, got):
-            n = len(own)
-            here = slice(at[i], at[i] + n)
-            slot[here] = np.array(own, np.int64) + begin
-            release[here] = [begin + k * m // w for k in range(n)]
-            due[here] = [begin - (k * m // -w) for k in range(1, n + 1)]
-            at[i] += n
-            left[i] -= n
-        begin += sum(map(len, got))
+    slot, release, due = (np.zeros(int(sum(sizes)), np.int64) for _ in range(3))
+    for weighted in (True, False):
+        active = [i for i, n in enumerate(sizes) if n and bool(target[i]) == weighted]
+        a = [target[i] if weighted else sizes[i] for i in active]
+        opened, closed = windows(a, [sizes[i] for i in active])
+        for i, own, first, last in zip(active, deal(a, opened, closed), opened, closed):
+            here = slice(int(begins[i]), int(begins[i]) + sizes[i])
+            for column, values in ((slot, own), (release, first), (due, last)):
+                column[here] = np.array(values, np.int64) + begin
+        begin += sum(sizes[i] for i in active)
     return Schedule(slot, release, due, begins, blocks)
 
 

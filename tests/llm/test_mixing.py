@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -97,31 +98,64 @@ def test_two_thousand_sources_with_weights_down_to_a_hundred_thousandth():
         assert (abs(got - share * np.arange(1, end + 1)) < 1 + 1e-6).all()
 
 
+def fluid(blocks, weights, end=None):
+    """What each source has got of a fluid after every slot, by pouring it slot by slot."""
+    left, got, out = [Fraction(int(n)) for n in blocks], [Fraction(0)] * len(blocks), []
+    for _ in range(int(sum(blocks)) if end is None else end):
+        rest = Fraction(1)
+        while rest:
+            live = [i for i, x in enumerate(left) if x and weights[i]] or [i for i, x in enumerate(left) if x]
+            share = {i: Fraction(weights[i]) or Fraction(int(blocks[i])) for i in live}
+            whole = sum(share.values())
+            step = min([rest, *[left[i] * whole / share[i] for i in live]])
+            for i in live:
+                left[i] -= step * share[i] / whole
+                got[i] += step * share[i] / whole
+            rest -= step
+        out.append(got[:])
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.sampled_from([0.0, 0.5, 1.0, 0.1, 3.7, 1e-3])), min_size=1, max_size=6))
+def test_every_prefix_is_within_a_block_of_the_fluid(sources):
+    blocks, weights = np.array([b for b, _ in sources]), np.array([w for _, w in sources])
+    plan = schedule(blocks, weights)
+    owner = {int(t): i for i, n in enumerate(blocks) for t in plan.place(i, np.arange(n))[0]}
+    given_ = Counter()
+    for t, got in enumerate(fluid(blocks, weights)):
+        given_[owner[t]] += 1
+        assert all(abs(given_[i] - x) < 1 for i, x in enumerate(got))
+
+
+@pytest.mark.parametrize("n", [20, 200, 1000])
+def test_the_whole_mix_of_many_sources_is_within_a_block(n):
+    """Sizes are log-normal and weights their power 0.7: small sources run out first, all the way to the last."""
+    rng = np.random.default_rng(n)
+    blocks = np.maximum(1, rng.lognormal(3, 1.5, n)).astype(np.int64)
+    w = blocks.astype(float) ** 0.7
+    plan = schedule(blocks, w)
+    total = int(blocks.sum())
+    ends = np.argsort(blocks / w)  # T at the ends of sources, in floating point
+    v = np.concatenate([[0], (blocks / w)[ends]])
+    at = np.array([np.minimum(blocks, w * x).sum() for x in v])
+    virtual = np.interp(np.arange(1, total + 1), at, v)
+    for i in range(n):
+        got = np.searchsorted(plan.place(i, np.arange(blocks[i]))[0], np.arange(total), "right")
+        assert (abs(got - np.minimum(blocks[i], w[i] * virtual)) < 1 + 1e-6).all()
+
+
 def naive(blocks, weights):
-    """Owners of the slots: release, deadline and earliest deadline first by definition, one slot after the other."""
-    left, done, begin, owners, target = list(blocks), [0] * len(blocks), 0, [], [Fraction(w) for w in weights]
-    base = done[:]
-    while any(left):
-        active = [i for i, n in enumerate(left) if n and target[i]]
-        if not active:
-            active = [i for i, n in enumerate(left) if n]
-            target = [Fraction(n) for n in left]
-        whole = sum(target[i] for i in active)
-        share = {i: target[i] / whole for i in active}
-        out = False
-        while not out:
-            t = len(owners) - begin
-            ready = []
-            for i in active:
-                k = done[i] - base[i]
-                if (k / share[i]).__floor__() <= t:
-                    ready.append(((Fraction(k + 1) / share[i]).__ceil__(), -share[i], i))
-            i = min(ready)[2]
-            owners.append(i)
-            done[i] += 1
-            left[i] -= 1
-            out = not left[i]
-        begin, base = len(owners), done[:]
+    """Owners of the slots: windows from the fluid by definition, earliest deadline first, one slot after the other."""
+    poured = [[Fraction(0)] * len(blocks), *fluid(blocks, [Fraction(w) for w in weights])]
+    done, owners = [0] * len(blocks), []
+    release = [[max(t for t, got in enumerate(poured) if got[i] <= k) for k in range(n)] for i, n in enumerate(blocks)]
+    due = [[min(t for t, got in enumerate(poured) if got[i] >= k) for k in range(1, n + 1)] for i, n in enumerate(blocks)]
+    for t in range(sum(blocks)):
+        ready = [(due[i][done[i]], -(weights[i] or blocks[i]), i) for i in range(len(blocks)) if done[i] < blocks[i] and release[i][done[i]] <= t]
+        i = min(ready)[2]
+        owners.append(i)
+        done[i] += 1
     return owners
 
 
