@@ -58,11 +58,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, that of the largest id; all columns stay as they are. Of rows that repeat both id and text one stays."""
+    """``docs`` with one row of each text, that of the largest id; all columns stay as they are. Of rows that repeat both id and text (a null text is an empty one) one stays."""
     groups = materialize(exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "exact-groups")
     dropped = groups.where("not kept").select("__id", "__sha")
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
     same = docs[id_col].eqNullSafe(dropped["__id"]) & (sha == dropped["__sha"])
     out = docs.join(sized(dropped, dropped.count(), 128), same, "left_anti")
     repeated = groups.where("kept").groupBy("__id", "__sha").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
+    if repeated.isEmpty():
+        return out
+    return out.withColumn("__copied_text", F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates([id_col, "__copied_text"]).drop("__copied_text")

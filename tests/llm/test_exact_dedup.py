@@ -37,3 +37,8 @@ def test_empty_table_and_extra_columns(spark):
     kept = drop_exact_copies(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, _, k in brute(ROWS) if k)
+
+
+def test_null_and_empty_text_of_one_id_are_one_copy(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (1, "a"), (2, "a")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in drop_exact_copies(df).collect()) == [(1, ""), (2, "a")]
