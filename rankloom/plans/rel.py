@@ -317,6 +317,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table's rows, written to the shared folder and read back; they are removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def kept(rel: Rel, spark: SparkSession, sf_dir: str, cuts: tuple[Rel, ...] = ()) -> DataFrame:
     """A relation over a folder, written to the shared folder for the session's further queries: they plan over its rows, not over its long plan.
 
