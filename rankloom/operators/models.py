@@ -1,8 +1,8 @@
 """Rankers, walk-forward evaluation and the promotion gate.
 
 Ridge regression is a Gram matrix summed on the executors and a small solve on the driver; predictions are
-column expressions. The neural challengers of the reference need libraries that are absent: their places are
-taken by gradient-boosted trees (``pyspark.ml``) and by a ridge over a window of snapshots, which are not equivalent.
+column expressions. The challengers are a perceptron and a recurrent net (``neural``), gradient-boosted trees
+(``pyspark.ml``) and a ridge over a window of snapshots.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.research import CUTS, EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, PANEL_DAYS
-from rankloom.plans.rel import Registry, kept
+from rankloom.operators import neural
+from rankloom.operators.research import CUTS, EMBARGO, FEATURES, FOLDS, HORIZON, LEARNED, PANEL, PANEL_DAYS, sequences
+from rankloom.plans.numbering import numbered
+from rankloom.plans.rel import Registry, kept, written
 
 REG = Registry()
 COLUMNS = tuple(f"x_{f}" for f in FEATURES)
@@ -100,8 +102,24 @@ def trees(train: DataFrame, test: DataFrame, features: tuple[str, ...] = COLUMNS
     return GBTRegressor(featuresCol="v", labelCol="y", maxIter=10, maxDepth=3, seed=7).fit(put.transform(train)).transform(put.transform(test)).drop("v")
 
 
-def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge", features: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Daily metrics of every fold (at most SPLITS, looped over on the driver; each fold runs distributed)."""
+#: Observations of a row that the recurrent net reads, of which so many must be its own (the others repeat the first).
+SEQUENCE, LEAST_SEQUENCE = 5, 2
+
+
+def _sequences(panel: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The panel's rows with their last observations, and the columns from the oldest to the newest."""
+    rows = written(sequences(SEQUENCE, LEAST_SEQUENCE).on(panel.sparkSession, panel=panel), "sequences")  # many columns of one window: later plans begin at its rows
+    return rows, tuple(f"{c}_{j}" for j in reversed(range(SEQUENCE)) for c in COLUMNS)
+
+
+def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge", features: tuple[str, ...] = COLUMNS, **options) -> DataFrame:
+    """Daily metrics of every fold (at most SPLITS, looped over on the driver; each fold runs distributed).
+
+    ``model``: ridge, sequence (a ridge over windows), trees, perceptron or recurrent; the last two train all
+    folds in the same rounds and take ``neural.train``'s options.
+    """
+    if model in neural.NETS:
+        return _neural_walk_forward(panel, folds, model, features, options)
     if model == "sequence":
         panel, features = with_window(panel, features=features)
     numbered = panel.join(F.broadcast(PANEL_DAYS.on(panel.sparkSession, panel=panel).select("snapshot", "t")), "snapshot")  # a row per snapshot
@@ -119,6 +137,22 @@ def walk_forward(panel: DataFrame, folds: DataFrame, model: str = "ridge", featu
     return out if out is not None else daily_metrics(numbered.limit(0).withColumn("prediction", F.lit(0.0))).withColumn("fold", F.lit(0))
 
 
+def _neural_walk_forward(panel: DataFrame, folds: DataFrame, model: str, features: tuple[str, ...], options: dict) -> DataFrame:
+    days = PANEL_DAYS.on(panel.sparkSession, panel=panel).select("snapshot", "t")
+    if model == "recurrent":
+        panel, features = _sequences(panel)
+    rows = panel.join(F.broadcast(days), "snapshot")  # a row per snapshot
+    found = folds.orderBy("fold").collect()
+    blocks = neural.pack(rows, features, SEQUENCE if model == "recurrent" else 1, day="t")
+    trained = neural.train(blocks, model, [f["train_to"] for f in found], **options)
+    out = daily_metrics(rows.limit(0).withColumn("prediction", F.lit(0.0))).withColumn("fold", F.lit(0))
+    for f, m in zip(found, trained):
+        if m is not None:
+            test = rows.where((F.col("t") >= f["test_from"]) & (F.col("t") < f["test_to"]))
+            out = out.unionByName(daily_metrics(test.withColumn("prediction", m.predict())).withColumn("fold", F.lit(f["fold"])))
+    return out
+
+
 #: Weight of a fully trusted model, and the ICIR at which trust is full.
 FULL_WEIGHT, FULL_ICIR = 12.0, 1.0
 
@@ -158,14 +192,14 @@ def promote(registry: str | None, name: str, result: dict) -> str:
     return json.dumps(state, sort_keys=True)
 
 
-def predict_live(ranks: DataFrame, model: Ridge) -> DataFrame | None:
-    """Percentiles (0 to 100) of the newest snapshot's predictions; None if a feature is missing."""
-    if not set(model.features) <= set(ranks.columns):
+def predict_live(ranks: DataFrame, model: Ridge | neural.Trained) -> DataFrame | None:
+    """Percentiles (0 to 100) of the newest snapshot's predictions (rows without one stay out); None if a feature is missing."""
+    needs = model.features if isinstance(model, Ridge) else model.columns
+    if not set(needs) <= set(ranks.columns):
         return None
-    scored = ranks.withColumn("prediction", model.predict())
-    place = F.row_number().over(Window.orderBy("prediction", "ticker"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return scored.select("ticker", "prediction", (100 * (place - 1) / F.greatest(F.lit(1), n - 1)).alias("model_score"))
+    scored = ranks.select("ticker", model.predict().alias("prediction")).where("prediction is not null")
+    placed, n = numbered(scored, F.asc("prediction"), F.asc("ticker"))
+    return placed.select("ticker", "prediction", (100 * (F.col("number") - 1) / max(1, n - 1)).alias("model_score"))
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +241,34 @@ def md_trees_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(walk_forward(panel, FOLDS.on(spark, panel=panel), "trees"), "fold")
 
 
+#: Rounds of gradients in the registered queries.
+ROUNDS = 30
+
+
+@REG.function
+def md_perceptron_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for perceptrons."""
+    panel = _panel(spark, sf_dir)
+    return summary(walk_forward(panel, FOLDS.on(spark, panel=panel), "perceptron", rounds=ROUNDS), "fold")
+
+
+@REG.function
+def md_recurrent_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for recurrent nets over the last five snapshots of each security."""
+    panel = _panel(spark, sf_dir)
+    return summary(walk_forward(panel, FOLDS.on(spark, panel=panel), "recurrent", rounds=ROUNDS), "fold")
+
+
+@REG.function
+def md_perceptron_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the newest snapshot by a perceptron that is validated, then fitted anew on all snapshots."""
+    panel = _panel(spark, sf_dir)
+    newest = panel.agg(F.max("snapshot").alias("snapshot")).first()["snapshot"]
+    (model,) = neural.train(neural.pack(panel, COLUMNS), "perceptron", [(newest or 0) + 1], rounds=ROUNDS, refit=True)
+    empty = spark.createDataFrame([], "ticker string, prediction double, model_score double")
+    return empty if model is None else predict_live(panel.where(F.col("snapshot") == newest), model)
+
+
 @REG.function
 def md_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict and suggested weight of the ridge."""

@@ -212,7 +212,10 @@ class Blocks:
 
 def pack(panel: DataFrame, columns: tuple[str, ...], steps: int = 1, day: str = "snapshot", label: str = "y", key: str = "ticker", block: int = BLOCK) -> Blocks:
     """Blocks of a panel. ``columns`` are the inputs of a row, for ``steps`` above one the oldest observation's first. Rows with a null input or label, and days of fewer than LEAST_DAY rows, teach nothing."""
-    rows = panel.select(F.col(day).cast("long").alias("day"), F.col(key).cast("string").alias("key"), F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
+    named = {"day": F.col(day).cast("long"), "key": F.col(key).cast("string"), "y": F.col(label).cast("double")} | {f"x{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    # A condition a column: one over all of them would double Catalyst's constraints with every column.
+    known = [c.isNotNull() for c in named.values()] + [~F.isnan(c) for name, c in named.items() if name not in ("day", "key")]
+    rows = panel.where(reduce(lambda a, b: a & b, known)).select(*[c.alias(name) for name, c in named.items()])
     k = len(columns)
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(k)] + [F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in range(k)]
     known = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), *sums).where(f"n >= {LEAST_DAY}").collect()  # a row a day

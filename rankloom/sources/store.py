@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.plans.numbering import numbered
+
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """New rows, and old ones whose key isn't among them; columns either side lacks become null."""
@@ -16,8 +18,8 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 def merge_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     """A day's snapshot run again: new rows win by ticker, then all are ranked anew."""
-    place = Window.orderBy(F.col("total_score").desc_nulls_last(), "ticker")
-    return upsert(old, new, "ticker").withColumn("rank", F.row_number().over(place))
+    merged = upsert(old, new, "ticker").drop("rank")
+    return numbered(merged, F.col("total_score").desc_nulls_last(), F.asc("ticker"), name="rank")[0]
 
 
 def refresh_partitions(spark: SparkSession, rows: DataFrame, path: str, by: str = "date") -> None:

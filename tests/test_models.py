@@ -143,3 +143,14 @@ def test_top_decile_return(spark):
     rows = [(0, f"T{i:02d}", float(i), float(i * i)) for i in range(20)]
     r = daily_metrics(spark.createDataFrame(rows, "snapshot long, ticker string, prediction double, y double")).first()
     assert r.decile_return == (18 * 18 + 19 * 19) / 2 and r.decile_spread == r.decile_return - 0.5
+
+
+def test_neural_rankers_walk_forward(spark):
+    p = panel(spark, 0, 5, days=60, n=40, change=True)
+    folds = FOLDS.on(spark, panel=p)
+    plain = mean_ic(walk_forward(p, folds))
+    wide = mean_ic(walk_forward(p, folds, "recurrent", rounds=40))
+    assert wide > 0.25 and wide > plain + 0.1
+    days = walk_forward(panel(spark, 0.55, 1, n=40), folds, "perceptron", rounds=20)
+    assert {r.fold for r in days.collect()} == {r.fold for r in folds.collect()} and mean_ic(days) > 0.1
+    assert walk_forward(p.limit(0), FOLDS.on(spark, panel=p.limit(0)), "perceptron").count() == 0
