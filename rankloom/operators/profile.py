@@ -6,6 +6,11 @@ and every window and aggregate above them is evaluated once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from rankloom.functions.expr import roll, whole
 from rankloom.operators.indicators import INDICATORS, layers
 from rankloom.plans.rel import Rel, Registry
@@ -74,13 +79,6 @@ TAIL_COLUMNS = {
 }
 
 
-def _bands(q) -> str:
-    """A ticker's bars with bands, in date order."""
-    null = "cast(NULL AS double)"
-    bar = q.record(dir="1e0", pu=null, pl=null, c="close", u="(high + low) / 2 + 3 * atr10", l="(high + low) / 2 - 3 * atr10")
-    return q.collect(bar, "date", "atr10 IS NOT NULL")
-
-
 def _aroon(q, x: str, key: str) -> str:
     """The last bar's share of 25 bars since the extreme of them, the oldest of equal ones."""
     extreme = f"min_by(i, CASE WHEN rd <= 25 AND {x} IS NOT NULL THEN {q.row(key, 'i')} END)"
@@ -90,34 +88,64 @@ def _aroon(q, x: str, key: str) -> str:
 PROFILE = Rel(
     "profile",
     lambda q: "SELECT ticker, " + ", ".join(f"{x} AS {c}" for c, x in FEATURE_COLUMNS.items()) + ", " + ", ".join(f"{latest(c)} AS last_{c}" for c in LAST_COLUMNS)
-    + ", " + ", ".join(f"{x} AS {c}" for c, x in TAIL_COLUMNS.items()) + f", {_aroon(q, 'high', '-high')} AS last_aroon_up, {_aroon(q, 'low', 'low')} AS last_aroon_down, {_bands(q)} AS bands, {q.collect('date', 'date', 'atr10 IS NOT NULL')} AS band_dates FROM feature_rows GROUP BY ticker",
+    + ", " + ", ".join(f"{x} AS {c}" for c, x in TAIL_COLUMNS.items()) + f", {_aroon(q, 'high', '-high')} AS last_aroon_up, {_aroon(q, 'low', 'low')} AS last_aroon_down FROM feature_rows GROUP BY ticker",
     (ROWS,),
 )
 FEATURES = Rel("features", f"SELECT ticker, {', '.join(FEATURE_COLUMNS)} FROM profile", (PROFILE,))
 LAST = Rel("last_values", f"SELECT ticker, last_date, n, vol20, vol60, {', '.join(f'last_{c} AS {c}' for c in (*LAST_COLUMNS, 'aroon_up', 'aroon_down'))} FROM profile", (PROFILE,))
 TAIL = Rel("tail_stats", f"SELECT ticker, {', '.join(TAIL_COLUMNS)} FROM profile", (PROFILE,))
-#: Supertrend of the last bar: a fold over a ticker's bars whose bands ratchet (the upper down while the trend is up, the lower up while it is down).
-SUPERTREND = Rel("supertrend", lambda q: f"SELECT ticker, {_super(q)}.dir AS supertrend FROM profile WHERE atr10_now IS NOT NULL", (PROFILE,))
-#: Supertrend of every bar that has an average range (those before have no row): the fold keeps each bar's direction.
-SUPERTREND_SERIES = Rel("supertrend_series", lambda q: f"SELECT ticker, {q.side_by_side('band_dates', 'dirs', 'date', 'dir')} FROM (SELECT ticker, band_dates, {_super(q, series=True)}.dirs AS dirs FROM profile WHERE atr10_now IS NOT NULL) x", (PROFILE,))
-
-
-def _super(q, series: bool = False) -> str:
-    """Bands compare with those of the bar before; before the first bar with bands the direction is up. ``series`` also gathers the directions."""
+#: Bars that have an average range, with the bands of Supertrend around their middle.
+BANDS = Rel("supertrend_bands", "SELECT ticker, date, close AS c, (high + low) / 2 + 3 * atr10 AS u, (high + low) / 2 - 3 * atr10 AS l FROM indicators WHERE atr10 IS NOT NULL", (INDICATORS,))
+
+
+def _directions(bands: DataFrame) -> DataFrame:
+    """Direction of each bar, in one pass over a ticker's bars in order of time: what is held is the state after the last bar.
+
+    The bands ratchet (the upper down while the trend is up, the lower up while it is down) and compare with those
+    of the bar before; before the first bar with bands the direction is up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, way, up, low = object(), 1.0, None, None
+        for batch in batches:
+            out = []
+            for ticker, c, u, l in zip(*[batch.column(k).to_pylist() for k in ("ticker", "c", "u", "l")]):  # noqa: E741
+                if ticker != last:
+                    last, way, up, low = ticker, 1.0, None, None
+                if u is not None and l is not None:
+                    before = way
+                    if c is not None and c > (u if up is None else up):
+                        way = 1.0
+                    elif c is not None and c < (l if low is None else low):
+                        way = -1.0
+                    up = u if up is None or before < 0 else min(u, up)
+                    low = l if low is None or before > 0 else max(l, low)
+                out.append(way)
+            yield pa.RecordBatch.from_arrays([batch.column("ticker"), batch.column("date"), pa.array(out, pa.float64())], names=["ticker", "date", "dir"])
+
+    kind = dict(bands.dtypes)["date"]
+    return bands.repartition("ticker").sortWithinPartitions("ticker", "date").mapInArrow(run, f"ticker string, date {kind}, dir double")
+
+
+def _folded(q) -> str:
+    """The same as one fold over a list."""
     null, none = "cast(NULL AS double)", q.no_doubles()
     turned = "CASE WHEN b.c > coalesce(s.pu, b.u) THEN 1e0 WHEN b.c < coalesce(s.pl, b.l) THEN -1e0 ELSE s.dir END"
     step = {
         "dir": turned,
         "pu": "CASE WHEN s.pu IS NOT NULL AND s.dir > 0 THEN least(b.u, s.pu) ELSE b.u END",
         "pl": "CASE WHEN s.pl IS NOT NULL AND s.dir < 0 THEN greatest(b.l, s.pl) ELSE b.l END",
-        "c": "b.c", "u": "b.u", "l": "b.l",
+        "c": "b.c", "u": "b.u", "l": "b.l", "dirs": f"concat(s.dirs, {q.doubles(turned)})",
     }
-    start = {"dir": "1e0", **dict.fromkeys(("pu", "pl", "c", "u", "l"), null)}
-    items = "bands"
-    if series:
-        items = q.each("bands", q.record(**{k: f"b.{k}" for k in start}, dirs=none))
-        step, start = step | {"dirs": f"concat(s.dirs, {q.doubles(turned)})"}, start | {"dirs": none}
-    return f"({q.fold(items, q.record(**start), q.record(**step))})"
+    start = {"dir": "1e0", **dict.fromkeys(("pu", "pl", "c", "u", "l"), null), "dirs": none}
+    bars = q.collect(q.record(**{k: {"dir": "1e0", "pu": null, "pl": null, "dirs": none}.get(k, k) for k in start}), "date")
+    whole = f"SELECT ticker, {q.fold('bars', q.record(**start), q.record(**step))}.dirs AS dirs, dates FROM (SELECT ticker, {bars} AS bars, {q.collect('date', 'date')} AS dates FROM supertrend_bands GROUP BY ticker) x"
+    return f"SELECT ticker, {q.side_by_side('dates', 'dirs', 'date', 'dir')} FROM ({whole}) y"
+
+
+#: Supertrend of every bar that has an average range, and of the last one.
+SUPERTREND_SERIES = Rel("supertrend_series", _folded, (BANDS,), run=_directions)
+SUPERTREND = Rel("supertrend", "SELECT s.ticker, s.dir AS supertrend FROM supertrend_series s JOIN profile p ON p.ticker = s.ticker AND p.last_date = s.date", (SUPERTREND_SERIES, PROFILE))
 
 
 #: What further queries of a session build on, in the order in which it is computed.

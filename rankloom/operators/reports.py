@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from rankloom.operators.factors import FACTORS, FORMULAS, PENALTY_FLAGS
 from rankloom.operators.research import DELTAS, IC, SNAPSHOTS, STEP, TRADING_DAYS
 from rankloom.operators.research import CUTS as RESEARCH_CUTS
-from rankloom.operators.scoring import DEFAULT, scorer
+from rankloom.operators.scoring import DEFAULT, RUN
 from rankloom.operators.targets import CUTS, RISK, WATCHED
+from rankloom.plans.numbering import numbering
 from rankloom.plans.rel import Rel, Registry, kept
 from rankloom.sources.adapters import SECURITIES
 
-_R = scorer(DEFAULT)
+_R = RUN
 _RANKING, _CONTRIBUTIONS, _CATEGORIES = _R["ranking"], _R["contributions"], _R["category_scores"]
 REG = Registry((*CUTS, *(c for c in RESEARCH_CUTS if c not in CUTS)))
 
 REG.rel("rp_top", "SELECT ticker, rank, round(total_score, 5) AS total_score, pinned FROM ranking WHERE rank <= 15 OR pinned", _RANKING)
-REG.rel("rp_percentile", "SELECT ticker, rank, round(100e0 * rank / count(*) OVER (), 6) AS rank_percentile FROM ranking", _RANKING)
+REG.rel("rp_percentile", "SELECT ticker, rank, round(100e0 * rank / (SELECT count(*) FROM ranking), 6) AS rank_percentile FROM ranking", _RANKING)
 #: Categories as the reports show them, rescaled so that a security's parts add up to its total.
 MERGED = Rel(
     "merged_categories",
@@ -33,7 +34,7 @@ REG.rel("rp_tiles", "SELECT round(max(r.total_score), 5) AS best, count(*) AS n,
 
 def sorted_by(column: str, descending: bool = False, digits: int = 5) -> Rel:
     """The ranking's rows numbered by any of its columns, in either direction; nulls come last, and the ticker settles ties."""
-    return Rel("sorted_ranking", f"SELECT *, row_number() OVER (ORDER BY round({column}, {digits}) {'DESC' if descending else 'ASC'} NULLS LAST, ticker) AS place FROM ranking", (_RANKING,))
+    return numbering("sorted_ranking", _RANKING, "place", (f"round({column}, {digits})", "DESC" if descending else "ASC"), ("ticker", "ASC"))
 
 
 REG.rel("rp_sorted", "SELECT ticker, round(penalty, 5) AS penalty, place FROM sorted_ranking", sorted_by("penalty"))

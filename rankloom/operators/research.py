@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.factors import CUTS, FACTORS, FORMULAS, PENALTIES
+from rankloom.operators.factors import FACTORS, FORMULAS, PENALTIES
 from rankloom.operators.indicators import INDICATORS
-from rankloom.operators.scoring import DEFAULT, scorer
+from rankloom.operators.scoring import CUTS, DEFAULT, RUN
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS
 
@@ -187,7 +187,7 @@ REG.rel("dl_noise", lambda q: f"SELECT count(score_change) AS n, round({q.quanti
 REG.rel("ml_constant_features", "SELECT " + ", ".join(f"count(DISTINCT {f}) AS n_{f}" for f in FEATURES) + " FROM snapshots", SNAPSHOTS)
 
 #: The feature store's wide row: raw value, presence and score of every factor, penalties as 0 or 1.
-_W = scorer(DEFAULT)["weighted"]
+_W = RUN["weighted"]
 _IDS = [f.id for f in DEFAULT.factors if f.id in FORMULAS]
 FEATURE_MATRIX = Rel(
     "feature_matrix",

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 
 from rankloom.functions.expr import bands, d
 from rankloom.operators.factors import CUTS, FACTOR_VALUES, PENALTY_FLAGS
+from rankloom.plans.numbering import numbering
 from rankloom.plans.rel import Rel, Registry
 
-REG = Registry(CUTS)
+REG = Registry()
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,7 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
         f"""SELECT f.*, v.n_values, v.n_values / cast((SELECT n_universe FROM universe_count) AS double) AS coverage
         FROM factor_config f JOIN (SELECT factor_id, count(raw) AS n_values FROM {values.name} GROUP BY factor_id) v ON v.factor_id = f.factor_id""",
         (config, universe, values),
+        cut=True,
     )
     #: Factors that are covered well enough, with their weights scaled to their cluster's budget.
     scaled = Rel(
@@ -147,6 +149,7 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
         + (f"50 + ({raw_base} - 50) * power({coverage}, {d(cfg.shrink_power)})" if cfg.shrink_power > 0 else raw_base)
         + f" AS base FROM (SELECT ticker, sector, score, w FROM weighted UNION ALL SELECT ticker, sector, cast(NULL AS double), cast(NULL AS double) FROM {values.name} WHERE (SELECT count(*) FROM active_factors) > 0) x GROUP BY ticker",
         (values, weighted, active),
+        cut=True,
     )
     spread = Rel("base_spread", "SELECT CASE WHEN coalesce(stddev_pop(base), 0e0) < 1e-6 THEN 1e0 ELSE stddev_pop(base) END AS sigma FROM base", (base,))
     penalty_rows = [(_text(p), "cast(NULL AS double)" if s is None else d(s), d(pt)) for p, (s, pt) in cfg.penalties.items()] or [("'-'", "0e0", "0e0")]
@@ -161,7 +164,8 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
                          FROM {flags.name} g JOIN {q.values(("penalty_id", "sigma", "points"), penalty_rows)} p ON p.penalty_id = g.penalty_id GROUP BY g.ticker) h ON h.ticker = b.ticker) x""",
         (base, spread, flags),
     )
-    ranking = Rel("ranking", f"SELECT *, row_number() OVER (ORDER BY total_score DESC NULLS LAST, ticker) AS rank FROM scores WHERE coverage >= {d(cfg.min_include)} OR pinned", (scores,))
+    rankable = Rel("rankable", f"SELECT * FROM scores WHERE coverage >= {d(cfg.min_include)} OR pinned", (scores,))
+    ranking = numbering("ranking", rankable, "rank", ("total_score", "DESC"), ("ticker", "ASC"))
     contributions = Rel("contributions", "SELECT ticker, factor_id, category, score, w, score * w / 100 AS contribution, band_label FROM weighted", (weighted,))
     category_scores = Rel("category_scores", "SELECT ticker, category, sum(score * w) / nullif(sum(w), 0) AS category_score FROM weighted WHERE score IS NOT NULL GROUP BY ticker, category", (weighted,))
     return {r.name: r for r in (universe, stats, active, ranked, normalised, weighted, base, scores, ranking, contributions, category_scores)}
@@ -172,7 +176,9 @@ def score(values: DataFrame, flags: DataFrame, cfg: Config = DEFAULT, want: str
     return scorer(cfg)[want].on(values.sparkSession, factor_values=values, penalty_flags=flags)
 
 
-_R = scorer(DEFAULT)
+#: The default scoring run's relations; what others build on is kept for a session.
+RUN = _R = scorer(DEFAULT)
+CUTS = REG.cuts = (*CUTS, _R["factor_stats"], _R["normalised"], _R["base"], _R["ranking"])
 REG.rel("sc_percentile", "SELECT ticker, factor_id, round(coverage, 6) AS coverage, round(percentile, 6) AS percentile FROM ranked", _R["ranked"])
 REG.rel("sc_coverage", "SELECT factor_id, round(coverage, 6) AS coverage, coverage < 0.15 AS auto_disabled FROM factor_stats", _R["factor_stats"])
 REG.rel("sc_bands", "SELECT ticker, factor_id, band_score, band_label FROM ranked WHERE band_label IS NOT NULL", _R["ranked"])

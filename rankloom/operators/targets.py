@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rankloom.operators.factors import CUTS
 from rankloom.operators.profile import FEATURES
 from rankloom.operators.indicators import BASE
-from rankloom.operators.scoring import DEFAULT, scorer
+from rankloom.operators.scoring import CUTS, RUN
+from rankloom.plans.numbering import numbering
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import FUNDAMENTALS, POSITIONS
 
@@ -73,7 +73,7 @@ STOPS = Rel(
                 WHERE f.atr14 > 0 AND f.n >= 60) a) b""",
     (FEATURES, POSITIONS, SHORT_SWINGS),
 )
-_RANKING = scorer(DEFAULT)["ranking"]
+_RANKING = RUN["ranking"]
 #: Inputs of the sell rules: one row per position, with today's score where it is ranked.
 WATCHED = Rel(
     "watched",
@@ -144,6 +144,6 @@ REG.rel(
     "tg_watch_history",
     """SELECT last_date AS date, ticker, added_date, quantity, round(price, 8) AS price, round(entry_price, 8) AS entry_price, round(pnl_pct, 5) AS pnl_pct, risk AS risk_level, n_rules AS signal_count, round(active_stop, 5) AS active_stop, round(stop_pnl_pct, 5) AS stop_pnl_pct,
               round(short_target, 5) AS short_target, short_upside_pct, round(long_target, 5) AS long_target, long_upside_pct, round(score_now, 4) AS total_score, round(rsi14, 5) AS rsi14, round(atr_pct, 5) AS atr_pct, risk_index,
-              row_number() OVER (ORDER BY risk_index DESC, ticker) AS position FROM analysis""",
-    ANALYSIS,
+              position FROM placed_analysis""",
+    numbering("placed_analysis", ANALYSIS, "position", ("risk_index", "DESC"), ("ticker", "ASC")),
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from rankloom.operators.factors import CUTS, FACTORS
+from rankloom.plans.numbering import numbering
 from rankloom.plans.rel import Rel, Registry
 from rankloom.sources.adapters import BARS, MENTIONS, SECURITIES
 
@@ -19,12 +20,13 @@ SYMBOL = "^[A-Z][A-Z.-]{0,6}$"
 REG.rel("un_presets", lambda q: f"SELECT s.ticker, p.preset, round(s.market_cap, 3) AS market_cap FROM securities s JOIN {q.values(('preset', 'low', 'high'), [(f"'{n}'", repr(a), repr(b)) for n, (a, b) in PRESETS.items()])} p ON 20 * s.market_cap BETWEEN p.low AND p.high", SECURITIES)
 def cap_band(low: float, high: float, listings: Rel = SECURITIES, unit: float = 1.0) -> Rel:
     """Symbols of listings (ticker, market_cap in ``unit``) with a capitalisation in the band, dots as dashes, the largest first; what looks like no symbol goes, and a symbol's largest listing stands."""
-    return Rel(
-        "cap_band",
-        lambda q: f"""SELECT symbol, max(cap) AS cap, row_number() OVER (ORDER BY max(cap) DESC, symbol) AS place FROM (SELECT replace(upper(trim(ticker)), '.', '-') AS symbol, {unit!r} * market_cap AS cap FROM {listings.name}) x
+    banded = Rel(
+        "banded_listings",
+        lambda q: f"""SELECT symbol, max(cap) AS cap FROM (SELECT replace(upper(trim(ticker)), '.', '-') AS symbol, {unit!r} * market_cap AS cap FROM {listings.name}) x
             WHERE cap > 0 AND cap BETWEEN {low!r} AND {high!r} AND {q.matches("symbol", SYMBOL)} GROUP BY symbol""",
         (listings,),
     )
+    return numbering("cap_band", banded, "place", ("cap", "DESC"), ("symbol", "ASC"))
 
 
 #: The derived tickers end in digits; as symbols their digits are written as letters.
@@ -41,23 +43,24 @@ REG.rel(
         {q.values(("symbol", "cap_text"), [("'A'", "'1,200,000.5'"), ("'B'", "'n/a'"), ("'A'", "'900'"), ("'C'", "''"), ("'D'", "'35'")])} x) y WHERE cap > 0 GROUP BY symbol""",
 )
 #: Symbols of several sources in order; the first source that has a symbol keeps it.
-UNION = Rel(
-    "universe_union",
+_SOURCES = Rel(
+    "union_rows",
     f"""
-    SELECT ticker, source, row_number() OVER (ORDER BY src, pos) AS place FROM (
-      SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY src, pos) AS seen FROM (
-        SELECT ticker, 'mentions' AS source, 1 AS src, row_number() OVER (ORDER BY mentions DESC, ticker) AS pos FROM (SELECT ticker, sum(mentions) AS mentions FROM mentions GROUP BY ticker) m WHERE mentions > 0
-        UNION ALL SELECT ticker, 'listings', 2, row_number() OVER (ORDER BY market_cap DESC NULLS LAST, ticker) FROM securities) a) b
+    SELECT ticker, source, src, size FROM (
+      SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY src) AS seen FROM (
+        SELECT ticker, 'mentions' AS source, 1 AS src, cast(mentions AS double) AS size FROM (SELECT ticker, sum(mentions) AS mentions FROM mentions GROUP BY ticker) m WHERE mentions > 0
+        UNION ALL SELECT ticker, 'listings', 2, cast(market_cap AS double) FROM securities) a) b
     WHERE seen = 1 AND ticker NOT IN ({", ".join(repr(t) for t in NON_STOCK)})""",
     (MENTIONS, SECURITIES),
 )
+UNION = numbering("universe_union", _SOURCES, "place", ("src", "ASC"), ("size", "DESC"), ("ticker", "ASC"))
 REG.rel("un_union", "SELECT ticker, source, place FROM universe_union", UNION)
-REG.rel("un_stride_sample", lambda q: f"SELECT u.ticker, u.place, i.i FROM (SELECT *, count(*) OVER () AS n FROM universe_union) u JOIN (SELECT {q.explode(q.numbers('0', '24'))} AS i) i ON u.place = floor(i.i * u.n / 25e0) + 1", UNION)
+REG.rel("un_stride_sample", lambda q: f"SELECT u.ticker, u.place, i.i FROM (SELECT *, (SELECT count(*) FROM universe_union) AS n FROM universe_union) u JOIN (SELECT {q.explode(q.numbers('0', '24'))} AS i) i ON u.place = floor(i.i * u.n / 25e0) + 1", UNION)
 REG.rel("un_wsb_top", "SELECT ticker, mentions, place FROM (SELECT ticker, mentions, row_number() OVER (ORDER BY mentions DESC, ticker) AS place FROM (SELECT ticker, sum(mentions) AS mentions FROM mentions GROUP BY ticker) m) x WHERE place <= 20", MENTIONS)
 #: Last scan of each security: none for every fourth.
 SCANS = Rel("scan_log", "SELECT ticker, k % 13 = 0 AS pinned, CASE WHEN k % 4 <> 0 THEN 20240100 + k % 9 END AS last_scan FROM securities", (SECURITIES,))
-ROTATION = Rel("rotation", "SELECT *, row_number() OVER (ORDER BY CASE WHEN pinned THEN 0 WHEN last_scan IS NULL THEN 1 ELSE 2 END, CASE WHEN pinned THEN 0 ELSE coalesce(last_scan, 0) END, ticker) AS place, sum(CASE WHEN pinned THEN 1 ELSE 0 END) OVER () AS n_pinned FROM scan_log", (SCANS,))
-REG.rel("un_rotation", "SELECT ticker, pinned, last_scan, place FROM rotation WHERE place <= greatest(n_pinned, 30)", ROTATION)
+ROTATION = numbering("rotation", SCANS, "place", ("CASE WHEN pinned THEN 0 WHEN last_scan IS NULL THEN 1 ELSE 2 END", "ASC"), ("CASE WHEN pinned THEN 0 ELSE coalesce(last_scan, 0) END", "ASC"), ("ticker", "ASC"))
+REG.rel("un_rotation", "SELECT ticker, pinned, last_scan, place FROM rotation WHERE place <= greatest((SELECT count(*) FROM scan_log WHERE pinned), 30)", ROTATION, SCANS)
 REG.rel("un_coverage", "SELECT count(*) AS universe, sum(CASE WHEN last_scan IS NULL THEN 1 ELSE 0 END) AS never_scanned, count(last_scan) AS ever_scanned, round(100e0 * count(last_scan) / greatest(1, count(*)), 4) AS coverage_pct FROM scan_log", SCANS)
 REG.rel("un_scan_days", "SELECT last_scan, n FROM (SELECT last_scan, count(*) AS n, row_number() OVER (ORDER BY last_scan DESC) AS r FROM scan_log WHERE last_scan IS NOT NULL GROUP BY last_scan) x WHERE r <= 7", SCANS)
 #: The last two trading days, and which tickers had a bar on them.

@@ -11,7 +11,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.plans.rel import written
+from rankloom.plans.rel import Rel, written
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "number") -> tuple[DataFrame, int]:
@@ -26,3 +26,10 @@ def numbered(df: DataFrame, *order: Column, name: str = "number") -> tuple[DataF
     bases = ranged.sparkSession.createDataFrame(list(before.items()), "__range int, __before long")
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return ranged.join(F.broadcast(bases), "__range").withColumn(name, F.col("__before") + own).drop("__range", "__before"), sum(counts.values())
+
+
+def numbering(name: str, source: Rel, column: str, *order: tuple[str, str]) -> Rel:
+    """``source`` with a column of numbers in the order of (expression, ASC or DESC); nulls come last."""
+    text = ", ".join(f"{x} {way} NULLS LAST" for x, way in order)
+    keys = lambda: [F.expr(x).desc_nulls_last() if way == "DESC" else F.expr(x).asc_nulls_last() for x, way in order]
+    return Rel(name, f"SELECT *, row_number() OVER (ORDER BY {text}) AS {column} FROM {source.name}", (source,), run=lambda df: numbered(df, *keys(), name=column)[0])

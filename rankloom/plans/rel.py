@@ -195,11 +195,17 @@ class Duck(Spark):
 
 @dataclass(frozen=True, eq=False)
 class Rel:
-    """A relation: ``body`` is a SELECT over ``inputs`` (by name), or None for a table that is given."""
+    """A relation: ``body`` is a SELECT over ``inputs`` (by name), or None for a table that is given.
+
+    ``run`` says how Spark computes it from its inputs' frames where one statement would pass a table through
+    one task; ``cut`` that Spark writes it before others read it, because they read it more than once.
+    """
 
     name: str
     body: str | Callable[[type[Spark]], str] | None = None
     inputs: tuple[Rel, ...] = ()
+    run: Callable[..., DataFrame] | None = None
+    cut: bool = False
 
     def text(self, dialect: type[Spark]) -> str:
         return self.body(dialect) if callable(self.body) else self.body
@@ -225,10 +231,15 @@ class Rel:
 
     def on(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
         """The relation over DataFrames. A frame replaces the table, or the derived relation, of its name."""
+        if missing := self.tables(set(frames)) - set(frames):
+            raise ValueError(f"{self.name} also needs {sorted(missing)}")
+        for r in self.chain(set(frames)):  # inputs first
+            if r.run is not None:
+                frames[r.name] = r.run(*[x.on(spark, **frames) for x in r.inputs])
+            elif r.cut and r is not self:
+                frames[r.name] = written(r.on(spark, **frames), r.name)
         steps = self.chain(set(frames))
         need = self.tables(set(frames))
-        if missing := need - set(frames):
-            raise ValueError(f"{self.name} also needs {sorted(missing)}")
         if not steps:
             return frames[self.name]
         inputs = [f"{n} AS (SELECT * FROM {{{n}}})" for n in sorted(need)]
@@ -241,11 +252,11 @@ class Rel:
 
     def over(self, spark: SparkSession, sf_dir: str, cuts: tuple[Rel, ...] = ()) -> DataFrame:
         """The relation over the tables of a folder; of the relations in ``cuts`` the rows that are kept are used. Later cuts may build on earlier ones."""
-        names = {r.name for r in self.chain(set())} - {self.name}
+        own = {id(r) for r in self.chain(set())} - {id(self)}  # by identity: another run's relation may have the same name
         frames: dict[str, DataFrame] = {}
         for i in reversed(range(len(cuts))):
             reached = {r.name for r in self.chain(set(frames))} | self.tables(set(frames))
-            if cuts[i].name in names & reached:
+            if id(cuts[i]) in own and cuts[i].name in reached:
                 frames[cuts[i].name] = kept(cuts[i], spark, sf_dir, cuts[:i])
         need = self.tables(set(frames))
         return self.on(spark, **{n: frames[n] if n in frames else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in need})
