@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.quantiles import exact_quantiles
 from rankloom.operators.factors import FACTORS, FORMULAS, PENALTIES
 from rankloom.operators.indicators import INDICATORS
 from rankloom.operators.scoring import CUTS, DEFAULT, RUN
@@ -40,6 +41,17 @@ SNAPSHOTS = Rel(
 )
 
 
+def quantiles(name: str, source: Rel, wanted: dict[str, tuple[str, float]]) -> Rel:
+    """One row with the exact quantiles of a relation: name -> (expression, share). Between two values they are interpolated, so the median of an even count is the mean of the middle two."""
+
+    def run(df: DataFrame) -> DataFrame:
+        found = exact_quantiles(df, wanted)
+        return df.sparkSession.createDataFrame([tuple(found.values())] if found else [(None,)], ", ".join(f"`{n}` double" for n in found) or "n double")
+
+    text = lambda q: "SELECT " + (", ".join(f"{q.quantile(x, repr(p))} AS {n}" for n, (x, p) in wanted.items()) or "count(*) AS n") + f" FROM {source.name}"
+    return Rel(name, text, (source,), run=run)
+
+
 def filled(feature: str) -> str:
     """What a missing feature becomes: the middle score, no flag or penalty, else the column's median."""
     if feature.startswith("score_"):
@@ -73,9 +85,9 @@ def study(features: tuple[str, ...], snapshots: Rel = SNAPSHOTS) -> dict[str, Re
         "SELECT feature, 100 * w / nullif(sum(w) OVER (), 0) AS weight FROM (SELECT feature, greatest(ic_mean, 0e0) * (greatest(0e0, least(2e0, abs(coalesce(icir, 0e0)))) / 2 + 0.5e0) AS w FROM ic) x",
         (ic,),
     )
-    full = Rel("panel_rows", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY snapshot) AS n FROM labelled WHERE excess IS NOT NULL) x WHERE n >= 30", (labelled,))
+    full = Rel("panel_rows", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY snapshot) AS n FROM labelled WHERE excess IS NOT NULL) x WHERE n >= 30", (labelled,), cut=True)
     measured = [f for f in features if "panel_medians" in filled(f)]
-    medians = Rel("panel_medians", lambda q: "SELECT " + (", ".join(f"{q.middle(f)} AS {f}" for f in measured) or "count(*) AS n") + " FROM panel_rows", (full,))
+    medians = quantiles("panel_medians", full, {f: (f, 0.5) for f in measured})
     panel = Rel(
         "panel",
         "SELECT ticker, snapshot, excess AS y, "
@@ -183,7 +195,8 @@ REG.rel("ml_sequences", "SELECT ticker, snapshot, round(y, 6) AS y, " + ", ".joi
 REG.rel("dl_last_seen", "SELECT ticker, max(snapshot) AS last_snapshot, count(*) AS n_snapshots, max_by(rank, snapshot) AS rank, max_by(n, snapshot) AS n, round(max_by(rank / cast(n AS double), snapshot), 6) AS percentile FROM snapshot_ranks WHERE snapshot < latest GROUP BY ticker", RANKED)
 REG.rel("dl_counts", "SELECT sum(CASE WHEN rank_change > 0 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN rank_change < 0 THEN 1 ELSE 0 END) AS down, sum(CASE WHEN rank_change = 0 THEN 1 ELSE 0 END) AS same, sum(CASE WHEN is_new THEN 1 ELSE 0 END) AS new, count(*) AS n FROM deltas", DELTAS)
 REG.rel("dl_deltas", "SELECT ticker, rank, prev_rank, seen, is_new, round(score_change, 6) AS score_change, rank_change FROM deltas", DELTAS)
-REG.rel("dl_noise", lambda q: f"SELECT count(score_change) AS n, round({q.quantile('abs(score_change)', '0.5e0')}, 6) AS median_change, round({q.quantile('abs(score_change)', '0.9e0')}, 6) AS p90_change FROM deltas HAVING count(score_change) >= 20", DELTAS)
+_NOISE = quantiles("noise", DELTAS, {"median_change": ("abs(score_change)", 0.5), "p90_change": ("abs(score_change)", 0.9)})
+REG.rel("dl_noise", "SELECT (SELECT count(score_change) FROM deltas) AS n, round(median_change, 6) AS median_change, round(p90_change, 6) AS p90_change FROM noise WHERE (SELECT count(score_change) FROM deltas) >= 20", _NOISE, DELTAS)
 REG.rel("ml_constant_features", "SELECT " + ", ".join(f"count(DISTINCT {f}) AS n_{f}" for f in FEATURES) + " FROM snapshots", SNAPSHOTS)
 
 #: The feature store's wide row: raw value, presence and score of every factor, penalties as 0 or 1.

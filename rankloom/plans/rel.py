@@ -32,11 +32,6 @@ class Spark:
     def quantile(x: str, p: str) -> str:
         return f"percentile({x}, {p})"
 
-    @staticmethod
-    def middle(x: str) -> str:
-        """The lower median, from a summary of bounded size (exact up to a million rows)."""
-        return f"percentile_approx({x}, 0.5e0, 1000000)"
-
     @staticmethod
     def half_even(x: str) -> str:
         return f"cast(bround({x}, 0) AS bigint)"
@@ -124,10 +119,6 @@ class Duck(Spark):
     def quantile(x: str, p: str) -> str:
         return f"quantile_cont({x}, {p})"
 
-    @staticmethod
-    def middle(x: str) -> str:
-        return f"quantile_disc({x}, 0.5e0)"
-
     @staticmethod
     def half_even(x: str) -> str:
         return f"cast(round_even({x}, 0) AS bigint)"

@@ -1,4 +1,4 @@
-"""Scoring configuration from a YAML or JSON file."""
+"""Scoring and screening configuration from a YAML or JSON file."""
 
 from __future__ import annotations
 
@@ -8,6 +8,15 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from rankloom.operators.scoring import Config, Factor
+from rankloom.operators.universe import Screen
+
+#: What a document that doesn't say it means: names of ours, of the document, and the value.
+META = {
+    "min_coverage": ("auto_disable_coverage_below", 0.15), "min_confidence": ("min_coverage_for_confidence", 0.60), "min_include": ("min_coverage_to_include", 0.0),
+    "shrink_power": ("coverage_shrink_power", 1.0), "penalty_cap": ("penalty_total_cap_sigma", 3.0),
+}
+#: Fixed value: the mean rating up to which analysts say buy.
+ANALYST_BUY = 2.5
 
 
 def parse_config(document: dict) -> Config:
@@ -24,19 +33,34 @@ def parse_config(document: dict) -> Config:
         raise ValueError("factor ids repeat, or a weight is negative")
     penalties = {p["id"]: (None if p.get("sigma") is None else float(p["sigma"]), float(p.get("points", 0.0))) for p in document.get("penalties") or []}
     clusters = tuple((c["id"], float(c.get("budget", 0.0)), tuple(c.get("members") or ())) for c in document.get("clusters") or [])
-    known = {"min_coverage": "auto_disable_coverage_below", "min_confidence": "min_coverage_for_confidence", "min_include": "min_coverage_to_include", "shrink_power": "coverage_shrink_power", "penalty_cap": "penalty_total_cap_sigma"}
-    given = {own: float(meta[key]) for own, key in known.items() if meta.get(key) is not None}
+    given = {own: float(default if meta.get(key) is None else meta[key]) for own, (key, default) in META.items()}
     return Config(tuple(factors), penalties, clusters, neutralize=bool(meta.get("sector_neutralize", True)), **given)
 
 
+def parse_screen(document: dict) -> Screen:
+    """The section ``filters`` of a document as a ``Screen``; a bound that is absent, null or zero isn't tested."""
+    f = document.get("filters") or {}
+    number = lambda key: float(f[key]) if f.get(key) else None
+    return Screen(number("min_price"), number("max_price"), number("min_market_cap"), number("max_market_cap"), number("min_avg_dollar_volume"), bool(f.get("require_wsb")), ANALYST_BUY if f.get("require_analyst_buy") else None)
+
+
+def read_screen(spark: SparkSession, path: str) -> Screen:
+    """The screen of a configuration file."""
+    return parse_screen(_document(spark, path))
+
+
 def read_config(spark: SparkSession, path: str) -> Config:
     """A configuration file from any store that Spark reads. YAML needs the yaml module; JSON is read without it."""
+    return parse_config(_document(spark, path))
+
+
+def _document(spark: SparkSession, path: str) -> dict:
     text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
     try:
         import yaml
     except ImportError:
-        return parse_config(json.loads(text))
-    return parse_config(yaml.safe_load(text))
+        return json.loads(text)
+    return yaml.safe_load(text)
 
 
 def with_weights(cfg: Config, learned: dict[str, float], disabled: tuple[str, ...] = ()) -> Config:

@@ -18,8 +18,8 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 def merge_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     """A day's snapshot run again: new rows win by ticker, then all are ranked anew."""
-    merged = upsert(old, new, "ticker").drop("rank")
-    return numbered(merged, F.col("total_score").desc_nulls_last(), F.asc("ticker"), name="rank")[0]
+    merged, kind = upsert(old, new, "ticker").drop("rank"), dict(old.dtypes).get("rank", "bigint")
+    return numbered(merged, F.col("total_score").desc_nulls_last(), F.asc("ticker"), name="rank")[0].withColumn("rank", F.col("rank").cast(kind))
 
 
 def refresh_partitions(spark: SparkSession, rows: DataFrame, path: str, by: str = "date") -> None:
@@ -123,11 +123,27 @@ def html_symbols(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
-    """All snapshots of a store that is partitioned by date (the latest ``last`` of them); columns that a snapshot lacks are null."""
-    rows = spark.read.option("mergeSchema", True).parquet(path)
+    """All snapshots of a store that is partitioned by date (the latest ``last`` of them); columns that a snapshot lacks are null, damaged files are skipped (``skipped_files`` tells which)."""
+    rows = spark.read.options(mergeSchema=True, ignoreCorruptFiles=True).parquet(path)
     return rows if last is None else retain(rows, last)
 
 
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files of a store that give no row: damaged or empty ones, with their lengths."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(path).select("path", "length")
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    read = spark.read.options(mergeSchema=True, ignoreCorruptFiles=True).parquet(path).select(name(F.col("_metadata.file_path")).alias("read")).distinct()
+    return files.withColumn("path", name("path")).join(read, F.col("path") == F.col("read"), "left_anti")
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Cached JSON records: the sound ones, and the text of those that are no record of the schema."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path)
+    names = [c for c in rows.columns if c != "_corrupt"]
+    sound = rows.where("_corrupt is null").select(names)
+    return sound, rows.where("_corrupt is not null").select(*names, "_corrupt").select(F.col("_corrupt").alias("record"))
+
+
 def last_ranking(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot of a store, in rank order."""
     return read_snapshots(spark, path, 1).orderBy("rank")
@@ -167,10 +183,13 @@ def should_cache(bars: DataFrame, least: int = 30) -> DataFrame:
     return bars.where("close is not null").groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("ticker")
 
 
-def purge(cache: DataFrame, now: str, ttl_seconds: int, fetched: str = "fetched_at", namespace: str | None = None) -> DataFrame:
-    """What stays of a cache: entries within the time to live; with ``namespace`` all of that namespace go as well."""
+def purge(cache: DataFrame, now: str, ttl_seconds: int, fetched: str = "fetched_at", namespace: str | None = None, content: str | None = None, least: int = 0) -> DataFrame:
+    """What stays of a cache: entries within the time to live; with ``namespace`` all of that namespace go as well, with ``content`` those whose content is null or (text or a list) shorter than ``least``."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(fetched)
     kept = cache.where(age <= ttl_seconds)
+    if content is not None:
+        long = F.length(content) if dict(cache.dtypes)[content] in ("string", "binary") else F.size(content)
+        kept = kept.where(F.col(content).isNotNull() & (long >= least))
     return kept if namespace is None else kept.where(~F.col("namespace").eqNullSafe(F.lit(namespace)))
 
 

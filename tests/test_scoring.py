@@ -177,3 +177,16 @@ def test_ranks_follow_learned_weights(spark):
 
     values = {f"T{i}": {"a": float(i), "b": float(-i), "c": 0.0} for i in range(10)}
     assert run(spark, values, with_weights(Config(AB, neutralize=False, min_include=0.0), {"b": 900.0}))["T0"].rank == 1
+
+
+def test_defaults_and_filters_of_a_document():
+    from rankloom.operators.universe import Screen
+    from rankloom.sources.config import parse_config, parse_screen
+
+    bare = parse_config({})
+    assert (bare.penalty_cap, bare.min_include, bare.min_confidence) == (3.0, 0.0, 0.6)
+    assert parse_config({"meta": {"penalty_total_cap_sigma": 2.2, "min_coverage_to_include": 0.55}}).penalty_cap == 2.2
+    filters = {"min_price": 1.0, "min_market_cap": 150000000, "max_market_cap": 20000000000, "min_avg_dollar_volume": 1000000, "max_price": None, "require_wsb": False, "require_analyst_buy": False}
+    assert parse_screen({"filters": filters}) == Screen(1.0, None, 1.5e8, 2e10, 1e6)
+    assert parse_screen({"filters": {"require_wsb": True, "require_analyst_buy": True, "min_price": 0}}) == Screen(require_mentions=True, analyst_buy=2.5)
+    assert parse_screen({}) == parse_screen({"filters": None}) == Screen()
