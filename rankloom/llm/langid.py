@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language predicts the letters of a word and its end from up to ORDER - 1 characters before
-them. Discounted probabilities and interpolation weights of all languages stand in arrays sorted by the
-hash of the n-gram. A text gets the language of least cross-entropy per predicted character; one whose
+them. Discounted probabilities and interpolation weights stand in arrays sorted by the hash of the n-gram, with
+an entry for each language that holds it: the model grows with what its languages hold, not with their square. A text gets the language of least cross-entropy per predicted character; one whose
 cross-entropy lies beyond what calibration texts of that language show is rejected.
 """
 
@@ -19,14 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.common import materialize, sized
+
 ORDER = 5
-#: Bounds of the labelled sample: so many training rows of each language on average, picked by a hash of their ids, and
-#: the languages that are learnt (those with the most rows).
-ROWS_PER_LANGUAGE, LANGUAGES = 1500, 200
+#: Bounds of the labelled sample: so many training rows of each language on average, picked by a hash of their ids, and of all
+#: together (with more languages each gives fewer; every language is learnt).
+ROWS_PER_LANGUAGE, ROWS = 1500, 300_000
 #: Every CALIBRATE-th row of the sample calibrates and isn't learnt from.
 CALIBRATE = 5
 #: Words kept with their scores (fewer where a worker also serves other stages), and the longest that is kept.
 KEPT_WORDS, KEPT_SHARED, KEPT_CHARS = 400_000, 120_000, 40
+#: Scores (of words in languages) that are kept or worked out at a time, at most.
+KEPT_SCORES, LOT_SCORES = 16_000_000, 1 << 22
 #: Characters by which a text's cross-entropy counts as certain.
 SURE = 200
 #: Share of genuine texts that may be rejected. The calibration texts beyond QUANTILE tell how fast strangeness thins out
@@ -69,15 +73,42 @@ def _hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]
     return out, place, word
 
 
+@dataclass
+class Table:
+    """Values by hash and language: the entries of hashes[i] are languages and values from begins[i] to begins[i + 1]."""
+
+    hashes: np.ndarray
+    begins: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+        """From each language's (hashes, values)."""
+        hashes = np.concatenate([h for h, _ in parts])
+        language = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(h) for h, _ in parts])
+        order = np.lexsort((language, hashes))
+        hashes, begins = np.unique(hashes[order], return_index=True)
+        return Table(hashes, np.append(begins, len(order)), language[order], np.concatenate([v for _, v in parts])[order])
+
+    def spread(self, wanted: np.ndarray, languages: int, absent: float) -> np.ndarray:
+        """(wanted, languages) values, ``absent`` where there is no entry."""
+        out = np.full((len(wanted), languages), absent)
+        i, hit = _find(self.hashes, wanted)
+        row = np.flatnonzero(hit)
+        begin, n = self.begins[i[row]], self.begins[i[row] + 1] - self.begins[i[row]]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(row, n), self.language[at]] = self.value[at]
+        return out
+
+
 @dataclass
 class Model:
-    """grams[n-1], alpha[n-1]: hashes of n-grams and their discounted probabilities by language; contexts[n-1], gamma[n-1]: of the n - 1 characters before, the weights of the shorter model."""
+    """grams[n-1]: discounted probabilities of n-grams; contexts[n-1]: of the n - 1 characters before, the weights of the shorter model."""
 
     languages: list[str]
-    grams: list[np.ndarray]
-    alpha: list[np.ndarray]
-    contexts: list[np.ndarray]
-    gamma: list[np.ndarray]
+    grams: list[Table]
+    contexts: list[Table]
     symbols: int
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
@@ -92,13 +123,9 @@ class Model:
         for n in range(1, ORDER + 1):
             fits = place[at] >= n - 1
             own = at[fits]
-            if n > 1:
-                i, hit = _find(self.contexts[n - 1], hashes[n - 2][own - 1])
-                g = np.where(hit[:, None], self.gamma[n - 1][i], 1.0)
-            else:
-                g = self.gamma[0]
-            i, hit = _find(self.grams[n - 1], hashes[n - 1][own])
-            p[fits] = np.where(hit[:, None], self.alpha[n - 1][i], 0.0) + g * p[fits]
+            before = hashes[n - 2][own - 1] if n > 1 else np.zeros(len(own), np.uint64)
+            g = self.contexts[n - 1].spread(before, len(self.languages), 1.0)  # an unseen context leaves all to the shorter model
+            p[fits] = self.grams[n - 1].spread(hashes[n - 1][own], len(self.languages), 0.0) + g * p[fits]
         out = np.zeros((len(words), len(self.languages)))
         np.add.at(out, word[at], np.log2(p))
         return out
@@ -116,17 +143,8 @@ def train(counts: dict[str, Counter]) -> Model:
     languages = sorted(counts)
     symbols = len({c for words in counts.values() for w in words for c in w}) + 2  # the end of a word and a character never seen
     per_language = [_discounted(list(counts[x]), np.array(list(counts[x].values()), float)) for x in languages]
-    grams, alpha, contexts, gamma = [], [], [], []
-    for n in range(ORDER):
-        for tables, keys, k in ((grams, alpha, 0), (contexts, gamma, 1)):
-            union = np.unique(np.concatenate([own[n][k][0] for own in per_language]))
-            values = np.full((max(len(union), 1), len(languages)), float(k))  # an unseen context leaves all to the shorter model
-            for j, own in enumerate(per_language):
-                values[np.searchsorted(union, own[n][k][0]), j] = own[n][k][1]
-            tables.append(union)
-            keys.append(values)
-    gamma[0] = gamma[0][:1]
-    return Model(languages, grams, alpha, contexts, gamma, symbols)
+    grams, contexts = ([Table.of([own[n][k] for own in per_language]) for n in range(ORDER)] for k in (0, 1))
+    return Model(languages, grams, contexts, symbols)
 
 
 def _discounted(words: list[str], weight: np.ndarray) -> list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
@@ -162,7 +180,8 @@ class Scorer:
     """Cross-entropies of texts; keeps the scores of words it has seen."""
 
     def __init__(self, model: Model, kept: int = KEPT_WORDS):
-        self.model, self.kept, self.rows, self.known = model, kept, {}, np.zeros((1024, len(model.languages)), np.float32)
+        self.model, self.rows, self.known = model, {}, np.zeros((1024, len(model.languages)), np.float32)
+        self.kept, self.lot = min(kept, KEPT_SCORES // len(model.languages)), max(16, min(4096, LOT_SCORES // 16 // len(model.languages)))
         self.used = 0  # rows of the table
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +190,8 @@ class Scorer:
         if self.used > self.kept:
             self.rows, self.used = {}, 0
         new = list({w for c in counted for w in c if w not in self.rows})
-        for i in range(0, len(new), 4096):
-            lot = new[i : i + 4096]
+        for i in range(0, len(new), self.lot):
+            lot = new[i : i + self.lot]
             base, self.used = self.used, self.used + len(lot)
             if base + len(lot) > len(self.known):
                 self.known = np.concatenate([self.known, np.zeros((max(len(self.known), len(lot)), self.known.shape[1]), np.float32)])
@@ -257,13 +276,15 @@ def fit(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str =
     """A model from a bounded sample of the rows where ``trains`` holds and text and label aren't null; None if there is none."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), trains.alias("trains")).where("trains and text is not null and label is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = materialize(rows.groupBy("label").count(), "languages")
+    languages = counts.count()
+    if not languages:
         return None
+    each = max(1, min(per_language, ROWS // languages))
     # A row's share of 2**20 hash values; a language with few rows gives all of them.
-    share = spark.createDataFrame([(x, min(1 << 20, (per_language << 20) // n + 1)) for x, n in counts.items()], "label string, share int")
+    share = counts.select("label", F.least(F.lit(1 << 20), F.floor(F.lit(each << 20) / F.col("count")) + 1).cast("int").alias("share"))
     slot = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 20))
-    picked = rows.join(F.broadcast(share), "label").where(slot < F.col("share")).select("label", "text", (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("calibrates"))
+    picked = rows.join(sized(share, languages, 128), "label").where(slot < F.col("share")).select("label", "text", (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("calibrates"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}

@@ -1,13 +1,15 @@
 """Kneser-Ney models against a plain statement of the recurrence; whole texts, nulls, rejection, held-out accuracy."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import langid
-from rankloom.llm.langid import fit, fold, identify, train, words_of
+from rankloom.llm.langid import LOT_SCORES, Scorer, fit, fold, identify, train, words_of
 
 EN = "the cat sat on the mat and the dog ran to the house with that other thing".split()
 DE = "der hund und die katze liegen auf der matte mit dem anderen ding im haus".split()
@@ -122,3 +124,27 @@ def test_junk_is_rejected_with_noisy_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     got = {r.doc_id: r.rejected for r in identify(docs, fit(docs, F.lit(True))).collect()}
     assert [sum(got[i] for i in got if i >= 2000), sum(got[i] for i in got if i < 2000)] == [40, 0]
+
+
+def test_two_hundred_languages_cost_what_they_hold():
+    import pickle
+
+    rng = random.Random(9)
+    counts = {f"l{k:03d}": Counter({"".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 10))): rng.randrange(1, 9) for _ in range(500)}) for k in range(200) for alphabet in ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüéñç", 14))]}
+    m, few = train(counts), train({x: counts[x] for x in ("l003", "l150")})
+    assert len(pickle.dumps(m)) < 1.2 * 100 * len(pickle.dumps(few))  # linear in the languages
+    few.symbols = m.symbols
+    words = [*list(counts["l003"])[:40], *list(counts["l150"])[:40], "zzz"]
+    assert np.allclose(m.score(words)[:, [3, 150]], few.score(words))
+    scorer = Scorer(m)
+    assert scorer.lot * len(m.languages) <= LOT_SCORES
+    assert all(m.languages[scorer.cross_entropy([" ".join(list(counts[x])[:30])])[0].argmin()] == x for x in ("l003", "l077", "l199"))
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    from rankloom.llm import langid
+
+    monkeypatch.setattr(langid, "ROWS", 40)
+    rows = [(i, f"{'abcdefgh'[i % 8] * 3} {'ijklmnop'[i % 8] * 2}", f"x{i % 8}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == [f"x{k}" for k in range(8)]
