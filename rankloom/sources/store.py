@@ -138,10 +138,9 @@ def skipped_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Cached JSON records: the sound ones, and the text of those that are no record of the schema."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path)
-    names = [c for c in rows.columns if c != "_corrupt"]
-    sound = rows.where("_corrupt is null").select(names)
-    return sound, rows.where("_corrupt is not null").select(*names, "_corrupt").select(F.col("_corrupt").alias("record"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("record"), F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    return rows.where("r is not null and r._corrupt is null").select("r.*").drop("_corrupt"), rows.where("r is null or r._corrupt is not null").select("record")
 
 
 def last_ranking(spark: SparkSession, path: str) -> DataFrame:
