@@ -59,10 +59,19 @@ REG.rel("as_factor_top", "SELECT factor_id, ticker, round(score, 5) AS score, pl
 REG.rel("as_compare", "SELECT a.category, round(a.category_score, 5) AS left_score, round(b.category_score, 5) AS right_score FROM category_scores a JOIN category_scores b ON b.category = a.category WHERE a.ticker = 'T000001' AND b.ticker = 'T000002'", _CATEGORIES)
 REG.rel("as_sector", "SELECT sector, ticker, rank FROM (SELECT sector, ticker, rank, row_number() OVER (PARTITION BY sector ORDER BY rank) AS place FROM ranking) x WHERE place <= 5", _RANKING)
 REG.rel("as_price_below", "SELECT ticker, rank, price FROM (SELECT r.ticker, r.rank, round(f.price, 8) AS price, row_number() OVER (ORDER BY r.rank) AS place FROM ranking r JOIN (SELECT ticker, price FROM factors) f ON f.ticker = r.ticker WHERE f.price < 1500) x WHERE place <= 12", _RANKING, FACTORS)
-REG.rel("as_bottom", "SELECT ticker, rank FROM (SELECT ticker, rank, count(*) OVER () AS n FROM ranking) x WHERE rank > n - 5", _RANKING)
+REG.rel("as_bottom", "SELECT ticker, rank FROM ranking WHERE rank > (SELECT count(*) FROM ranking) - 5", _RANKING)
 #: Words that lead a question to a factor.
 TOPICS = {"momentum": "price_momentum_12_1", "trend": "trend_structure", "value": "valuation_composite", "quality": "quality_profitability", "growth": "growth_quality", "analyst": "analyst_upside", "risk": "risk_drawdown", "volume": "volume_accumulation", "liquid": "liquidity", "short": "short_squeeze", "cash": "cash_runway", "size": "size_opportunity", "breakout": "breakout_setup", "stage": "stage2_breakout", "attention": "reddit_wsb_attention"}
-REG.rel("as_topics", lambda q: f"SELECT x.question, t.factor_id FROM {q.values(('question',), [("'which have strong momentum'",), ("'cash rich names'",), ("'best growth and value'",)])} x JOIN {q.values(('word', 'factor_id'), [(f"'{w}'", f"'{f}'") for w, f in TOPICS.items()])} t ON x.question LIKE concat('%', t.word, '%')")
+
+
+def topics_of(questions: Rel) -> Rel:
+    """Factors that a question (column ``question``) is about: one for each topic word in it."""
+    return Rel("topics", lambda q: f"SELECT x.question, t.factor_id FROM {questions.name} x JOIN {q.values(('word', 'factor_id'), [(f"'{w}'", f"'{f}'") for w, f in TOPICS.items()])} t ON x.question LIKE concat('%', t.word, '%')", (questions,))
+
+
+#: A question about each security, of two topics or none.
+_ASKED = Rel("asked", "SELECT concat('which have good ', " + ", ' and ', ".join("CASE k % {} ".format(len(TOPICS) + n) + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(TOPICS)) + " ELSE 'names' END" for n in (1, 3)) + ", ' like ', lower(name)) AS question FROM securities", (SECURITIES,))
+REG.rel("as_topics", "SELECT question, factor_id FROM topics", topics_of(_ASKED))
 
 
 #: One wide row per ranked security: identity, scores, returns, and each factor's score and raw value.

@@ -211,4 +211,15 @@ FEATURE_MATRIX = Rel(
 )
 REG.rel("ml_feature_matrix", "SELECT ticker, " + ", ".join(f"round(raw_{f}, 6) AS raw_{f}, round(score_{f}, 5) AS score_{f}, has_{f}" for f in _IDS) + ", " + ", ".join(f"penalty_{x}" for x in PENALTIES) + " FROM feature_matrix", FEATURE_MATRIX)
 REG.rel("src_previous_snapshot", "SELECT ticker, snapshot, round(score, 6) AS score FROM snapshots WHERE snapshot = (SELECT max(snapshot) FROM snapshots WHERE snapshot < (SELECT max(snapshot) FROM snapshots))", SNAPSHOTS)
+#: The same of the bars alone, for the second engine: snapshots have many columns that this doesn't need.
+PREVIOUS_ORACLE = Rel(
+    "previous_rows",
+    lambda q: f"""
+    SELECT ticker, s AS snapshot, round(mom63, 6) AS score
+    FROM (SELECT b.ticker, t.g, lead(t.g) OVER w AS g_next, (SELECT max(g) FROM trading_days) AS g_last, b.close / nullif(lag(b.close, 63) OVER w, 0) - 1 AS mom63
+          FROM bars b JOIN trading_days t ON t.date = b.date WINDOW w AS (PARTITION BY b.ticker ORDER BY b.date)) x
+    JOIN (SELECT {q.explode(q.numbers("0", "5000"))} AS s) n ON {STEP} * s >= g AND {STEP} * s < coalesce(g_next, g_last + 1)
+    WHERE s = (SELECT cast(floor(max(g) / {STEP}e0) AS bigint) - 1 FROM trading_days)""",
+    (BARS, TRADING_DAYS),
+)
 REG.rel("rp_sparkline", "SELECT ticker, rd, round(close, 8) AS close FROM (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rd FROM bars) x WHERE rd <= 60", BARS)

@@ -32,16 +32,27 @@ def cap_band(low: float, high: float, listings: Rel = SECURITIES, unit: float =
 #: The derived tickers end in digits; as symbols their digits are written as letters.
 _LISTED = Rel("listed", "SELECT translate(ticker, '0123456789', 'ABCDEFGHIJ') AS ticker, market_cap FROM securities", (SECURITIES,))
 REG.rel("flt_cap_band", "SELECT symbol, round(cap, 3) AS cap, place FROM cap_band", cap_band(*PRESETS["smallcap"], _LISTED, 20.0))
-REG.rel(
-    "un_symbols",
-    lambda q: f"""SELECT DISTINCT replace(symbol, '.', '-') AS symbol FROM (SELECT upper(trim(split_part(split_part(line, '#', 1), ',', 1))) AS symbol
-        FROM {q.values(("line",), [("'AAPL,Apple'",), ("'# comment'",), ("' brk.b  # class b'",), ("'toolongsymbol'",), ("'1ABC'",), ("'msft'",), ("'MSFT'",), ("''",)])} x) y WHERE {q.matches("symbol", SYMBOL)}""",
-)
-REG.rel(
-    "un_listings",
-    lambda q: f"""SELECT symbol, max(cap) AS cap FROM (SELECT symbol, try_cast(replace(cap_text, ',', '') AS double) AS cap FROM
-        {q.values(("symbol", "cap_text"), [("'A'", "'1,200,000.5'"), ("'B'", "'n/a'"), ("'A'", "'900'"), ("'C'", "''"), ("'D'", "'35'")])} x) y WHERE cap > 0 GROUP BY symbol""",
+def symbol_lines(lines: Rel) -> Rel:
+    """Symbols of a list of lines (column ``line``): comments and all after a comma go, upper case, dots as dashes, valid ones only."""
+    return Rel("symbol_lines", lambda q: f"SELECT DISTINCT replace(symbol, '.', '-') AS symbol FROM (SELECT upper(trim(split_part(split_part(line, '#', 1), ',', 1))) AS symbol FROM {lines.name}) x WHERE {q.matches('symbol', SYMBOL)}", (lines,))
+
+
+def screener_caps(rows: Rel) -> Rel:
+    """Capitalisation of each symbol of a screener's rows (``symbol``, ``cap_text`` with separators): the largest; what is no number doesn't count."""
+    return Rel("screener_caps", f"SELECT symbol, max(cap) AS cap FROM (SELECT symbol, try_cast(replace(cap_text, ',', '') AS double) AS cap FROM {rows.name}) x WHERE cap > 0 GROUP BY symbol", (rows,))
+
+
+#: A list of symbols and a screener's rows as files have them, made of parts and customers.
+_LINES = Rel("part_lines", "SELECT concat(' ', lower(translate(p_brand, '#0123456789', '.abcdefghij')), ', ', p_name, ' # ', p_type) AS line FROM part UNION ALL SELECT concat('# ', p_name) FROM part UNION ALL SELECT lower(p_type) FROM part", (Rel("part"),))
+_WHOLE = "cast(floor(c_acctbal) AS int)"
+_ROWS = Rel(
+    "screener_rows",
+    f"""SELECT concat('N', translate(cast(c_nationkey AS varchar(9)), '0123456789', 'ABCDEFGHIJ')) AS symbol, CASE WHEN c_acctbal < 0 THEN 'n/a' WHEN c_acctbal >= 1000
+           THEN concat(cast(cast(floor(c_acctbal / 1000) AS int) AS varchar(9)), ',', lpad(cast({_WHOLE} % 1000 AS varchar(9)), 3, '0')) ELSE cast({_WHOLE} AS varchar(9)) END AS cap_text FROM customer""",
+    (Rel("customer"),),
 )
+REG.rel("un_symbols", "SELECT symbol FROM symbol_lines", symbol_lines(_LINES))
+REG.rel("un_listings", "SELECT symbol, cap FROM screener_caps", screener_caps(_ROWS))
 #: Symbols of several sources in order; the first source that has a symbol keeps it.
 _SOURCES = Rel(
     "union_rows",
@@ -107,6 +118,8 @@ def usable_bars(as_of: str | None = None, least: int = 30) -> Rel:
 
 
 REG.rel("flt_usable_bars", "SELECT ticker, n FROM usable_bars", usable_bars())
-REG.rel("prj_fold_text", lambda q: "SELECT raw, trim(" + q.replace_all("translate(lower(raw), 'ıçğöşüâå', 'icgosuaa')", " +", " ") + f") AS folded FROM {q.values(('raw',), [("'  Güçlü   Alış'",), ("'ÇOK Şey'",), ("'plain'",), ("''",)])} x")
+#: Texts in lower case, Turkish and accented letters as plain ones, runs of spaces as one.
+FOLDED = Rel("folded_texts", lambda q: "SELECT doc_id, trim(" + q.replace_all("translate(lower(text), 'ıçğöşüâå', 'icgosuaa')", " +", " ") + ") AS folded FROM documents", (Rel("documents"),))
+REG.rel("prj_fold_text", "SELECT doc_id, md5(folded) AS folded, length(folded) AS n_chars FROM folded_texts", FOLDED)
 REG.rel("jn_mentions_sentiment", "SELECT coalesce(m.ticker, s.ticker) AS ticker, m.mentions, round(s.score, 6) AS score FROM (SELECT ticker, sum(mentions) AS mentions FROM mentions WHERE rank <= 40 GROUP BY ticker) m FULL OUTER JOIN (SELECT ticker, avg(sentiment_score) AS score FROM mentions WHERE rank > 30 GROUP BY ticker) s ON s.ticker = m.ticker", MENTIONS)
 REG.rel("jn_pinned", "SELECT f.ticker, s.ticker IS NOT NULL AS pinned FROM (SELECT ticker FROM factors) f LEFT JOIN (SELECT ticker FROM scan_log WHERE pinned) s ON s.ticker = f.ticker", FACTORS, SCANS)

@@ -11,3 +11,4 @@ for _m in _MODULES:
     QUERIES |= _m.REG.queries()
     ORACLES |= {n: r.sql() for n, r in _m.REG.rels.items()}
 ORACLES |= {f"fa_{n}": s for n, s in factor_oracles.SQL.items()}
+ORACLES["src_previous_snapshot"] = research.PREVIOUS_ORACLE.sql()

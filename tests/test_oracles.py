@@ -9,7 +9,7 @@ import pytest
 from rankloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 @pytest.fixture(scope="module")
