@@ -390,6 +390,20 @@ class _Block:
 _LINKS = "part long, a long, b long, degree long"
 
 
+def _hub_links(least: float):
+    """A block's texts held against the part's best-linked one, which comes as a row of its own (role 0)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, role = _Block(table), table.column("role").to_numpy()
+        hub = int(np.flatnonzero(role == 0)[0])
+        others = np.flatnonzero((role == 1) & (own.ids != own.ids[hub]))
+        near, error = own.estimates(hub, others)
+        kept = [j for j in others[near + ERRORS * error >= least].tolist() if own.exact(hub, j) >= least]
+        return pa.table({"a": own.ids[kept], "b": np.full(len(kept), own.ids[hub])})
+
+    return run
+
+
 def _inner_links(least: float):
     """A block's texts compared with one another."""
 
@@ -435,23 +449,11 @@ def _dense_links(texts: DataFrame, members: DataFrame, links: DataFrame, least:
     if (most or 0) <= 1:
         return out
     wide = whole.where("blocks > 1")
-    hubs = found.groupBy("part").agg(F.max_by("a", "degree").alias("hub"))
-    hub_rows = hubs.join(odd.toDF("hub", *[f"hub_{c}" for c in odd.columns[1:]]), "hub")
-
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "level", "n0", "n1", "odd0", "odd1", "hashes"]
-        for batch in batches:
-            left, right = (pa.table([batch.column(c) for c in columns], names=names) for columns in (names, ["hub", *[f"hub_{c}" for c in names[1:]]]))
-            both = pa.concat_tables([left, right]).append_column("component", pa.array(np.arange(2 * batch.num_rows)))
-            own, k = _Block(both), batch.num_rows
-            keep = np.zeros(k, bool)
-            for i in np.flatnonzero(own.ids[:k] != own.ids[k:]).tolist():
-                near, error = own.estimates(i, np.array([k + i]))
-                keep[i] = near[0] + ERRORS * error[0] >= least and own.exact(i, k + i) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(own.ids[:k][keep]), pa.array(own.ids[k:][keep])], names=["a", "b"])
-
-    joined = wide.join(hub_rows, "part")
-    out = out.union(materialize(joined.select("doc_id", *odd.columns[1:], "hub", *[f"hub_{c}" for c in odd.columns[1:]]).mapInArrow(against, "a long, b long"), "hub-links"))
+    hubs = found.groupBy("part").agg(F.max_by("a", "degree").alias("doc_id"))
+    each = hubs.join(sized(sizes, n_parts, 64), "part").where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["part", "block", F.lit(0).alias("component"), *odd.columns]
+    met = each.join(odd, "doc_id").select(F.lit(0).alias("role"), *columns).union(wide.select(F.lit(1).alias("role"), *columns))
+    out = out.union(materialize(met.groupBy("part", "block").applyInArrow(_hub_links(least), "a long, b long"), "hub-links"))
     component = connected_components(links.union(out))
     marked = materialize(wide.join(component, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node"), "dense-marked")
     main = marked.groupBy("part", "component").agg(F.count(F.lit(1)).alias("n_in")).groupBy("part").agg(F.max_by("component", F.struct("n_in", "component")).alias("main"))
@@ -475,8 +477,12 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
     bucket is cut.
     """
     table = materialize(_sketches(docs, words, id_col, text_col), "sketches")
-    met = table.select(F.explode("parts").alias("part"), "doc_id", F.size("parts").cast("long").alias("of")).repartition("part").sortWithinPartitions("part")
-    found = materialize(met.mapInArrow(_meet, "a long, b long, part long, of long"), "part-pairs")
+    met = table.select(F.explode("parts").alias("part"), "doc_id", F.size("parts").cast("long").alias("of"))
+    # Common parts are counted where they are and never dealt by part: their texts go straight to blocks.
+    common = materialize(met.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("part"), "common-parts")
+    n_common = common.count()
+    few = met.join(sized(common, n_common, 64), "part", "left_anti").repartition("part").sortWithinPartitions("part")
+    found = materialize(few.mapInArrow(_meet, "a long, b long, part long, of long"), "part-pairs")
     pairs = found.where("part is null").select("a", "b").distinct()
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     own = table.select("doc_id", "sketch").join(wanted, "doc_id", "left_semi")
@@ -491,7 +497,7 @@ def similar_pairs(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: s
 
     sifted = materialize(both.mapInArrow(sift, "a long, b long, sure boolean"), "sifted-pairs")  # so no task runs two Python workers
     texts = _texts(docs, id_col, text_col)
-    members = found.where("part is not null").select(F.col("a").alias("doc_id"), "part", "of")
+    members = met.join(sized(common, n_common, 64), "part", "left_semi").select("doc_id", "part", "of")
     dense = _dense_links(texts, members, sifted.where("sure").select("a", "b"), least, words, block)
     open_ = sifted.where("not sure").select("a", "b").distinct()
     ids = materialize(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct(), "open-ids")
