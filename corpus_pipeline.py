@@ -19,22 +19,28 @@ from rankloom.llm.simhash import drop_near_copies
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain; those that the models reject (or that have no letter) go."""
+    """Documents whose language is certain; those that the models reject, or whose text is null or has no letter, go.
+
+    Rows that repeat are judged alike; a null label teaches nothing; without any label, and for an empty table, the result is empty.
+    """
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that of the largest id."""
+    """One document of each text, that of the largest id. A null text is an empty one; of rows that repeat id and text one stays; an empty table stays empty."""
     return drop_exact_copies(docs)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that of the smallest id."""
+    """One document of each SimHash group, that of the smallest id. Rows that share an id stay or go together, rows with a null id stay; texts without words are one group; an empty table stays empty."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of a mix that weights sources by their size to the power 0.7."""
+    """All documents, in the order of a mix that weights sources by their size to the power 0.7.
+
+    A null source is a source of its own, a null or empty text counts as one character; rows that repeat stay; ties of the hashed order are settled by id and size; an empty table stays empty.
+    """
     return in_mixed_order(docs)
 
 
