@@ -56,7 +56,20 @@ REG.rel("rp_validation", "SELECT * FROM validation", VALIDATION)
 _ORDERED = Rel("ordered_factors", "SELECT ticker, factor_id, score, contribution, row_number() OVER (PARTITION BY ticker ORDER BY round(contribution, 9) DESC, factor_id) AS best, row_number() OVER (PARTITION BY ticker ORDER BY round(score, 9), factor_id) AS worst FROM contributions WHERE score IS NOT NULL", (_CONTRIBUTIONS,))
 REG.rel("as_describe", "SELECT ticker, factor_id, round(score, 5) AS score, best <= 4 AS strongest, worst <= 3 AS weakest FROM ordered_factors WHERE best <= 4 OR worst <= 3", _ORDERED)
 REG.rel("as_factor_top", "SELECT factor_id, ticker, round(score, 5) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY round(score, 9) DESC, ticker) AS place FROM contributions WHERE score IS NOT NULL) x WHERE place <= 5", _CONTRIBUTIONS)
-REG.rel("as_compare", "SELECT a.category, round(a.category_score, 5) AS left_score, round(b.category_score, 5) AS right_score FROM category_scores a JOIN category_scores b ON b.category = a.category WHERE a.ticker = 'T000001' AND b.ticker = 'T000002'", _CATEGORIES)
+def compare(left: str, right: str) -> Rel:
+    """The category scores of any two securities side by side; a category that one of them lacks has null there."""
+    score = lambda t: f"max(CASE WHEN ticker = {text_literal(t)} THEN category_score END)"
+    return Rel("compared", f"SELECT category, {score(left)} AS left_score, {score(right)} AS right_score FROM category_scores WHERE ticker IN ({text_literal(left)}, {text_literal(right)}) GROUP BY category", (_CATEGORIES,))
+
+
+def text_literal(x: str) -> str:
+    """A text as an SQL literal of both engines."""
+    if "\\" in x:
+        raise ValueError("no symbol holds a backslash")
+    return "'" + x.replace("'", "''") + "'"
+
+
+REG.rel("as_compare", "SELECT category, round(left_score, 5) AS left_score, round(right_score, 5) AS right_score FROM compared", compare("T000001", "T000002"))
 REG.rel("as_sector", "SELECT sector, ticker, rank FROM (SELECT sector, ticker, rank, row_number() OVER (PARTITION BY sector ORDER BY rank) AS place FROM ranking) x WHERE place <= 5", _RANKING)
 REG.rel("as_price_below", "SELECT ticker, rank, price FROM (SELECT r.ticker, r.rank, round(f.price, 8) AS price, row_number() OVER (ORDER BY r.rank) AS place FROM ranking r JOIN (SELECT ticker, price FROM factors) f ON f.ticker = r.ticker WHERE f.price < 1500) x WHERE place <= 12", _RANKING, FACTORS)
 REG.rel("as_bottom", "SELECT ticker, rank FROM ranking WHERE rank > (SELECT count(*) FROM ranking) - 5", _RANKING)

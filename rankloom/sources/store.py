@@ -74,6 +74,17 @@ def leaks(pages: DataFrame, required: list[str], forbidden: list[str], column: s
     return pages.select("*", F.forall(F.array(*[F.lit(w) for w in required]), lambda w: F.contains(F.col(column), w)).alias("complete"), found.alias("leaked"))
 
 
+#: Fixed value: fewest key derivations of a page that may be published.
+LEAST_ITERATIONS = 100_000
+
+
+def publishable(pages: DataFrame, required: list[str], forbidden: list[str], column: str = "text", least: int = LEAST_ITERATIONS) -> DataFrame:
+    """``leaks`` with the number of key derivations that a page states (``"iter": n``; 0 where it states none), and whether it may be published: complete, without leaks, with enough of them. A null page may not."""
+    stated = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(column, r'"iter"\s*:\s*(\d{1,18})', 1), F.lit("")), F.lit("9" * 18)).cast("long"), F.lit(0).cast("long"))
+    checked = leaks(pages, required, forbidden, column).withColumn("iterations", stated)
+    return checked.withColumn("ok", F.coalesce(F.col("complete") & (F.size("leaked") == 0) & (F.col("iterations") >= least), F.lit(False)))
+
+
 def cached(bars: DataFrame, now: str, ttl_seconds: int, fetched: str = "fetched_at") -> DataFrame:
     """Rows of tickers with at least 30 bars that were fetched within the time to live."""
     n = F.count(F.lit(1)).over(Window.partitionBy("ticker"))

@@ -190,3 +190,11 @@ def test_defaults_and_filters_of_a_document():
     assert parse_screen({"filters": filters}) == Screen(1.0, None, 1.5e8, 2e10, 1e6)
     assert parse_screen({"filters": {"require_wsb": True, "require_analyst_buy": True, "min_price": 0}}) == Screen(require_mentions=True, analyst_buy=2.5)
     assert parse_screen({}) == parse_screen({"filters": None}) == Screen()
+
+
+def test_any_two_securities_are_compared(spark):
+    from rankloom.operators.reports import compare
+
+    scores = spark.createDataFrame([("A", "risk", 1.0), ("O'B", "risk", 2.0), ("A", "size", 3.0), ("C", "size", 9.0)], "ticker string, category string, category_score double")
+    rows = compare("A", "O'B").on(spark, category_scores=scores).collect()
+    assert sorted(map(tuple, rows)) == [("risk", 1.0, 2.0), ("size", 3.0, None)]

@@ -94,3 +94,10 @@ def test_snapshots_and_sentiment(spark, tmp_path):
     one = spark.range(3).toDF("x")
     status = store.run_status(one, spark.range(10), spark.range(4), spark.range(0)).first()
     assert (status.ranked, status.universe, status.scanned, status.dropped, status.ok, status.scanned_pct) == (3, 10, 4, 0, True, 40.0)
+
+
+def test_pages_are_checked_before_they_are_published(spark):
+    pages = [('x marker "iter": 600000',), ('x marker "iter" : 9000',), ("x marker",), ('x "iter": 600000',), ('marker secret "iter": 600000',), (None,)]
+    got = store.publishable(spark.createDataFrame(pages, "text string"), ["marker"], ["secret"]).collect()
+    assert [r.ok for r in got] == [True, False, False, False, False, False]
+    assert [r.iterations for r in got] == [600000, 9000, 0, 600000, 600000, 0]
