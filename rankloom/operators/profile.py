@@ -98,8 +98,8 @@ TAIL = Rel("tail_stats", f"SELECT ticker, {', '.join(TAIL_COLUMNS)} FROM profile
 BANDS = Rel("supertrend_bands", "SELECT ticker, date, close AS c, (high + low) / 2 + 3 * atr10 AS u, (high + low) / 2 - 3 * atr10 AS l FROM indicators WHERE atr10 IS NOT NULL", (INDICATORS,))
 
 
-def _directions(bands: DataFrame) -> DataFrame:
-    """Direction of each bar, in one pass over a ticker's bars in order of time: what is held is the state after the last bar.
+def directions(bands: DataFrame, bounds: bool = False) -> DataFrame:
+    """Direction of each bar (with ``bounds`` the ratcheted bands after it, too), in one pass over a ticker's bars in order of time: what is held is the state after the last bar.
 
     The bands ratchet (the upper down while the trend is up, the lower up while it is down) and compare with those
     of the bar before; before the first bar with bands the direction is up.
@@ -120,11 +120,12 @@ def _directions(bands: DataFrame) -> DataFrame:
                         way = -1.0
                     up = u if up is None or before < 0 else min(u, up)
                     low = l if low is None or before > 0 else max(l, low)
-                out.append(way)
-            yield pa.RecordBatch.from_arrays([batch.column("ticker"), batch.column("date"), pa.array(out, pa.float64())], names=["ticker", "date", "dir"])
+                out.append((way, up, low))
+            held = dict(zip(("dir", "up", "low")[: 3 if bounds else 1], zip(*out) if out else ((), (), ())))
+            yield pa.RecordBatch.from_arrays([batch.column("ticker"), batch.column("date"), *(pa.array(x, pa.float64()) for x in held.values())], names=["ticker", "date", *held])
 
     kind = dict(bands.dtypes)["date"]
-    return bands.repartition("ticker").sortWithinPartitions("ticker", "date").mapInArrow(run, f"ticker string, date {kind}, dir double")
+    return bands.repartition("ticker").sortWithinPartitions("ticker", "date").mapInArrow(run, f"ticker string, date {kind}, dir double" + (", up double, low double" if bounds else ""))
 
 
 def _folded(q) -> str:
@@ -144,7 +145,7 @@ def _folded(q) -> str:
 
 
 #: Supertrend of every bar that has an average range, and of the last one.
-SUPERTREND_SERIES = Rel("supertrend_series", _folded, (BANDS,), run=_directions)
+SUPERTREND_SERIES = Rel("supertrend_series", _folded, (BANDS,), run=directions)
 SUPERTREND = Rel("supertrend", "SELECT s.ticker, s.dir AS supertrend FROM supertrend_series s JOIN profile p ON p.ticker = s.ticker AND p.last_date = s.date", (SUPERTREND_SERIES, PROFILE))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rankloom.operators import factor_oracles, factors, indicators, models, profile, reports, research, scoring, signals, targets, universe
+from rankloom.operators import daily, factor_oracles, factors, indicators, models, profile, reports, research, scoring, signals, targets, universe
 
-_MODULES = (indicators, profile, signals, factors, scoring, targets, universe, research, models, reports)
+_MODULES = (indicators, daily, profile, signals, factors, scoring, targets, universe, research, models, reports)
 
 QUERIES, ORACLES = {}, {}
 for _m in _MODULES:
@@ -12,3 +12,4 @@ for _m in _MODULES:
     ORACLES |= {n: r.sql() for n, r in _m.REG.rels.items()}
 ORACLES |= {f"fa_{n}": s for n, s in factor_oracles.SQL.items()}
 ORACLES["src_previous_snapshot"] = research.PREVIOUS_ORACLE.sql()
+ORACLES["in_daily"] = daily.ORACLE.sql()
