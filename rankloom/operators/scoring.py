@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from rankloom.functions.expr import bands, d
+from rankloom.functions.expr import bands, clamp, d
 from rankloom.operators.factors import CUTS, FACTOR_VALUES, PENALTY_FLAGS
 from rankloom.plans.numbering import numbering
 from rankloom.plans.rel import Rel, Registry
@@ -133,7 +133,7 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
     normalised = Rel(
         "normalised",
         f"""
-        SELECT *, CASE WHEN {neutral} AND n_sector >= 5 AND sd_sector >= 1e-9 THEN greatest(0e0, least(100e0, 50 + 15 * (directed - mean_sector) / sd_sector)) ELSE directed END AS score
+        SELECT *, CASE WHEN {neutral} AND n_sector >= 5 AND sd_sector >= 1e-9 THEN {clamp(0, 100, '50 + 15 * (directed - mean_sector) / sd_sector')} ELSE directed END AS score
         FROM (SELECT *, count(directed) OVER (PARTITION BY factor_id, sector) AS n_sector, avg(directed) OVER (PARTITION BY factor_id, sector) AS mean_sector, stddev_pop(directed) OVER (PARTITION BY factor_id, sector) AS sd_sector
               FROM (SELECT *, CASE norm WHEN 'band' THEN band_score WHEN 'raw' THEN CASE WHEN raw IS NOT NULL THEN greatest(0e0, least(100e0, raw)) END
                                  ELSE CASE WHEN lower_better THEN 100 - percentile ELSE percentile END END AS directed
@@ -157,7 +157,7 @@ def scorer(cfg: Config, values: Rel = FACTOR_VALUES, flags: Rel = PENALTY_FLAGS)
     scores = Rel(
         "scores",
         lambda q: f"""
-        SELECT *, greatest(0e0, least(100e0, base + penalty)) AS total_score, coverage < {d(cfg.min_confidence)} AS low_confidence
+        SELECT *, {clamp(0, 100, 'base + penalty')} AS total_score, coverage < {d(cfg.min_confidence)} AS low_confidence
         FROM (SELECT b.*, b.ticker IN ({pins}) AS pinned, coalesce(h.n_penalties, 0) AS n_penalties, greatest({d(-abs(cfg.penalty_cap))}, coalesce(h.sigmas, 0e0) + coalesce(h.points, 0e0) / b.sigma) * b.sigma AS penalty
               FROM (SELECT *, (SELECT sigma FROM base_spread) AS sigma FROM base) b
               LEFT JOIN (SELECT g.ticker, count(*) AS n_penalties, sum(coalesce(p.sigma, 0e0)) AS sigmas, sum(CASE WHEN p.sigma IS NULL THEN p.points ELSE 0e0 END) AS points

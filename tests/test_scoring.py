@@ -198,3 +198,15 @@ def test_any_two_securities_are_compared(spark):
     scores = spark.createDataFrame([("A", "risk", 1.0), ("O'B", "risk", 2.0), ("A", "size", 3.0), ("C", "size", 9.0)], "ticker string, category string, category_score double")
     rows = compare("A", "O'B").on(spark, category_scores=scores).collect()
     assert sorted(map(tuple, rows)) == [("risk", 1.0, 2.0), ("size", 3.0, None)]
+
+
+def test_missing_values_stay_missing_in_a_neutralised_sector(spark):
+    rows = [(f"T{i}", "s", "a", float(i)) for i in range(6)] + [("N", "s", "a", None)] + [(t, "s", "b", 1.0 + k) for k, t in enumerate(("T0", "T1", "T2", "T3", "T4", "N"))] + [("E", "s", "a", None)]
+    values = spark.createDataFrame(rows, "ticker string, sector string, factor_id string, raw double")
+    flags = spark.createDataFrame([("E", "bad")], "ticker string, penalty_id string")
+    cfg = Config((Factor("a", "value", 50), Factor("b", "quality", 50)), {"bad": (-0.25, 0.0)}, min_include=0.0)
+    scored = {(r.ticker, r.factor_id): r.score for r in score(values, flags, cfg, "normalised").collect()}
+    assert scored["N", "a"] is None and scored["E", "a"] is None and all(scored[f"T{i}", "a"] is not None for i in range(6))
+    ranking = sorted(score(values, flags, cfg).collect(), key=lambda r: r.rank)
+    assert ranking[-1].ticker == "E" and ranking[-1].total_score is None and ranking[-1].coverage == 0
+    assert {r.ticker: r.coverage for r in ranking}["N"] == 0.5
