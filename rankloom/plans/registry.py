@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.operators import daily, factor_oracles, factors, indicators, models, profile, reports, research, scoring, signals, targets, universe
+from rankloom.operators import daily, factor_oracles, factors, indicators, models, profile, reports, research, scoring, scoring_oracles, signals, targets, universe
 
 _MODULES = (indicators, daily, profile, signals, factors, scoring, targets, universe, research, models, reports)
 
@@ -13,3 +13,4 @@ for _m in _MODULES:
 ORACLES |= {f"fa_{n}": s for n, s in factor_oracles.SQL.items()}
 ORACLES["src_previous_snapshot"] = research.PREVIOUS_ORACLE.sql()
 ORACLES["in_daily"] = daily.ORACLE.sql()
+ORACLES |= scoring_oracles.SQL
