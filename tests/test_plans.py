@@ -8,7 +8,8 @@ from rankloom.operators.factors import ALL, CUTS
 from rankloom.operators.research import DELTAS, FOLDS, PANEL, SNAPSHOTS
 from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.operators.universe import REG as UNIVERSE
-from rankloom.plans.rel import Rel, kept
+from rankloom.operators.profile import PROFILE
+from rankloom.plans.rel import Rel, deal, kept
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,3 +49,18 @@ def test_kept_rows_follow_their_table(spark, tmp_path):
     assert sorted(r.n for r in first.collect()) == [0, 2, 4] and kept(twice, spark, str(tmp_path)) is first
     spark.range(5).selectExpr("id AS n").write.mode("overwrite").parquet(f"{tmp_path}/numbers.parquet")
     assert kept(twice, spark, str(tmp_path)).count() == 5
+
+
+def test_windows_over_bars_sort_narrow_rows_only(spark):
+    bars = spark.range(9).selectExpr("concat('T', id % 3) AS ticker", "date_add(date'2024-01-01', cast(id AS int)) AS date", *(f"cast(id AS double) AS {c}" for c in ("open", "high", "low", "close", "volume")))
+    text = PROFILE.on(spark, bars=bars)._jdf.queryExecution().executedPlan().toString()
+    sorts = re.findall(r"Sort \[(.*?)\], false", text)
+    assert len(sorts) == 2 and not any("DESC" in x for x in sorts)  # by time, then by (ticker, block, time)
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+
+
+def test_tasks_of_a_kept_relation_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr("rankloom.plans.rel.TASK_ROWS", 10)
+    rows = spark.range(95).withColumnRenamed("id", "k")
+    assert deal(rows, "k", 95).rdd.getNumPartitions() == 10 and deal(rows, "k", 9) is rows
+    assert kept(Rel("dealt_rows", "SELECT * FROM lineitem", (Rel("lineitem"),), dealt="l_suppkey"), spark, DATA).rdd.getNumPartitions() > 100
