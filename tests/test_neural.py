@@ -1,6 +1,7 @@
 """Rankers trained by rounds of gradients: finite differences, split days, planted signals, stores."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,20 @@ def test_models_are_stored_and_refitted(spark, tmp_path):
     assert a == b
     with pytest.raises(KeyError):
         load(spark, path, "other")
+
+
+def test_recurrent_blocks_are_computed_in_chunks_and_validation_once(monkeypatch):
+    net, rng, seen = Recurrent(3, hidden=5, dropout=0.0, steps=4), np.random.default_rng(2), []
+    theta, x, y = net.start(3), rng.normal(size=(1500, 12)).astype("<f4"), rng.normal(size=1500)
+    p, kept = net.forward(theta, x.astype(np.float64))
+    m = moments(p, y)
+    want = net.backward(kept, loss_slope(p, y, m))
+    plain = Recurrent.forward
+    monkeypatch.setattr(Recurrent, "forward", lambda self, theta, x, rng=None: seen.append(len(x)) or plain(self, theta, x, rng))
+    run = neural._Run(0, 1, 2, np.zeros(12), np.ones(12), theta, theta, theta, theta)
+    rows = lambda whole: iter([pa.RecordBatch.from_pydict({"day": [0, 1], "part": [0, 0], "whole": [whole] * 2, "x": [x.tobytes()] * 2, "y": [y.tobytes()] * 2})])
+    (out,) = neural._pass(net, [run], 7, 1, None)(rows(True))
+    assert np.allclose(out["sums"][0].as_py()[:-1], want, atol=1e-5) and max(seen) <= Recurrent.chunk and sum(seen) == 3000
+    seen.clear()
+    (out,) = neural._pass(net, [run], 7, 1, {(0, 0): m, (0, 1): m})(rows(False))
+    assert np.allclose(out["sums"][0].as_py()[:-1], want, atol=1e-5) and sum(seen) == 1500  # the day that only validates isn't computed again
