@@ -1,8 +1,10 @@
 """Properties of the scoring run on hand-made universes."""
 
+import duckdb
 import pytest
 
-from rankloom.operators.scoring import RATING, Config, Factor, score
+from rankloom.operators.scoring import RATING, Config, Factor, score, scorer
+from rankloom.plans.rel import Rel
 
 AB = (Factor("a", "momentum", 60), Factor("b", "quality", 30), Factor("c", "sentiment", 10))
 
@@ -210,3 +212,20 @@ def test_missing_values_stay_missing_in_a_neutralised_sector(spark):
     ranking = sorted(score(values, flags, cfg).collect(), key=lambda r: r.rank)
     assert ranking[-1].ticker == "E" and ranking[-1].total_score is None and ranking[-1].coverage == 0
     assert {r.ticker: r.coverage for r in ranking}["N"] == 0.5
+
+
+def test_values_and_scores_that_differ_in_noise_only_tie(spark):
+    cfg = Config((Factor("a", "x"), Factor("b", "y")), neutralize=False)
+    raw = {"T3": (0.3, 2.0), "T1": (0.1 + 0.2, 2.0), "T2": (0.3 - 5e-17, 2.0), "T9": (0.5, 1.0), "T5": (0.1, 3.0)}
+    rows = [(t, "s", f, x) for t, pair in raw.items() for f, x in zip("ab", pair)]
+    values = spark.createDataFrame(rows, "ticker string, sector string, factor_id string, raw double")
+    flags = spark.createDataFrame([], "ticker string, penalty_id string")
+    got = {r.ticker: r.percentile for r in score(values, flags, cfg, "ranked").where("factor_id = 'a'").collect()}
+    assert got == {"T5": 20.0, "T1": 60.0, "T2": 60.0, "T3": 60.0, "T9": 100.0}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE factor_values (ticker varchar, sector varchar, factor_id varchar, raw double)")
+    con.executemany("INSERT INTO factor_values VALUES (?, ?, ?, ?)", rows)
+    ranked = scorer(cfg, Rel("factor_values"))["ranked"]
+    assert dict(con.sql(f"SELECT ticker, percentile FROM ({ranked.sql()}) WHERE factor_id = 'a'").fetchall()) == got
+    scores = spark.createDataFrame([("T2", 50 + 1e-12), ("T1", 50.0), ("T3", 50.1)], "ticker string, total_score double").selectExpr("*", "1e0 AS coverage", "false AS pinned")
+    assert [r.ticker for r in scorer(cfg)["ranking"].on(spark, scores=scores).orderBy("rank").collect()] == ["T3", "T1", "T2"]
