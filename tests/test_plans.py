@@ -10,6 +10,7 @@ from rankloom.operators.scoring import DEFAULT, scorer
 from rankloom.operators.universe import REG as UNIVERSE
 from rankloom.operators.profile import PROFILE
 from rankloom.plans.rel import Rel, deal, kept
+from rankloom.sources.adapters import BARS, QUARTERLY, TICKS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -64,3 +65,23 @@ def test_tasks_of_a_kept_relation_grow_with_its_rows(spark, monkeypatch):
     rows = spark.range(95).withColumnRenamed("id", "k")
     assert deal(rows, "k", 95).rdd.getNumPartitions() == 10 and deal(rows, "k", 9) is rows
     assert kept(Rel("dealt_rows", "SELECT * FROM lineitem", (Rel("lineitem"),), dealt="l_suppkey"), spark, DATA).rdd.getNumPartitions() > 100
+
+
+def test_tasks_that_sum_up_line_items_grow_with_them(spark, monkeypatch):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert TICKS.from_dir(spark, DATA).rdd.getNumPartitions() <= tasks
+    monkeypatch.setattr("rankloom.plans.rel.TASK_ROWS", 10)
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert TICKS.from_dir(spark, DATA).rdd.getNumPartitions() == -(-rows // 10) > tasks
+    for rel in (BARS, QUARTERLY):  # no second exchange by ticker
+        assert len(re.findall(r"Exchange hashpartitioning", plan(rel, spark))) == 1
+
+
+def test_profile_sums_up_without_boxed_states(spark):
+    assert "SortAggregate" not in plan(PROFILE, spark, bars=spark.createDataFrame([], "ticker string, date date, open double, high double, low double, close double, volume double"))
+
+
+def test_aroon_of_equal_extremes_counts_from_the_oldest(spark):
+    bars = spark.range(60).selectExpr("'T' AS ticker", "date_add(date'2024-01-01', cast(id AS int)) AS date", "1e0 AS open", "CASE WHEN id IN (40, 50) THEN 9e0 ELSE 5e0 END AS high", "CASE WHEN id IN (45, 55) THEN 1e0 ELSE 3e0 END AS low", "4e0 AS close", "1e0 AS volume")
+    row = PROFILE.on(spark, bars=bars).first()
+    assert (row.last_aroon_up, row.last_aroon_down) == (100 * (25 - 19) / 25, 100 * (25 - 14) / 25)
