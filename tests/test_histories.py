@@ -3,10 +3,12 @@
 import datetime
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from rankloom.functions import series
-from rankloom.operators.profile import PROFILE, STATED
+from rankloom.operators.profile import PROFILE, STATED, SUPERTREND, SUPERTREND_SERIES
+from rankloom.operators.research import MARKED, SNAPSHOTS
 
 SCHEMA = "ticker string, date date, open double, high double, low double, close double, volume double"
 
@@ -45,11 +47,27 @@ def same(got, want):
 
 
 def test_odd_histories_equal_the_statement(spark, odd):
-    got, want = PROFILE.on(spark, bars=odd), STATED.on(spark, bars=odd)
+    got, want = PROFILE.on(spark, bars=odd).drop("last_supertrend"), STATED.on(spark, bars=odd)
     assert got.dtypes == want.dtypes
     assert same(got, want) == []
 
 
+def test_last_direction_of_supertrend_equals_the_series(spark, odd):
+    last = {r.ticker: r.date for r in odd.where("close IS NOT NULL").groupBy("ticker").agg({"date": "max"}).toDF("ticker", "date").collect()}
+    want = {r.ticker: r.dir for r in SUPERTREND_SERIES.on(spark, bars=odd).collect() if r.ticker is not None and last[r.ticker] == r.date}
+    got = SUPERTREND.on(spark, bars=odd)
+    assert len(re.findall("Exchange hashpartitioning", got._jdf.queryExecution().executedPlan().toString())) == 1  # the bars are dealt once
+    assert {r.ticker: r.supertrend for r in got.collect()} == want and len(set(want.values())) == 2 and len(want) < len(ODD)
+
+
+def test_marks_of_bars_equal_the_statement(spark, odd):
+    """A bar without a day counts for the indicators, as in the statement."""
+    bars = odd.unionByName(spark.createDataFrame([("year", None, 3.0, 9.0, 2.0, 4.0, 5.0)], SCHEMA)).where("ticker IS NOT NULL")
+    found = [{(r.ticker, r.snapshot): r.asDict() for r in x.on(spark, bars=bars).collect()} for x in (SNAPSHOTS, replace(SNAPSHOTS, inputs=(replace(MARKED, run=None, reads=()),)))]
+    assert found[0].keys() == found[1].keys() and len(found[0]) > 300
+    assert [(k, c) for k, row in found[1].items() for c, x in row.items() if not (found[0][k][c] == x or (isinstance(x, float) and found[0][k][c] is not None and found[0][k][c] == pytest.approx(x, rel=1e-9, abs=1e-9)))] == []
+
+
 def test_histories_that_span_batches_and_matrices(spark, odd, monkeypatch):
     batches = odd.where("close IS NOT NULL").sort("ticker", "date").toArrow().to_batches(max_chunksize=7)
     tables = list(series.histories(iter(batches), rows=500))
