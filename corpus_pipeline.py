@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import langid
-from rankloom.llm.common import materialize, read_table
+from rankloom.llm.common import bound_batches, materialize, read_table
 from rankloom.llm.encoder import tokenizer_path
 from rankloom.llm.exact_dedup import drop_exact_copies
 from rankloom.llm.mixing import in_mixed_order
@@ -23,6 +23,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that repeat are judged alike; a null label teaches nothing; without any label, and for an empty table, the result is empty.
     """
+    bound_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 
@@ -33,6 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group, that of the smallest id. Rows that share an id stay or go together, rows with a null id stay; texts without words are one group; an empty table stays empty."""
+    bound_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -50,6 +52,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A scan of the mix's files follows their sizes, so the mix is dealt again: task after task takes the
     documents of later slots, and sequence ids ascend with them up to the examples a packer chooses from.
     """
+    bound_batches(spark)
     pieces = pack_documents(in_mixed_order(docs), tokenizer_path("word_bpe_49k.json"), 2, kept_pieces=150_000)  # the workers also served the stages before
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -8,7 +8,6 @@ cross-entropy lies beyond what calibration texts of that language show is reject
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, sized
+from rankloom.llm.common import give_back, materialize, sized
 
 ORDER = 5
 #: Bounds of the labelled sample: so many training rows of each language on average, picked by a hash of their ids, and of all
@@ -344,6 +343,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         scorer = Scorer(shared.value, KEPT_SHARED) if shared.value is not None else None
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -352,7 +352,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
                 good = [not r for _, _, r in scorer.judge(texts)] if scorer is not None else [False] * len(texts)
                 yield part.filter(pa.array(good, pa.bool_()))
         del scorer
-        gc.collect()  # the worker lives on in other stages
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, sized, without
+from rankloom.llm.common import give_back, materialize, sized, without
 from rankloom.llm.components import Forest, connected_components, forest_batch
 
 #: Fixed value: generator polynomial of the (23, 12) Golay code.
@@ -97,6 +97,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """doc_id, fp of every document; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -235,6 +236,7 @@ def similarity(a: bytes, b: bytes) -> float:
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)

@@ -5,6 +5,8 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
+from rankloom.llm.common import give_back, worker_cache
 from rankloom.llm.encoder import encoder, tokenizer_path
 from rankloom.llm.simhash import fingerprint
 
@@ -98,3 +100,20 @@ def test_sequences_follow_the_mix_over_files_of_unequal_size(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     own = [tasks[t] for t in sorted(tasks)]
     assert len(own) > 1 and all(max(x) < min(y) for x, y in zip(own, own[1:]))
+
+
+def test_workers_hold_little(spark):
+    """A stage's batches are bounded in bytes, whatever the length of the texts, and what a worker kept for another stage goes."""
+    encoder(tokenizer_path("word_bpe_49k.json"), 150_000).encode_one("river stone")
+    assert worker_cache("encoders")
+    give_back()
+    assert not worker_cache("encoders")
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('river stone cloud ', 3000) AS text", "'en' AS lang", "'s' AS source", "54000L AS n_chars")
+    corpus_pipeline.identify_languages(spark, docs, "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    got = docs.mapInArrow(sizes, "bytes long, n long").collect()
+    assert sum(r["n"] for r in got) == 400 and max(r["bytes"] for r in got) < 5 << 20
