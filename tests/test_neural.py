@@ -119,3 +119,25 @@ def test_recurrent_blocks_are_computed_in_chunks_and_validation_once(monkeypatch
     seen.clear()
     (out,) = neural._pass(net, [run], 7, 1, {(0, 0): m, (0, 1): m})(rows(False))
     assert np.allclose(out["sums"][0].as_py()[:-1], want, atol=1e-5) and sum(seen) == 1500  # the day that only validates isn't computed again
+
+
+def test_perceptron_blocks_are_computed_in_chunks(monkeypatch):
+    net, rng, seen = Perceptron(5, dropout=0.0), np.random.default_rng(3), []
+    theta, x, y = net.start(3), rng.normal(size=(5000, 5)).astype("<f4"), rng.normal(size=5000)
+    p, kept = net.forward(theta, x.astype(np.float64))
+    m = moments(p, y)
+    want = net.backward(kept, loss_slope(p, y, m))
+    plain = Perceptron.forward
+    monkeypatch.setattr(Perceptron, "forward", lambda self, theta, x, rng=None: seen.append(len(x)) or plain(self, theta, x, rng))
+    run = neural._Run(0, 1, 2, np.zeros(5), np.ones(5), theta, theta, theta, theta)
+    for whole, of_days in ((True, None), (False, {(0, 0): m})):
+        seen.clear()
+        batch = pa.RecordBatch.from_pydict({"day": [0], "part": [0], "whole": [whole], "x": [x.tobytes()], "y": [y.tobytes()]})
+        (out,) = neural._pass(net, [run], 7, 1, of_days)(iter([batch]))
+        assert np.allclose(out["sums"][0].as_py()[:-1], want, atol=1e-5) and max(seen) <= Perceptron.chunk < 5000 and sum(seen) == 5000
+
+
+def test_extreme_inputs_saturate():
+    for net in (Perceptron(2, dropout=0.0), Recurrent(2, dropout=0.0, steps=2)):
+        p, kept = net.forward(net.start(1).astype("f4"), np.full((3, 2 * net.steps), 1e6, "f4"))
+        assert np.isfinite(p).all() and np.isfinite(net.backward(kept, np.array([1.0, -2.0, 1.0]))).all()

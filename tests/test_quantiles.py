@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from rankloom.functions import quantiles
 from rankloom.functions.quantiles import exact_quantiles
 
 
@@ -20,3 +21,14 @@ def test_quantiles_equal_numpy(spark, n, listed):
             assert got[f"{k}{i}"] == pytest.approx(np.quantile(v, p), abs=1e-12)
     assert got["d"] is None and got["e"] == pytest.approx(np.median(abs(a)))
     assert exact_quantiles(df, {}) == {}
+
+
+def test_all_columns_share_few_passes(spark, monkeypatch):
+    seen, counted = [], quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda rows, asked: seen.append(len(asked)) or counted(rows, asked))
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=999), [-0.0, 0.0, -1e300, 1e300, -5e-324, float("inf")]])
+    df = spark.createDataFrame([(float(v), float(-v)) for v in x], "a double, b double")
+    got = quantiles.exact_quantiles(df, {"a": ("a", 0.5), "b": ("b", 0.3), "low": ("a", 0.0), "high": ("a", 1.0)}, listed=3)
+    assert got["a"] == np.median(x) and got["b"] == pytest.approx(np.quantile(-x, 0.3)) and (got["low"], got["high"]) == (-1e300, np.inf)
+    assert len(seen) <= 5
