@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import models
 from rankloom.operators.models import COLUMNS, daily_metrics, fit_ridge, predict_live, promote, promotion_check, suggested_weight, walk_forward, with_window
-from rankloom.operators.research import EMBARGO, FOLDS, HORIZON, STEP, feature_columns, folds, label_store, study
+from rankloom.operators.research import EMBARGO, FOLDS, HORIZON, STEP, feature_columns, folds, label_store, sequences, study
 from rankloom.plans.rel import Rel
 
 
@@ -154,3 +154,16 @@ def test_neural_rankers_walk_forward(spark):
     days = walk_forward(panel(spark, 0.55, 1, n=40), folds, "perceptron", rounds=20)
     assert {r.fold for r in days.collect()} == {r.fold for r in folds.collect()} and mean_ic(days) > 0.1
     assert walk_forward(p.limit(0), FOLDS.on(spark, panel=p.limit(0)), "perceptron").count() == 0
+
+
+def test_sequences_of_tasks_equal_the_statement(spark, monkeypatch):
+    plans, kept = [], models.written
+    monkeypatch.setattr(models, "written", lambda df, *rest, **options: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, *rest, **options))
+    p = panel(spark, 0.5, 21, days=9, n=7).where("NOT (ticker = 'T003' AND snapshot > 0) AND NOT (ticker = 'T005' AND snapshot % 3 = 1)")
+    got, names = models._sequences(p.withColumn("x_adx", F.when(F.col("snapshot") != 4, F.col("x_adx"))))
+    want = sequences(models.SEQUENCE, models.LEAST_SEQUENCE).on(spark, panel=p.withColumn("x_adx", F.when(F.col("snapshot") != 4, F.col("x_adx"))))
+    columns = ["ticker", "snapshot", "y", *names]
+    assert names[0] == f"{COLUMNS[0]}_4" and names[-1] == f"{COLUMNS[-1]}_0"
+    rows = sorted(map(tuple, got.select(columns).collect()), key=str)
+    assert rows == sorted(map(tuple, want.select(columns).collect()), key=str) and len(rows) > 40
+    assert "Window" not in plans[0] and models._sequences(p.limit(0))[0].count() == 0
